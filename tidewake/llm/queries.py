@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, substring_dedup
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
