@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, substring_dedup
+from . import exact_dedup, language_id, mixing, sharding, substring_dedup
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
+    "op5_language_id": language_id.op5_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
