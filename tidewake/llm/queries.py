@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, sharding, substring_dedup
+from . import decontamination, exact_dedup, language_id, mixing, sharding, substring_dedup
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op5_language_id": language_id.op5_language_id,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }

@@ -10,6 +10,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: ASCII signs read as spaces.
+PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _STEP = 1 << 21
@@ -36,7 +38,7 @@ def powers(base: int, n: int) -> np.ndarray:
 class Words:
     """start, end: byte ranges in `data` of all words; first: index of each text's first word (one more at the end)."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, fold: np.ndarray | None = None):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
@@ -44,8 +46,8 @@ class Words:
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         base, last = int(offsets[0]), int(offsets[-1])
         self.data = np.frombuffer(data, np.uint8)[base:last] if data is not None and last > base else np.zeros(0, np.uint8)
-        if lower:
-            self.data = LOWER[self.data]
+        if fold is not None:
+            self.data = fold[self.data]
         self.offsets = offsets - base
         word = ~SPACE[self.data]
         cut = np.zeros(len(self.data) + 1, bool)
