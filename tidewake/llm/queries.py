@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, sharding, substring_dedup
+from . import decontamination, exact_dedup, language_id, mixing, secret_scan, sharding, substring_dedup
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op5_language_id": language_id.op5_language_id,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLES = {
+    "op1_secret_scan": secret_scan.SQL,
     "op3_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
