@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, mixing, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
+    "op10_license_scan": license_scan.op10_license_scan,
     "op3_mixing": mixing.op3_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op7_decontamination": decontamination.op7_decontamination,
