@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup, token_count
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op3_mixing": mixing.op3_mixing,
     "op5_language_id": language_id.op5_language_id,
+    "op6_token_count": token_count.op6_token_count,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
