@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup, token_count
+from . import decontamination, exact_dedup, jaccard_join, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup, token_count
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
     "op10_license_scan": license_scan.op10_license_scan,
     "op3_mixing": mixing.op3_mixing,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_language_id": language_id.op5_language_id,
     "op6_token_count": token_count.op6_token_count,
     "op7_decontamination": decontamination.op7_decontamination,
