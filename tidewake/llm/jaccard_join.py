@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small, stored, table
 from .components import components
 from .words import LOWER, Words, mixed, sliced
 
@@ -102,7 +102,7 @@ def _shingle(k: int, buckets: int, chunks: int, frequent):
         bits = np.zeros(1 << 20, bool)
         bits[often & np.uint64((1 << 20) - 1)] = True
         for t in sliced(batches, BLOCK):
-            key = np.asarray(t.column("key").combine_chunks(), np.int64)
+            key, th = (np.asarray(t.column(c).combine_chunks(), np.int64) for c in ("key", "th"))
             sets = sets_of(Words(t.column("text"), LOWER), k)
             n = np.array([len(s) for s in sets], np.int64)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -112,7 +112,7 @@ def _shingle(k: int, buckets: int, chunks: int, frequent):
             for c, a, b in _runs(chunk[order]):
                 at = order[a:b]
                 has = np.array([ids[i] is not None for i in at], np.int64)
-                out.append((_DOC, c, pack(key[at]), pack(n[at]), pack(np.array([ids[i] or 0 for i in at], np.int64)) + b"|" + np.packbits(has.astype(bool)).tobytes(), b"".join(digest[i] for i in at)))
+                out.append((_DOC, c, pack(key[at]), pack(n[at]), pack(np.array([ids[i] or 0 for i in at], np.int64)) + b"|" + np.packbits(has.astype(bool)).tobytes(), b"".join(digest[i] for i in at) + th[at].tobytes()))
             g = np.concatenate([np.zeros(0, np.uint64), *sets])
             own = np.repeat(key, n)
             maybe = np.flatnonzero(bits[g & np.uint64((1 << 20) - 1)])
@@ -156,8 +156,8 @@ def _count(chunks: int):
     return run
 
 
-_SETS = "key long, doc_id long, n long, digest binary, grams binary, prefix array<long>"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SETS = "key long, doc_id long, th long, n long, digest binary, grams binary, prefix array<long>"
+_SETS_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -180,14 +180,15 @@ def _assemble(percent: int):
             keys, ns = unpack(row["rows"]), unpack(row["a"])
             mask = math.ceil(len(keys) / 8)
             ids, has = unpack(row["b"][: -mask - 1]), np.unpackbits(np.frombuffer(row["b"][-mask:], np.uint8))
+            ths = np.frombuffer(row["c"], np.int64, offset=16 * len(keys)).tolist()
             for i, (k, n) in enumerate(zip(keys.tolist(), ns.tolist(), strict=True)):
                 a, b = np.searchsorted(own, [k, k + 1])
                 doc = int(ids[i]) if has[i] else None
                 take = prefix_size(n, percent) - (n - (b - a))
                 if n and take > 0:
-                    out.append((k, doc, n, row["c"][16 * i : 16 * i + 16], g[a:b].tobytes(), g[a : a + take].view(np.int64)))
+                    out.append((k, doc, ths[i], n, row["c"][16 * i : 16 * i + 16], g[a:b].tobytes(), g[a : a + take].view(np.int64)))
                 else:
-                    out.append((k, doc, n, None, None, None))
+                    out.append((k, doc, ths[i], n, None, None, None))
         cols = list(zip(*out, strict=True)) or [[]] * len(_SETS_ARROW)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS_ARROW, strict=True)], schema=_SETS_ARROW)
 
@@ -298,7 +299,7 @@ def _verify(percent: int):
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least id of a row reachable by links, itself included), kept (one row of each component), key (the row's number).
+    """One row per row of docs: doc_id, n_shingles, component_id (least id of a row reachable by links, itself included), kept (one row of each component), th (a hash of the text).
 
     Null texts and texts without words have the empty set and link with nothing.  Rows equal in id are told apart; null
     ids come after all others, so a component's id is null only if all its ids are; of a component's rows of the least id the first
@@ -306,7 +307,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     share one that they don't has a chance under 1 in 10**11.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"))
     size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets, chunks = max(1, math.ceil(size / 6 / BUCKET)), max(1, math.ceil(size / CHUNK)) | 1
     often = rows.select("text").mapInArrow(_frequent(shingle), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -335,12 +336,33 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     linked = components(links)
 
     root = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("root"))
-    at = able.select("key", "doc_id", "n", "digest").join(root, "digest")
+    at = able.select("key", "doc_id", "th", "n", "digest").join(root, "digest")
     best = at.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("m"))
-    out = at.join(best, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("m.doc_id").alias("component_id"), (F.col("key") == F.col("m.key")).alias("kept"), "key")
-    alone = sets.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "key")
+    out = at.join(best, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("m.doc_id").alias("component_id"), (F.col("key") == F.col("m.key")).alias("kept"), "th")
+    alone = sets.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "th")
     return out.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that jaccard_join() keeps, with all their columns; of rows equal in id and text one stays.
+
+    The rows that go are told by id and text hash; few of them are broadcast, many are joined, and texts are shuffled
+    then only."""
+    told = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    fate = told.groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    fate = stored(fate.where("stay = 0 or rows > 1").withColumn("stay", F.col("stay") > 0), "jaccard-fate")
+    rows = fate.count()
+    boxes = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_th"))
+
+    def same(other: DataFrame):
+        return boxes["_id"].eqNullSafe(other["doc_id"]) & (boxes["_th"] == other["th"])
+
+    out = boxes.join(small(fate, rows), same(fate), "left_anti")
+    again = fate.where("stay")
+    if rows and again.limit(1).count():
+        out = out.unionByName(boxes.join(small(again, rows), same(again), "left_semi").dropDuplicates(["_id", "_th"]))
+    return out.select("row.*")
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .words import sliced
@@ -164,21 +165,20 @@ def _predict(shared):
             ok = [has_letter(x) for x in texts]
             lang = [m.labels[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
             score = np.where(ok, p[np.arange(len(texts)), best], 0.0)
-            yield from t.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).drop_columns(["text"]).to_batches()
+            yield from t.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).to_batches()
 
     return run
 
 
 def identify(texts: DataFrame, model: Model | None) -> DataFrame:
-    """texts: any columns and `text` -> the other columns, lang_pred and score (the calibrated chance of lang_pred).
+    """texts: any columns and `text` -> all of them, lang_pred and score (the calibrated chance of lang_pred).
 
     A text that is null or has no letter is `und` with score 0; with one letter and no other character all labels are
     equally likely and the first by name is given.  Without a model every text is `und`."""
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"]
     if model is None:
-        return texts.drop("text").withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     shared = texts.sparkSession.sparkContext.broadcast(model)  # DIM * MAX_LABELS floats at most
-    return texts.mapInArrow(_predict(shared), ", ".join([*rest, "lang_pred string", "score double"]))
+    return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
