@@ -1,0 +1 @@
+"""Whole pipelines as one lazy plan each."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import track_queries
+
 FLAGSHIP = "trip_kinematics_summary"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {**track_queries.QUERIES}
+ORACLES: dict[str, str] = {**track_queries.ORACLES}
