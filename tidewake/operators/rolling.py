@@ -107,9 +107,10 @@ def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True) -> Da
     Points meet through a grid of radius-wide cells, so that only neighbouring cells are compared."""
     scale = F.cos(F.radians(F.avg("latitude").over(W.partitionBy("trip_id"))))
     at = df.withColumn("_y", F.col("latitude") * DEGREE_KM).withColumn("_k", scale).withColumn("_x", F.col("longitude") * DEGREE_KM * F.col("_k"))
-    # great-circle distance may exceed the planar one slightly: cells are a little wider than the radius
-    cell = lambda c: F.floor(F.col(c) / (radius_km * 1.02)).cast("long")
-    at = at.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
+    # cells are laid at the trip's highest latitude, where a degree is shortest, and a little wider than the radius: no distance there exceeds the true one
+    cell = lambda x: F.floor(x / (radius_km * 1.02)).cast("long")
+    narrow = F.cos(F.radians(F.max(F.abs("latitude")).over(W.partitionBy("trip_id"))))
+    at = at.withColumn("_cx", cell(F.col("longitude") * DEGREE_KM * narrow)).withColumn("_cy", cell(F.col("_y")))
     mine = at.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).select("trip_id", "event_id", "latitude", "longitude", "_x", "_y", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"))
     other = at.select("trip_id", "_cx", "_cy", F.col("t_us").alias("o_t"), F.col("event_id").alias("o_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"), F.col("_x").alias("o_x"), F.col("_y").alias("o_y"))
     far = F.sqrt(F.pow(F.col("_x") - F.col("o_x"), 2) + F.pow(F.col("_y") - F.col("o_y"), 2)) if planar else haversine_km(F.col("latitude"), F.col("longitude"), F.col("o_lat"), F.col("o_lon"))
