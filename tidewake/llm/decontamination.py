@@ -128,7 +128,7 @@ def _frequencies(shared):
     def run(batches):
         items: Items = shared.value
         seen, n = np.zeros(len(items.grams), np.int64), 0
-        for t in sliced(batches, 4 << 20):
+        for t in sliced(batches, 2 << 20):
             text, _, k, _ = items.hits(folded(t.column("text").combine_chunks()))
             seen += np.bincount(np.unique(text * max(1, len(items.grams)) + k) % max(1, len(items.grams)), minlength=len(items.grams))[: len(seen)]
             n += t.num_rows
@@ -141,7 +141,7 @@ def _frequencies(shared):
 def _search(shared):
     def run(batches):
         items: Items = shared.value
-        for t in sliced(batches, 4 << 20):
+        for t in sliced(batches, 2 << 20):
             w = folded(t.column("text").combine_chunks())
             text, pos, k, h = items.hits(w)
             found = t.column("found").to_pylist()

@@ -30,7 +30,7 @@ from .words import LOWER, Words, mixed, sliced
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles of a bucket, bytes of texts of a chunk and of a map block, shingles of a block's part and of a task's blocks.
-BUCKET, CHUNK, BLOCK, BLOCK_TOKENS = 2_000_000, 24 << 20, 6 << 20, 1_500_000
+BUCKET, CHUNK, BLOCK, BLOCK_TOKENS = 2_000_000, 24 << 20, 3 << 20, 1_500_000
 #: A shingle is frequent if more than this part of all texts have it (at least FREQUENT_AT_LEAST texts).
 FREQUENT, FREQUENT_AT_LEAST, FREQUENT_MOST = 0.001, 50, 500_000
 

@@ -96,7 +96,7 @@ class Model:
 def _document_counts(batches):
     """One row a task: in how many texts each cell occurs."""
     seen, n = np.zeros(DIM, np.int64), 0
-    for t in sliced(batches, 4 << 20):
+    for t in sliced(batches, 2 << 20):
         for text in t.column("text"):
             hit = np.zeros(DIM, bool)
             hit[grams([text.as_py() or ""])[0]] = True
@@ -153,7 +153,7 @@ def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
 def _predict(shared):
     def run(batches):
         m: Model = shared.value
-        for t in sliced(batches, 1 << 20):
+        for t in sliced(batches, 1 << 19):
             texts = [x or "" for x in t.column("text").to_pylist()]
             cells, n = grams(texts)
             some = np.flatnonzero(n)

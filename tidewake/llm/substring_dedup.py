@@ -26,7 +26,7 @@ from .words import Words, mixed, sliced
 WINDOW = 20
 FINGERPRINT_BITS = 6
 #: Windows of a bucket, bytes of the texts of a merge task, bytes of the texts of a map block.
-BUCKET, CHUNK, BLOCK = 2_000_000, 8 << 20, 6 << 20
+BUCKET, CHUNK, BLOCK = 2_000_000, 8 << 20, 3 << 20
 _NULL_ID = -(2**63)
 
 

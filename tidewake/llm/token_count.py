@@ -87,7 +87,7 @@ def count_tokens(texts: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame
 
     def run(batches):
         counter = Counter(shared.value)
-        for t in sliced(batches, 4 << 20):
+        for t in sliced(batches, 2 << 20):
             n = pa.array([counter.pieces(x.as_py()) for x in t.column("text")], pa.int64())
             yield from t.append_column("n_tokens", n).drop_columns(["text"]).to_batches()
 

@@ -14,7 +14,7 @@ LOWER[65:91] += 32
 PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_STEP = 1 << 21
+_STEP = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -91,6 +91,16 @@ class Words:
         return mixed((total[k:] - total[:-k]) * powers(pow(base, -1, 2**64), n - k + 1))
 
 
+def released() -> None:
+    """Gives freed memory back to the system: workers live on between tasks and share an executor with its JVM."""
+    import contextlib
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches, limit: int, column: str = "text"):
     """Record batches cut and joined so that the texts of each have about `limit` bytes at most (one text is never cut)."""
     held, size = [], 0
@@ -109,5 +119,7 @@ def sliced(batches, limit: int, column: str = "text"):
             if at < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                released()
     if held:
         yield pa.Table.from_batches(held)
+    released()
