@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, draw52, table
+from .common import WORD, draw52, small, stored, table
 
 LEVELS = ("domain", "lang", "source")
 DEC = "decimal(38,0)"
@@ -57,7 +57,7 @@ def budgets(leaves: DataFrame, fraction: float, weights: dict[str, Column], max_
     return leaf.drop("supply", "weight", "name", "parent_budget")
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], fraction: float, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", run_rows: int = 200_000) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], fraction: float, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", run_rows: int = 20_000) -> DataFrame:
     """The chosen rows: all columns of docs in the struct `row`, then domain, lang, source, tokens, epoch, cum_before, leaf_budget.
 
     fraction: the budget as a part of all tokens (words).  weights: see budgets().  Null
@@ -68,10 +68,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], fraction: f
     """
     none = F.lit("(none)")
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"), F.coalesce(domain.cast("string"), none).alias("domain"), F.coalesce(docs[lang_col].cast("string"), none).alias("lang"), F.coalesce(docs[source_col].cast("string"), none).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
-    leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     plan = budgets(leaves, fraction, weights, max_epochs).withColumn("last", F.expr("case when tokens > 0 then budget div tokens else 0 end").cast("int"))
     plan = plan.withColumn("rest", (F.col("budget") - F.col("last") * F.col("tokens")).cast("long")).withColumn("runs", F.ceil(F.col("docs") / F.lit(float(run_rows))).cast("long"))
-    at = base.join(plan.select(*LEVELS, "budget", "last", "rest", "runs"), list(LEVELS))
+    plan = stored(plan.select(*LEVELS, "budget", "last", "rest", "runs"), "mix-plan")
+    few = plan.count()
+    at = base.join(small(plan, few), list(LEVELS))
     at = at.withColumn("spot", draw52(seed, F.col("last"), F.col("_id"))).withColumn("run", F.floor(F.col("spot") * F.col("runs") / F.lit(2.0**52)).cast("long"))
     per = at.where("rest > 0").groupBy(*LEVELS, "run").agg(F.sum("tokens").alias("run_tokens"))
     before = per.select(*LEVELS, "run", (F.sum("run_tokens").over(W.partitionBy(*LEVELS).orderBy("run")) - F.col("run_tokens")).alias("before"))
