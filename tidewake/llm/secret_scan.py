@@ -64,7 +64,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     flat = rows.select("rid", "doc_id", F.explode_outer(F.concat("base", "links")).alias("p")).select("rid", "doc_id", "p.*").repartition("rid")
     end = F.sum(F.col("piece") + F.col("size")).over(W.partitionBy("rid", "code").orderBy("nth"))
     at = flat.withColumn("end", end.cast("int")).withColumn("begin", (F.col("end") - F.col("size")).cast("int"))
-    at = at.where("code is null or value >= " + str(WEAK_VALUE)).withColumn("code", F.when((F.col("code") == 0) & (F.col("value") < VALUE), _CODE["weak"]).otherwise(F.col("code")))
+    # parts that are too short even for a weak one lose their code; their rows stay, for the document's sake
+    at = at.withColumn("code", F.when(F.col("value") < WEAK_VALUE, None).when((F.col("code") == 0) & (F.col("value") < VALUE), _CODE["weak"]).otherwise(F.col("code")))
     along = W.partitionBy("rid").orderBy("begin", "code", "end").rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("scope", F.sum((F.col("code") == _BREAK).cast("int")).over(along))
     in_scope = W.partitionBy("rid", "scope").orderBy("begin", "code", "end")
