@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catch_queries, track_queries
+from .plans import catch_queries, model_queries, track_queries
 
 FLAGSHIP = "trip_kinematics_summary"
-QUERIES: dict = {**track_queries.QUERIES, **catch_queries.QUERIES}
-ORACLES: dict[str, str] = {**track_queries.ORACLES, **catch_queries.ORACLES}
+QUERIES: dict = {**track_queries.QUERIES, **catch_queries.QUERIES, **model_queries.QUERIES}
+ORACLES: dict[str, str] = {**track_queries.ORACLES, **catch_queries.ORACLES, **model_queries.ORACLES}
