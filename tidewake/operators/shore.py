@@ -68,7 +68,8 @@ def harbor_filter(df: DataFrame, harbors: list[tuple[float, float]], min_km: flo
 
 def read_segments(spark, path: str, land_only: bool = False) -> DataFrame:
     """ring_id, seq, x1, y1, x2, y2 of a GeoJSON file's (multi)lines and outer and inner polygon rings; land_only takes polygons only."""
-    feature = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f")).select(F.col("f.geometry.type").alias("kind"), F.to_json("f.geometry.coordinates").alias("c"))
+    shape = "features array<struct<geometry:struct<type:string,coordinates:string>>>"  # coordinates as text: their depth depends on the type
+    feature = spark.read.schema(shape).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     line, poly = "array<array<double>>", "array<array<array<double>>>"
     rings = F.when(F.col("kind") == "LineString", F.array(F.from_json("c", line))).when(F.col("kind").isin("MultiLineString", "Polygon"), F.from_json("c", poly)).when(F.col("kind") == "MultiPolygon", F.flatten(F.from_json("c", f"array<{poly}>")))
     if land_only:
