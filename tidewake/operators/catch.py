@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import landing_season
+from ..sources.staging import staged
+from .quantiles import average_ranks, first_of, quantiles
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_effort(df: DataFrame) -> DataFrame:
     """Missing effort where fishers are known: fishers over the unit's median of fishers/effort (infinite at effort 0).  effort_imputed marks them."""
     area = F.when(F.col("effort") == 0, F.when(F.col("total_fishers") > 0, float("inf"))).otherwise(F.col("total_fishers") / F.when(F.col("effort") != 0, F.col("effort")))
-    median = df.withColumn("_a", area).groupBy("bmu").agg(F.median("_a").alias("median_area"))
+    median = quantiles(df.withColumn("_a", area), "_a", [0.5], ["bmu"]).select("bmu", first_of("q").alias("median_area"))
     out = df.join(median, "bmu", "left")
     fill = F.col("effort").isNull() & F.col("total_fishers").isNotNull() & F.col("median_area").isNotNull()
     return out.withColumn("effort_imputed", fill).withColumn("effort", F.when(fill, F.col("total_fishers") / F.when(F.col("median_area") != 0, F.col("median_area"))).otherwise(F.col("effort")))
@@ -37,37 +39,30 @@ def valid(df: DataFrame) -> DataFrame:
 
 def trimmed(df: DataFrame, part: float = 0.99) -> DataFrame:
     """Rows at or under the percentile of both cpue and effort, with log_cpue and log_effort (log1p)."""
-    edge = df.agg(F.percentile("cpue", F.lit(part)).alias("_c"), F.percentile("effort", F.lit(part)).alias("_e"))
+    edge = quantiles(df, "cpue", [part]).select(first_of("q").alias("_c")).crossJoin(quantiles(df, "effort", [part]).select(first_of("q").alias("_e")))
     out = df.crossJoin(F.broadcast(edge)).where((F.col("cpue") <= F.col("_c")) & (F.col("effort") <= F.col("_e"))).drop("_c", "_e")  # one row
     return out.withColumn("log_cpue", F.log1p("cpue")).withColumn("log_effort", F.log1p("effort"))
 
 
 def working_set(landings: DataFrame) -> DataFrame:
-    return trimmed(valid(impute_effort(clean(landings))))
+    """The cleaned, imputed, valid and trimmed rows.  The joined input and the result are staged, as every statistic reads them several times."""
+    return staged(trimmed(valid_set(landings)), "landings-trimmed")
+
+
+def valid_set(landings: DataFrame) -> DataFrame:
+    return staged(valid(impute_effort(staged(clean(landings), "landings-clean"))), "landings-valid")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, std, min, quartiles (interpolated), max."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "x").where("x is not null")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("x").alias("max"))
-
-
-def ranked(df: DataFrame, columns: dict[str, str], by: list[str] = ()) -> DataFrame:
-    """Average ranks within groups: {column: name of its rank}.
-
-    Ranks come from the counts of distinct values: groups of values are numbered by a running sum, so only distinct values
-    are ordered together and rows are joined back by value."""
-    for c, name in columns.items():
-        n = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        at = F.sum("_n").over(W.partitionBy(*(by or [F.lit(1)])).orderBy(c))
-        df = df.join(n.select(*by, c, (at - F.col("_n") + (F.col("_n") + 1) / 2).alias(name)), [*by, c])
-    return df
+    out = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.join(quantiles(long, "x", [0.25, 0.5, 0.75], ["column"]), "column").select("column", "n", "mean", "std", "min", *[first_of("q", i).alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] = ()) -> DataFrame:
     """rho and n, over all rows or by group."""
-    at = ranked(df.select(*by, x, y), {x: "_x", y: "_y"}, list(by))
+    at = average_ranks(average_ranks(df.select(*by, x, y), x, "_x", by), y, "_y", by)
     return at.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
@@ -82,12 +77,13 @@ def ols(df: DataFrame, x: str = "log_effort", y: str = "log_cpue") -> DataFrame:
 
 def quantile_bins(df: DataFrame, bins: int = 20, by: list[str] = ()) -> DataFrame:
     """Right-closed effort bins between interpolated quantiles, equal edges merged: bin, effort_median, cpue_mean, cpue_se, n."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile("effort", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("_edges"))
+    edges = quantiles(df, "effort", [i / bins for i in range(bins + 1)], by).select(*by, F.array_distinct("q").alias("_edges"))
     at = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row without groups
     first = F.get("_edges", F.lit(0))
     number = F.when(F.col("effort") == first, 1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("effort"))))
-    out = at.withColumn("bin", number.cast("int")).groupBy(*by, "bin").agg(F.median("effort").alias("effort_median"), F.avg("cpue").alias("cpue_mean"), (F.stddev_samp("cpue") / F.sqrt(F.count("*"))).alias("cpue_se"), F.count("*").alias("n"))
-    return out
+    at = at.withColumn("bin", number.cast("int")).drop("_edges")
+    out = at.groupBy(*by, "bin").agg(F.avg("cpue").alias("cpue_mean"), (F.stddev_samp("cpue") / F.sqrt(F.count("*"))).alias("cpue_se"), F.count("*").alias("n"))
+    return out.join(quantiles(at, "effort", [0.5], [*by, "bin"]).select(*by, "bin", first_of("q").alias("effort_median")), [*by, "bin"])
 
 
 def means_by(df: DataFrame, *by: str) -> DataFrame:
@@ -107,11 +103,13 @@ def annual_trend(df: DataFrame, first: int = 2000, last: int = 2024) -> DataFram
 
 def group_stats(df: DataFrame, by: str, least: int = 30) -> DataFrame:
     """Per gear or unit with enough rows: medians and means, effort_cv, rho, depl_ratio (mean cpue over the upper to that under the lower effort quartile), log_slope, cpue_trend (over more than two years), n_years."""
-    quartiles = df.groupBy(by).agg(F.percentile("effort", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count("*").alias("n")).where(F.col("n") >= least)
-    at = df.join(quartiles, by)
-    low, high = F.avg(F.when(F.col("effort") <= F.get("_q", F.lit(0)), F.col("cpue"))), F.avg(F.when(F.col("effort") >= F.get("_q", F.lit(1)), F.col("cpue")))
+    many = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    effort = quantiles(df, "effort", [0.25, 0.5, 0.75], [by]).withColumnRenamed("q", "_q")
+    cpue = quantiles(df, "cpue", [0.5], [by]).select(by, first_of("q").alias("cpue_med"))
+    at = df.join(many.join(effort, by).join(cpue, by), by)
+    low, high = F.avg(F.when(F.col("effort") <= first_of("_q"), F.col("cpue"))), F.avg(F.when(F.col("effort") >= first_of("_q", 2), F.col("cpue")))
     years = F.count_distinct("year")
-    out = at.groupBy(by, "n").agg(F.median("effort").alias("effort_med"), (F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.median("cpue").alias("cpue_med"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"), years.alias("n_years"))
+    out = at.groupBy(by, "n", "cpue_med", first_of("_q", 1).alias("effort_med")).agg((F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"), years.alias("n_years"))
     return out.join(spearman(df, by=[by]).select(by, "rho"), by)
 
 
@@ -152,11 +150,10 @@ def feature_matrix(df: DataFrame, gears: list[str], least: int = 50) -> DataFram
 
 def double_demeaned(df: DataFrame) -> DataFrame:
     """x less its unit's and its year's mean, plus the mean: log_cpue_dm, log_effort_dm.  Means are aggregates joined back."""
-    for c in ("log_cpue", "log_effort"):
-        unit, year = df.groupBy("bmu").agg(F.avg(c).alias("_u")), df.groupBy("year").agg(F.avg(c).alias("_y"))
-        df = df.join(unit, "bmu").join(year, "year").crossJoin(F.broadcast(df.agg(F.avg(c).alias("_m"))))  # one row
-        df = df.withColumn(f"{c}_dm", F.col(c) - F.col("_u") - F.col("_y") + F.col("_m")).drop("_u", "_y", "_m")
-    return df
+    mean = lambda *by: df.groupBy(*by).agg(*[F.avg(c).alias(f"_{c}_{'_'.join(by)}") for c in ("log_cpue", "log_effort")])
+    out = df.join(mean("bmu"), "bmu").join(mean("year"), "year").crossJoin(F.broadcast(mean()))  # one row
+    dm = {f"{c}_dm": F.col(c) - F.col(f"_{c}_bmu") - F.col(f"_{c}_year") + F.col(f"_{c}_") for c in ("log_cpue", "log_effort")}
+    return out.withColumns(dm).drop(*[f"_{c}_{b}" for c in ("log_cpue", "log_effort") for b in ("bmu", "year", "")])
 
 
 def within_fit(df: DataFrame) -> DataFrame:

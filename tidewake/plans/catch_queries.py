@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catch as C
 from ..operators import regression
+from ..sources.staging import staged
 from ..sources.tables import landings
 from .track_queries import r6, sql6
 
@@ -53,7 +54,7 @@ def missing_profile(l):
 
 @query("SELECT bmu, count(*) AS n, count(*) FILTER (effort_imputed) AS n_imputed, round(avg(effort), 6) AS effort_mean, round(sum(effort) FILTER (effort_imputed), 4) AS imputed_sum FROM im GROUP BY bmu")
 def effort_imputation(l):
-    return C.impute_effort(C.clean(l)).groupBy("bmu").agg(F.count("*").alias("n"), F.count_if("effort_imputed").alias("n_imputed"), F.round(F.avg("effort"), 6).alias("effort_mean"), F.round(F.sum(F.when(F.col("effort_imputed"), F.col("effort"))), 4).alias("imputed_sum"))
+    return C.impute_effort(staged(C.clean(l), "landings-clean")).groupBy("bmu").agg(F.count("*").alias("n"), F.count_if("effort_imputed").alias("n_imputed"), F.round(F.avg("effort"), 6).alias("effort_mean"), F.round(F.sum(F.when(F.col("effort_imputed"), F.col("effort"))), 4).alias("imputed_sum"))
 
 
 @query("SELECT bmu, gear, count(*) AS n, round(max(cpue), 6) AS cpue_max, round(max(effort), 6) AS effort_max, round(avg(log_cpue), 6) AS log_cpue_mean FROM ws GROUP BY bmu, gear")
@@ -114,7 +115,7 @@ def monthly_correlation(l):
 
 @query(", y AS (SELECT year, avg(cpue) AS c, avg(effort) AS e FROM va WHERE year BETWEEN 1990 AND 2024 GROUP BY year) SELECT round(regr_slope(c, year), 6) AS cpue_slope, round(regr_slope(e, year), 6) AS effort_slope, count(*) AS n_years FROM y")
 def annual_trend(l):
-    return r6(C.annual_trend(C.valid(C.impute_effort(C.clean(l))), 1990, 2024))
+    return r6(C.annual_trend(C.valid_set(l), 1990, 2024))
 
 
 def _groups(by: str, least: int, out: str = "gs") -> str:
