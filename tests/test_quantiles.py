@@ -11,7 +11,7 @@ PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 @pytest.mark.parametrize("kind", ["spread", "ties", "few", "one"])
 def test_quantiles_are_exact(spark, kind):
     rng = random.Random(kind)
-    make = {"spread": lambda: [rng.gauss(0, 1) for _ in range(9000)], "ties": lambda: [float(rng.choice([1, 1, 1, 2, 7, rng.randint(0, 500)])) for _ in range(9000)], "few": lambda: [3.0, -1.0, 2.0], "one": lambda: [5.0]}[kind]
+    make = {"spread": lambda: [rng.gauss(0, 1) for _ in range(12000)], "ties": lambda: [float(rng.choice([1, 1, 1, 2, 7, rng.randint(0, 500)])) for _ in range(12000)], "few": lambda: [3.0, -1.0, 2.0], "one": lambda: [5.0]}[kind]
     groups = {"a": make(), "b": make()}
     df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v] + [("a", None), ("none", None)], "g string, x double")
     got = {r.g: r.q for r in quantiles(df, "x", PROBS, ["g"]).collect()}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The sketch's accuracy: ranks are right to a part of 1 / ACCURACY of the rows.
 ACCURACY = 2000
+#: Groups of so few rows have one bracket around all values.
+FEW = 4 * ACCURACY
 #: Ranges of values that are ranked in tasks of their own.
 RANGES = 256
 
@@ -23,9 +25,9 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[s
     around = [min(1.0, max(0.0, p + d * 2 / ACCURACY)) for p in probabilities for d in (-1, 1)]
     marks = x.groupBy(*by).agg(F.percentile_approx("_x", around, F.lit(ACCURACY)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
     n = F.col("_n")
-    # the sketch leaves out what is rarer than its accuracy at the ends
-    low = lambda i: F.when(F.lit(probabilities[i]) <= 3 / ACCURACY, F.col("_lo")).otherwise(F.get("_m", F.lit(2 * i)))
-    high = lambda i: F.when(F.lit(probabilities[i]) >= 1 - 3 / ACCURACY, F.col("_hi")).otherwise(F.get("_m", F.lit(2 * i + 1)))
+    # a bracket is twice the sketch's error wide on either side, which with more than FEW rows also holds the next value; the ends are exact
+    low = lambda i: F.when((n <= FEW) | F.lit(probabilities[i] <= 3 / ACCURACY), F.col("_lo")).otherwise(F.get("_m", F.lit(2 * i)))
+    high = lambda i: F.when((n <= FEW) | F.lit(probabilities[i] >= 1 - 3 / ACCURACY), F.col("_hi")).otherwise(F.get("_m", F.lit(2 * i + 1)))
     spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low(i).alias("a"), high(i).alias("b")) for i, p in enumerate(probabilities)])
     marks = marks.select(*by, n, spans.alias("_s"))
     at = x.join(marks, by) if by else x.crossJoin(F.broadcast(marks))  # one row without groups
@@ -37,8 +39,9 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[s
     part = part.withColumn("upto", upto).withColumn("r", F.col("p") * (F.col("_n") - 1))
     value = lambda k: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > k), F.col("v")))
     lower, upper = value(F.floor("r")), value(F.ceil("r"))
-    out = part.groupBy(*by, "i").agg((lower + (upper - lower) * F.max(F.col("r") - F.floor("r"))).alias("q"))
-    return out.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("q")).select(*by, F.col("q.q").alias("q"))
+    out = part.groupBy(*by, "i").agg(lower.alias("a"), upper.alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
+    out = out.withColumn("q", F.when((F.col("f") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f")))  # infinite values have no difference
+    return out.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("q")).where(F.size("q") > 0).select(*by, F.col("q.q").alias("q"))
 
 
 def average_ranks(df: DataFrame, column: str, name: str, by: list[str] = ()) -> DataFrame:
