@@ -105,3 +105,17 @@ def as_points(df: DataFrame, trip_col: str | None = None, lat_col: str | None =
     first = {"trip_id": df[trip] if trip else F.lit(1), "t_us": df["t_us"] if "t_us" in df.columns else time, "latitude": df[lat].cast("double"), "longitude": df[lon].cast("double")}
     first["event_id"] = df["event_id"] if "event_id" in df.columns else F.xxhash64(*first.values())
     return df.select(*[c.alias(n) for n, c in first.items()], *[df[c] for c in df.columns if c not in first and c not in (lat, lon, trip)])
+
+
+def export_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that df has, in the wanted order."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
+def label_codes(df: DataFrame, column: str, code: str, missing: str = "Unknown") -> DataFrame:
+    """code: the place (from 0) of each label among the sorted distinct labels; NULL reads `missing`."""
+    from pyspark.sql import Window as W
+
+    label = F.coalesce(F.col(column), F.lit(missing))
+    codes = df.select(label.alias("_label")).distinct().withColumn(code, (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_label")) - 1).cast("long"))  # distinct labels only
+    return df.withColumn("_label", label).join(codes, "_label").drop("_label")

@@ -77,9 +77,10 @@ def time_weights(points: DataFrame, cap_seconds: float = 600.0) -> DataFrame:
 
 
 def cadence(points: DataFrame, local_minutes: float = 0.2, shape_minutes: float = 1.0, least: int = 3, most: int = 25) -> DataFrame:
-    """A trip's median seconds between points (positive gaps only) and row windows of the two spans, least to most rows."""
-    gaps = points.withColumn("gap", (F.col("t_us") - F.lag("t_us").over(trip())) / 1e6)
-    out = gaps.groupBy("trip_id").agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("cadence_s"))
+    """A trip's median whole seconds between points (positive gaps only, 60 without any) and row windows of the two spans, least to most rows."""
+    t_s = F.floor(F.col("t_us") / 1e6)
+    gaps = points.withColumn("gap", t_s - F.lag(t_s).over(trip()))
+    out = gaps.groupBy("trip_id").agg(F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(60.0)).alias("cadence_s"))
     rows = lambda span: F.greatest(F.lit(least), F.least(F.lit(most), F.bround(span * 60 / F.col("cadence_s")).cast("int")))
     return out.select("trip_id", "cadence_s", rows(local_minutes).alias("local_rows"), rows(shape_minutes).alias("shape_rows"))
 

@@ -67,6 +67,8 @@ class Rules:
 CONFIGS = {
     "default": {},
     "row_frames": {"patterns": False, "min_distance_for_turn": 0.0},
+    "instantaneous": {"patterns": False, "min_distance_for_turn": 0.0, "min_fishing_speed": 0.5, "max_fishing_speed": 8.0, "min_transit_speed": 10.0, "high_turn_threshold": 45.0, "low_straightness_threshold": 0.7, "high_sinuosity_threshold": 1.5, "clustering_radius_km": 2.0, "high_speed_cv_threshold": 0.8, "weight_speed": 2.5, "weight_turning": 2.0, "weight_straightness": 1.5, "weight_sinuosity": 1.0, "weight_clustering": 1.5, "weight_speed_variability": 1.0},
+    "conservative": {"fishing_score_threshold": 0.55, "min_fishing_speed": 0.8, "max_fishing_speed": 7.5, "min_transit_speed": 10.0, "high_turn_threshold": 40.0, "low_straightness_threshold": 0.75, "high_sinuosity_threshold": 1.4, "clustering_radius_km": 1.5, "high_speed_cv_threshold": 0.7, "weight_speed": 3.0, "weight_turning": 2.0, "weight_straightness": 1.5, "weight_sinuosity": 1.0, "weight_clustering": 2.0, "weight_speed_variability": 1.0},
     "high_sensitivity": {"fishing_score_threshold": 0.35, "min_fishing_speed": 0.2, "max_fishing_speed": 10.0, "min_transit_speed": 12.0, "high_turn_threshold": 35.0, "low_straightness_threshold": 0.50, "high_sinuosity_threshold": 1.4, "clustering_radius_km": 1.2, "high_speed_cv_threshold": 0.5, "min_state_duration": 1, "min_distance_for_turn": 0.05},
     "low_sensitivity": {"fishing_score_threshold": 0.55, "min_fishing_speed": 0.5, "max_fishing_speed": 7.0, "min_transit_speed": 8.0, "high_turn_threshold": 45.0, "low_straightness_threshold": 0.40, "high_sinuosity_threshold": 1.6, "clustering_radius_km": 0.8, "high_speed_cv_threshold": 0.7, "min_state_duration": 3, "min_distance_for_turn": 0.1},
     "gillnet": {"fishing_score_threshold": 0.38, "min_fishing_speed": 0.3, "max_fishing_speed": 4.0, "min_transit_speed": 5.0, "high_turn_threshold": 35.0, "low_straightness_threshold": 0.50, "high_sinuosity_threshold": 1.5, "clustering_radius_km": 0.6, "high_speed_cv_threshold": 0.6, "min_state_duration": 2, "min_distance_for_turn": 0.05},
@@ -80,9 +82,9 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def indicators(df: DataFrame, rules: Rules, suffix: str = "") -> DataFrame:
-    """Flags from the first time window's statistics and the shape columns."""
-    speed, turn = F.col(f"speed_kmh_mean{suffix}"), F.col(f"turn_angle_mean{suffix}")
+def indicators(df: DataFrame, rules: Rules, suffix: str = "", speed_column: str | None = None) -> DataFrame:
+    """Flags from the first time window's statistics and the shape columns; speed_column replaces the window's mean speed."""
+    speed, turn = F.col(speed_column or f"speed_kmh_mean{suffix}"), F.col(f"turn_angle_mean{suffix}")
     df = df.withColumns({
         "is_fishing_speed": flag(speed.between(rules.min_fishing_speed, rules.max_fishing_speed)),
         "is_transit_speed": flag(speed >= rules.min_transit_speed),
@@ -109,6 +111,11 @@ def score(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumn("fishing_score", clip(total / sum(weights.values()), 0, 1))
 
 
+def slow_and_turning(df: DataFrame, stationary: float = 2.0, turning: float = 20.0) -> DataFrame:
+    """is_stationary and is_moderate_turning, two flags that don't count for the score."""
+    return df.withColumns({"is_stationary": flag(F.col("speed_kmh") < stationary), "is_moderate_turning": flag(F.col("turn_angle_mean") >= turning)})
+
+
 def phase_aware_rules(df: DataFrame) -> DataFrame:
     """The phase-aware variant: strict comparisons, the turn at the point itself, and transit always overrides."""
     df = df.withColumns({

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import kinematics as K
 from ..operators import rolling as R
 from ..operators.phases import Phases, activity_types, phases
-from ..operators.rules import CONFIGS, Rules, flag, indicators, phase_aware_rules, score
+from ..operators.rules import CONFIGS, Rules, flag, indicators, phase_aware_rules, score, slow_and_turning
 from ..operators.smoothing import smooth
 from ..operators.summary import trip_summary
 
-VARIANTS = ("row_frames", "great_circle", "planar", "phase_aware")
+VARIANTS = ("row_frames", "instantaneous", "great_circle", "planar", "phase_aware")
+_BY_ROWS = ("row_frames", "instantaneous")
 
 
 def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
@@ -20,9 +21,9 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
     if variant == "phase_aware":
         df = R.whole_trip_shape(R.trailing_stats(K.kinematics(points, K.UNLIMITED)))
         return K.positions(df, from_one=True)
-    how = K.Kinematics(min_leg_km=0.0 if variant == "row_frames" else rules.min_distance_for_turn)
+    how = K.Kinematics(min_leg_km=0.0 if variant in _BY_ROWS else rules.min_distance_for_turn)
     df = K.kinematics(points, how)
-    if variant == "row_frames":
+    if variant in _BY_ROWS:
         df = R.shape(R.start_distance(R.adaptive_stats(df)))
     else:
         df = R.near_shape(R.start_distance(R.time_stats(df, rules.time_windows)), rules.spatial_window_km, planar=variant == "planar")
@@ -30,18 +31,19 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
 
 
 def classify(points: DataFrame, variant: str = "planar", rules: Rules | None = None, ends: Phases | None = Phases()) -> DataFrame:
-    """points -> features, flags, fishing_score and is_fishing (smoothed, but for row_frames and phase_aware); phase_aware also has phases and activity types unless ends is None."""
+    """points -> features, flags, fishing_score and is_fishing (smoothed, but for row_frames, instantaneous and phase_aware); phase_aware also has phases and activity types unless ends is None."""
     if variant not in VARIANTS:
         raise ValueError(f"variant {variant!r} is none of {', '.join(VARIANTS)}")
-    rules = rules or Rules.of(CONFIGS["row_frames"] if variant == "row_frames" else {})
+    rules = rules or Rules.of(CONFIGS[variant] if variant in _BY_ROWS else {})
     df = features(points, variant, rules)
     if variant == "phase_aware":
         df = phase_aware_rules(df)
         return activity_types(phases(df, ends)) if ends else df
-    suffix = f"_{rules.time_windows[0]:g}min" if variant != "row_frames" and len(rules.time_windows) > 1 else ""
-    df = score(indicators(df, rules, suffix), rules)
+    suffix = f"_{rules.time_windows[0]:g}min" if variant not in _BY_ROWS and len(rules.time_windows) > 1 else ""
+    df = score(indicators(df, rules, suffix, "speed_kmh" if variant == "instantaneous" else None), rules)
+    df = slow_and_turning(df) if variant == "instantaneous" else df
     df = df.withColumn("is_fishing", flag(F.col("fishing_score") >= rules.fishing_score_threshold))
-    return df if variant == "row_frames" else smooth(df, least=rules.min_state_duration)
+    return df if variant in _BY_ROWS else smooth(df, least=rules.min_state_duration)
 
 
 class EffortClassifier:
@@ -49,7 +51,7 @@ class EffortClassifier:
 
     def __init__(self, config: dict | Rules | None = None, variant: str = "planar"):
         self.variant = variant
-        base = CONFIGS["row_frames"] if variant == "row_frames" else {}
+        base = CONFIGS[variant] if variant in _BY_ROWS else {}
         self.rules = config if isinstance(config, Rules) else Rules.of({**base, **(config or {})})
 
     def predict(self, df: DataFrame, shore=None, **columns: str | None) -> DataFrame:

@@ -169,6 +169,22 @@ def rules_row_frames(t):
     return r6(classify(t, "row_frames").select(*ID, *_FLAGS, "fishing_score", "is_fishing"))
 
 
+@query(f""", {_ADAPT}, {Q.row_neighbours('tracks', 7, 7)}, {Q.shape('nb')},
+f1 AS (SELECT *, speed_kmh_std / (speed_kmh_mean + 0.1) AS speed_cv FROM ad JOIN shp USING (trip_id, event_id) JOIN (SELECT trip_id, event_id, speed_kmh AS v FROM kin) USING (trip_id, event_id)),
+fl AS (SELECT *, (v BETWEEN 0.5 AND 8.0)::INT AS is_fishing_speed, (v >= 10.0)::INT AS is_transit_speed, (turn_angle_mean >= 45.0)::INT AS is_high_turning, (straightness <= 0.7)::INT AS is_low_straightness, (sinuosity >= 1.5)::INT AS is_high_sinuosity, (radius_gyration_km <= 2.0)::INT AS is_clustered, (speed_cv >= 0.8)::INT AS is_variable_speed, (v < 2.0)::INT AS is_stationary, (turn_angle_mean >= 20.0)::INT AS is_moderate_turning FROM f1),
+sc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (2.5::DOUBLE * is_fishing_speed + 2.0 * is_high_turning + 1.5 * is_low_straightness + 1.0 * is_high_sinuosity + 1.5 * is_clustered + 1.0 * is_variable_speed - 5.0 * is_transit_speed) / 9.5)) AS fishing_score FROM fl)
+SELECT trip_id, event_id, {', '.join(_FLAGS)}, is_stationary, is_moderate_turning, round(fishing_score, 6) AS fishing_score, (fishing_score >= 0.5)::INT AS is_fishing FROM sc""")
+def rules_instantaneous(t):
+    return r6(classify(t, "instantaneous").select(*ID, *_FLAGS, "is_stationary", "is_moderate_turning", "fishing_score", "is_fishing"))
+
+
+@query("SELECT trip_id, event_id, dense_rank() OVER (ORDER BY coalesce(event_type, 'Unknown')) - 1 AS code FROM tracks")
+def label_encoding(t):
+    from ..operators.columns import label_codes
+
+    return label_codes(t, "event_type", "code").select(*ID, "code")
+
+
 @query(f", {Q.rules(False)} SELECT trip_id, event_id, {', '.join(_FLAGS)}, is_fishing_pattern, is_search_pattern, round(fishing_score, 6) AS fishing_score, is_fishing FROM res")
 def rules_great_circle(t):
     return r6(classify(t, "great_circle").select(*ID, *_FLAGS, "is_fishing_pattern", "is_search_pattern", "fishing_score", "is_fishing"))
@@ -241,7 +257,7 @@ def direction_marks(t):
     return r6(K.every_kth(t).select(*ID, "nth", "arrow"))
 
 
-@query(f", g AS (SELECT trip_id, (t_us - lag(t_us) OVER {Q.W}) / 1e6 AS gap FROM tracks), c AS (SELECT trip_id, median(gap) FILTER (gap > 0) AS cadence_s FROM g GROUP BY trip_id) SELECT trip_id, round(cadence_s, 6) AS cadence_s, greatest(3, least(25, round_even(12.0 / cadence_s, 0)::INT)) AS local_rows, greatest(3, least(25, round_even(60.0 / cadence_s, 0)::INT)) AS shape_rows FROM c")
+@query(f", g AS (SELECT trip_id, t_us // 1000000 - lag(t_us // 1000000) OVER {Q.W} AS gap FROM tracks), c AS (SELECT trip_id, coalesce(median(gap) FILTER (gap > 0), 60.0) AS cadence_s FROM g GROUP BY trip_id) SELECT trip_id, round(cadence_s, 6) AS cadence_s, greatest(3, least(25, round_even(12.0 / cadence_s, 0)::INT)) AS local_rows, greatest(3, least(25, round_even(60.0 / cadence_s, 0)::INT)) AS shape_rows FROM c")
 def trip_cadence(t):
     return r6(K.cadence(t))
 
