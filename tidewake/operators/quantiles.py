@@ -15,7 +15,7 @@ ACCURACY = 2000
 #: Groups of so few rows have one bracket around all values.
 FEW = 4 * ACCURACY
 #: Ranges of values that are ranked in tasks of their own.
-RANGES = 256
+RANGES = 64
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tidewake-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
