@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from tidewake.llm import decontamination, jaccard_join, language_id, mixing, sharding
 from tidewake.llm.common import boxed, stored, table, unboxed
 
-#: A text goes if it has no letter, or if its language is less sure than this.
-LEAST_SCORE = 0.35
+#: A text goes if it has no letter, or if its best language is no surer than this many times an equal chance of all.
+LEAST_OVER_CHANCE = 1.05
 #: Part of all tokens that the mix takes, and how often it may take a row.
 MIX_FRACTION, MIX_EPOCHS = 0.9, 1
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, trained on the labelled rows of docs: rows without a letter or of unsure language go; null texts go."""
+    """Operator 5, trained on the labelled rows of docs: rows without a letter and rows whose language it can't tell at all go; null texts go."""
     model = language_id.learned(docs)
     told = language_id.identify(boxed(docs), model)
-    return unboxed(told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    least = LEAST_OVER_CHANCE / len(model.labels) if model and len(model.labels) > 1 else 0.0
+    return unboxed(told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)), docs.columns)
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
