@@ -196,7 +196,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), docs[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = size / 6 + 1
-    width = max(4, math.ceil((2 * math.log2(size + 2) - 4 + FINGERPRINT_BITS) / 8))  # two bytes a word at least; pairs are half the square
+    width = max(4, math.ceil((2 * math.log2(size + 2) - 3 + FINGERPRINT_BITS) / 8))  # two bytes a word at least; pairs are half the square
     buckets, chunks = max(1, math.ceil(windows / BUCKET)), _odd(size / CHUNK)
     packed = rows.mapInArrow(_map(window, width, buckets, chunks), _PACKED)
     found = packed.groupBy("kind", "key").applyInArrow(_count(width, chunks), _PACKED)
