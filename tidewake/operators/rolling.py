@@ -71,28 +71,27 @@ def adaptive_stats(df: DataFrame, window_minutes: float = 10.0, most: int = 25)
     return df.drop("around", "nth", "rows")
 
 
-def _shape_of(points: Column) -> tuple[Column, Column, Column]:
-    """(straightness, radius of gyration, sinuosity) of an array<struct<lat, lon>> in time order."""
-    n = F.size(points)
+def _shaped(df: DataFrame, points: str, names) -> DataFrame:
+    """Straightness, radius of gyration and sinuosity of the array<struct<lat, lon>> in `points`, in time order; a name of None is left out.
+
+    Path, chord and spread are columns first, so that none is worked out twice."""
+    at = F.col(points)
+    n = F.size(at)
     far = lambda a, b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
-    step = F.zip_with(F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))), far)
-    path = F.aggregate(step, F.lit(0.0), lambda a, x: a + x)
-    chord = far(F.get(points, F.lit(0)), F.get(points, n - 1))
-    mean = lambda c: F.aggregate(points[c], F.lit(0.0), lambda a, x: a + x) / n
-    center = F.struct(mean("lat").alias("lat"), mean("lon").alias("lon"))
-    spread = F.aggregate(F.transform(points, lambda p: F.pow(far(p, center), 2)), F.lit(0.0), lambda a, x: a + x) / n
-    straight = F.when((n < 2) | (path == 0), 1.0).otherwise(chord / F.when(path > 0, path))
-    winding = F.when((n < 2) | (chord <= 0.001), 1.0).otherwise(path / F.when(chord > 0.001, chord))
-    return straight, F.when(n < 2, 0.0).otherwise(F.sqrt(spread)), clip(winding, 1, 10)
+    rest = F.greatest(n - 1, F.lit(0))
+    mean = lambda c: F.aggregate(at[c], F.lit(0.0), lambda a, x: a + x) / n
+    df = df.withColumns({"_path": F.aggregate(F.zip_with(F.slice(at, 1, rest), F.slice(at, 2, rest), far), F.lit(0.0), lambda a, x: a + x), "_chord": far(F.get(at, F.lit(0)), F.get(at, n - 1)), "_center": F.struct(mean("lat").alias("lat"), mean("lon").alias("lon")), "_points": n})
+    spread = F.aggregate(at, F.lit(0.0), lambda a, p: a + F.pow(far(p, F.col("_center")), 2)) / n
+    path, chord, one = F.col("_path"), F.col("_chord"), F.col("_points") < 2
+    values = (F.when(one | (path == 0), 1.0).otherwise(chord / F.when(path > 0, path)), F.when(one, 0.0).otherwise(F.sqrt(spread)), F.when(one | (chord <= 0.001), 1.0).otherwise(path / F.when(chord > 0.001, chord)))
+    out = {name: clip(v, 1, 10) if i == 2 else v for i, (name, v) in enumerate(zip(names, values, strict=True)) if name}
+    return df.withColumns(out).drop("_path", "_chord", "_center", "_points")
 
 
 def shape(df: DataFrame, before: int = 7, after: int = 7, names=("straightness", "radius_gyration_km", "sinuosity")) -> DataFrame:
     """Trajectory shape in a frame of rows: chord over path, root mean square distance to the centroid, path over chord (1 to 10)."""
     at = F.collect_list(F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))).over(trip().rowsBetween(-before, after))
-    df = df.withColumn("_frame", at)
-    for name, value in zip(names, _shape_of(F.col("_frame")), strict=True):
-        df = df.withColumn(name, value) if name else df
-    return df.drop("_frame")
+    return _shaped(df.withColumn("_frame", at), "_frame", names).drop("_frame")
 
 
 def start_distance(df: DataFrame) -> DataFrame:
@@ -115,8 +114,8 @@ def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True) -> Da
     other = at.select("trip_id", "_cx", "_cy", F.col("t_us").alias("o_t"), F.col("event_id").alias("o_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"), F.col("_x").alias("o_x"), F.col("_y").alias("o_y"))
     far = F.sqrt(F.pow(F.col("_x") - F.col("o_x"), 2) + F.pow(F.col("_y") - F.col("o_y"), 2)) if planar else haversine_km(F.col("latitude"), F.col("longitude"), F.col("o_lat"), F.col("o_lon"))
     found = mine.join(other, ["trip_id", "_cx", "_cy"]).where(far <= radius_km).groupBy("trip_id", "event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("o_t").alias("t"), F.col("o_id").alias("id"), F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon")))).alias("_near"))
-    straight, gyration, winding = _shape_of(F.col("_near"))
-    found = found.select("trip_id", "event_id", F.size("_near").cast("long").alias("n_near"), straight.alias("straightness"), gyration.alias("radius_gyration_km"), winding.alias("sinuosity"))
+    names = ("straightness", "radius_gyration_km", "sinuosity")
+    found = _shaped(found, "_near", names).select("trip_id", "event_id", F.size("_near").cast("long").alias("n_near"), *names)
     return df.join(found, ["trip_id", "event_id"])
 
 
