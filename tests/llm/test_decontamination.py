@@ -45,3 +45,15 @@ def test_many_copies_and_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM), (2, other), (3, ITEM)], "item_id long, text string")
     out = find_copies(docs([ITEM + " and " + other] + [ITEM] * 100), bench).collect()
     assert [sorted(x.item_id for x in r.found) for r in out] == [[1, 2, 3]] + [[1, 3]] * 100  # frequent n-grams stay seeds
+
+
+def test_copies_in_more_documents_than_the_limit(spark, docs):
+    w = [f"w{i}" for i in range(40)]
+    edited = " ".join(f"edit{i}" if i % 5 == 4 else x for i, x in enumerate(w))  # unbroken: 8 of 37 n-grams
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    out = find_copies(docs([f"a b {edited} c"] * 40 + ["x y", " ".join(w[:4]) + " other words"]), bench).collect()
+    assert [[x.item_id for x in r.found] for r in out] == [[1]] * 40 + [[], []]
+    assert out[0].found[0].score == 0.7125 and (out[0].found[0].start, out[0].found[0].end) == (2, 41)
+    part = spark.createDataFrame([(1, " ".join(w[:32]))], "item_id long, text string")
+    out = find_copies(docs([" ".join(w[:32])] * 40 + ["q " + " ".join(w[15:32]) + " q"]), part).collect()
+    assert [len(r.found) for r in out] == [1] * 41  # the second half alone, all n-grams equally frequent

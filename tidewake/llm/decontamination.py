@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  Every SEED words in a row of an item
-are an n-gram; a pass over the corpus counts in how many documents each occurs.  An item's seeds are its rarer half and
-all others that no more than RARE documents (a part of all) have.  A second pass looks the seeds up in each document,
-and where some occur aligns the words around them with the item's.  The items go to the tasks in blocks of bounded size;
-each block is one more pass over the documents, and no document is shuffled.
+are an n-gram, and all n-grams of an item are its seeds; a pass over the corpus counts in how many documents each occurs.
+A second pass looks the seeds up in each document and aligns the words around those that occur with the item's.  Where no
+rare seed is among them (RARE documents at most have it, a part of all), the words that document and item share are counted
+first, and the alignment is left out if even all of them in order wouldn't be a copy.  The items go to the tasks in blocks of
+bounded size; each block is one more pass over the documents, and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -72,6 +73,7 @@ class Items:
         self.gram, self.item, self.offset = gram[order], item[order], offset[order]
         self.grams, self.begin = np.unique(self.gram, return_index=True)
         self.begin = np.append(self.begin, len(self.gram))
+        self.common = np.zeros(len(self.grams), bool)
         self.bits = np.zeros(_BITS, bool)
         self.bits[self.grams & np.uint64(_BITS - 1)] = True
 
@@ -88,24 +90,26 @@ class Items:
         return text[ok], (at - w.first[text])[ok], k[ok], h
 
     def rare(self, df: np.ndarray, limit: float) -> None:
-        """Keep each item's rarer half of n-grams, and all that at most `limit` documents have."""
-        n = df[np.searchsorted(self.grams, self.gram)]
-        order = np.lexsort((self.offset, n, self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        good = order[(rank < (size[self.item[order]] + 1) // 2) | (n[order] <= limit)]
-        self.keep(self.gram[good], self.item[good], self.offset[good])
+        """Mark the n-grams that more than `limit` documents have; they stay seeds."""
+        self.common = df > limit
+
+    def shared(self, i: int, words: np.ndarray) -> int:
+        """How many words of item i can have a word of their own among `words`: no alignment matches more."""
+        mine, n = np.unique(self.words[i], return_counts=True)
+        k = np.minimum(np.searchsorted(mine, words), len(mine) - 1)
+        return int(np.minimum(n, np.bincount(k[mine[k] == words], minlength=len(mine))).sum())
 
     def found(self, doc: np.ndarray, pos: np.ndarray, k: np.ndarray) -> list[dict]:
         """Items with a copy in the words `doc` around the hits at pos."""
         reps = self.begin[k + 1] - self.begin[k]
         entry = np.repeat(self.begin[k], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        pos, item, offset = np.repeat(pos, reps), self.item[entry], self.offset[entry]
+        pos, item, offset, common = np.repeat(pos, reps), self.item[entry], self.offset[entry], np.repeat(self.common[k], reps)
         out = []
         for i in np.unique(item):
             words, mine = self.words[i], item == i
-            p = np.sort(pos[mine])
-            begins = p - offset[mine][np.argsort(pos[mine], kind="stable")]
+            order = np.argsort(pos[mine], kind="stable")
+            p, often = pos[mine][order], common[mine][order]
+            begins = p - offset[mine][order]
             n, best = len(words), (0, 0, 0, 0)
             at = 0
             while at < len(p):  # one stretch of at most three items' length at a time
@@ -114,9 +118,10 @@ class Items:
                 to = at + int(gap[0]) + 1 if len(gap) else to
                 lo = max(0, int(begins[at:to].min()) - n // 2, int(p[at]) - 2 * n)
                 hi = min(len(doc), int(p[to - 1]) + SEED + n + n // 2)
-                score, end = align(words, doc[lo:hi])
-                if score > best[0]:
-                    best = (score, lo, lo + end, to - at)
+                if not often[at:to].all() or self.shared(i, doc[lo:hi]) >= THRESHOLD * n:
+                    score, end = align(words, doc[lo:hi])
+                    if score > best[0]:
+                        best = (score, lo, lo + end, to - at)
                 at = to
             if best[0] >= THRESHOLD * MATCH * n:
                 _, back = align(words[::-1], doc[best[1] : best[2]][::-1])
