@@ -77,6 +77,20 @@ def test_tree_against_all_pairs():
         assert J.block_links(sets, sizes, 75) == root
 
 
+def test_sets_left_out_when_the_largest_component_changes():
+    begins = [40, 30, 50, 10, 20, 0, 1, 70, 60, 80, 79, 78]  # windows of 70: linked up to 10 apart, so all in one chain
+    sets = [np.arange(b, b + 70).astype(np.uint64) for b in begins]
+    assert J.block_links(sets, np.full(12, 70), 75) == [0] * 12
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        begins = rng.integers(0, 150, 20)
+        sets = [np.arange(b, b + 70).astype(np.uint64) for b in begins]
+        near = np.sort(begins)
+        part = np.concatenate([[0], np.cumsum(np.diff(near) > 10)])
+        of = part[np.searchsorted(near, begins)]
+        assert J.block_links(sets, np.full(20, 70), 75) == [int(np.flatnonzero(of == x)[0]) for x in of]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (20, 21), (20, 22), (20, 23), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

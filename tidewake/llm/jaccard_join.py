@@ -261,6 +261,7 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int, part: n
 
     weight, todo, most = [1] * len(sets), list(range(len(sets))), 0
     order = sorted(todo, key=lambda i: -len(sets[i]))
+    unprobed: list[int] = []  # left out in earlier rounds too: another component may become the largest
     while order:
         kept = []
         for i in order:
@@ -275,7 +276,9 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int, part: n
                     weight[a] += weight[b]
             if weight[find(i)] > weight[find(most)]:
                 most = i
-        order = [i for i in kept if find(i) != find(most)]
+        now = set(order)
+        unprobed = [i for i in unprobed if i not in now] + kept
+        order = [i for i in unprobed if find(i) != find(most)]
     return [find(i) for i in range(len(sets))]
 
 
