@@ -30,6 +30,24 @@ def test_wrapped_blocks_rows_and_empty(docs, model):
     assert L.scan(docs(["x"]).limit(0), model).count() == 0
 
 
+def wrapped_in(text, k):
+    w = text.split()
+    n = -(-len(w) // k)
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_wrapped_notices_without_blank_lines(docs, model):
+    families = ["mit", "bsd", "gpl", "lgpl", "agpl", "public-domain"]
+    alone = [(f, wrapped_in(L.TEMPLATES[f][0], k)) for f in families for k in (2, 3, 4, 5)]
+    story = [L.ORDINARY[i % len(L.ORDINARY)] for i in range(120)]
+    cases = [(f, head + tail) for f, head in alone for tail in ("", "\n" + "\n".join(story[:5]), "\n" + "\n".join(story))]
+    cases += [(None, "\n".join(story))]
+    out = {r.doc_id: r for r in L.scan(docs([t for _, t in cases]), model).collect()}
+    assert [i for i, (f, _) in enumerate(cases) if f and f not in out[i].families] == []
+    assert out[len(cases) - 1].families == []
+    assert out[0].n_units == 1  # one notice is one, though line, block and window may see it
+
+
 def test_features_are_template_grams(spark):
     assert all(not L.STOP.issuperset(g.split()) for g in L.VOCABULARY)
     row = spark.createDataFrame([("Licensed under the MIT-License!",)], "t string").select(L._features(L.words(L.F.col("t"))).alias("g")).first()

@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-Units are the lines of a text and, where it has blank lines, the blocks of several lines between them.  A multinomial
+Units are the lines of a text and its blocks of several lines: all between blank lines, or the whole text if it has none.
+Of a block over WINDOW lines each WINDOW lines are units too, half overlapping, so that a wrapped notice isn't lost in a long
+text.  A multinomial
 logistic regression with an L1 penalty over word 1- and 2-grams tells the licence families and `none`; it is trained on
 variations of the templates below and on units of a bounded sample of the corpus.  Its scores are tempered on variations
 that training doesn't see; below UNKNOWN_BELOW, and where no template of the predicted family is contained in the unit,
@@ -44,6 +46,8 @@ ORDINARY = [
 STOP = frozenset("a an and any are as at be by for from in is it its of on one or than that the this to under was were with you your not if may no all".split())
 #: Documents whose units serve as examples of `none`, expected; probability and template part that a family needs.
 NEGATIVE_DOCS, UNKNOWN_BELOW, CONTAINED = 400, 0.5, 0.7
+#: Lines of a unit in a long block; wrapped notices of up to WINDOW / 2 + 1 lines are whole in one of them.
+WINDOW = 8
 NONE = "none"
 
 
@@ -94,11 +98,19 @@ def examples() -> list[dict]:
 
 
 def units(text: Column) -> Column:
-    """The lines of the text that aren't blank, and its blocks of several lines if it has blank lines."""
-    blank = r"\n[\x20\x09\x0D]*\n"
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    blocks = F.filter(F.split(text, blank, -1), lambda x: F.trim(x).contains("\n"))
-    return F.when(text.rlike(blank), F.concat(lines, blocks)).otherwise(lines)
+    """array<struct<block, wide, text>>: the lines of the text that aren't blank, its blocks of several lines and, of long ones, windows."""
+    full = lambda x: F.trim(x) != ""
+    split = lambda x: F.filter(F.split(x, "\n", -1), full)
+    blocks = F.transform(F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n", -1), full), split)
+
+    def cut(lines: Column, n: Column) -> Column:  # lines: a lambda's variable, so they are split once only
+        made = lambda wide, x: F.struct(n.alias("block"), F.lit(wide).alias("wide"), x.alias("text"))
+        steps = F.when(F.size(lines) > WINDOW, F.sequence(F.lit(1), F.size(lines) - WINDOW // 2, F.lit(WINDOW // 2))).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(steps, lambda i: made(True, F.array_join(F.slice(lines, i, WINDOW), "\n")))
+        whole = F.filter(F.array(made(True, F.array_join(lines, "\n"))), lambda x: F.size(lines) > 1)
+        return F.concat(F.transform(lines, lambda x: made(False, x)), whole, windows)
+
+    return F.flatten(F.transform(blocks, cut))
 
 
 def _is_key(w: Column) -> Column:
@@ -126,7 +138,7 @@ def train(docs: DataFrame) -> Model:
     made = inline_rows(spark, [{"y": float(code[r["label"]]), "text": r["text"], "fold": r["fold"]} for r in examples()], "y double, text string, fold int")
     n = max(1, docs.count())
     spot = F.pmod(F.xxhash64(F.lit("none"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    other = docs.where("text is not null").where(spot < NEGATIVE_DOCS / n).select(F.explode(units(F.col("text"))).alias("text"))
+    other = docs.where("text is not null").where(spot < NEGATIVE_DOCS / n).select(F.explode(units(F.col("text"))["text"]).alias("text"))
     found = F.greatest(*[_contained(words(F.col("text")), F.lit(f)) for f in TEMPLATES])
     other = other.where(_is_key(words(F.col("text")))).where(found < CONTAINED / 2).select(F.lit(0.0).alias("y"), "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).cast("int").alias("fold")).orderBy("text").limit(20 * NEGATIVE_DOCS)
     cells = CountVectorizerModel.from_vocabulary(VOCABULARY, "grams", "cells").setBinary(True)
@@ -148,18 +160,24 @@ def train(docs: DataFrame) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, families (sorted), n_units (confirmed units), n_unknown (licence-like units of no known family), evidence (array<struct<unit, family, probability, contained>>).
+    """One row per row of docs: doc_id, families (sorted), n_units (confirmed lines, and families of blocks that none of their lines has), n_unknown (licence-like lines of no known family, and such blocks without a licence-like line), evidence (array<struct<unit, family, probability, contained>>).
 
     A null, empty or blank text has no units.  Rows don't depend on each other; a table without rows gives none.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    some = F.when(_is_key(F.split(F.lower("text"), "[^a-z0-9]+", -1)), F.filter(units(F.col("text")), lambda u: _is_key(F.split(F.lower(u), "[^a-z0-9]+", -1))))
-    flat = rows.select("rid", "doc_id", F.posexplode_outer(some).alias("unit", "text")).withColumn("words", F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
+    some = F.when(_is_key(F.split(F.lower("text"), "[^a-z0-9]+", -1)), F.filter(units(F.col("text")), lambda u: _is_key(F.split(F.lower(u["text"]), "[^a-z0-9]+", -1))))
+    flat = rows.select("rid", "doc_id", F.posexplode_outer(some).alias("unit", "u")).select("rid", "doc_id", "unit", "u.*").withColumn("words", F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
     told = model.score(flat).withColumn("contained", _contained(F.col("words"), F.col("likely")))
     is_licence = F.col("text").isNotNull() & (F.col("likely") != NONE)
     sure = is_licence & (F.col("probability") >= UNKNOWN_BELOW) & (F.col("contained") >= CONTAINED)
     seen = F.when(is_licence, F.struct("unit", F.when(sure, F.col("likely")).otherwise(F.lit("unknown")).alias("family"), "probability", "contained"))
-    out = told.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_set(F.when(sure, F.col("likely")))).alias("families"), F.count_if(sure).alias("n_units"), F.count_if(is_licence & ~sure).alias("n_unknown"), F.array_sort(F.collect_list(seen)).alias("evidence"))
+    of = lambda test, x: F.collect_set(F.when(test, x))
+    place = F.struct("block", "likely")
+    line, wide = ~F.col("wide"), F.col("wide")
+    blocks = F.size(F.array_except(of(sure & wide, place), of(sure & line, place)))
+    vague = F.size(F.array_except(of(is_licence & ~sure & wide, F.col("block")), of(is_licence & (line | sure), F.col("block"))))
+    n_units, n_unknown = F.count_if(sure & line) + blocks, F.count_if(is_licence & ~sure & line) + vague
+    out = told.groupBy("rid", "doc_id").agg(F.array_sort(of(sure, F.col("likely"))).alias("families"), n_units.alias("n_units"), n_unknown.alias("n_unknown"), F.array_sort(F.collect_list(seen)).alias("evidence"))
     return out.drop("rid")
 
 
