@@ -189,3 +189,16 @@ def test_shore(spark, tmp_path):
         S.add_shore_filtering(df, "wio", method="other")
     near = rows(S.harbor_filter(df.withColumn("s", F.lit(1.0)), [(0.2, 0.2)], 1.0, 60.0, score="s"), "is_near_shore", "is_fishing_filtered", "shore_score")
     assert near[0] == (1, 0, None) and near[1][0] == 0 and 0 < near[1][2] < 1
+
+
+def test_joined_coast_gives_distances_however_far(spark, monkeypatch):
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-9, 3), rng.uniform(36, 45)) for i in range(60)] + [(60, 80.0, -170.0), (61, -0.1, 40.0)]
+    df = trip(spark, points).withColumn("is_fishing", F.lit(1))
+    edges = [(x, y, x + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.3, 0.3)) for x, y in ((rng.uniform(38, 41), rng.uniform(-7, -4)) for _ in range(25))]
+    coast = spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")
+    want = rows(S.coast_filter(df, coast, coast), "event_id", "dist_to_shore_km", "is_on_land", "is_fishing_filtered")
+    monkeypatch.setattr(S, "SMALL", 10)
+    got = rows(S.coast_filter(df, coast, coast), "event_id", "dist_to_shore_km", "is_on_land", "is_fishing_filtered")
+    assert [x[1] for x in got] == pytest.approx([x[1] for x in want])
+    assert [(x[0], *x[2:]) for x in got] == [(x[0], *x[2:]) for x in want]

@@ -1,10 +1,12 @@
 """Harbour, coastline and land filters.
 
 Reference points and coastline segments come to the points in two ways: few of them (counted, at most SMALL) as literals
-of one expression; more through a grid join in which a segment is stored in every cell that it can be the nearest in."""
+of one expression; more through joins of grids, from min_km wide to the whole earth, with the same distances."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,14 +127,13 @@ def coast_filter(df: DataFrame, coast: DataFrame, land: DataFrame | None = None,
 
 
 def _joined(df: DataFrame, coast: DataFrame, land: DataFrame | None, measured: Column, min_km: float) -> DataFrame:
-    """Distances up to min_km through a grid of cells of that width, larger ones read FAR_KM; land by latitude bands."""
+    """The same distances as coast_km() through nested grids; land by latitude bands."""
     size = min_km / DEGREE_KM
     cell = lambda c: F.floor(c / size).cast("long")
-    span = lambda a, b: F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1)
-    cells = coast.select("x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("_cx")).withColumn("_cy", F.explode(span("y1", "y2")))
-    at = df.where(measured).select("trip_id", "event_id", "latitude", "longitude").withColumns({"_cx": cell(F.col("longitude")), "_cy": cell(F.col("latitude"))})
-    near = at.join(cells, ["_cx", "_cy"]).groupBy("trip_id", "event_id").agg((F.min(segment_distance(F.col("longitude"), F.col("latitude"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))) * DEGREE_KM).alias("_far"))
-    out = df.join(near, ["trip_id", "event_id"], "left").withColumn("dist_to_shore_km", F.coalesce("_far", F.lit(FAR_KM))).drop("_far")
+    at = df.where(measured).select("trip_id", "event_id", "latitude", "longitude").withColumn("_cy", cell(F.col("latitude")))
+    near = _nearest(at.drop("_cy"), coast, size)
+    blank = F.when(measured & (F.col("latitude").isNull() | F.col("longitude").isNull()), F.lit(None)).otherwise(FAR_KM)
+    out = df.join(near, ["trip_id", "event_id"], "left").withColumn("dist_to_shore_km", F.coalesce("_far", blank)).drop("_far")
     if land is None:
         return out.withColumn("is_on_land", F.lit(False))
     bands = land.select("x1", "y1", "x2", "y2", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))).alias("_cy"))
@@ -143,6 +144,28 @@ def _joined(df: DataFrame, coast: DataFrame, land: DataFrame | None, measured: C
     return out.join(inside, ["trip_id", "event_id"], "left").withColumn("is_on_land", F.coalesce("is_on_land", F.lit(False)))
 
 
+def _nearest(at: DataFrame, coast: DataFrame, size: float) -> DataFrame:
+    """trip_id, event_id, _far: the distance to the nearest segment, however far.
+
+    Level k has cells of size * 2**k; at the last one all is within a cell of all else.  A segment's end in a cell next to
+    the point's bounds the distance; the segments near the point at the first level as wide as that bound hold the nearest."""
+    top = math.ceil(math.log2(540 / size))
+    level = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
+    cell = lambda c: F.floor(c / (size * F.pow(F.lit(2.0), F.col("_k")))).cast("long")
+    around = lambda a, b: F.explode(F.sequence(cell(a) - 1, cell(b) + 1))
+    x, y = F.col("longitude"), F.col("latitude")
+    ends = coast.select("x1", "y1").union(coast.select("x2", "y2")).toDF("ex", "ey").select("ex", "ey", level)
+    ends = ends.groupBy(cell(F.col("ex")).alias("cx"), cell(F.col("ey")).alias("cy"), "_k").agg(F.min(F.struct("ex", "ey")).alias("e"))
+    ends = ends.select("_k", "e.*", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("_cx"), "cy").withColumn("_cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).drop("cy")
+    place = {"_cx": cell(x), "_cy": cell(y)}
+    seen = at.select("*", level).withColumns(place).join(ends, ["_k", "_cx", "_cy"])
+    bound = seen.groupBy("trip_id", "event_id", "latitude", "longitude").agg((F.min(F.sqrt(F.pow(x - F.col("ex"), 2) + F.pow(y - F.col("ey"), 2))) * (1 + 1e-9)).alias("_most"))
+    wide = F.ceil(F.log2(F.greatest(F.col("_most") / size, F.lit(1.0))) + 1e-9)
+    points = bound.withColumn("_k", F.least(wide, F.lit(top)).cast("int")).withColumns(place)
+    cells = coast.select("x1", "y1", "x2", "y2", level).withColumn("_cx", around(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("_cy", around(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    return points.join(cells, ["_k", "_cx", "_cy"]).groupBy("trip_id", "event_id").agg((F.min(segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))) * DEGREE_KM).alias("_far"))
+
+
 def raster(spark, box: tuple[float, float, float, float], places: list[tuple[float, float]], step: float = 0.01) -> DataFrame:
     """i, j, km: the distance of each grid node of the box to the nearest place."""
     a, b, c, d = box
