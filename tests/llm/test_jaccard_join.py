@@ -97,3 +97,35 @@ def test_components(spark):
     want = {i: 1 for i in (2, 3, 4, 5)} | {8: 7, 9: 7} | {i: 20 for i in (21, 22, 23)} | {i: 100 for i in range(101, 141)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_of_shared_passages_without_links_stay_linear(spark, monkeypatch):
+    """Sets of 8 passages of 40 shingles each, out of a pool: all in one component of candidates, none linked."""
+    import pyarrow as pa
+
+    def sent(percent):
+        return lambda t: pa.table({"a": pa.array([sum(len(g) // 8 for g in t.column("grams").to_pylist())], pa.int64()), "b": pa.array([0], pa.int64())})
+
+    real, cost = J._verify, {}
+    for n in (200, 800):
+        rng = random.Random(3)
+        rows = []
+        for key in range(n):
+            grams = sorted(p * 40 + i for p in rng.sample(range(n // 2), 8) for i in range(40))
+            rows.append((key, 320, np.array(grams, np.uint64).tobytes(), grams[: J.prefix_size(320, 75)]))
+        reps = spark.createDataFrame(rows, "key long, n long, grams binary, prefix array<long>")
+        monkeypatch.setattr(J, "_verify", sent)
+        cost[n] = J._links(reps, 75, 8000).agg({"a": "sum"}).first()[0] / (320 * n)
+        monkeypatch.setattr(J, "_verify", real)
+        assert J._links(reps, 75, 8000).count() == 0
+    assert cost[800] < 1.3 * cost[200] < 6
+
+
+def test_a_frequent_shingle_of_few_long_texts_is_found():
+    import pyarrow as pa
+
+    texts = [" ".join(f"t{i}w{j}" for j in range(3000)) + (" a b c d e" if i % 20 == 0 else "") for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    out = [dict(zip(b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True)) for b in J._frequent(5)(iter([batch]))]
+    want = int(J.sets_of(J.Words(pa.array(["a b c d e"])), 5)[0].view(np.int64)[0])
+    assert sum(x.get(want, 0) for x in out) == 10

@@ -51,6 +51,26 @@ def test_ids_and_empty(docs):
     assert [r.n_words for r in S.substring_dedup(docs([None, ""])).collect()] == [0, 0]
 
 
+def test_null_ids_are_told_apart(docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(25)) for x in "ab")
+    out = S.substring_dedup(docs([(None, a), (None, b), (None, a + " " + b), (7, b + " end")])).collect()
+    none = sorted(r.n_removed for r in out if r.doc_id is None)
+    assert sum(none) in (25, 50) and sum(r.n_words - r.n_removed for r in out) == 51  # each passage stays once
+
+
+def test_confused_windows_remove_nothing_else(docs, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_BYTES", 1)
+    monkeypatch.setattr(S, "FINGERPRINT_BITS", -200)  # one byte: most windows are taken for others
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(60)) for _ in range(60)]
+    texts += [texts[i] for i in range(0, 60, 3)]
+    got = S.substring_dedup(docs(texts), window=5).collect()
+    want = brute(list(enumerate(texts)), 5)
+    for r in got:
+        assert r.n_removed in (0, want[r.doc_id][1]) or r.n_removed < want[r.doc_id][1]
+    assert all(r.n_removed == 0 for r in got if r.doc_id < 60)
+
+
 def test_packing():
     import numpy as np
 

@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  Every SEED words in a row of an item
-are an n-gram, and all n-grams of an item are its seeds; a pass over the corpus counts in how many documents each occurs.
-A second pass looks the seeds up in each document and aligns the words around those that occur with the item's.  Where no
-rare seed is among them (RARE documents at most have it, a part of all), the words that document and item share are counted
-first, and the alignment is left out if even all of them in order wouldn't be a copy.  The items go to the tasks in blocks of
-bounded size; each block is one more pass over the documents, and no document is shuffled.
+Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  An item's seeds are its n-grams of
+LONG words, all of them, and those of SHORT words that are rare: a pass over the corpus counts in how many documents each
+n-gram of the items occurs, and RARE of them at most (a part of all) have a rare one.  A second pass looks the seeds up in
+each document and aligns the words around those that occur with the item's.  Where no rare seed is among them, the words
+that document and item share are counted first, and the alignment is left out if even all of them in order wouldn't be a
+copy.  An item of under MIN_WORDS words must be there word for word, one of under LONG words must be all of the text.  The
+items go to the tasks in blocks of bounded size; each block is one more pass over the documents, and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import PLAIN, Words, sliced
 
-SEED, MIN_WORDS = 4, 8
+#: Words of a seed, and of the shortest item whose edited copies count.
+LONG, SHORT, MIN_WORDS = 3, 2, 8
 RARE, RARE_AT_LEAST = 0.001, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least part of an item's best possible alignment score that counts as a copy.
@@ -53,45 +55,70 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+class Seeds:
+    """n-gram hashes of one length, each with its number among all seeds of the block."""
+
+    def __init__(self, size: int, grams: np.ndarray, number: np.ndarray):
+        self.size, self.grams, self.number = size, grams, number
+        self.bits = np.zeros(_BITS, bool)
+        self.bits[grams & np.uint64(_BITS - 1)] = True
+
+    def hits(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number) of each of the texts' n-grams that is among ours."""
+        g = w.windows(h, self.size)
+        at = np.flatnonzero(self.bits[g & np.uint64(_BITS - 1)])
+        if not len(at) or not len(self.grams):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        ok = self.grams[k] == g[at]
+        at, k = at[ok], k[ok]
+        ok = at + self.size <= w.first[np.searchsorted(w.first, at, "right")]
+        return at[ok], self.number[k[ok]]
+
+
 class Items:
     """A block of items: their words, and a lookup from n-gram hash to (item, offset)."""
 
     def __init__(self, rows: list):
         w = folded(pa.array([r.text for r in rows], pa.string()))
         h = w.hashes()
-        long_enough = np.flatnonzero(w.count >= MIN_WORDS)
+        long_enough = np.flatnonzero(w.count >= LONG)
         self.ids = [rows[i].item_id for i in long_enough]
         self.words = [h[w.first[i] : w.first[i + 1]] for i in long_enough]
-        grams = w.windows(h, SEED)
-        item = np.concatenate([np.zeros(0, int), *(np.full(w.count[i] - SEED + 1, k) for k, i in enumerate(long_enough))])
-        at = np.concatenate([np.zeros(0, int), *(np.arange(w.first[i], w.first[i + 1] - SEED + 1) for i in long_enough)])
-        offset = at - np.concatenate([np.zeros(0, int), *(np.full(w.count[i] - SEED + 1, w.first[i]) for i in long_enough)])
-        self.keep(grams[at], item, offset)
-
-    def keep(self, gram: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
-        order = np.lexsort((offset, item, gram))
-        self.gram, self.item, self.offset = gram[order], item[order], offset[order]
-        self.grams, self.begin = np.unique(self.gram, return_index=True)
-        self.begin = np.append(self.begin, len(self.gram))
-        self.common = np.zeros(len(self.grams), bool)
-        self.bits = np.zeros(_BITS, bool)
-        self.bits[self.grams & np.uint64(_BITS - 1)] = True
+        self.tiny: dict[bytes, list] = {}
+        for i in np.flatnonzero((w.count > 0) & (w.count < LONG)):
+            self.tiny.setdefault(h[w.first[i] : w.first[i + 1]].tobytes(), []).append(rows[i].item_id)
+        self.seeds, self.item, self.offset, begin, n = [], [], [], [], 0
+        for size in (LONG, SHORT):
+            item = np.concatenate([np.zeros(0, int), *(np.full(w.count[i] - size + 1, k) for k, i in enumerate(long_enough))])
+            offset = np.concatenate([np.zeros(0, int), *(np.arange(w.count[i] - size + 1) for i in long_enough)])
+            gram = w.windows(h, size)[w.first[long_enough][item] + offset] if len(item) else np.zeros(0, np.uint64)
+            order = np.lexsort((offset, item, gram))
+            grams, first = np.unique(gram[order], return_index=True)
+            begin.append(first + sum(map(len, self.item)))
+            self.item.append(item[order])
+            self.offset.append(offset[order])
+            self.seeds.append(Seeds(size, grams, np.arange(len(grams)) + n))
+            n += len(grams)
+        self.item, self.offset = np.concatenate(self.item), np.concatenate(self.offset)
+        self.begin = np.append(np.concatenate(begin), len(self.item))
+        self.common = np.zeros(n, bool)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, word in the text, n-gram's number) of each n-gram of the texts that is among ours, and all word hashes."""
         h = w.hashes()
-        g = w.windows(h, SEED)
-        at = np.flatnonzero(self.bits[g & np.uint64(_BITS - 1)])
-        k = np.searchsorted(self.grams, g[at])
-        ok = (k < len(self.grams)) & (self.grams[np.minimum(k, max(0, len(self.grams) - 1))] == g[at]) if len(self.grams) else np.zeros(len(at), bool)
-        at, k = at[ok], k[ok]
+        at, k = map(np.concatenate, zip(*(s.hits(w, h) for s in self.seeds), strict=True))
+        order = np.argsort(at, kind="stable")
+        at, k = at[order], k[order]
         text = np.searchsorted(w.first, at, "right") - 1
-        ok = at + SEED <= w.first[text + 1]
-        return text[ok], (at - w.first[text])[ok], k[ok], h
+        return text, at - w.first[text], k, h
 
     def rare(self, df: np.ndarray, limit: float) -> None:
-        """Mark the n-grams that more than `limit` documents have; they stay seeds."""
+        """Tell the n-grams that more than `limit` documents have: long ones stay seeds, short ones don't."""
         self.common = df > limit
+        short = self.seeds[1]
+        stay = ~self.common[short.number]
+        self.seeds[1] = Seeds(SHORT, short.grams[stay], short.number[stay])
 
     def shared(self, i: int, words: np.ndarray) -> int:
         """How many words of item i can have a word of their own among `words`: no alignment matches more."""
@@ -107,6 +134,7 @@ class Items:
         out = []
         for i in np.unique(item):
             words, mine = self.words[i], item == i
+            least = (THRESHOLD if len(words) >= MIN_WORDS else 1.0) * len(words)
             order = np.argsort(pos[mine], kind="stable")
             p, often = pos[mine][order], common[mine][order]
             begins = p - offset[mine][order]
@@ -117,13 +145,13 @@ class Items:
                 gap = np.flatnonzero(np.diff(p[at:to]) > n)
                 to = at + int(gap[0]) + 1 if len(gap) else to
                 lo = max(0, int(begins[at:to].min()) - n // 2, int(p[at]) - 2 * n)
-                hi = min(len(doc), int(p[to - 1]) + SEED + n + n // 2)
-                if not often[at:to].all() or self.shared(i, doc[lo:hi]) >= THRESHOLD * n:
+                hi = min(len(doc), int(p[to - 1]) + LONG + n + n // 2)
+                if not often[at:to].all() or self.shared(i, doc[lo:hi]) >= least:
                     score, end = align(words, doc[lo:hi])
                     if score > best[0]:
                         best = (score, lo, lo + end, to - at)
                 at = to
-            if best[0] >= THRESHOLD * MATCH * n:
+            if best[0] >= MATCH * least:
                 _, back = align(words[::-1], doc[best[1] : best[2]][::-1])
                 out.append({"item_id": self.ids[i], "score": best[0] / (MATCH * n), "start": best[2] - back, "end": best[2], "seeds": best[3]})
         return out
@@ -132,10 +160,10 @@ class Items:
 def _frequencies(shared):
     def run(batches):
         items: Items = shared.value
-        seen, n = np.zeros(len(items.grams), np.int64), 0
+        seen, n = np.zeros(len(items.common), np.int64), 0
         for t in sliced(batches, 2 << 20):
             text, _, k, _ = items.hits(folded(t.column("text").combine_chunks()))
-            seen += np.bincount(np.unique(text * max(1, len(items.grams)) + k) % max(1, len(items.grams)), minlength=len(items.grams))[: len(seen)]
+            seen += np.bincount(np.unique(text * max(1, len(seen)) + k) % max(1, len(seen)), minlength=len(seen))[: len(seen)]
             n += t.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], n), pa.int64())], names=["k", "n"])
@@ -151,6 +179,10 @@ def _search(shared):
             text, pos, k, h = items.hits(w)
             found = t.column("found").to_pylist()
             edges = np.searchsorted(text, np.arange(t.num_rows + 1))
+            if items.tiny:
+                for d in np.flatnonzero((w.count > 0) & (w.count < LONG)):
+                    ids = items.tiny.get(h[w.first[d] : w.first[d + 1]].tobytes(), [])
+                    found[d] = (found[d] or []) + [{"item_id": i, "score": 1.0, "start": 0, "end": int(w.count[d]), "seeds": 1} for i in ids]
             for d in np.flatnonzero(np.diff(edges)):
                 a, b = edges[d], edges[d + 1]
                 found[d] = (found[d] or []) + items.found(h[w.first[d] : w.first[d + 1]], pos[a:b], k[a:b])
@@ -160,14 +192,16 @@ def _search(shared):
 
 
 def find_copies(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """texts: any columns and `text` -> all of them and found: the items with a copy in the text (item_id, score, start, end, seeds), best first.
+    """texts: any columns and `text` -> all of them and found: the items with a copy in the text (item_id, score, start, end, seeds), best first, of equal scores the least item_id.
 
-    start and end count folded words; score is the alignment's part of the best possible.  Null texts, and items that are
-    null or have fewer than MIN_WORDS words (too few to tell from ordinary text), match nothing.  Rows of texts don't
-    depend on each other but for the n-grams' counts; rows of benchmark with equal item_id count as items of their own.
+    start and end count folded words; score is the alignment's part of the best possible.  A column found of texts is
+    replaced.  Null texts, and items that are null or without words, match nothing; of an item's equally good places the first
+    is told.  Rows of texts don't depend on each other but for the n-grams' counts, so repeated rows get equal results; rows of
+    benchmark with equal item_id count as items of their own unless their texts are equal too.  Empty tables: no rows, or nothing found.  A text is searched
+    whole, around its seeds.
     """
     spark = texts.sparkSession
-    bench = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    bench = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / ITEM_BYTES))
     out = texts.withColumn("found", F.expr(f"cast(array() as {_FOUND})"))
@@ -175,7 +209,7 @@ def find_copies(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())  # about ITEM_BYTES
         every = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(items)), "k long, n long")
         counts = {r.k: r.n for r in every.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row for each n-gram of the block at most
-        df = np.array([counts.get(k, 0) for k in range(len(items.grams))], np.int64)
+        df = np.array([counts.get(k, 0) for k in range(len(items.common))], np.int64)
         items.rare(df, RARE * counts.get(-1, 0) + RARE_AT_LEAST)
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(items)), out.schema)
     best = F.expr("array_sort(found, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.item_id < b.item_id then -1 when a.item_id > b.item_id then 1 else 0 end)")

@@ -59,13 +59,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty.  Of equal texts the row with the largest id stays; null ids are the smallest; of
     rows equal in id and text one stays.  Other columns of docs are not looked at.  An empty table gives no rows.
-    capacity: bytes of text that a bucket, and so an owner task, holds.
+    capacity: bytes of text that a bucket, and so an owner task, holds; of large inputs it holds twice a 2**max_depth-th,
+    so that buckets of ordinary texts are never paged and owners stay fewer than 2**max_depth, and its task sorts on disk.
+    Pages are dealt by id: copies of one text in which very many rows also have one id (or none) share a page.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     size = F.octet_length("text") + 16
     slot = F.shiftrightunsigned("h", 64 - max_depth)
     found = rows.groupBy(slot.alias("p")).agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()  # at most 2**max_depth
+    capacity = max(capacity, 2 * sum(r.b for r in found) >> max_depth)
     buckets = build_directory({r.p: (r.n, r.b) for r in found}, capacity, max_depth)
     depth = max(b["depth"] for b in buckets)
     entries = [{"slot": s, "bucket": i, "depth": b["depth"], "unit0": b["unit"], "pages": b["pages"]} for i, b in enumerate(buckets) for s in range(b["prefix"] << (depth - b["depth"]), (b["prefix"] + 1) << (depth - b["depth"]))]

@@ -9,7 +9,8 @@
    the tree from the root: a node's overlap is counted once for all sets below it, and a subtree is left when its overlap
    and all that can still follow don't reach what its shortest set needs.  Sets known to be connected aren't told apart:
    all sets but those of the block's largest component are matched, so no link between components is missed.
-   Blocks over BLOCK_TOKENS are cut in parts, and each pair of parts is matched in a task of its own.
+   Blocks over BLOCK_TOKENS are taken apart: into the groups of sets that share a prefix shingle (groups of the same sets
+   are one), or into parts of which each pair is matched in a task of its own, whichever sends fewer shingles.
 4. The links' components give the classes of documents.
 """
 
@@ -31,6 +32,10 @@ from .words import LOWER, Words, mixed, sliced
 SHINGLE, PERCENT = 5, 75
 #: Shingles of a bucket, bytes of texts of a chunk and of a map block, shingles of a block's part and of a task's blocks.
 BUCKET, CHUNK, BLOCK, BLOCK_TOKENS = 2_000_000, 24 << 20, 3 << 20, 1_500_000
+#: Map blocks and buckets grow together, up to GROWTH times, from STEADY buckets on, so that blocks have several shingles for each bucket.
+STEADY, GROWTH = 4_000, 16
+#: Shingles that are counted together when frequent ones are looked for.
+COUNTED = 2_000_000
 #: A shingle is frequent if more than this part of all texts have it (at least FREQUENT_AT_LEAST texts).
 FREQUENT, FREQUENT_AT_LEAST, FREQUENT_MOST = 0.001, 50, 500_000
 
@@ -86,22 +91,39 @@ def _runs(key: np.ndarray):
     return [(int(key[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(key) else []
 
 
+def grown(buckets: float) -> float:
+    """How many times larger blocks and buckets are, for so many buckets of usual size."""
+    return min(GROWTH, max(1.0, math.sqrt(buckets / STEADY)))
+
+
 def _frequent(k: int):
+    """Shingles of at least half of FREQUENT's part of the texts counted together, of two texts at least; so a shingle in
+    FREQUENT of all texts has half its count or more, or is less than two in COUNTED of all shingles."""
+
+    def counted(held: list[np.ndarray], texts: int):
+        g, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        at = n >= max(2, texts * FREQUENT / 2)
+        return pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["g", "n"])
+
     def run(batches):
+        held, texts, size = [], 0, 0
         for t in sliced(batches, BLOCK):
-            g, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_of(Words(t.column("text"), LOWER), k)]), return_counts=True)
-            at = n >= max(5, t.num_rows * FREQUENT / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["g", "n"])
+            held += sets_of(Words(t.column("text"), LOWER), k)
+            texts, size = texts + t.num_rows, size + sum(map(len, held[len(held) - t.num_rows :]))
+            if size > COUNTED:
+                yield counted(held, texts)
+                held, texts, size = [], 0, 0
+        yield counted(held, texts)
 
     return run
 
 
-def _shingle(k: int, buckets: int, chunks: int, frequent):
+def _shingle(k: int, block: int, buckets: int, chunks: int, frequent):
     def run(batches):
         often: np.ndarray = frequent.value
         bits = np.zeros(1 << 20, bool)
         bits[often & np.uint64((1 << 20) - 1)] = True
-        for t in sliced(batches, BLOCK):
+        for t in sliced(batches, block):
             key, th = (np.asarray(t.column(c).combine_chunks(), np.int64) for c in ("key", "th"))
             sets = sets_of(Words(t.column("text"), LOWER), k)
             n = np.array([len(s) for s in sets], np.int64)
@@ -301,6 +323,41 @@ def _verify(percent: int):
     return run
 
 
+def _links(reps: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """a, b: links (or pairs known to be connected by links) that connect what all links between the classes connect."""
+    tokens = F.octet_length("grams") / 8
+    postings = reps.select("key", tokens.alias("tokens"), F.explode("prefix").alias("gram"))
+    by_gram = postings.groupBy("gram").agg(F.min("key").alias("hub"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum("tokens").alias("t"))
+    hubs = stored(by_gram.where("c > 1"), "jaccard-hubs")
+    # a shingle's sets meet at its first one: a short list of pairs that connects them
+    pairs = postings.join(hubs.select("gram", "hub"), "gram").where("key <> hub")
+    found = components(pairs.select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    nodes = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "key")
+    blocks = stored(nodes.join(reps.select("key", tokens.alias("tokens")), "key"), "jaccard-blocks")
+    sizes = blocks.groupBy("root").agg(F.sum("tokens").alias("t"))
+    large = stored(sizes.where(F.col("t") > block_tokens).withColumn("parts", F.ceil(F.col("t") / block_tokens)), "jaccard-large")
+    home = blocks.select("key", F.xxhash64(F.lit(0), "root").alias("block"))
+    if large.limit(1).count():
+        groups = hubs.join(blocks.select(F.col("key").alias("hub"), "root").join(large, "root").select("hub", "root", "parts"), "hub")
+        groups = groups.groupBy("root", "parts", "hub", "c", "x").agg(F.min("gram").alias("gram"), F.min("t").alias("t"))  # of one membership one
+        cost = groups.groupBy("root").agg(F.sum(F.col("t") * F.ceil(F.col("t") / block_tokens)).alias("cost"))
+        apart = stored(large.join(cost, "root").where(F.col("cost") < F.col("t") * F.col("parts")).select("root"), "jaccard-apart")
+        groups = stored(groups.join(apart, "root", "left_semi").select("gram"), "jaccard-groups")
+        home = blocks.join(apart, "root", "left_anti").select("key", F.xxhash64(F.lit(0), "root").alias("block"))
+        home = home.unionByName(postings.join(groups, "gram").select("key", F.xxhash64(F.lit(1), "gram").alias("block")))
+    home = stored(home, "jaccard-home")
+    held = home.join(reps.select("key", "n", "grams"), "key")
+    parts = home.join(reps.select("key", tokens.alias("tokens")), "key").groupBy("block").agg(F.ceil(F.sum("tokens") / block_tokens).cast("int").alias("parts"))
+    parts = stored(parts.where("parts > 1"), "jaccard-parts")
+    held = held.join(parts, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = held.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a part meets each other part in a task; with itself it meets in (mine, mine)
+    pair = F.xxhash64("block", F.least("mine", "other"), F.greatest("mine", "other"))
+    bins = max(1, math.ceil((reps.agg(F.sum(tokens)).first()[0] or 0) / block_tokens * 2))
+    held = held.select(pair.alias("task"), "key", "n", "grams", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("part"), F.when(F.col("parts") > 1, pair).otherwise(F.pmod("block", F.lit(bins))).alias("bin"))
+    return held.groupBy("bin").applyInArrow(_verify(percent), "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id of a row reachable by links, itself included), kept (one row of each component), th (a hash of the text).
 
@@ -312,36 +369,27 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"))
     size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    buckets, chunks = max(1, math.ceil(size / 6 / BUCKET)), max(1, math.ceil(size / CHUNK)) | 1
+    larger = grown(size / 6 / BUCKET)
+    buckets, chunks = max(1, math.ceil(size / 6 / BUCKET / larger)), max(1, math.ceil(size / CHUNK / larger)) | 1
     often = rows.select("text").mapInArrow(_frequent(shingle), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") >= max(FREQUENT_AT_LEAST, int(total * FREQUENT))).orderBy(F.desc("n"), "g").limit(FREQUENT_MOST).select("g").collect()
+    often = often.where(F.col("n") >= max(FREQUENT_AT_LEAST, int(total * FREQUENT / 2))).orderBy(F.desc("n"), "g").limit(FREQUENT_MOST).select("g").collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.g for r in often], np.int64).view(np.uint64)))  # FREQUENT_MOST at most; any set of them is right
-    packed = rows.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_shingle(shingle, buckets, chunks, frequent), _PACKED)
+    packed = rows.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_shingle(shingle, int(BLOCK * larger), buckets, chunks, frequent), _PACKED)
     told = packed.groupBy("kind", "key").applyInArrow(_count(chunks), _PACKED)
     sets = stored(told.groupBy("key").applyInArrow(_assemble(percent), _SETS), "jaccard-sets")
 
     able = sets.where("digest is not null")
-    classes = able.groupBy("digest").agg(F.min("key").alias("key"))
-    reps = stored(able.join(classes.select("key"), "key", "left_semi").select("key", "n", "grams", "prefix"), "jaccard-classes")
-    postings = reps.select("key", F.explode("prefix").alias("gram"))
-    hubs = postings.groupBy("gram").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1").select("gram", "hub")
-    blocks = components(postings.join(hubs, "gram").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
-    held = reps.select("key", "n", "grams").join(blocks.withColumnRenamed("node", "key"), "key")
-    sizes = held.groupBy("root").agg(F.ceil(F.sum(F.octet_length("grams") / 8) / block_tokens).cast("int").alias("parts"))
-    held = held.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # a part meets each other part in a task; with itself it meets in (mine, mine)
-    tokens = reps.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0.0))).first()[0]
-    pair = F.struct("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    bins = max(1, math.ceil(tokens / block_tokens * 2))
-    held = held.select(F.xxhash64(pair).alias("task"), "key", "n", "grams", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("part"), F.when(F.col("parts") > 1, F.xxhash64(pair)).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"))
-    links = held.groupBy("bin").applyInArrow(_verify(percent), "a long, b long")
-    linked = components(links)
-
-    root = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("root"))
-    at = able.select("key", "doc_id", "th", "n", "digest").join(root, "digest")
-    best = at.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("m"))
-    out = at.join(best, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("m.doc_id").alias("component_id"), (F.col("key") == F.col("m.key")).alias("kept"), "th")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("m")
+    classes = stored(able.groupBy("digest").agg(F.min("key").alias("key"), least), "jaccard-classes")
+    reps = stored(able.join(classes.select("key"), "key", "left_semi").select("key", "n", "grams", "prefix"), "jaccard-sets")
+    linked = components(_links(reps, percent, block_tokens))
+
+    # joins of written tables: a class or component that holds many rows is split between tasks by adaptive execution
+    roots = stored(classes.join(linked.withColumnRenamed("node", "key"), "key", "left").select("digest", "m", F.coalesce("root", "key").alias("root")), "jaccard-roots")
+    best = stored(roots.groupBy("root").agg(F.min("m").alias("best")), "jaccard-best")
+    told = stored(roots.select("digest", "root").join(best, "root").select("digest", "best"), "jaccard-told")
+    out = able.select("key", "doc_id", "th", "n", "digest").join(told, "digest")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("key") == F.col("best.key")).alias("kept"), "th")
     alone = sets.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "th")
     return out.unionByName(alone)
 

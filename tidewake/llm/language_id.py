@@ -2,8 +2,9 @@
 
 Features: 2- and 3-grams of the lower-cased text's code points, hashed into DIM cells; TF is a cell's part of all n-grams of
 the text, IDF is counted over the whole learning fold.  Training: follow-the-regularised-leader (proximal, a rate per
-coordinate) with L1 and L2 penalties, on a bounded sample of the learning fold (PER_LANGUAGE texts expected for each
-label, whole texts).  Calibration: a temperature fitted on another such sample that training doesn't see.
+coordinate) with L1 and L2 penalties, on a bounded sample of the learning fold (PER_LANGUAGE texts and no more than
+SAMPLE_BYTES expected for each label, whole texts).  Calibration: a temperature fitted on another such sample that training
+doesn't see.  The driver trains: it holds the sample and about 1 MB for each label; all labels are learned.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import inline_rows, table
 from .words import sliced
 
 DIM = 1 << 16
-#: The bounded samples of labelled rows: expected texts of each label for training and for calibration, and the labels at most.
-PER_LANGUAGE, PER_LANGUAGE_CALIBRATION, MAX_LABELS = 500, 150, 400
+#: The bounded samples of labelled rows: expected texts of each label for training and for calibration, and their bytes.
+PER_LANGUAGE, PER_LANGUAGE_CALIBRATION, SAMPLE_BYTES = 500, 150, 16 << 20
+#: Weights that a prediction gathers at a time.
+GATHERED = 4_000_000
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.001, 2, 30.0
 UNKNOWN = "und"
 
@@ -120,22 +123,19 @@ def document_counts(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
-    """learn: text, lang and a key that only chooses the samples.  None if there is no label.
-
-    Of more than MAX_LABELS labels the most frequent are learned (of equally frequent ones the first by name)."""
+    """learn: text, lang and a key that only chooses the samples, with the text.  None if there is no label."""
     known = learn.where("text is not null and lang is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()  # a row for each label
     if not counts:
         return None
-    labels = sorted(r["lang"] for r in counts)
+    labels = sorted(r.lang for r in counts)
     texts, seen = document_counts(known.select("text"))
     idf = np.log((texts + 1) / (seen + 1)) + 1
     both = PER_LANGUAGE + PER_LANGUAGE_CALIBRATION
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], float(min(1.0, both / r["count"]))).otherwise(chance)
-    rows = known.select("text", "lang", spot.alias("spot"), chance.alias("chance")).where("spot < chance").orderBy("spot", "text").limit(2 * both * len(labels)).collect()
+    chance = inline_rows(learn.sparkSession, [{"lang": r.lang, "chance": min(1.0, both / r.n, SAMPLE_BYTES / max(1, r.b))} for r in counts], "lang string, chance double")
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = known.select("text", "lang", spot.alias("spot")).join(F.broadcast(chance), "lang").where("spot < chance")  # a row for each label
+    rows = rows.orderBy("spot", "text").limit(2 * both * len(labels)).collect()
     train_part = PER_LANGUAGE / both
     split = [r.spot < r.chance * train_part for r in rows]
     index = {x: i for i, x in enumerate(labels)}
@@ -156,10 +156,13 @@ def _predict(shared):
         for t in sliced(batches, 1 << 19):
             texts = [x or "" for x in t.column("text").to_pylist()]
             cells, n = grams(texts)
-            some = np.flatnonzero(n)
+            text, step = np.repeat(np.arange(len(texts)), n), max(1, GATHERED // len(m.labels))
             scores = np.zeros((len(texts), len(m.labels)))
-            if len(some):
-                scores[some] = np.add.reduceat(m.weights[cells], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64) / n[some, None]
+            for at in range(0, len(cells), step):
+                own = text[at : at + step]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                scores[own[first]] += np.add.reduceat(m.weights[cells[at : at + step]], first, axis=0, dtype=np.float64)
+            scores /= np.maximum(n, 1)[:, None]
             p = softmax(scores / m.temp)
             best = p.argmax(axis=1)
             ok = [has_letter(x) for x in texts]
@@ -173,11 +176,14 @@ def _predict(shared):
 def identify(texts: DataFrame, model: Model | None) -> DataFrame:
     """texts: any columns and `text` -> all of them, lang_pred and score (the calibrated chance of lang_pred).
 
-    A text that is null or has no letter is `und` with score 0; with one letter and no other character all labels are
-    equally likely and the first by name is given.  Without a model every text is `und`."""
+    Columns lang_pred and score of texts are replaced.  A text that is null or has no letter is `und` with score 0; with one
+    letter and no other character all labels are equally likely and the first by name is given, as of any labels of equal
+    scores.  Without a model every text is `und`.  Rows don't depend on each other; an empty table gives no rows.  Long texts
+    are scored whole, GATHERED weights at a time."""
+    texts = texts.drop("lang_pred", "score")
     if model is None:
         return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # DIM * MAX_LABELS floats at most
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # DIM floats a label: 0.25 MB
     return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

@@ -17,6 +17,8 @@ from .common import WORD, draw52, small, stored, table
 
 LEVELS = ("domain", "lang", "source")
 DEC = "decimal(38,0)"
+#: Runs of a leaf at most; a window adds them up.
+MOST_RUNS = 100_000
 
 
 def deal(nodes: DataFrame, parent: list[str], budget: str = "parent_budget") -> DataFrame:
@@ -57,24 +59,25 @@ def budgets(leaves: DataFrame, fraction: float, weights: dict[str, Column], max_
     return leaf.drop("supply", "weight", "name", "parent_budget")
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], fraction: float, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", run_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], fraction: float, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", run_rows: int = 2_000) -> DataFrame:
     """The chosen rows: all columns of docs in the struct `row`, then domain, lang, source, tokens, epoch, cum_before, leaf_budget.
 
     fraction: the budget as a part of all tokens (words).  weights: see budgets().  Null
     labels are the label '(none)'.  A row is chosen in an epoch if the tokens before it in the leaf's order of that epoch
     are fewer than the leaf's budget left for it; so the last row may cross the budget, and rows without tokens follow the
     rows before them.  A null text has no tokens.  Rows equal in id have equal places in the order, by tokens then.  An
-    empty table gives no rows.  run_rows: about so many rows of a leaf are ordered in one task.
+    empty table gives no rows.  run_rows: about so many rows of a leaf are ordered in one task, and a MOST_RUNS-th of the leaf
+    at least.  Runs are stretches of the seeded order, so their number changes no result.
     """
     none = F.lit("(none)")
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"), F.coalesce(domain.cast("string"), none).alias("domain"), F.coalesce(docs[lang_col].cast("string"), none).alias("lang"), F.coalesce(docs[source_col].cast("string"), none).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
     leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     plan = budgets(leaves, fraction, weights, max_epochs).withColumn("last", F.expr("case when tokens > 0 then budget div tokens else 0 end").cast("int"))
-    plan = plan.withColumn("rest", (F.col("budget") - F.col("last") * F.col("tokens")).cast("long")).withColumn("runs", F.ceil(F.col("docs") / F.lit(float(run_rows))).cast("long"))
+    plan = plan.withColumn("rest", (F.col("budget") - F.col("last") * F.col("tokens")).cast("long")).withColumn("runs", F.least(F.ceil(F.col("docs") / F.lit(float(run_rows))).cast("long"), F.lit(MOST_RUNS)))
     plan = stored(plan.select(*LEVELS, "budget", "last", "rest", "runs"), "mix-plan")
     few = plan.count()
     at = base.join(small(plan, few), list(LEVELS))
-    at = at.withColumn("spot", draw52(seed, F.col("last"), F.col("_id"))).withColumn("run", F.floor(F.col("spot") * F.col("runs") / F.lit(2.0**52)).cast("long"))
+    at = at.withColumn("spot", draw52(seed, F.col("last"), F.col("_id"))).withColumn("run", F.expr("spot div (4503599627370496 div runs + 1)"))  # 2**52
     per = at.where("rest > 0").groupBy(*LEVELS, "run").agg(F.sum("tokens").alias("run_tokens"))
     before = per.select(*LEVELS, "run", (F.sum("run_tokens").over(W.partitionBy(*LEVELS).orderBy("run")) - F.col("run_tokens")).alias("before"))
     order = W.partitionBy(*LEVELS, "run").orderBy("spot", F.col("_id").asc_nulls_first(), "tokens")

@@ -18,7 +18,11 @@ Tree = dict
 
 
 def tree_of(shards: int, racks: int = 2, per_rack: int = 2, base: int = 8) -> Tree:
-    """The tree for a shard count: the first `base` shards lie in regions of `racks` racks of `per_rack` shards of weight 1; each further shard is a region of its own, so that adding it changes no existing subtree."""
+    """The tree for a shard count: the first `base` shards lie in regions of `racks` racks of `per_rack` shards of weight 1; each further shard is a region of its own, so that adding it changes no existing subtree.
+
+    A count below `base` is an error: its tree would lose parts of subtrees, and one more shard would move rows between the others."""
+    if shards < base:
+        raise ValueError(f"the tree has {base} shards at least, not {shards}")
     tree: Tree = {}
     for s in range(shards):
         if s < base:
@@ -59,8 +63,7 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str =
     text = F.coalesce(docs[text_col], F.lit(""))
     row = F.struct(*[docs[c] for c in docs.columns if c not in mine]).alias("row")
     placed = docs.select(row, key.alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), number(descend(key, tree)).alias("shard"), (number(descend(key, grown)) if grown else F.lit(None).cast("int")).alias("grown_shard"), draw52("slot", key).alias("spot"))
-    run = F.floor(F.col("spot") * F.lit(runs) / F.lit(2.0**52)).cast("int")
-    placed = placed.withColumn("run", run)
+    placed = placed.withColumn("run", F.expr(f"cast(spot div {2**52 // runs + 1} as int)"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = counts.select("shard", "run", (F.sum("n").over(W.partitionBy("shard").orderBy("run")) - F.col("n")).alias("before"))
     order = W.partitionBy("shard", "run").orderBy("spot", F.col("key").asc_nulls_first(), "text_crc32", "size")

@@ -1,12 +1,15 @@
 """Repeated passages: Rabin-Karp hashes of every window of WINDOW words, counted in Spark.
 
 Map: each task hashes all windows of its texts.  Of windows equal within one block of texts only the first goes on (the
-others are removals already), packed by hash bucket: fingerprint, document, start.  Count: the task that owns a bucket
-finds the fingerprints with more than one place; all places but the earliest are removals.  Merge: removals meet their
-documents, and overlapping windows merge into maximal intervals of words to remove.
+others are found already), packed by hash bucket: fingerprint, document, start.  Count: the task that owns a bucket
+finds the fingerprints with more than one place; all places but the earliest are found.  Check: windows found in a row whose
+earlier places lie in a row too are a segment; the earlier place's document tells a digest of the segment's words, and
+the segment counts only if its own words have it.  Merge: overlapping windows merge into maximal intervals to remove.
 
 A fingerprint is as wide as the corpus needs: FINGERPRINT_BITS beyond twice the bits of the number of windows, so that
-the chance that any two different windows of the corpus are taken for equal stays under 1 in 2**FINGERPRINT_BITS.
+the chance that any two different windows of the corpus are taken for equal stays under 1 in 2**FINGERPRINT_BITS.  Words
+are compared by 128-bit digests before anything is removed, so such a pair removes nothing; at worst a third place, equal
+to the later one of the two, is kept.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ WINDOW = 20
 FINGERPRINT_BITS = 6
 #: Windows of a bucket, bytes of the texts of a merge task, bytes of the texts of a map block.
 BUCKET, CHUNK, BLOCK = 2_000_000, 8 << 20, 3 << 20
-_NULL_ID = -(2**63)
+#: Blocks and buckets grow together, up to GROWTH times, from STEADY buckets on, so that a block has several windows for each bucket.
+STEADY, GROWTH = 4_000, 16
+#: Fewest bytes of a fingerprint; ids below NULL_IDS stand for null.
+LEAST_BYTES, NULL_IDS = 4, -(2**62)
 
 
 def _odd(n: float) -> int:
@@ -67,8 +73,8 @@ def _keys(fp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _later(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of places with equal keys: indices of those after the earliest; indices of the earliest (of each key that has several) and of all single ones."""
+def _later(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places with equal keys: indices of those after the earliest, and of the earliest for each; indices of the earliest (of each key that has several) and of all single ones."""
     order = np.argsort(keys[0], kind="stable")
     k = keys[0][order]
     same = np.zeros(len(k) + 1, bool)
@@ -80,23 +86,31 @@ def _later(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[
     if len(rest):
         new[1:] = np.any([x[rest][1:] != x[rest][:-1] for x in keys], axis=0)
     lead = rest[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(rest) else rest
-    later = rest[(doc[rest] != doc[lead]) | (start[rest] != start[lead])]
-    return later, np.concatenate([alone, rest[new]])
+    later = (doc[rest] != doc[lead]) | (start[rest] != start[lead])
+    return rest[later], lead[later], np.concatenate([alone, rest[new]])
 
 
-_PACKED = "kind int, key long, n int, docs binary, starts binary, prints binary"
-_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
-_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary()), ("prints", pa.binary())])
+#: kind 0: windows of a bucket (key); 1: places found (of documents of a chunk, the key) and their earlier places.
+_PACKED = "kind int, key long, n int, docs binary, starts binary, prints binary, leads binary, lead_starts binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("docs", "starts", "prints", "leads", "lead_starts")]])
+_NAMES = _ARROW.names
 
 
-def _removals(doc: np.ndarray, start: np.ndarray, chunks: int):
+def _by_chunk(doc: np.ndarray, chunks: int, *within: np.ndarray):
+    """(chunk, indices) of the documents of each chunk, by document and then by `within`."""
     key = np.mod(doc, chunks)
-    order = np.lexsort((start, doc, key))
+    order = np.lexsort((*within[::-1], doc, key))
     key = key[order]
     edges = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        yield (1, int(key[a]), int(b - a), pack(doc[at]), pack(start[at].astype(np.int64)), None)
+        yield int(key[a]), order[a:b]
+
+
+def _places(doc: np.ndarray, start: np.ndarray, later: np.ndarray, lead: np.ndarray, chunks: int):
+    long = start.astype(np.int64)
+    for chunk, at in _by_chunk(doc[later], chunks, start[later]):
+        own, other = later[at], lead[at]
+        yield (1, chunk, len(at), pack(doc[own]), pack(long[own]), None, pack(doc[other]), pack(long[other]))
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -104,9 +118,9 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
-def _map(window: int, width: int, buckets: int, chunks: int):
+def _map(window: int, width: int, block: int, buckets: int, chunks: int):
     def run(batches):
-        for t in sliced(batches, BLOCK):
+        for t in sliced(batches, block):
             t = t.sort_by("doc_id") if t.num_rows > 1 else t
             ids = np.asarray(t.column("doc_id").combine_chunks(), np.int64)
             w = Words(t.column("text"))
@@ -122,9 +136,9 @@ def _map(window: int, width: int, buckets: int, chunks: int):
             b = w.windows(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window, 0xE7037ED1A0B428DB)[ok] if width > 8 else None
             del h, w
             fp = _fingerprints(a, b, width)
-            later, firsts = _later(_keys(fp), doc, start)
+            later, lead, firsts = _later(_keys(fp), doc, start)
             if len(later):
-                yield _rows(_removals(doc[later], start[later], chunks))
+                yield _rows(_places(doc, start, later, lead, chunks))
             home = (a[firsts] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
             order = np.lexsort((firsts, home))
             home, firsts = home[order], firsts[order]
@@ -132,7 +146,7 @@ def _map(window: int, width: int, buckets: int, chunks: int):
             out = []
             for k in np.flatnonzero(np.diff(edges)):
                 at = firsts[edges[k] : edges[k + 1]]
-                out.append((0, int(k), len(at), pack(doc[at]), pack(start[at].astype(np.int64)), fp[at].tobytes()))
+                out.append((0, int(k), len(at), pack(doc[at]), pack(start[at].astype(np.int64)), fp[at].tobytes(), None, None))
             yield _rows(out)
 
     return run
@@ -148,8 +162,8 @@ def _count(width: int, chunks: int):
             start.append(unpack(s, n).astype(np.int32))
             fp.append(np.frombuffer(p, np.uint8).reshape(n, width))
         doc, start, fp = np.concatenate(doc), np.concatenate(start), np.concatenate(fp)
-        later, _ = _later(_keys(fp), doc, start)
-        return pa.Table.from_batches([_rows(_removals(doc[later], start[later], chunks))])
+        later, lead, _ = _later(_keys(fp), doc, start)
+        return pa.Table.from_batches([_rows(_places(doc, start, later, lead, chunks))])
 
     return run
 
@@ -157,28 +171,97 @@ def _count(width: int, chunks: int):
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(b, k) for b, k in zip(t.column(name).to_pylist(), t.column("n").to_pylist(), strict=True))])
+
+
+#: Segments of windows in a row: asked of the chunk of the earlier place's document (chunk), for a document of chunk `own`.
+_SEGMENTS = "chunk long, own long, n int, docs binary, starts binary, sizes binary, leads binary, lead_starts binary, digests binary"
+_SEGMENTS_ARROW = pa.schema([("chunk", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("docs", "starts", "sizes", "leads", "lead_starts", "digests")]])
+
+
+def _segment_rows(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_SEGMENTS_ARROW)
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _SEGMENTS_ARROW, strict=True)], schema=_SEGMENTS_ARROW)
+
+
+def _segments(chunks: int):
+    """Places found in a chunk -> segments, by chunk of the earlier place's document."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own = t.column("key")[0].as_py()
+        doc, start, lead, at = (_column(t, c) for c in ("docs", "starts", "leads", "lead_starts"))
+        order = np.lexsort((at, lead, start, doc))
+        doc, start, lead, at = doc[order], start[order], lead[order], at[order]
+        row = (np.diff(doc) == 0) & (np.diff(start) == 1) & (np.diff(lead) == 0) & (np.diff(at) == 1)
+        first = np.flatnonzero(np.append(True, ~row))
+        size = np.diff(np.append(first, len(doc)))
+        doc, start, lead, at, out = doc[first], start[first], lead[first], at[first], []
+        for chunk, k in _by_chunk(lead, chunks, at):
+            out.append((chunk, own, len(k), pack(doc[k]), pack(start[k]), pack(size[k]), pack(lead[k]), pack(at[k]), None))
+        return _segment_rows(out)
+
+    return run
+
+
+def _digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def _answers(window: int):
+    """Segments asked of a chunk, and its documents -> the same with digests of the words at the earlier places."""
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        lead, at, size = (_column(asked, c) for c in ("leads", "lead_starts", "sizes"))
+        digest, last, known = [b""] * len(lead), None, b""
+        order = np.lexsort((size, at, lead))
+        text_of = dict.fromkeys(np.unique(lead).tolist())
+        for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
+            if i in text_of:
+                text_of[i] = [*(text_of[i] or []), (text.as_py() or "").encode()]
+        words_of, words = None, []
+        for k in order:
+            place = (int(lead[k]), int(at[k]), int(size[k]))
+            if place != last:
+                if place[0] != words_of:
+                    words_of, words = place[0], [x.split() for x in text_of[place[0]] or []]
+                end = place[1] + place[2] + window - 1
+                known, last = b"".join(_digest(x, place[1], end) for x in words[:1] or [[]]), place
+                for x in words[1:]:  # several rows of one id: the digest of one that is long enough
+                    known = _digest(x, place[1], end) if len(x) >= end and len(words[0]) < end else known
+            digest[k] = known
+        out, done = [], 0
+        for row in asked.to_pylist():
+            out.append((row["own"], None, row["n"], row["docs"], row["starts"], row["sizes"], None, None, b"".join(digest[done : done + row["n"]])))
+            done += row["n"]
+        return _segment_rows(out)
+
+    return run
+
+
 def _merge(window: int, with_text: bool):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        n = found.column("n").to_pylist()
-        doc = np.concatenate([np.zeros(0, np.int64), *(unpack(b, k) for b, k in zip(found.column("docs").to_pylist(), n, strict=True))])
-        start = np.concatenate([np.zeros(0, np.int64), *(unpack(b, k) for b, k in zip(found.column("starts").to_pylist(), n, strict=True))])
+        doc, start, size = (_column(found, c) for c in ("docs", "starts", "sizes"))
+        digest = b"".join(found.column("digests").to_pylist())
         order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
+        doc, start, size = doc[order], start[order], size[order]
         rows = []
         for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
             words = (text.as_py() or "").encode().split()
-            s = start[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]
-            runs = []
-            if len(s):
-                gap = np.flatnonzero(np.diff(s) > window)
-                a, b = s[np.concatenate([[0], gap + 1])], s[np.concatenate([gap, [len(s) - 1]])] + window
-                runs = [{"start": int(x), "end": min(int(y), len(words))} for x, y in zip(a, b, strict=True) if x < len(words)]
+            runs: list[dict] = []
+            for k in range(int(np.searchsorted(doc, i)), int(np.searchsorted(doc, i, "right"))):
+                a, b = int(start[k]), int(start[k] + size[k]) + window - 1
+                if b <= len(words) and _digest(words, a, b) == digest[16 * order[k] : 16 * order[k] + 16]:
+                    if runs and a <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(b, runs[-1]["end"])
+                    else:
+                        runs.append({"start": a, "end": b})
             kept, at = [], 0
             for r in runs:
                 kept += words[at : r["start"]]
                 at = r["end"]
             kept = b" ".join(kept + words[at:])
-            rows.append((None if i == _NULL_ID else i, len(words), sum(r["end"] - r["start"] for r in runs), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, runs))
+            rows.append((None if i < NULL_IDS else i, len(words), sum(r["end"] - r["start"] for r in runs), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, runs))
         cols = list(zip(*rows, strict=True)) or [[]] * len(_OUT)
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _OUT, strict=True)], schema=_OUT)
 
@@ -189,20 +272,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text), removed (maximal word intervals, end exclusive).
 
     A word goes if a window that covers it has its words also at an earlier place: in a row of smaller doc_id, or earlier
-    in the same text.  Windows are judged on the input.  A null text has no words; a null id comes before all others.
-    Rows of one id are taken as one document: places equal in id and start don't count against each other, and what is
-    found in one row of the id holds for all its rows.  An empty table gives no rows.
+    in the same text.  Windows are judged on the input.  A null text has no words; a null id comes before all others, and rows
+    with null ids are told apart by a hash of their text, in the order of these hashes.  Rows of one id are taken as one
+    document: places equal in id and start don't count against each other, and what is found in one row of the id holds for
+    its rows with the same words there.  Ids below -2**62 are read as null.  Other columns aren't looked at.  An empty table
+    gives no rows.  A text is never cut: a task holds the longest one, split into words.
     """
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), docs[text_col].alias("text"))
+    of_null = F.lit(2 * NULL_IDS) + F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).bitwiseAND(F.lit(2**62 - 1))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), of_null).alias("doc_id"), docs[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = size / 6 + 1
-    width = max(4, math.ceil((2 * math.log2(size + 2) - 3 + FINGERPRINT_BITS) / 8))  # two bytes a word at least; pairs are half the square
-    buckets, chunks = max(1, math.ceil(windows / BUCKET)), _odd(size / CHUNK)
-    packed = rows.mapInArrow(_map(window, width, buckets, chunks), _PACKED)
+    width = max(LEAST_BYTES, math.ceil((2 * math.log2(size + 2) - 3 + FINGERPRINT_BITS) / 8))  # two bytes a word at least; pairs are half the square
+    larger = min(GROWTH, max(1.0, math.sqrt(windows / BUCKET / STEADY)))
+    buckets, chunks = max(1, math.ceil(windows / BUCKET / larger)), _odd(size / CHUNK)
+    packed = rows.mapInArrow(_map(window, width, int(BLOCK * larger), buckets, chunks), _PACKED)
     found = packed.groupBy("kind", "key").applyInArrow(_count(width, chunks), _PACKED)
-    removals = found.where("kind = 1").select(F.col("key").alias("chunk"), "n", "docs", "starts")
-    by = rows.select(F.expr(f"pmod(doc_id, {chunks}L)").alias("chunk"), "doc_id", "text")
-    merged = by.groupBy("chunk").cogroup(removals.groupBy("chunk"))
+    asked = found.where("kind = 1").groupBy("key").applyInArrow(_segments(chunks), _SEGMENTS)
+    texts = rows.select(F.expr(f"pmod(doc_id, {chunks}L)").alias("chunk"), "doc_id", "text").groupBy("chunk")  # one exchange for both uses
+    answers = texts.cogroup(asked.groupBy("chunk")).applyInArrow(_answers(window), _SEGMENTS)
+    merged = texts.cogroup(answers.groupBy("chunk"))
     return merged.applyInArrow(_merge(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
 
 

@@ -82,7 +82,11 @@ class Counter(dict):
 
 
 def count_tokens(texts: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
-    """texts: any columns and `text` -> the other columns and n_tokens; null and empty texts have 0."""
+    """texts: any columns and `text` -> the other columns and n_tokens; null and empty texts have 0.
+
+    A column n_tokens of texts is replaced.  Rows don't depend on each other, so repeated rows get equal counts; an empty
+    table gives no rows.  A text is worked out whole; beside it a task holds its scores and counts for one segment."""
+    texts = texts.drop("n_tokens")
     shared = texts.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary file
 
     def run(batches):
