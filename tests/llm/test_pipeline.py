@@ -1,8 +1,19 @@
+import hashlib
+import math
+import random
+import re
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
 
 
@@ -20,7 +31,7 @@ def sample(docs):
 
 
 def test_stages_keep_columns_and_clean_rows(spark, docs, folder, clashing, tmp_path):
-    d = clashing(sample(docs)).drop("size", "shard", "slot")
+    d = clashing(sample(docs))
     columns, kept = d.columns, []
     for i, (name, stage) in enumerate(P.STAGES):
         out = stage(spark, d, str(folder))
@@ -44,3 +55,100 @@ def test_run_is_the_stages_and_empty_tables_pass(spark, docs, folder):
     for _, stage in P.STAGES:
         d = stage(spark, d, str(folder))
     assert d.count() == 0
+
+
+def test_language_stage_refuses_what_is_no_language_and_mends_labels(spark, docs):
+    rng = random.Random(2)
+    en = "the cat and dog went to that house with this other thing when they were young her mother".split()
+    fr = "le chat et les chiens vont dans la maison avec une autre chose quand ils sont jeunes sa mère".split()
+    texts = [" ".join(rng.choice(fr if i % 3 == 0 else en) for _ in range(rng.randint(2, 60))) for i in range(1500)]
+    langs = ["fr" if i % 3 == 0 else "en" for i in range(1500)]
+    for i in (30, 33, 36):  # wrong or missing labels on long texts
+        texts[i], langs[i] = " ".join(rng.choice(fr) for _ in range(40)), "en" if i < 36 else None
+    scripts = ["бвгджзклмнпрстфхцчшщ", "日本語漢字世界国民人口山川", "αβγδεζηθκλμνξπρστφχψω", "אבגדהוזחטיכלמנסעפצקרשת"]
+    junk = ["".join(rng.choice(s + " ") for _ in range(rng.randint(80, 600))) for s in scripts for _ in range(10)]
+    junk += ["".join(rng.choice("bcdfghjkpqvwxz0123456789") for _ in range(rng.randint(80, 600))) for _ in range(20)]
+    names = spark.createDataFrame(list(enumerate(langs + [rng.choice(["en", "fr"]) for _ in junk])), "doc_id long, lang string")
+    d = docs(texts + junk).drop("lang").join(names, "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    out = {r.doc_id: r.lang for r in P.by_language(spark, d, "").collect()}
+    clean = sum(i in out for i in range(1500))
+    refused = sum(i not in out for i in range(1500, 1500 + len(junk)))
+    assert clean >= 0.99 * 1500, clean
+    assert refused >= 0.9 * len(junk), (refused, len(junk))
+    assert [out[i] for i in (30, 33, 36)] == ["fr"] * 3
+    assert sum(out[i] != langs[i] for i in out if i < 1500 and i not in (30, 33, 36)) <= 3
+
+
+def second(spark, docs, item, stage_one):
+    """What the stages after the first keep of the rows, worked out in plain Python."""
+    from test_decontamination import slow
+    from test_jaccard_join import brute
+
+    rows = {r.doc_id: r for r in stage_one.collect()}
+    roots = brute([(i, r.text) for i, r in rows.items()])
+    kept = {i for i in rows if roots[i][1] == i or roots[i][0] == 0}
+    fold = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    kept = {i for i in kept if slow(fold(item), fold(rows[i].text)) < len(fold(item))}
+    # the mix: one domain and source here, so the languages share the budget by weight, short ones giving all
+    tokens = {i: len(rows[i].text.split()) for i in kept}
+    supply = {k: sum(tokens[i] for i in kept if rows[i].lang == k) for k in {rows[i].lang for i in kept}}
+    weights = {k: {"en": 4, "de": 3, "fr": 3}.get(k, 2) for k in supply}
+    left, budget = int(sum(supply.values()) * P.MIX_FRACTION), {}
+    for k in sorted(supply, key=lambda k: supply[k] / weights[k]):
+        w = sum(weights[x] for x in supply if x not in budget)
+        if supply[k] * w <= left * weights[k]:
+            budget[k] = supply[k]
+            left -= supply[k]
+        else:
+            budget |= {x: left * weights[x] // w for x in supply if x not in budget}
+            break
+    spot = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+    mixed = set()
+    for k in supply:
+        last, run = budget[k] // supply[k], 0
+        for i in sorted((i for i in kept if rows[i].lang == k), key=lambda i: (spot("mix", last, i), i)):
+            if last or run < budget[k]:
+                mixed.add(i)
+            run += tokens[i]
+
+    def leaf(i, tree):
+        while isinstance(tree, dict):
+            name = min((-math.log((spot("shard", name, i) + 1) / (2**52 + 1)) / P.sharding.weight(child), name) for name, child in tree.items())[1]
+            if not isinstance(tree[name], dict):
+                return int(name.removeprefix("shard"))
+            tree = tree[name]
+
+    out, n = {}, Counter()
+    for i in sorted(mixed, key=lambda i: spot("slot", i)):
+        s = leaf(i, P.sharding.tree_of(8))
+        t = rows[i].text.encode()
+        out[i] = (rows[i].lang, len(t) + 1, zlib.crc32(t), s, n[s], leaf(i, P.sharding.tree_of(9)))
+        n[s] += 1
+    return out
+
+
+def test_run_against_a_second_computation(spark, docs, folder):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(80)]
+    near = [" ".join(t.split()[:-1] + ["changed"]) for t in texts if len(t.split()) > 34]
+    item = ITEM.split()
+    leaks = [" ".join(x if rng.random() > p else "other" for x in item) + f" tail{i}" for i, p in enumerate([0, 0.1, 0.2, 0.3, 0.6, 0.9])]
+    d = docs(texts + near + [texts[5], texts[6]] + leaks).withColumn("lang", F.when(F.col("doc_id") % 3 == 1, "en").when(F.col("doc_id") % 3 == 2, "xx").otherwise("fr"))
+    d.write.parquet(str(folder / "documents.parquet"))
+    told = P.by_language(spark, spark.read.parquet(str(folder / "documents.parquet")), str(folder))
+    want = second(spark, d, ITEM, told)
+    got = {r.doc_id: (r.lang, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in P.run(spark, str(folder)).collect()}
+    assert got == want and 40 < len(got) < 80
+
+
+def test_nulls_repeated_and_long_rows_pass_all_stages(spark, docs, folder):
+    long = " ".join(f"long{i % 5000}" for i in range(60_000))
+    d = docs([(None, "some words here"), (None, "some words here"), (None, None), (7, long), (7, long), (8, ""), (9, "other words of it")])
+    for c in ("lang", "source"):
+        d = d.withColumn(c, F.when(F.col("doc_id") == 9, F.lit(None).cast("string")).otherwise(F.col(c)))
+    for name, stage in P.STAGES:
+        d = P.stored(stage(spark, d, str(folder)), "test")
+        rows = [(r.doc_id, len(r.text or "")) for r in d.collect()]
+        assert len(rows) == len(set(rows)) or name == "language ID", name
+    assert {i for i, _ in rows} <= {None, 7, 9} and (7, len(long)) in rows

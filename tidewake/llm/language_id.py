@@ -22,6 +22,10 @@ from .words import sliced
 DIM = 1 << 16
 #: The bounded samples of labelled rows: expected texts of each label for training and for calibration, and their bytes.
 PER_LANGUAGE, PER_LANGUAGE_CALIBRATION, SAMPLE_BYTES = 500, 150, 16 << 20
+#: A text of TELLING code points is told surely if its score is at least that which all but a REFUSED-th of the calibration's
+#: texts of that length reach, or SURE if they reach more; with under CALIBRATED such texts, or a shorter text, OVER_CHANCE
+#: times an equal chance of all labels is enough.
+TELLING, REFUSED, SURE, CALIBRATED, OVER_CHANCE = 60, 0.005, 0.9, 50, 1.05
 #: Weights that a prediction gathers at a time.
 GATHERED = 4_000_000
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.001, 2, 30.0
@@ -92,8 +96,10 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, labels: list[str], weights: np.ndarray, temp: float):
+    def __init__(self, labels: list[str], weights: np.ndarray, temp: float, sure: float | None = None):
         self.labels, self.weights, self.temp = labels, weights, temp  # weights hold the IDF
+        self.by_chance = OVER_CHANCE / len(labels) if len(labels) > 1 else 0.0
+        self.sure = self.by_chance if sure is None else max(sure, self.by_chance)
 
 
 def _document_counts(batches):
@@ -147,7 +153,9 @@ def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
     w = ftrl.weights(slice(None))
     held = [(*tfidf(r.text, idf), index[r.lang]) for r, s in zip(rows, split, strict=True) if not s]
     temp = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([y for *_, y in held])) if held else 1.0
-    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp)
+    scores = [float(softmax(x @ w[at] / temp).max()) for (at, x, _), text in zip(held, [r.text for r, s in zip(rows, split, strict=True) if not s], strict=True) if len(text) >= TELLING]
+    sure = min(SURE, float(np.quantile(scores, REFUSED))) if len(scores) >= CALIBRATED else None
+    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp, sure)
 
 
 def _predict(shared):
@@ -187,6 +195,14 @@ def identify(texts: DataFrame, model: Model | None) -> DataFrame:
     return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def surely(text: Column, model: Model | None) -> Column:
+    """Whether a prediction of identify() is sure enough for the text's length: texts of no learned language, as random
+    letters or other scripts, mostly aren't."""
+    if model is None:
+        return F.lit(False)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.when(F.length(text) >= TELLING, model.sure).otherwise(model.by_chance))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is 2 modulo 4 (a null id's text is empty)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -18,6 +18,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_secret_scan": secret_scan.SQL,
+    "op2_sharding": sharding.SQL,
     "op3_mixing": mixing.SQL,
+    "op4_jaccard_join": jaccard_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }

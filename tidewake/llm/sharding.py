@@ -74,3 +74,37 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str =
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard(docs, tree_of(8), tree_of(9)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _leaf_sql(tree: Tree, seed: str = "shard") -> str:
+    """descend() of doc_id as SQL."""
+    spot = lambda name: f"('0x' || substr(md5('{seed}|{name}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT"
+    draws = [f"{{'draw': -ln(({spot(name)} + 1)::DOUBLE / {2**52 + 1}::DOUBLE) / {float(weight(child))}::DOUBLE, 'name': '{name}'}}" for name, child in tree.items() if weight(child) > 0]
+    won = f"list_sort([{', '.join(draws)}])[1]['name']"
+    if not any(isinstance(c, dict) for c in tree.values()):
+        return won
+    return f"CASE {won} {' '.join(f"WHEN '{name}' THEN {_leaf_sql(child, seed)}" for name, child in tree.items() if weight(child) > 0)} END"
+
+
+def _crc_table() -> list[int]:
+    """The remainders of CRC-32 (polynomial 0xEDB88320, reflected) for each byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _sql() -> str:
+    leaf = lambda shards: f"regexp_extract({_leaf_sql(tree_of(shards))}, '[0-9]+$')::INT"
+    return f"""
+WITH hexed AS (SELECT doc_id, coalesce(text, '') AS t, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+bytes AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, list_transform(range(1, octet_length(encode(t)) + 1), lambda i: (strpos('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i]) - 1) AS b FROM hexed),
+crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda c, x: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes),
+placed AS (SELECT *, {leaf(8)} AS shard, {leaf(9)} AS grown_shard, md5('slot|' || coalesce(doc_id::VARCHAR, 'null'))[1:13] AS spot FROM crc)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY spot, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+"""
+
+
+SQL = _sql()
