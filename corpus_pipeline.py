@@ -11,38 +11,57 @@ from pyspark.sql import functions as F
 from tidewake.llm import decontamination, jaccard_join, language_id, mixing, sharding
 from tidewake.llm.common import boxed, stored, table, unboxed
 
-#: A text goes if it has no letter, or if its best language is no surer than this many times an equal chance of all.
-LEAST_OVER_CHANCE = 1.05
 #: Part of all tokens that the mix takes, and how often it may take a row.
 MIX_FRACTION, MIX_EPOCHS = 0.9, 1
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, trained on the labelled rows of docs: rows without a letter and rows whose language it can't tell at all go; null texts go."""
+    """Operator 5, trained on the labelled rows of docs: rows go whose text is null, has no letter or isn't surely in a learned language.
+
+    Where a sure prediction on a text long enough contradicts the label, or there is no label, it becomes the row's lang;
+    the mix goes by it.  Without any label nothing can be told: rows with a letter stay as they are.  Repeated rows share
+    their fate, ids (null ones too) only choose the sample for training, other columns of any name come through, and an
+    empty table stays empty."""
     model = language_id.learned(docs)
-    told = language_id.identify(boxed(docs), model)
-    least = LEAST_OVER_CHANCE / len(model.labels) if model and len(model.labels) > 1 else 0.0
-    return unboxed(told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)), docs.columns)
+    if model is None:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    told = language_id.identify(boxed(docs), model).where(language_id.surely(F.col("text"), model))
+    lang = F.col("row.lang")
+    better = lang.isNull() | ((lang != F.col("lang_pred")) & (F.length("text") >= language_id.TELLING))
+    out = told.withColumn("row", F.col("row").withField("lang", F.when(better, F.col("lang_pred")).otherwise(lang)))
+    return unboxed(out, docs.columns)
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each component of linked rows the row of the least doc_id stays ; of rows equal in id and text one stays."""
+    """Operator 4: of each component of linked rows the row of the least doc_id stays; of rows equal in id and text one stays.
+
+    Null and empty texts link with nothing; null ids come after all others.  Other columns of any name come through; an empty
+    table stays empty.  Long texts are whole sets."""
     return jaccard_join.one_of_each(docs)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: rows with a copy of a benchmark item go."""
+    """Operator 7: rows with a copy of a benchmark item go.
+
+    Null and empty texts have none; repeated rows share their fate, whatever their ids; texts of any length are searched
+    whole; other columns of any name come through.  Empty tables: no rows, or nothing to find."""
     told = decontamination.find_copies(boxed(docs), table(spark, sf_dir, "benchmark"))
     return unboxed(told.where(F.size("found") == 0), docs.columns)
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the rows that the mix takes, at most once each."""
+    """Operator 3: the rows that the mix takes, at most once each.
+
+    Null labels are a label of their own; null texts have no tokens and follow the rows before them; rows equal in id (null
+    too) have equal places, by tokens then.  Other columns of any name come through; an empty table stays empty."""
     return mixing.production(docs, MIX_EPOCHS, MIX_FRACTION).select("row.*")
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: all rows with their shard and place in it."""
+    """Operator 2: all rows with their shard and place in it.
+
+    Columns size, text_crc32, law, shard, slot and grown_shard of docs are replaced.  Null texts have size 1; rows of one id
+    (null too) lie in one shard; an empty table gives no rows."""
     return sharding.shard(docs, sharding.tree_of(8), sharding.tree_of(9))
 
 
