@@ -202,3 +202,41 @@ def test_joined_coast_gives_distances_however_far(spark, monkeypatch):
     got = rows(S.coast_filter(df, coast, coast), "event_id", "dist_to_shore_km", "is_on_land", "is_fishing_filtered")
     assert [x[1] for x in got] == pytest.approx([x[1] for x in want])
     assert [(x[0], *x[2:]) for x in got] == [(x[0], *x[2:]) for x in want]
+
+
+def test_joined_land_equals_the_even_odd_rule(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rings = []
+    for k in range(4):  # stars, some within others, some long and slanting
+        cx, cy, n = rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3), 24
+        at = [(cx + (0.05 + 0.3 * rng.random()) * math.cos(6.2831853 * i / n), cy + (0.05 + 0.3 * rng.random()) * math.sin(6.2831853 * i / n)) for i in range(n)]
+        rings += [(*a, *b) for a, b in zip(at, at[1:] + at[:1], strict=True)]
+    land = spark.createDataFrame(rings, "x1 double, y1 double, x2 double, y2 double")
+    points = [(1, i, i, rng.uniform(-0.7, 0.7), rng.uniform(-0.7, 0.7), 1) for i in range(400)] + [(1, 900, 1, None, 0.0, 1), (None, None, 2, 0.1, 0.1, 1), (None, None, 2, 0.1, 0.1, 1), (1, 901, 3, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(points, "trip_id long, event_id long, t_us long, latitude double, longitude double, is_fishing int")
+    columns = ["trip_id", "event_id", "is_on_land", "is_near_shore", "dist_to_shore_km"]
+    few, many = (sorted(map(str, S.coast_filter(df, land, land, few=n).select(*columns[:4], F.round(columns[4], 6)).collect())) for n in (2000, 0))
+    assert few == many and len(few) == len(points)
+    assert 40 < sum("is_on_land=True" in r for r in few) < 360
+
+
+def test_unknown_regions_are_errors(spark):
+    df = spark.createDataFrame([(1, 1, 0, -6.8, 39.2, 1)], "trip_id long, event_id long, t_us long, latitude double, longitude double, is_fishing int")
+    coast = spark.createDataFrame([(39.0, -6.0, 39.1, -6.1)], "x1 double, y1 double, x2 double, y2 double")
+    for method in ("coastline", "harbor"):
+        with pytest.raises(ValueError, match="atlantis"):
+            S.add_shore_filtering(df, "atlantis", method=method, coast=coast)
+    assert S.add_shore_filtering(df, "tanzania", method="harbor").first().dist_to_shore_km < 5
+
+
+def test_near_shape_keeps_all_rows(spark):
+    rows = [(1, k, k, 0.001 * k, 0.0) for k in range(5)] + [(1, 2, 2, 0.002, 0.0), (1, 9, 9, None, 0.0), (1, 10, 10, float("nan"), 0.0)] + [(None, k, k, 0.001 * k, 0.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "trip_id long, event_id long, t_us long, latitude double, longitude double")
+    for planar in (True, False):
+        out = R.near_shape(df, 1.0, planar).collect()
+        assert len(out) == len(rows)
+        near = sorted((r.trip_id is None, r.event_id, r.n_near, round(r.straightness, 6)) for r in out)
+        assert near == [(False, k, 6, 1.0) for k in (0, 1, 2, 2, 3, 4)] + [(False, 9, 0, 1.0), (False, 10, 0, 1.0)] + [(True, k, 3, 1.0) for k in range(3)]

@@ -97,7 +97,8 @@ class ColumnResolver:
 def as_points(df: DataFrame, trip_col: str | None = None, lat_col: str | None = None, lon_col: str | None = None, time_col: str | None = None, resolver: ColumnResolver | None = None) -> DataFrame:
     """df with trip_id (1 where there is none), event_id, t_us, latitude and longitude first; other columns follow.
 
-    Times may be timestamps or strings; strings that are no times become NULL.  event_id only breaks ties in time."""
+    Times may be timestamps or strings; strings that are no times become NULL.  event_id only breaks ties in time: made from
+    the values where there is none, so that equal rows share it."""
     r = resolver or ColumnResolver()
     lat, lon, at = (r.resolve(df, n, c) for n, c in (("latitude", lat_col), ("longitude", lon_col), ("timestamp", time_col)))
     trip = r.resolve(df, "trip_id", trip_col, required=False)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_KM, haversine_km, segment_distance
@@ -30,6 +31,8 @@ HARBORS = {
     "timor_leste": [(-8.5569, 125.5603), (-8.4754, 125.6432), (-8.8390, 125.9558)],
     "tanzania_mainland": [(-6.7924, 39.2083), (-6.8160, 39.2803), (-10.2796, 40.1963)],
 }
+#: Region -> the name that its harbours have.
+MAINLAND = {"tanzania": "tanzania_mainland"}
 FAR_KM, SMALL = 999.0, 2000
 
 
@@ -105,21 +108,23 @@ def on_land(lat: Column, lon: Column, rings: list[tuple[float, float, float, flo
     return F.size(F.filter(_literals(rings), crosses)) % 2 == 1
 
 
-def coast_filter(df: DataFrame, coast: DataFrame, land: DataFrame | None = None, min_km: float = 1.0, effort: str = "is_fishing", only_fishing: bool = True, box: tuple | None = None) -> DataFrame:
+def coast_filter(df: DataFrame, coast: DataFrame, land: DataFrame | None = None, min_km: float = 1.0, effort: str = "is_fishing", only_fishing: bool = True, box: tuple | None = None, few: int | None = None) -> DataFrame:
     """dist_to_shore_km, is_on_land, is_near_shore and <effort>_filtered.
 
     only_fishing: other points aren't measured and read FAR_KM and false.  coast and land: segment tables; with more than
-    SMALL segments (after cropping to the box) they are joined by grid cell instead of being literals."""
+    `few` (SMALL) segments (after cropping to the box) they are joined by grid cell instead of being literals, with equal results.
+    Points are told apart by their place: a measured point without a coordinate has no distance and isn't on land."""
+    few = SMALL if few is None else few
     coast = crop(coast, box) if box else coast
     land = crop(land, box) if box and land is not None else land
-    take = lambda t: [tuple(r) for r in t.select("x1", "y1", "x2", "y2").limit(SMALL + 1).collect()]
+    take = lambda t: [tuple(r) for r in t.select("x1", "y1", "x2", "y2").limit(few + 1).collect()]
     edges, rings = take(coast), take(land) if land is not None else []
     measured = (F.col(effort) == 1) if only_fishing else F.lit(True)
     lat, lon = F.col("latitude"), F.col("longitude")
-    if len(edges) <= SMALL and len(rings) <= SMALL:
+    if len(edges) <= few and len(rings) <= few:
         far = coast_km(lat, lon, edges) if edges else F.lit(FAR_KM)
         inside = on_land(lat, lon, rings) if rings else F.lit(False)
-        df = df.withColumn("dist_to_shore_km", F.when(measured, far).otherwise(FAR_KM)).withColumn("is_on_land", F.when(measured, inside).otherwise(F.lit(False)))
+        df = df.withColumn("dist_to_shore_km", F.when(measured, far).otherwise(FAR_KM)).withColumn("is_on_land", F.when(measured, F.coalesce(inside, F.lit(False))).otherwise(F.lit(False)))
     else:
         df = _joined(df, coast, land, measured, min_km)
     df = df.withColumn("is_near_shore", flag(F.col("dist_to_shore_km") < min_km))
@@ -127,43 +132,80 @@ def coast_filter(df: DataFrame, coast: DataFrame, land: DataFrame | None = None,
 
 
 def _joined(df: DataFrame, coast: DataFrame, land: DataFrame | None, measured: Column, min_km: float) -> DataFrame:
-    """The same distances as coast_km() through nested grids; land by latitude bands."""
+    """The same distances as coast_km() through nested grids; land by latitude bands and longitude strips.
+
+    Distances are worked out for different places only and come back by place, so that neither null nor repeated ids
+    matter."""
     size = min_km / DEGREE_KM
+    lat, lon = F.col("latitude"), F.col("longitude")
+    places = df.where(measured & lat.isNotNull() & lon.isNotNull()).select("latitude", "longitude").distinct()
+    near = _nearest(places, coast, size)
+    found = near if land is None else near.join(_inside(places, land, size), ["latitude", "longitude"], "full")
+    found = found if land is not None else found.withColumn("is_on_land", F.lit(False))
+    found = found.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
+    blank = F.when(measured & (lat.isNull() | lon.isNull()), F.lit(None)).otherwise(FAR_KM)
+    out = df.join(found, measured & (lat == F.col("_lat")) & (lon == F.col("_lon")), "left")
+    return out.withColumn("dist_to_shore_km", F.coalesce("_far", blank)).withColumn("is_on_land", F.coalesce("is_on_land", F.lit(False))).drop("_far", "_lat", "_lon")
+
+
+def _inside(places: DataFrame, land: DataFrame, size: float) -> DataFrame:
+    """Places with is_on_land: whether edges cross their latitude an odd number of times further east.
+
+    Edges are cut at bands of latitude.  A band's pieces in a place's own strip of longitude are compared with it.  Of those
+    in strips further east only the number that spans the place's latitude matters: strips east of one are a few dyadic
+    ranges, and in each the count at a latitude is a running sum over the pieces' lower (+1) and upper ends (-1)."""
     cell = lambda c: F.floor(c / size).cast("long")
-    at = df.where(measured).select("trip_id", "event_id", "latitude", "longitude").withColumn("_cy", cell(F.col("latitude")))
-    near = _nearest(at.drop("_cy"), coast, size)
-    blank = F.when(measured & (F.col("latitude").isNull() | F.col("longitude").isNull()), F.lit(None)).otherwise(FAR_KM)
-    out = df.join(near, ["trip_id", "event_id"], "left").withColumn("dist_to_shore_km", F.coalesce("_far", blank)).drop("_far")
-    if land is None:
-        return out.withColumn("is_on_land", F.lit(False))
-    bands = land.select("x1", "y1", "x2", "y2", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))).alias("_cy"))
     lat, lon = F.col("latitude"), F.col("longitude")
-    up = (F.col("y1") > lat) != (F.col("y2") > lat)
-    hit = up & (lon < (F.col("x2") - F.col("x1")) * (lat - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = at.join(bands, "_cy").groupBy("trip_id", "event_id").agg((F.count_if(hit) % 2 == 1).alias("is_on_land"))
-    return out.join(inside, ["trip_id", "event_id"], "left").withColumn("is_on_land", F.coalesce("is_on_land", F.lit(False)))
-
-
-def _nearest(at: DataFrame, coast: DataFrame, size: float) -> DataFrame:
-    """trip_id, event_id, _far: the distance to the nearest segment, however far.
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    across = lambda y: x1 + (x2 - x1) * (y - y1) / F.when(y2 != y1, y2 - y1)
+    edges = land.where("y1 <> y2").select("x1", "y1", "x2", "y2", F.explode(F.sequence(cell(F.least(y1, y2)), cell(F.greatest(y1, y2)))).alias("_band"))
+    ends = [across(F.greatest(F.least(y1, y2), F.col("_band") * size)), across(F.least(F.greatest(y1, y2), (F.col("_band") + 1) * size))]
+    pieces = edges.withColumn("_west", cell(F.least(*ends) - size / 1e3)).withColumn("_east", cell(F.greatest(*ends) + size / 1e3))  # a little wider: rounding
+    at = places.withColumn("_band", cell(lat)).withColumn("_strip", cell(lon))
+    hit = ((y1 > lat) != (y2 > lat)) & (lon < across(lat))
+    own = at.join(pieces.withColumn("_strip", F.explode(F.sequence("_west", "_east"))), ["_band", "_strip"]).where(hit).select("latitude", "longitude", F.lit(1).cast("long").alias("n"))
+
+    bits = math.ceil(math.log2(1080 / size))
+    low = math.ceil(540 / size)  # strips from 0 on
+    levels = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("_l")
+    up = lambda c: F.expr(f"shiftright({c} + {low}, _l)")
+    east = pieces.select("_band", "_west", "y1", "y2", levels).withColumn("_node", up("_west")).where("_node % 2 = 1")
+    steps = F.array(F.struct(F.least(y1, y2).alias("y"), F.lit(1).cast("long").alias("n")), F.struct(F.greatest(y1, y2).alias("y"), F.lit(-1).cast("long").alias("n")))
+    steps = east.select("_band", "_l", "_node", F.inline(steps)).groupBy("_band", "_l", "_node", "y").agg(F.sum("n").alias("n"))
+    asked = at.select("_band", "_strip", "latitude", "longitude", levels).withColumn("_node", up("_strip") + 1).where("_node % 2 = 1")
+    asked = asked.join(steps.select("_band", "_l", "_node").distinct(), ["_band", "_l", "_node"], "left_semi").select("_band", "_l", "_node", lat.alias("y"), F.lit(0).cast("long").alias("n"), "latitude", "longitude")
+    both = asked.unionByName(steps, allowMissingColumns=True)
+    upto = F.sum("n").over(W.partitionBy("_band", "_l", "_node").orderBy("y").rangeBetween(W.unboundedPreceding, 0))
+    beyond = both.withColumn("n", upto).where("latitude is not null").select("latitude", "longitude", "n")
+    return own.unionByName(beyond).groupBy("latitude", "longitude").agg((F.sum("n") % 2 == 1).alias("is_on_land"))
+
+
+def _nearest(places: DataFrame, coast: DataFrame, size: float) -> DataFrame:
+    """latitude, longitude, _far: the distance to the nearest segment, however far.
 
     Level k has cells of size * 2**k; at the last one all is within a cell of all else.  A segment's end in a cell next to
-    the point's bounds the distance; the segments near the point at the first level as wide as that bound hold the nearest."""
+    the point's bounds the distance; the segments near the point at the first level as wide as that bound hold the nearest.
+    A segment is kept in the cells along it and next to those."""
     top = math.ceil(math.log2(540 / size))
     level = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
-    cell = lambda c: F.floor(c / (size * F.pow(F.lit(2.0), F.col("_k")))).cast("long")
-    around = lambda a, b: F.explode(F.sequence(cell(a) - 1, cell(b) + 1))
+    width = size * F.pow(F.lit(2.0), F.col("_k"))
+    cell = lambda c: F.floor(c / width).cast("long")
     x, y = F.col("longitude"), F.col("latitude")
     ends = coast.select("x1", "y1").union(coast.select("x2", "y2")).toDF("ex", "ey").select("ex", "ey", level)
     ends = ends.groupBy(cell(F.col("ex")).alias("cx"), cell(F.col("ey")).alias("cy"), "_k").agg(F.min(F.struct("ex", "ey")).alias("e"))
     ends = ends.select("_k", "e.*", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("_cx"), "cy").withColumn("_cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).drop("cy")
     place = {"_cx": cell(x), "_cy": cell(y)}
-    seen = at.select("*", level).withColumns(place).join(ends, ["_k", "_cx", "_cy"])
-    bound = seen.groupBy("trip_id", "event_id", "latitude", "longitude").agg((F.min(F.sqrt(F.pow(x - F.col("ex"), 2) + F.pow(y - F.col("ey"), 2))) * (1 + 1e-9)).alias("_most"))
+    seen = places.select("*", level).withColumns(place).join(ends, ["_k", "_cx", "_cy"])
+    bound = seen.groupBy("latitude", "longitude").agg((F.min(F.sqrt(F.pow(x - F.col("ex"), 2) + F.pow(y - F.col("ey"), 2))) * (1 + 1e-9)).alias("_most"))
     wide = F.ceil(F.log2(F.greatest(F.col("_most") / size, F.lit(1.0))) + 1e-9)
     points = bound.withColumn("_k", F.least(wide, F.lit(top)).cast("int")).withColumns(place)
-    cells = coast.select("x1", "y1", "x2", "y2", level).withColumn("_cx", around(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("_cy", around(F.least("y1", "y2"), F.greatest("y1", "y2")))
-    return points.join(cells, ["_k", "_cx", "_cy"]).groupBy("trip_id", "event_id").agg((F.min(segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))) * DEGREE_KM).alias("_far"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = coast.select("x1", "y1", "x2", "y2", level).withColumn("_cy", F.explode(F.sequence(cell(F.least(y1, y2)) - 1, cell(F.greatest(y1, y2)) + 1)))
+    # of the segment the part in the row and the two next to it
+    low, high = F.greatest(F.least(y1, y2), (F.col("_cy") - 1) * width), F.least(F.greatest(y1, y2), (F.col("_cy") + 2) * width)
+    part = [F.when(y1 == y2, e).otherwise(x1 + (x2 - x1) * (h - y1) / F.when(y2 != y1, y2 - y1)) for e, h in ((x1, low), (x2, high))]
+    cells = rows.withColumn("_cx", F.explode(F.sequence(cell(F.least(*part) - width / 1e3) - 1, cell(F.greatest(*part) + width / 1e3) + 1)))
+    return points.join(cells, ["_k", "_cx", "_cy"]).groupBy("latitude", "longitude").agg((F.min(segment_distance(x, y, x1, y1, x2, y2)) * DEGREE_KM).alias("_far"))
 
 
 def raster(spark, box: tuple[float, float, float, float], places: list[tuple[float, float]], step: float = 0.01) -> DataFrame:
@@ -186,10 +228,12 @@ def raster_filter(df: DataFrame, grid: DataFrame, box: tuple[float, float, float
 def add_shore_filtering(df: DataFrame, region: str, min_km: float = 1.0, method: str = "coastline", coast: DataFrame | None = None, land: DataFrame | None = None, regions: Regions | None = None, **options) -> DataFrame:
     """The filter by name; an unknown method or region is an error, and so is a coastline filter without segments."""
     regions = regions or Regions()
-    if method == "harbor":
-        return harbor_filter(df, regions.harbors.get(region, []), min_km, **options)
-    if method != "coastline":
+    if method not in ("harbor", "coastline"):
         raise ValueError(f"method {method!r} is neither 'harbor' nor 'coastline'")
+    if region not in regions.boxes and region not in regions.harbors:
+        raise ValueError(f"region {region!r} is none of {', '.join(sorted({*regions.boxes, *regions.harbors}))}")
+    if method == "harbor":
+        return harbor_filter(df, regions.harbors.get(region) or regions.harbors.get(MAINLAND.get(region), []), min_km, **options)
     if coast is None:
         raise ValueError("a coastline filter needs the coastline's segments")
-    return coast_filter(df, coast, land, min_km, box=regions.boxes.get(region), **options)
+    return coast_filter(df, coast, land, min_km, box=regions.boxes.get(region) or regions.boxes.get({v: k for k, v in MAINLAND.items()}.get(region)), **options)

@@ -195,6 +195,44 @@ def rules_planar(t):
     return r6(classify(t, "planar").select(*ID, *_FLAGS, "is_fishing_pattern", "is_search_pattern", "fishing_score", "is_fishing"))
 
 
+#: Tracks with defects over all trips: points without a coordinate, points of no trip, and repeated rows.
+_DIRTY = f"""{Q.TRACKS.replace('tracks AS', 'sound AS', 1)},
+dirt AS (SELECT CASE WHEN trip_id % 7 <> 3 THEN trip_id END AS trip_id, event_id, t_us, CASE WHEN event_id % 40 <> 5 THEN latitude END AS latitude, CASE WHEN event_id % 55 <> 6 THEN longitude END AS longitude, speed, event_type FROM sound),
+tracks AS (SELECT trip_id AS source_trip, event_id AS source_id, coalesce(trip_id, -1) AS trip_id, row_number() OVER (ORDER BY t_us, event_id) AS event_id, t_us, latitude, longitude, speed, event_type FROM (FROM dirt UNION ALL FROM dirt WHERE event_id % 30 = 4))"""
+
+
+def with_defects(t: DataFrame) -> DataFrame:
+    id_ = F.col("event_id")
+    t = t.withColumns({"trip_id": F.when(F.col("trip_id") % 7 != 3, F.col("trip_id")), "latitude": F.when(id_ % 40 != 5, F.col("latitude")), "longitude": F.when(id_ % 55 != 6, F.col("longitude"))})
+    return t.unionByName(t.where(id_ % 30 == 4))
+
+
+def defects_query(sql: str):
+    """query() over with_defects() and the same rows in SQL; equal rows have numbers of their own there."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(with_defects(tracks(spark, sf_dir)))
+        ORACLES[f.__name__] = f"WITH {_DIRTY}, {sql}"
+        return f
+
+    return add
+
+
+def _with_all(sql: str) -> str:
+    """Rules in SQL that keep points without neighbours."""
+    return sql.replace("FROM tst JOIN shp USING (trip_id, event_id)", "FROM tst LEFT JOIN shp USING (trip_id, event_id)").replace("speed_cv, straightness, radius_gyration_km, sinuosity", "speed_cv, coalesce(straightness, 1.0) AS straightness, coalesce(radius_gyration_km, 0.0) AS radius_gyration_km, coalesce(sinuosity, 1.0) AS sinuosity")
+
+
+@defects_query(f"{Q.near_neighbours('tracks', 1.0, True)}, {Q.shape('nb')} SELECT source_trip AS trip_id, source_id AS event_id, coalesce(n_near, 0) AS n_near, round(coalesce(straightness, 1.0), 6) AS straightness, round(coalesce(radius_gyration_km, 0.0), 6) AS radius_gyration_km, round(coalesce(sinuosity, 1.0), 6) AS sinuosity FROM tracks LEFT JOIN shp USING (trip_id, event_id)")
+def planar_shape_dirty(t):
+    return r6(R.near_shape(t, 1.0, True).select(*ID, "n_near", *_SHAPE))
+
+
+@defects_query(f"{_with_all(Q.rules(True))} SELECT source_trip AS trip_id, source_id AS event_id, {', '.join(_FLAGS)}, is_fishing_pattern, is_search_pattern, round(fishing_score, 6) AS fishing_score, is_fishing FROM res")
+def rules_planar_dirty(t):
+    return r6(classify(t, "planar").select(*ID, *_FLAGS, "is_fishing_pattern", "is_search_pattern", "fishing_score", "is_fishing"))
+
+
 _PHASE = f"""p1 AS (SELECT trip_id, event_id, count(*) OVER (PARTITION BY trip_id) AS n, row_number() OVER {Q.W} - 1 AS i, {Q.hav('latitude', 'longitude', f'first_value(latitude) OVER {Q.WHOLE}', f'first_value(longitude) OVER {Q.WHOLE}')} AS d1, {Q.hav('latitude', 'longitude', f'last_value(latitude) OVER {Q.WHOLE}', f'last_value(longitude) OVER {Q.WHOLE}')} AS d2 FROM tracks),
 p2 AS (SELECT *, CASE WHEN n >= 3 THEN i / (n - 1) ELSE 0.0::DOUBLE END AS trip_progress, CASE WHEN n >= 3 THEN d1 ELSE 0.0::DOUBLE END AS dist_to_start_km, CASE WHEN n >= 3 THEN d2 ELSE 0.0::DOUBLE END AS dist_to_end_km FROM p1),
 pha AS (SELECT *, CASE WHEN n >= 3 AND (dist_to_end_km <= 1.0 OR trip_progress >= 0.95) THEN 'ending' WHEN n >= 3 AND (dist_to_start_km <= 1.0 OR trip_progress <= 0.05) THEN 'starting' ELSE 'in_progress' END AS trip_phase FROM p2)"""
@@ -302,11 +340,9 @@ def coast_filter(t):
     return r6(S.coast_filter(labelled(t), _coast(t), _coast(t)).select(*ID, "dist_to_shore_km", "is_on_land", "is_near_shore", "is_fishing_filtered"))
 
 
-@query(f", {_COAST} SELECT trip_id, event_id, coalesce(land, false) AS is_on_land, (coalesce(d, 999.0) < 1.0)::INT AS is_near_shore, CASE WHEN coalesce(d, 999.0) < 1.0 OR coalesce(land, false) THEN 0 ELSE is_fishing END AS is_fishing_filtered FROM lab LEFT JOIN pd USING (trip_id, event_id)")
+@query(f", {_COAST} " + _COAST_OUT)
 def coast_filter_joined(t):
-    coast = _coast(t)
-    out = S._joined(labelled(t), coast, coast, F.col("is_fishing") == 1, 1.0).withColumn("is_near_shore", (F.col("dist_to_shore_km") < 1.0).cast("int"))
-    return out.select(*ID, "is_on_land", "is_near_shore", F.when((F.col("is_near_shore") == 1) | F.col("is_on_land"), 0).otherwise(F.col("is_fishing")).alias("is_fishing_filtered"))
+    return r6(S.coast_filter(labelled(t), _coast(t), _coast(t), few=0).select(*ID, "dist_to_shore_km", "is_on_land", "is_near_shore", "is_fishing_filtered"))
 
 
 _BOX = (-6.5, -5.5, 39.0, 40.0)

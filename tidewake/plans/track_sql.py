@@ -14,7 +14,9 @@ WHOLE = "(PARTITION BY trip_id ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PR
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return f"(12742.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)))))"
+    """NULL if a coordinate is: least() passes over NULL."""
+    root = f"sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))"
+    return f"(12742.0::DOUBLE * asin(CASE WHEN {root} > 1 THEN 1.0::DOUBLE ELSE {root} END))"
 
 
 def bearing(a: str, b: str, c: str, d: str) -> str:
