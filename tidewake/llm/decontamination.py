@@ -3,9 +3,8 @@
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  An item's seeds are its n-grams of
 LONG words, all of them, and those of SHORT words that are rare: a pass over the corpus counts in how many documents each
 n-gram of the items occurs, and RARE of them at most (a part of all) have a rare one.  A second pass looks the seeds up in
-each document and aligns the words around those that occur with the item's.  Where no rare seed is among them, the words
-that document and item share are counted first, and the alignment is left out if even all of them in order wouldn't be a
-copy.  An item of under MIN_WORDS words must be there word for word, one of under LONG words must be all of the text.  The
+each document and aligns the words around those that occur with the item's.  The words that these and the item share are
+counted first, and the alignment is left out if even all of them in order wouldn't be a copy.  An item of under MIN_WORDS words must be there word for word, one of under LONG words must be all of the text.  The
 items go to the tasks in blocks of bounded size; each block is one more pass over the documents, and no document is shuffled.
 """
 
@@ -101,8 +100,8 @@ class Items:
             self.seeds.append(Seeds(size, grams, np.arange(len(grams)) + n))
             n += len(grams)
         self.item, self.offset = np.concatenate(self.item), np.concatenate(self.offset)
-        self.begin = np.append(np.concatenate(begin), len(self.item))
-        self.common = np.zeros(n, bool)
+        self.begin, self.number = np.append(np.concatenate(begin), len(self.item)), n
+        self.bags = [np.unique(x, return_counts=True) for x in self.words]
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, word in the text, n-gram's number) of each n-gram of the texts that is among ours, and all word hashes."""
@@ -114,15 +113,14 @@ class Items:
         return text, at - w.first[text], k, h
 
     def rare(self, df: np.ndarray, limit: float) -> None:
-        """Tell the n-grams that more than `limit` documents have: long ones stay seeds, short ones don't."""
-        self.common = df > limit
+        """Short n-grams that more than `limit` documents have are no seeds; long ones all are."""
         short = self.seeds[1]
-        stay = ~self.common[short.number]
+        stay = df[short.number] <= limit
         self.seeds[1] = Seeds(SHORT, short.grams[stay], short.number[stay])
 
     def shared(self, i: int, words: np.ndarray) -> int:
         """How many words of item i can have a word of their own among `words`: no alignment matches more."""
-        mine, n = np.unique(self.words[i], return_counts=True)
+        mine, n = self.bags[i]
         k = np.minimum(np.searchsorted(mine, words), len(mine) - 1)
         return int(np.minimum(n, np.bincount(k[mine[k] == words], minlength=len(mine))).sum())
 
@@ -130,14 +128,15 @@ class Items:
         """Items with a copy in the words `doc` around the hits at pos."""
         reps = self.begin[k + 1] - self.begin[k]
         entry = np.repeat(self.begin[k], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        pos, item, offset, common = np.repeat(pos, reps), self.item[entry], self.offset[entry], np.repeat(self.common[k], reps)
-        out = []
-        for i in np.unique(item):
-            words, mine = self.words[i], item == i
+        pos, item, offset = np.repeat(pos, reps), self.item[entry], self.offset[entry]
+        order = np.lexsort((pos, item))
+        pos, item, offset = pos[order], item[order], offset[order]
+        edges, out = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item)), []
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            i = item[first]
+            words, p = self.words[i], pos[first:last]
             least = (THRESHOLD if len(words) >= MIN_WORDS else 1.0) * len(words)
-            order = np.argsort(pos[mine], kind="stable")
-            p, often = pos[mine][order], common[mine][order]
-            begins = p - offset[mine][order]
+            begins = p - offset[first:last]
             n, best = len(words), (0, 0, 0, 0)
             at = 0
             while at < len(p):  # one stretch of at most three items' length at a time
@@ -146,7 +145,7 @@ class Items:
                 to = at + int(gap[0]) + 1 if len(gap) else to
                 lo = max(0, int(begins[at:to].min()) - n // 2, int(p[at]) - 2 * n)
                 hi = min(len(doc), int(p[to - 1]) + LONG + n + n // 2)
-                if not often[at:to].all() or self.shared(i, doc[lo:hi]) >= least:
+                if self.shared(i, doc[lo:hi]) >= least:
                     score, end = align(words, doc[lo:hi])
                     if score > best[0]:
                         best = (score, lo, lo + end, to - at)
@@ -160,7 +159,7 @@ class Items:
 def _frequencies(shared):
     def run(batches):
         items: Items = shared.value
-        seen, n = np.zeros(len(items.common), np.int64), 0
+        seen, n = np.zeros(items.number, np.int64), 0
         for t in sliced(batches, 2 << 20):
             text, _, k, _ = items.hits(folded(t.column("text").combine_chunks()))
             seen += np.bincount(np.unique(text * max(1, len(seen)) + k) % max(1, len(seen)), minlength=len(seen))[: len(seen)]
@@ -209,7 +208,7 @@ def find_copies(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())  # about ITEM_BYTES
         every = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(items)), "k long, n long")
         counts = {r.k: r.n for r in every.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row for each n-gram of the block at most
-        df = np.array([counts.get(k, 0) for k in range(len(items.common))], np.int64)
+        df = np.array([counts.get(k, 0) for k in range(items.number)], np.int64)
         items.rare(df, RARE * counts.get(-1, 0) + RARE_AT_LEAST)
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(items)), out.schema)
     best = F.expr("array_sort(found, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.item_id < b.item_id then -1 when a.item_id > b.item_id then 1 else 0 end)")
