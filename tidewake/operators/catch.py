@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import landing_season
-from ..sources.staging import staged
-from .quantiles import average_ranks, first_of, quantiles
+from ..sources.staging import beside, staged
+from .quantiles import first_of, many_quantiles, quantiles, ranks
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def impute_effort(df: DataFrame) -> DataFrame:
     """Missing effort where fishers are known: fishers over the unit's median of fishers/effort (infinite at effort 0).  effort_imputed marks them."""
     area = F.when(F.col("effort") == 0, F.when(F.col("total_fishers") > 0, float("inf"))).otherwise(F.col("total_fishers") / F.when(F.col("effort") != 0, F.col("effort")))
     median = quantiles(df.withColumn("_a", area), "_a", [0.5], ["bmu"]).select("bmu", first_of("q").alias("median_area"))
-    out = df.join(median, "bmu", "left")
+    out = df.join(beside(median), "bmu", "left")
     fill = F.col("effort").isNull() & F.col("total_fishers").isNotNull() & F.col("median_area").isNotNull()
     return out.withColumn("effort_imputed", fill).withColumn("effort", F.when(fill, F.col("total_fishers") / F.when(F.col("median_area") != 0, F.col("median_area"))).otherwise(F.col("effort")))
 
@@ -39,18 +40,18 @@ def valid(df: DataFrame) -> DataFrame:
 
 def trimmed(df: DataFrame, part: float = 0.99) -> DataFrame:
     """Rows at or under the percentile of both cpue and effort, with log_cpue and log_effort (log1p)."""
-    edge = quantiles(df, "cpue", [part]).select(first_of("q").alias("_c")).crossJoin(quantiles(df, "effort", [part]).select(first_of("q").alias("_e")))
-    out = df.crossJoin(F.broadcast(edge)).where((F.col("cpue") <= F.col("_c")) & (F.col("effort") <= F.col("_e"))).drop("_c", "_e")  # one row
+    edge = many_quantiles(df, {"cpue": [part], "effort": [part]}).first()  # one row; as literals its bounds reach the scan
+    out = df.where((F.col("cpue") <= edge.cpue[0]) & (F.col("effort") <= edge.effort[0])) if edge else df.where(F.lit(False))
     return out.withColumn("log_cpue", F.log1p("cpue")).withColumn("log_effort", F.log1p("effort"))
 
 
 def working_set(landings: DataFrame) -> DataFrame:
-    """The cleaned, imputed, valid and trimmed rows.  The joined input and the result are staged, as every statistic reads them several times."""
-    return staged(trimmed(valid_set(landings)), "landings-trimmed")
+    """The cleaned, imputed, valid and trimmed rows.  The joined input is staged and its bounds are counted when this is called, as every statistic reads it several times."""
+    return trimmed(valid_set(landings))
 
 
 def valid_set(landings: DataFrame) -> DataFrame:
-    return staged(valid(impute_effort(staged(clean(landings), "landings-clean"))), "landings-valid")
+    return valid(impute_effort(staged(clean(landings), "landings-clean")))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,8 +63,36 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] = ()) -> DataFrame:
     """rho and n, over all rows or by group."""
-    at = average_ranks(average_ranks(df.select(*by, x, y), x, "_x", by), y, "_y", by)
-    return at.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    by = list(by)
+    pairs = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n")), "pairs")
+    at = pairs
+    for c, r in ((x, "_x"), (y, "_y")):
+        at = at.join(beside(ranks(pairs, c, r, by, weight="_n"), "ranks"), [*by, c])
+    total = pairs.groupBy(*by).agg(F.sum("_n").alias("n"))
+    at = at.join(beside(total), by) if by else at.crossJoin(F.broadcast(total))  # one row without groups
+    dx, dy = (F.col(c) - (F.col("n") + 1) / 2 for c in ("_x", "_y"))  # ranks less their mean
+    s = lambda a, b: F.sum(F.col("_n") * a * b)
+    spread = F.sqrt(s(dx, dx)) * F.sqrt(s(dy, dy))
+    return at.groupBy(*by, "n").agg((s(dx, dy) / F.when(spread > 0, spread)).alias("rho")).select(*by, "rho", "n")
+
+
+def with_p(df: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
+    """df (a row for each test) with the two-sided p value of a correlation r over n pairs by Student's t; NULL where r is or n is under 3."""
+    from .regression import correlation_p
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if r != r or r is None or n < 3 else correlation_p(float(r), int(n)) for r, n in zip(rs, ns, strict=True)], dtype="float64")
+
+    return df.withColumn(name, p(F.col(r).cast("double"), F.col(n).cast("double")))
+
+
+def gear_subset(df: DataFrame, gears: list[str]) -> DataFrame:
+    """Rows of the gears (lower case); a subset without rows is an error."""
+    out = df.where(F.col("gear").isin(*[g.lower() for g in gears]))
+    if out.isEmpty():
+        raise ValueError(f"there are no landings of {', '.join(gears)}")
+    return out
 
 
 def line(x: str, y: str) -> list[Column]:
@@ -78,7 +107,7 @@ def ols(df: DataFrame, x: str = "log_effort", y: str = "log_cpue") -> DataFrame:
 def quantile_bins(df: DataFrame, bins: int = 20, by: list[str] = ()) -> DataFrame:
     """Right-closed effort bins between interpolated quantiles, equal edges merged: bin, effort_median, cpue_mean, cpue_se, n."""
     edges = quantiles(df, "effort", [i / bins for i in range(bins + 1)], by).select(*by, F.array_distinct("q").alias("_edges"))
-    at = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row without groups
+    at = df.join(beside(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row without groups
     first = F.get("_edges", F.lit(0))
     number = F.when(F.col("effort") == first, 1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("effort"))))
     at = at.withColumn("bin", number.cast("int")).drop("_edges")
@@ -104,13 +133,12 @@ def annual_trend(df: DataFrame, first: int = 2000, last: int = 2024) -> DataFram
 def group_stats(df: DataFrame, by: str, least: int = 30) -> DataFrame:
     """Per gear or unit with enough rows: medians and means, effort_cv, rho, depl_ratio (mean cpue over the upper to that under the lower effort quartile), log_slope, cpue_trend (over more than two years), n_years."""
     many = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    effort = quantiles(df, "effort", [0.25, 0.5, 0.75], [by]).withColumnRenamed("q", "_q")
-    cpue = quantiles(df, "cpue", [0.5], [by]).select(by, first_of("q").alias("cpue_med"))
-    at = df.join(many.join(effort, by).join(cpue, by), by)
+    middle = many_quantiles(df, {"effort": [0.25, 0.5, 0.75], "cpue": [0.5]}, [by]).select(by, F.col("effort").alias("_q"), first_of("cpue").alias("cpue_med"))
+    at = df.join(beside(many.join(middle, by)), by)
     low, high = F.avg(F.when(F.col("effort") <= first_of("_q"), F.col("cpue"))), F.avg(F.when(F.col("effort") >= first_of("_q", 2), F.col("cpue")))
     years = F.count_distinct("year")
     out = at.groupBy(by, "n", "cpue_med", first_of("_q", 1).alias("effort_med")).agg((F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"), years.alias("n_years"))
-    return out.join(spearman(df, by=[by]).select(by, "rho"), by)
+    return out.join(beside(spearman(df, by=[by]).select(by, "rho")), by)
 
 
 def depletion(ratio: Column) -> Column:
@@ -149,9 +177,10 @@ def feature_matrix(df: DataFrame, gears: list[str], least: int = 50) -> DataFram
 
 
 def double_demeaned(df: DataFrame) -> DataFrame:
-    """x less its unit's and its year's mean, plus the mean: log_cpue_dm, log_effort_dm.  Means are aggregates joined back."""
-    mean = lambda *by: df.groupBy(*by).agg(*[F.avg(c).alias(f"_{c}_{'_'.join(by)}") for c in ("log_cpue", "log_effort")])
-    out = df.join(mean("bmu"), "bmu").join(mean("year"), "year").crossJoin(F.broadcast(mean()))  # one row
+    """x less its unit's and its year's mean, plus the mean: log_cpue_dm, log_effort_dm.  Means come from one aggregate by (unit, year) and are joined back."""
+    sums = staged(df.groupBy("bmu", "year").agg(*[F.sum(c).alias(c) for c in ("log_cpue", "log_effort")], F.count("*").alias("_n")), "unit-years")
+    mean = lambda *by: sums.groupBy(*by).agg(*[(F.sum(c) / F.sum("_n")).alias(f"_{c}_{'_'.join(by)}") for c in ("log_cpue", "log_effort")])
+    out = df.join(beside(mean("bmu")), "bmu").join(beside(mean("year")), "year").crossJoin(F.broadcast(mean()))  # one row
     dm = {f"{c}_dm": F.col(c) - F.col(f"_{c}_bmu") - F.col(f"_{c}_year") + F.col(f"_{c}_") for c in ("log_cpue", "log_effort")}
     return out.withColumns(dm).drop(*[f"_{c}_{b}" for c in ("log_cpue", "log_effort") for b in ("bmu", "year", "")])
 
@@ -167,6 +196,38 @@ def pre_trends(df: DataFrame, until: int = 2005) -> DataFrame:
     return years.groupBy("bmu").agg(F.regr_slope("_m", "year").alias("slope"), F.corr("year", "_m").alias("r"), F.count("*").alias("n_years")).where("n_years >= 3")
 
 
+def parallel_trends(df: DataFrame, until: int = 2005, level: float = 0.05) -> DataFrame:
+    """pre_trends() with p and whether it is under the level."""
+    return with_p(pre_trends(df, until), "r", "n_years").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+
+
+def trends_verdict(trends: DataFrame, most: int = 3) -> DataFrame:
+    """One row over parallel_trends(): units, significant ones, mean slope, and the verdict: supported if few are significant."""
+    out = trends.agg(F.count("*").alias("n_units"), F.count_if("significant").alias("n_significant"), F.avg("slope").alias("mean_slope"))
+    return out.withColumn("verdict", F.when(F.col("n_significant") <= most, "supported").otherwise("partial concern"))
+
+
+def normalised_trends(df: DataFrame, base: int = 2000, until: int = 2005) -> DataFrame:
+    """bmu, year, log_cpue_norm: each unit's annual mean log_cpue less that of the base year; units without that year are left out."""
+    years = df.where(F.col("year") <= until).groupBy("bmu", "year").agg(F.avg("log_cpue").alias("_m"))
+    at_base = F.max(F.when(F.col("year") == base, F.col("_m"))).over(W.partitionBy("bmu"))
+    return years.withColumn("log_cpue_norm", F.col("_m") - at_base).where("log_cpue_norm is not null").select("bmu", "year", "log_cpue_norm")
+
+
+def unit_gain(df: DataFrame, beta: float, change: float = -0.3) -> DataFrame:
+    """bmu, mean_effort, mean_cpue and cpue_gain: the mean cpue's change, times 100, that an elasticity foresees."""
+    out = df.groupBy("bmu").agg(F.avg("effort").alias("mean_effort"), F.avg("cpue").alias("mean_cpue"))
+    return out.withColumn("cpue_gain", F.col("mean_cpue") * ((1 + change) ** beta - 1) * 100)
+
+
+def weighted_line(bins: DataFrame) -> DataFrame:
+    """slope, intercept of cpue_mean on effort_median over quantile_bins(), each bin weighted by its rows."""
+    n, x, y = F.col("n"), F.col("effort_median"), F.col("cpue_mean")
+    s = {k: F.sum(e) for k, e in {"w": n, "x": n * x, "y": n * y, "xx": n * x * x, "xy": n * x * y}.items()}
+    slope = (s["w"] * s["xy"] - s["x"] * s["y"]) / F.nullif(s["w"] * s["xx"] - s["x"] * s["x"], F.lit(0.0))
+    return bins.agg(slope.alias("slope"), ((s["y"] - slope * s["x"]) / s["w"]).alias("intercept"))
+
+
 def elasticity(beta: float, low: float, high: float, changes=(-0.5, -0.3, -0.1, 0.1, 0.3, 0.5)) -> list[dict]:
     """Per relative change of effort the relative change of cpue, for an elasticity and its bounds."""
     return [{"change": c, **{n: (1 + c) ** b - 1 for n, b in (("beta", beta), ("low", low), ("high", high))}} for c in changes]

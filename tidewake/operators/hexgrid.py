@@ -64,12 +64,21 @@ def calendar(df: DataFrame, time: Column) -> DataFrame:
 def metrics(df: DataFrame, resolution: int, slices: dict[str, list[str]] = SLICES, speed: str | None = "speed") -> DataFrame:
     """One row for each hexagon of each slice, from one pass (grouping sets): hours, points, trips, days, vessel-days, speeds, first and last time, coverage, centre, hours per trip and day.
 
-    coverage: days with points over the days from the slice's first to its last point."""
-    df = with_cell(df, resolution)
+    coverage: days with points over the days from the slice's first to its last point.  Points are summed up by cell, calendar,
+    trip and day first; the eight groupings read those sums."""
+    each = ["cell", "q", "r", *_KEYS, "trip_id", "date"]
+    sums = [F.sum("time_hours").alias("time_hours"), F.count("time").alias("_n"), F.min("time").alias("_first"), F.max("time").alias("_last")]
+    if speed:
+        sums += [F.count(speed).alias("_v0"), F.sum(speed).alias("_v1"), F.sum(F.col(speed) * F.col(speed)).alias("_v2")]
+    df = with_cell(df, resolution).groupBy(*each).agg(*sums)
     sets = [["cell", "q", "r", *keys] for keys in slices.values()]
-    speeds = [F.avg(speed).alias("mean_speed_kmh"), F.stddev_samp(speed).alias("std_speed_kmh")] if speed else []
+    speeds = []
+    if speed:
+        n, v1, v2 = F.sum("_v0"), F.sum("_v1"), F.sum("_v2")
+        some, more = F.when(n > 0, n), F.when(n > 1, n - 1)
+        speeds = [(v1 / some).alias("mean_speed_kmh"), F.sqrt(F.greatest((v2 - v1 * v1 / some) / more, F.lit(0.0) * more)).alias("std_speed_kmh")]
     out = df.groupingSets([[F.col(c) for c in s] for s in sets], "cell", "q", "r", *_KEYS).agg(
-        F.grouping_id().alias("gid"), F.sum("time_hours").alias("fishing_hours"), F.count("time").alias("n_points"), F.count_distinct("trip_id").alias("n_trips"), F.count_distinct("date").alias("n_days"), F.count_distinct(F.struct("trip_id", "date")).alias("vessel_days"), *speeds, F.min("time").alias("first_seen"), F.max("time").alias("last_seen"),
+        F.grouping_id().alias("gid"), F.sum("time_hours").alias("fishing_hours"), F.sum("_n").alias("n_points"), F.count_distinct("trip_id").alias("n_trips"), F.count_distinct("date").alias("n_days"), F.count_distinct(F.struct("trip_id", "date")).alias("vessel_days"), *speeds, F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"),
     )
     code = {sum(1 << (3 - i) for i, k in enumerate(_KEYS) if k not in keys): name for name, keys in slices.items()}
     name = F.lit(None).cast("string")
@@ -83,6 +92,11 @@ def metrics(df: DataFrame, resolution: int, slices: dict[str, list[str]] = SLICE
     return out.withColumns({"lat": lat, "lon": lon, "hours_per_trip": F.col("fishing_hours") / F.col("n_trips"), "hours_per_day": F.col("fishing_hours") / F.col("n_days")}).drop("q", "r")
 
 
+def density(df: DataFrame, resolution: int) -> DataFrame:
+    """cell, n_points: points by hexagon, not weighted by time."""
+    return with_cell(df, resolution).groupBy("cell").agg(F.count("*").alias("n_points"))
+
+
 def quality(df: DataFrame, min_hours: float = 0.1, min_trips: int = 1, min_days: int = 1) -> DataFrame:
     """Hexagons with enough data, and their confidence: the mean of trips, days and hours over each slice's 75th percentiles (after filtering), each at most 1."""
     kept = df.where((F.col("fishing_hours") >= min_hours) & (F.col("n_trips") >= min_trips) & (F.col("n_days") >= min_days))
@@ -125,9 +139,14 @@ def roll_up(cube_: DataFrame, **only) -> DataFrame:
 
 def color_max(df: DataFrame, metric: str, part: float = 0.95) -> DataFrame:
     """The value at rank floor(part * n) (from 0) of the positive values: a robust end of a colour scale."""
-    n = F.count("*").over(W.partitionBy(F.lit(1)))
-    ranked = df.where(F.col(metric) > 0).select(F.col(metric).alias("color_max"), (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(metric)) - 1).alias("k"), n.alias("n"))
-    return ranked.where(F.col("k") == F.least(F.floor(F.col("n") * part), F.col("n") - 1)).select("color_max")
+    from .quantiles import first_of, quantiles
+
+    full = df.where(F.col(metric) > 0)
+    n = full.count()
+    if not n:
+        return full.select(F.col(metric).alias("color_max"))
+    rank = min(math.floor(n * part), n - 1)
+    return quantiles(full, metric, [rank / max(1, n - 1)]).select(first_of("q").alias("color_max"))
 
 
 def hex_summary(df: DataFrame) -> DataFrame:

@@ -119,6 +119,70 @@ def learned_features(points: DataFrame, window: int = 5, speed_clip: float = 60.
     near = w.rowsBetween(-(window // 2), (window - 1) // 2)
     out = out.withColumn("lat_std_w", F.stddev_samp("latitude").over(near)).withColumn("lon_std_w", F.stddev_samp("longitude").over(near))
     out = shape(out, window // 2, window // 2, names=("straightness_w", "rog_w", None))
+    return _context(out, speed_clip, accel_clip)
+
+
+def device_features(points: DataFrame, altitude: str = "altitude", model: str = "device_model") -> DataFrame:
+    """altitude with its median over all points where it is missing, device_model ('Unknown' where missing) and model_enc, its code; without the columns 0 and code 0."""
+    from .columns import label_codes
+    from .quantiles import first_of, quantiles
+
+    if altitude in points.columns:
+        middle = quantiles(points, altitude, [0.5]).select(first_of("q").alias("_middle"))
+        points = points.join(F.broadcast(middle), how="left").withColumn("altitude", F.coalesce(F.col(altitude).cast("double"), "_middle", F.lit(0.0))).drop("_middle")  # one row or none
+    else:
+        points = points.withColumn("altitude", F.lit(0.0))
+    if model not in points.columns:
+        return points.withColumn("device_model", F.lit("Unknown")).withColumn("model_enc", F.lit(0).cast("long"))
+    return label_codes(points.withColumn("device_model", F.coalesce(F.col(model).cast("string"), F.lit("Unknown"))), "device_model", "model_enc")
+
+
+def _quartile(values: Column, part: float) -> Column:
+    """Interpolated quantile of an array's values."""
+    s = F.array_sort(values)
+    at = part * (F.size(values) - 1)
+    low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+    return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
+
+
+def adaptive_features(points: DataFrame, local_minutes: float = 0.2, shape_minutes: float = 1.0, speed_clip: float = 60.0, accel_clip: float = 30.0, most: int = 25) -> DataFrame:
+    """The supervised features in windows that follow each trip's cadence: cadence_s, local_rows and shape_rows, then the
+    columns of learned_features().  Turns are between the directions to and from a point; rates over no time are 0."""
+    from ..sources.staging import beside
+    from .rolling import _shaped
+
+    w, dt = trip(), F.col("dt_hours")
+    rate = lambda x: F.when(dt > 0, x / F.when(dt > 0, dt))
+    out = legs(points).withColumn("speed_kmh", rate(F.col("leg_km")))
+    out = out.withColumn("acceleration", rate(F.col("speed_kmh") - F.lag("speed_kmh").over(w)))
+    out = out.withColumn("jerk", rate(F.col("acceleration") - F.lag("acceleration").over(w)))
+    out = out.withColumn("bearing", bearing_deg(F.col("latitude"), F.col("longitude"), F.lead("latitude").over(w), F.lead("longitude").over(w)))
+    out = out.withColumn("turn_angle", turn_deg_wrapped(F.lag("bearing").over(w), F.col("bearing")))
+    sizes = cadence(points, local_minutes, shape_minutes, most=most).withColumnRenamed("trip_id", "_trip")
+    out = out.join(beside(sizes, "cadence"), F.col("trip_id").eqNullSafe(F.col("_trip"))).drop("_trip").withColumn("_nth", F.row_number().over(w))
+    series = ("speed_kmh", "acceleration", "turn_angle")
+    around = F.collect_list(F.struct("_nth", *series, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))).over(w.rowsBetween(-(most // 2), most // 2))
+    out = out.withColumn("_around", around)
+    within = lambda before, after: F.filter("_around", lambda s: (s["_nth"] >= F.col("_nth") - before) & (s["_nth"] <= F.col("_nth") + after))
+    half = lambda c: F.floor(F.col(c) / 2)
+    out = out.withColumn("_near", within(half("local_rows"), F.floor((F.col("local_rows") - 1) / 2))).withColumn("_frame", within(half("shape_rows"), half("shape_rows")))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    for c, name in ((*((c, c) for c in series), ("lat", "lat"), ("lon", "lon"))):
+        out = out.withColumn("_v", F.filter(F.col("_near")[c], lambda v: v.isNotNull()))
+        n = F.size("_v")
+        out = out.withColumn("_m", total(F.col("_v")) / F.when(n > 0, n))
+        spread = F.aggregate("_v", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m")))
+        made = {f"{name}_std_w": F.when(n > 1, F.sqrt(spread / F.when(n > 1, n - 1)))}
+        if c in series:
+            made |= {f"{name}_mean_w": F.col("_m"), f"{name}_q25_w": _quartile(F.col("_v"), 0.25), f"{name}_q75_w": _quartile(F.col("_v"), 0.75)}
+        out = out.withColumns(made)
+    out = _shaped(out, "_frame", ("straightness_w", "rog_w", None)).drop("_around", "_near", "_frame", "_v", "_m", "_nth")
+    return _context(out, speed_clip, accel_clip)
+
+
+def _context(out: DataFrame, speed_clip: float, accel_clip: float) -> DataFrame:
+    """What the supervised features have besides windows; then gaps read 0 and rates are limited."""
+    w = trip()
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = lambda c: F.first(c, ignorenulls=True).over(whole)
     out = out.withColumn("dist_to_start_km", haversine_km(F.col("latitude"), F.col("longitude"), first("latitude"), first("longitude")))

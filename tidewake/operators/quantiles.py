@@ -1,8 +1,9 @@
 """Exact order statistics without gathering a column in one task.
 
-Spark's exact percentile keeps all distinct values of a group in one task.  Here an approximate sketch brackets each
-quantile first; a second pass counts what lies below the bracket and the distinct values inside it, a small part of the
-data, and the quantile is read off their running counts."""
+Spark's exact percentile keeps all distinct values of a group in one task.  Here brackets around each quantile are narrowed
+in rounds: a pass counts what lies below and inside a bracket, exactly, and sketches what is inside; the next bracket is a
+hundredth of it.  When few values are left, their distinct ones are counted and the quantile is read off running counts.  A
+sketch only proposes: a bracket whose counts show that it misses the quantile is widened."""
 
 from __future__ import annotations
 
@@ -10,65 +11,106 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The sketch's accuracy: ranks are right to a part of 1 / ACCURACY of the rows.
-ACCURACY = 2000
-#: Groups of so few rows have one bracket around all values.
-FEW = 4 * ACCURACY
-#: Ranges of values that are ranked in tasks of their own.
-RANGES = 64
+from ..sources.staging import beside, staged
+
+#: Steps of a sketch over a bracket, and its accuracy.
+GRID, ACCURACY = 500, 5000
+#: Brackets of so many rows are narrow enough; distinct values that are ranked in one task.
+FEW = 200_000
 #: Up to so many rows, counted first, one task can hold all values: the direct way is quicker and gives the same.
 SMALL_ROWS = 2_000_000
 
 
-def _small(df: DataFrame, rows: int) -> bool:
-    return rows > 0 and df.limit(rows + 1).count() <= rows
+def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
+    """by, q: the interpolated quantiles of the non-NULL values, in the order of the probabilities.  Groups without a value are left out.  df is counted, then read once, or once a round."""
+    return many_quantiles(df, {column: probabilities}, by, small_rows, few).withColumnRenamed(column, "q")
 
 
-def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
-    """by, q: the interpolated quantiles of the non-NULL values, in the order of the probabilities.  Groups without a value are left out.  df is counted, then read twice."""
+def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
+    """by, and for each column its quantiles, as quantiles(); groups that lack values in one column lack them in all."""
     by = list(by)
-    x = df.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
-    if _small(x, small_rows):
-        return x.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, probabilities))).alias("q")).where("q is not null")
-    around = [min(1.0, max(0.0, p + d * 2 / ACCURACY)) for p in probabilities for d in (-1, 1)]
-    marks = x.groupBy(*by).agg(F.percentile_approx("_x", around, F.lit(ACCURACY)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    n = F.col("_n")
-    # a bracket is twice the sketch's error wide on either side, which with more than FEW rows also holds the next value; the ends are exact
-    low = lambda i: F.when((n <= FEW) | F.lit(probabilities[i] <= 3 / ACCURACY), F.col("_lo")).otherwise(F.get("_m", F.lit(2 * i)))
-    high = lambda i: F.when((n <= FEW) | F.lit(probabilities[i] >= 1 - 3 / ACCURACY), F.col("_hi")).otherwise(F.get("_m", F.lit(2 * i + 1)))
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low(i).alias("a"), high(i).alias("b")) for i, p in enumerate(probabilities)])
-    marks = marks.select(*by, n, spans.alias("_s"))
-    at = x.join(marks, by) if by else x.crossJoin(F.broadcast(marks))  # one row without groups
-    at = at.select(*by, "_x", "_n", F.explode("_s").alias("s"))
-    # values below a bracket only count; those inside are kept by distinct value
-    inside = (F.col("_x") >= F.col("s.a")) & (F.col("_x") <= F.col("s.b"))
-    part = at.where(F.col("_x") <= F.col("s.b")).groupBy(*by, "_n", F.col("s.i").alias("i"), F.col("s.p").alias("p"), F.when(inside, F.col("_x")).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    part = part.withColumn("upto", upto).withColumn("r", F.col("p") * (F.col("_n") - 1))
+    x = df.select(*by, *[F.col(c).cast("double").alias(c) for c in wanted])
+    n = x.count() if small_rows > 0 else 0
+    if 0 < n <= small_rows:
+        out = x.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in wanted.items()])
+        return out.where(" and ".join(f"`{c}` is not null" for c in wanted))
+    parts = [_narrowed(x.select(*by, F.col(c).alias("_x")).where("_x is not null"), p, by, few).withColumnRenamed("q", c) for c, p in wanted.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row without groups
+    return out
+
+
+def _met(x: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+    """Each row of x with its group's marks, which have the group's columns under other names."""
+    named = marks.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    if not by:
+        return x.crossJoin(F.broadcast(named))  # a row for each probability
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return x.join(named, same).drop(*[f"_by_{c}" for c in by])
+
+
+def _narrowed(x: DataFrame, probabilities: list[float], by: list[str], few: int) -> DataFrame:
+    marks = x.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_a"), F.max("_x").alias("_b")).where("_n > 0")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
+    marks = marks.withColumn("_e", F.explode(each)).select(*by, "_n", "_a", "_b", F.col("_e.i").alias("_i"), (F.col("_e.p") * (F.col("_n") - 1)).alias("_r"))
+    # the bracket [a, b] has _k and _k + 1; lo, hi is the bracket before it, and wide how many steps of it to take
+    marks = marks.withColumns({"_k": F.floor("_r"), "_lo": F.col("_a"), "_hi": F.col("_b"), "_wide": F.lit(2.0)})
+    keys = [*by, "_i", "_n", "_r", "_k", "_a", "_b", "_lo", "_hi", "_wide"]
+    inside = F.col("_x") >= F.col("_a")
+    while True:
+        marks = beside(marks, "brackets")
+        at = _met(x, marks, by).where(F.col("_x") <= F.col("_b")).groupBy(*keys)
+        at = at.agg(F.count_if(~inside).alias("_below"), F.count_if(inside).alias("_in"), F.percentile_approx(F.when(inside, F.col("_x")), [j / GRID for j in range(GRID + 1)], F.lit(ACCURACY)).alias("_s"))
+        holds = (F.col("_below") <= F.col("_k")) & ((F.col("_k") + 1 < F.col("_below") + F.col("_in")) | (F.col("_k") + 1 >= F.col("_n")))
+        spot = (F.col("_k") - F.col("_below")) / F.col("_in") * GRID
+        step = lambda j: F.get("_s", F.least(F.greatest(j, F.lit(0)), F.lit(GRID)).cast("int"))
+        narrow = holds & (F.col("_in") > few) & (F.col("_a") < F.col("_b"))
+        back = {"_a": F.col("_lo"), "_b": F.col("_hi"), "_wide": F.col("_wide") * 8}  # sketched again, with a wider margin
+        next_ = {"_a": step(F.floor(spot - F.col("_wide"))), "_b": step(F.ceil(spot + F.col("_wide") + 1)), "_lo": F.col("_a"), "_hi": F.col("_b")}
+        after = {c: F.when(narrow, next_.get(c, F.col(c))).when(~holds, back.get(c, F.col(c))).otherwise(F.col(c)) for c in ("_a", "_b", "_lo", "_hi", "_wide")}
+        now = staged(at.select(*[after[c].alias(c) if c in after else F.col(c) for c in keys], ((narrow & ((next_["_a"] > F.col("_a")) | (next_["_b"] < F.col("_b")))) | ~holds).alias("_again")), "brackets")
+        again = now.where("_again").limit(1).count()
+        marks = now.drop("_again")
+        if not again:
+            break
+    part = _met(x, beside(marks, "brackets"), by).where(F.col("_x") <= F.col("_b"))
+    part = part.groupBy(*by, "_i", "_n", "_r", F.when(inside, F.col("_x")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*by, "_i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    part = part.withColumn("upto", upto)
     value = lambda k: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > k), F.col("v")))
-    lower, upper = value(F.floor("r")), value(F.ceil("r"))
-    out = part.groupBy(*by, "i").agg(lower.alias("a"), upper.alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
+    out = part.groupBy(*by, "_i").agg(value(F.floor("_r")).alias("a"), value(F.ceil("_r")).alias("b"), F.max(F.col("_r") - F.floor("_r")).alias("f"))
     out = out.withColumn("q", F.when((F.col("f") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f")))  # infinite values have no difference
-    return out.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("q")).where(F.size("q") > 0).select(*by, F.col("q.q").alias("q"))
+    return out.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "q"))).alias("q")).where(F.size("q") > 0).select(*by, F.col("q.q").alias("q"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
-    """df with each value's average rank in its group.  Distinct values are counted, cut into ranges by a sketch, and summed up within ranges and over them."""
+def ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW, weight: str | None = None) -> DataFrame:
+    """by, column, name: the average rank of each distinct value in its group, rows counting `weight` times.  Distinct values are dealt out by range, and summed up within ranges and over them."""
     by = list(by)
-    if _small(df.select(column), small_rows):
-        counts = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(column))
-        return df.join(counts.select(*by, column, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)), [*by, column])
-    edges = df.groupBy(*by).agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], F.lit(4 * RANGES)).alias("_edges"))
-    values = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
-    values = values.join(edges, by) if by else values.crossJoin(F.broadcast(edges))  # one row without groups
-    values = values.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(column)))).drop("_edges")
+    values = df.groupBy(*by, column).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    mean = lambda upto: (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)
+    if small_rows > 0 and 0 < (n := values.count()) <= small_rows:
+        return values.select(*by, column, mean(F.sum("_c").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(column))))
+    n = values.count() if small_rows <= 0 else n
+    dealt = values.repartitionByRange(max(2, -(-n // few)), *by, column)
+    values = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranked")  # written, so that ranges stay as they are
     sums = values.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
     over = W.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
-    before = sums.select(*by, "_range", (F.sum("_s").over(over) - F.col("_s")).alias("_before"))  # RANGES rows a group at most
+    before = beside(sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), (F.sum("_s").over(over) - F.col("_s")).alias("_before")), "ranges")
     within = F.sum("_c").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranks = values.withColumn("_w", within).join(before, [*by, "_range"]).select(*by, column, (F.col("_before") + F.col("_w") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, column])
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return values.withColumn("_w", within).join(before, same).select(*by, column, mean(F.col("_before") + F.col("_w")))
+
+
+def average_ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
+    """df with each value's average rank in its group; the ranks are written first, so that a value of very many rows is split between tasks."""
+    by = list(by)
+    found = staged(ranks(df, column, name, by, small_rows, few), "ranks")
+    return df.join(found, [*by, column])
 
 
 def first_of(q: Column | str, i: int = 0) -> Column:

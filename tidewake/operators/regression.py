@@ -17,10 +17,10 @@ REFERENCES = {"gear": "nets", "season": "SE Monsoon (JJAS)"}
 
 
 def cells(df: DataFrame) -> DataFrame:
-    """Moments by cell: n, and sums of x, x², y, xy, y², e², e⁴, xe², ye² (x log effort, y log cpue, e effort)."""
+    """Moments by cell of the rows that have unit, year, season and gear (others, as rows without a date, can't have effects): n, and sums of x, x², y, xy, y², e², e⁴, xe², ye² (x log effort, y log cpue, e effort)."""
     x, y, e2 = F.col("log_effort"), F.col("log_cpue"), F.pow("effort", 2)
     s = lambda c, n: F.sum(c).alias(n)
-    return df.groupBy(*CELLS).agg(F.count("*").alias("n"), s(x, "x"), s(x * x, "xx"), s(y, "y"), s(x * y, "xy"), s(y * y, "yy"), s(e2, "e"), s(e2 * e2, "ee"), s(x * e2, "xe"), s(y * e2, "ye"))
+    return df.where(" and ".join(f"{c} is not null" for c in CELLS)).groupBy(*CELLS).agg(F.count("*").alias("n"), s(x, "x"), s(x * x, "xx"), s(y, "y"), s(x * y, "xy"), s(y * y, "yy"), s(e2, "e"), s(e2 * e2, "ee"), s(x * e2, "xe"), s(y * e2, "ye"))
 
 
 def t_sf(t: float, df: float) -> float:
@@ -120,6 +120,7 @@ def fit(df: DataFrame, spec: str = "M4", cluster: str = "bmu") -> dict:
 def _hc3(df: DataFrame, columns: list[str], names: list[str], levels: dict, beta: np.ndarray, inv: np.ndarray) -> np.ndarray:
     """Sum of x x' (residual / (1 - leverage))²: rows of one cell share all but log effort, so their leverage is a quadratic in it and the sum needs three moments for each cell."""
     at = {c: i for i, c in enumerate(columns)}
+    df = df.where(" and ".join(f"{c} is not null" for c in CELLS))
     key = F.concat_ws("|", *names)
     base = {}
     for r in df.select(*names).distinct().collect():
@@ -141,6 +142,39 @@ def _hc3(df: DataFrame, columns: list[str], names: list[str], levels: dict, beta
     return meat
 
 
+def residuals(df: DataFrame, result: dict, name: str = "residual") -> DataFrame:
+    """df (rows with all effects' columns) with fitted and the residual of a fit; effects come as a map of the levels."""
+    names, squared = SPECS[result["spec"]]
+    c = result["coefficients"]
+    fitted = F.lit(c["const"]) + F.lit(c["log_effort"]) * F.col("log_effort")
+    if squared:
+        fitted = fitted + F.lit(c["effort_sq"]) * F.pow("effort", 2)
+    for n in names:
+        levels = {k.split("=", 1)[1]: v for k, v in c.items() if k.startswith(f"{n}=")}
+        if levels:
+            known = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])
+            fitted = fitted + F.coalesce(F.element_at(known, F.col(n).cast("string")), F.lit(0.0))
+    out = df.where(" and ".join(f"{c} is not null" for c in CELLS)).withColumn("fitted", fitted)
+    return out.withColumn(name, F.col("log_cpue") - F.col("fitted"))
+
+
+def quantile_pairs(df: DataFrame, column: str, points: int = 100) -> DataFrame:
+    """theoretical, sample: quantiles of the normal distribution against the column's exact ones, at `points` even places."""
+    from statistics import NormalDist
+
+    from .quantiles import first_of, quantiles
+
+    parts = [(k + 0.5) / points for k in range(points)]
+    normal = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in parts])
+    return quantiles(df, column, parts).select(F.inline(F.arrays_zip(normal.alias("theoretical"), F.col("q").alias("sample"))))
+
+
+def sampled(df: DataFrame, rows: int, key: list[str], seed: int = 42) -> DataFrame:
+    """About `rows` rows (all if there are fewer), chosen by a hash of their key and the seed, so the same in every run."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
 def fixed_effects(result: dict, of: str) -> list[tuple[str, float]]:
     """Effects of a category's levels, the reference 0 left out, in rising order."""
     return sorted(((k.split("=", 1)[1], v) for k, v in result["coefficients"].items() if k.startswith(f"{of}=")), key=lambda x: x[1])

@@ -39,6 +39,8 @@ class Rules:
     min_state_duration: int = 3
     min_distance_for_turn: float = 0.1
     spatial_window_km: float = 1.0
+    stationary_speed: float = 2.0
+    moderate_turn_threshold: float = 20.0
     time_windows: tuple[float, ...] = (10.0,)
     patterns: bool = True
     enable_shore_filtering: bool = False
@@ -50,6 +52,12 @@ class Rules:
     shore_filter_land_points: bool = True
     shore_filter_only_fishing: bool = True
 
+    def __post_init__(self):
+        if self.enable_shore_filtering and self.shore_filter_method not in ("coastline", "harbor"):
+            raise ValueError(f"shore_filter_method {self.shore_filter_method!r} is neither 'harbor' nor 'coastline'")
+        if self.enable_shore_filtering and self.shore_filter_method == "harbor" and not self.shore_filter_region:
+            raise ValueError("a harbour filter needs shore_filter_region")
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
 
@@ -68,6 +76,7 @@ CONFIGS = {
     "default": {},
     "row_frames": {"patterns": False, "min_distance_for_turn": 0.0},
     "instantaneous": {"patterns": False, "min_distance_for_turn": 0.0, "min_fishing_speed": 0.5, "max_fishing_speed": 8.0, "min_transit_speed": 10.0, "high_turn_threshold": 45.0, "low_straightness_threshold": 0.7, "high_sinuosity_threshold": 1.5, "clustering_radius_km": 2.0, "high_speed_cv_threshold": 0.8, "weight_speed": 2.5, "weight_turning": 2.0, "weight_straightness": 1.5, "weight_sinuosity": 1.0, "weight_clustering": 1.5, "weight_speed_variability": 1.0},
+    "alternative": {"min_fishing_speed": 0.8, "max_fishing_speed": 7.5, "stationary_speed": 1.5, "min_transit_speed": 10.0, "high_turn_threshold": 40.0, "moderate_turn_threshold": 15.0, "low_straightness_threshold": 0.75, "high_sinuosity_threshold": 1.4, "clustering_radius_km": 1.5, "high_speed_cv_threshold": 0.7, "weight_speed": 3.0, "weight_turning": 2.0, "weight_straightness": 1.5, "weight_sinuosity": 1.0, "weight_clustering": 2.0, "weight_speed_variability": 1.0, "fishing_score_threshold": 0.55},
     "conservative": {"fishing_score_threshold": 0.55, "min_fishing_speed": 0.8, "max_fishing_speed": 7.5, "min_transit_speed": 10.0, "high_turn_threshold": 40.0, "low_straightness_threshold": 0.75, "high_sinuosity_threshold": 1.4, "clustering_radius_km": 1.5, "high_speed_cv_threshold": 0.7, "weight_speed": 3.0, "weight_turning": 2.0, "weight_straightness": 1.5, "weight_sinuosity": 1.0, "weight_clustering": 2.0, "weight_speed_variability": 1.0},
     "high_sensitivity": {"fishing_score_threshold": 0.35, "min_fishing_speed": 0.2, "max_fishing_speed": 10.0, "min_transit_speed": 12.0, "high_turn_threshold": 35.0, "low_straightness_threshold": 0.50, "high_sinuosity_threshold": 1.4, "clustering_radius_km": 1.2, "high_speed_cv_threshold": 0.5, "min_state_duration": 1, "min_distance_for_turn": 0.05},
     "low_sensitivity": {"fishing_score_threshold": 0.55, "min_fishing_speed": 0.5, "max_fishing_speed": 7.0, "min_transit_speed": 8.0, "high_turn_threshold": 45.0, "low_straightness_threshold": 0.40, "high_sinuosity_threshold": 1.6, "clustering_radius_km": 0.8, "high_speed_cv_threshold": 0.7, "min_state_duration": 3, "min_distance_for_turn": 0.1},
@@ -138,6 +147,8 @@ def indicator_rates(df: DataFrame) -> DataFrame:
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Counts of points by two configurations' verdicts."""
-    both = a.select("trip_id", "event_id", F.col("is_fishing").alias("left_verdict")).join(b.select("trip_id", "event_id", F.col("is_fishing").alias("right_verdict")), ["trip_id", "event_id"])
+    """Counts of points by two configurations' verdicts.  Points are told apart by trip (none is a trip too) and id: repeated rows count once."""
+    one = a.select("trip_id", "event_id", F.col("is_fishing").alias("left_verdict")).dropDuplicates(["trip_id", "event_id"])
+    two = b.select(F.col("trip_id").alias("_trip"), F.col("event_id").alias("_id"), F.col("is_fishing").alias("right_verdict")).dropDuplicates(["_trip", "_id"])
+    both = one.join(two, F.col("trip_id").eqNullSafe(F.col("_trip")) & F.col("event_id").eqNullSafe(F.col("_id")))
     return both.groupBy("left_verdict", "right_verdict").agg(F.count("*").alias("n"))

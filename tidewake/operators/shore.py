@@ -84,6 +84,32 @@ def read_segments(spark, path: str, land_only: bool = False) -> DataFrame:
     return step.select("ring_id", "seq", "s.*")
 
 
+def load_segments(spark, path: str, land_only: bool = False) -> DataFrame:
+    """Segments of a GeoJSON file, or of a Parquet table that install_coast() wrote."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_segments(spark, path, land_only)
+
+
+def install_coast(spark, path: str, output: str, box: tuple[float, float, float, float] | None = None, land_only: bool = False) -> dict:
+    """A coastline's GeoJSON file as a Parquet table of segments, cropped to a box if given; returns how many there are and their bounds.  None at all is an error."""
+    segments = read_segments(spark, path, land_only)
+    (crop(segments, box) if box else segments).write.mode("overwrite").parquet(output)
+    return check_coast(load_segments(spark, output))
+
+
+def check_coast(segments: DataFrame) -> dict:
+    """segments, rings and the bounds of a table of segments."""
+    r = segments.agg(F.count("*").alias("segments"), F.count_distinct("ring_id").alias("rings"), F.min(F.least("y1", "y2")).alias("min_lat"), F.max(F.greatest("y1", "y2")).alias("max_lat"), F.min(F.least("x1", "x2")).alias("min_lon"), F.max(F.greatest("x1", "x2")).alias("max_lon")).first()
+    if not r.segments:
+        raise ValueError("the coastline has no segments")
+    return r.asDict()
+
+
+def clean_points(df: DataFrame) -> DataFrame:
+    """Points that are neither near the shore nor on land; unmeasured ones stay."""
+    land = F.coalesce(F.col("is_on_land"), F.lit(False)) if "is_on_land" in df.columns else F.lit(False)
+    return df.where((F.coalesce(F.col("is_near_shore"), F.lit(0)) != 1) & ~land)
+
+
 def crop(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Segments whose own box meets (min_lat, max_lat, min_lon, max_lon)."""
     a, b, c, d = box

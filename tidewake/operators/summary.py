@@ -48,6 +48,20 @@ def starts_in_box(df: DataFrame, box: tuple[float, float, float, float]) -> Data
     return df.join(inside.select("trip_id"), "trip_id", "left_semi")
 
 
+def one_trip(df: DataFrame, trip_id) -> DataFrame:
+    """The points of one trip; a trip that isn't there is an error."""
+    out = df.where(F.col("trip_id") == trip_id)
+    if out.isEmpty():
+        raise ValueError(f"there is no trip {trip_id!r}")
+    return out
+
+
+def predicted_summary(df: DataFrame, effort: str = "effort_pred") -> DataFrame:
+    """A row for each trip of predicted points: points, fishing points and their ratio, the most fishing first."""
+    out = df.groupBy("trip_id").agg(F.count("*").alias("total_points"), F.sum(effort).cast("long").alias("fishing_points"), F.avg(effort).alias("fishing_ratio"))
+    return out.orderBy(F.desc("fishing_ratio"), "trip_id")
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """Annotations of a layer: points, fishing points and share, trips, and distinct latitudes times longitudes."""
     return df.agg(F.count("*").alias("n_points"), F.sum("is_fishing").cast("long").alias("fishing_points"), (100 * F.avg("is_fishing")).alias("fishing_percent"), F.count_distinct("trip_id").alias("n_trips"), (F.count_distinct("latitude") * F.count_distinct("longitude")).alias("coverage"))

@@ -30,7 +30,7 @@ def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(landings(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = f"WITH {LANDINGS} {sql}" if not sql.startswith(",") else f"WITH {LANDINGS}{sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {LANDINGS} {sql}" if not sql.startswith(",") else f"WITH RECURSIVE {LANDINGS}{sql}"
         return f
 
     return add
@@ -177,19 +177,109 @@ def pre_period_trends(l):
     return r6(C.pre_trends(C.working_set(l), 1999))
 
 
-@query("SELECT round(avg(log_cpue), 6) AS mean, round(stddev_samp(log_cpue), 6) AS std, round((sum(pow(log_cpue - m, 3)) / count(*)) / pow(sum(pow(log_cpue - m, 2)) / count(*), 1.5), 4) AS skew, round((sum(pow(log_cpue - m, 4)) / count(*)) / pow(sum(pow(log_cpue - m, 2)) / count(*), 2) - 3, 4) AS excess_kurtosis FROM ws, (SELECT avg(log_cpue) AS m FROM ws)")
+_LINE = ", ab AS (SELECT regr_slope(log_cpue, log_effort) AS b, regr_intercept(log_cpue, log_effort) AS a FROM ws), rs AS (SELECT log_cpue - a - b * log_effort AS e FROM ws, ab)"
+
+
+@query(f"{_LINE} SELECT round(avg(e), 6) + 0 AS mean, round(stddev_samp(e), 6) AS std, round((sum(pow(e - m, 3)) / count(*)) / pow(sum(pow(e - m, 2)) / count(*), 1.5), 4) AS skew, round((sum(pow(e - m, 4)) / count(*)) / pow(sum(pow(e - m, 2)) / count(*), 2) - 3, 4) AS excess_kurtosis FROM rs, (SELECT avg(e) AS m FROM rs)")
 def residual_moments(l):
-    return C.moments(C.working_set(l), "log_cpue").select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("skew", 4).alias("skew"), F.round("excess_kurtosis", 4).alias("excess_kurtosis"))
+    """Moments of the residuals of the log-log line."""
+    df = C.working_set(l)
+    at = C.ols(df).first()
+    out = C.moments(df.select((F.col("log_cpue") - at.intercept - at.slope * F.col("log_effort")).alias("e")), "e")
+    return out.select((F.round("mean", 6) + 0).alias("mean"), F.round("std", 6).alias("std"), F.round("skew", 4).alias("skew"), F.round("excess_kurtosis", 4).alias("excess_kurtosis"))
+
+
+#: Two-sided p of Student's t for r over n pairs, by Simpson's rule on the density from 0 to t.
+_T_P = """greatest(0.0, 1 - 2 * exp(lgamma((n_years - 1) / 2) - lgamma((n_years - 2) / 2)) / sqrt(pi() * (n_years - 2)) * t / 6000 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * k / 2000, 2) / (n_years - 2), -(n_years - 1) / 2))))"""
+_TRENDS = f""", y AS (SELECT bmu, year, avg(log_cpue) AS m FROM ws WHERE year <= 1997 GROUP BY bmu, year), tr AS (SELECT bmu, regr_slope(m, year) AS slope, corr(year, m) AS r, count(*) AS n_years FROM y GROUP BY bmu HAVING count(*) >= 3),
+tt AS (SELECT *, abs(r) * sqrt((n_years - 2) / (1 - r * r)) AS t FROM tr), pt AS (SELECT bmu, slope, n_years, {_T_P} AS p FROM tt)"""
+
+
+@query(f"{_TRENDS} SELECT bmu, round(slope, 6) AS slope, n_years, round(p, 5) AS p, p < 0.05 AS significant FROM pt")
+def parallel_trends(l):
+    return r6(C.parallel_trends(C.working_set(l), 1997).select("bmu", "slope", "n_years", F.round("p", 5).alias("p"), "significant"))
+
+
+@query(f"{_TRENDS} SELECT count(*) AS n_units, count(*) FILTER (p < 0.05) AS n_significant, round(avg(slope), 6) AS mean_slope, CASE WHEN count(*) FILTER (p < 0.05) <= 3 THEN 'supported' ELSE 'partial concern' END AS verdict FROM pt")
+def trends_verdict(l):
+    return r6(C.trends_verdict(C.parallel_trends(C.working_set(l), 1997)))
+
+
+@query(", y AS (SELECT bmu, year, avg(log_cpue) AS m FROM ws WHERE year <= 1997 GROUP BY bmu, year) SELECT bmu, year, round(m - b, 6) AS log_cpue_norm FROM y JOIN (SELECT bmu, m AS b FROM y WHERE year = 1996) USING (bmu)")
+def normalised_trends(l):
+    return r6(C.normalised_trends(C.working_set(l), 1996, 1997))
+
+
+@query("SELECT bmu, round(avg(effort), 6) AS mean_effort, round(avg(cpue), 6) AS mean_cpue, round(avg(cpue) * (pow(0.7::DOUBLE, -0.1::DOUBLE) - 1) * 100, 6) AS cpue_gain FROM ws GROUP BY bmu")
+def unit_gain(l):
+    return r6(C.unit_gain(C.working_set(l), -0.1))
+
+
+@query("SELECT gear, count(*) AS n, round(avg(log_cpue), 6) AS log_cpue_mean FROM ws WHERE gear IN ('1-urgent', '2-high') GROUP BY gear")
+def gear_subset(l):
+    return r6(C.gear_subset(C.working_set(l), ["1-URGENT", "2-HIGH"]).groupBy("gear").agg(F.count("*").alias("n"), F.avg("log_cpue").alias("log_cpue_mean")))
+
+
+@query(f"{_bins(20).rsplit('SELECT', 1)[0].rstrip()}, bn AS (SELECT median(effort) AS x, avg(cpue) AS y, count(*) AS w FROM b GROUP BY bin), sm AS (SELECT sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM bn) SELECT round((w * xy - x * y) / (w * xx - x * x), 6) AS slope, round((y - (w * xy - x * y) / (w * xx - x * x) * x) / w, 6) AS intercept FROM sm")
+def bin_line(l):
+    return r6(C.weighted_line(C.quantile_bins(C.working_set(l), 20)))
+
+
+def _logs(l: DataFrame) -> DataFrame:
+    """Log columns are plain logarithms in the regressions."""
+    return C.working_set(l).where("effort > 0 and cpue > 0").withColumn("log_cpue", F.log("cpue")).withColumn("log_effort", F.log("effort")).select("bmu", "year", "season", "gear", "effort", "log_effort", "log_cpue")
 
 
 def _fitted(l: DataFrame) -> DataFrame:
-    """All five specifications; log columns are plain logarithms there."""
-    df = C.working_set(l).where("effort > 0 and cpue > 0").withColumn("log_cpue", F.log("cpue")).withColumn("log_effort", F.log("effort")).select("bmu", "year", "season", "gear", "effort", "log_effort", "log_cpue")
+    """All five specifications."""
+    df = _logs(l)
     rows = [regression.fit(df, s) for s in regression.SPECS]
     cols = ["spec", "beta", "se", "p", "low", "high", "r2", "adj_r2", "n"]
     return l.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows], "spec string, beta double, se double, p double, low double, high double, r2 double, adj_r2 double, n long")
 
 
+def _fe_sql() -> str:
+    """Slope and fit of M1 to M4 without their dummies: by cell, both variables lose the means of each category in turn, 60 times over."""
+    base = """, fx AS (SELECT bmu, year, season, gear, ln(effort) AS x, ln(cpue) AS y FROM ws WHERE effort > 0 AND cpue > 0),
+fc AS (SELECT bmu, year, season, gear, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM fx GROUP BY ALL),
+wi AS (SELECT sum(xx - n * mx * mx) AS xx, sum(xy - n * mx * my) AS xy, sum(yy - n * my * my) AS yy, sum(n) AS n, sum(yy) - pow(sum(n * my), 2) / sum(n) AS total FROM fc)"""
+    parts, out = [], []
+    for spec in ("M1", "M2", "M3", "M4"):
+        names = regression.SPECS[spec][0]
+        step = f"SELECT k, bmu, year, season, gear, n, x, y FROM {spec}"
+        for c in names:
+            step = f"SELECT k, bmu, year, season, gear, n, x - sum(n * x) OVER (PARTITION BY {c}) / sum(n) OVER (PARTITION BY {c}) AS x, y - sum(n * y) OVER (PARTITION BY {c}) / sum(n) OVER (PARTITION BY {c}) AS y FROM ({step})"
+        parts.append(f"{spec} AS (SELECT 0 AS k, bmu, year, season, gear, n, mx AS x, my AS y FROM fc UNION ALL SELECT k + 1 AS k, bmu, year, season, gear, n, x, y FROM ({step}) WHERE k < 60)")
+        out.append(f"SELECT '{spec}' AS spec, round((any_value(wi.xy) + sum(f.n * x * y)) / (any_value(wi.xx) + sum(f.n * x * x)), 6) AS beta, round(1 - (any_value(wi.yy) + sum(f.n * y * y) - pow(any_value(wi.xy) + sum(f.n * x * y), 2) / (any_value(wi.xx) + sum(f.n * x * x))) / any_value(wi.total), 6) AS r2, any_value(wi.n)::BIGINT AS n FROM {spec} f, wi WHERE k = 60")
+    return f"{base}, {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(_fe_sql())
+def fixed_effects_slopes(l):
+    df = _logs(l)
+    rows = [regression.fit(df, s) for s in ("M1", "M2", "M3", "M4")]
+    return r6(l.sparkSession.createDataFrame([(r["spec"], r["beta"], r["r2"], r["n"]) for r in rows], "spec string, beta double, r2 double, n long"))
+
+
+@query(None)
+def residual_diagnostics(l):
+    """Moments of the residuals of M4, and the normal quantile pairs' correlation."""
+    df = _logs(l)
+    out = regression.residuals(df, regression.fit(df, "M4"))
+    pairs = regression.quantile_pairs(out, "residual").agg(F.corr("theoretical", "sample").alias("qq_r"))
+    return C.moments(out, "residual").crossJoin(F.broadcast(pairs))  # one row each
+
+
+@query(None)
+def effort_curve(l):
+    """A locally weighted curve of cpue over effort on a sample of 12,000 rows at most, at 100 places of effort."""
+    df = regression.sampled(C.working_set(l).select("effort", "cpue", "l_orderkey", "l_linenumber"), 12_000, ["l_orderkey", "l_linenumber"])
+    rows = df.orderBy("effort", "cpue", "l_orderkey", "l_linenumber").select("effort", "cpue").toPandas()
+    step = max(1, len(rows) // 100)
+    fitted = regression.lowess(rows["effort"].to_numpy(), rows["cpue"].to_numpy(), 0.3, 0)
+    return l.sparkSession.createDataFrame([(float(rows["effort"][i]), float(fitted[i])) for i in range(0, len(rows), step)], "effort double, cpue_smooth double")
+
+
 @query(None)
 def fixed_effects_models(l):
     return _fitted(l)

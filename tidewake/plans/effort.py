@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kinematics as K
 from ..operators import rolling as R
+from ..operators import shore as S
 from ..operators.phases import Phases, activity_types, phases
 from ..operators.rules import CONFIGS, Rules, flag, indicators, phase_aware_rules, score, slow_and_turning
 from ..operators.smoothing import smooth
@@ -30,8 +31,27 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
     return K.positions(df)
 
 
+def shore_step(df: DataFrame, rules: Rules) -> DataFrame:
+    """The rules' shore filter over classified points: dist_to_shore_km, is_near_shore and is_fishing_filtered, with a coastline also is_on_land.
+
+    Coast and land come from the GeoJSON files (or segments in Parquet) that the rules name.  Whatever can't take effect
+    (an unknown region, a coastline filter without files) is an error."""
+    if rules.shore_filter_method == "harbor":
+        return S.add_shore_filtering(df, rules.shore_filter_region, rules.shore_min_distance_km, "harbor")
+    if not rules.shore_coastline_shapefile or (rules.shore_filter_land_points and not rules.shore_land_shapefile):
+        raise ValueError("a coastline filter needs shore_coastline_shapefile, and shore_land_shapefile unless shore_filter_land_points is off")
+    coast = S.load_segments(df.sparkSession, rules.shore_coastline_shapefile)
+    land = S.load_segments(df.sparkSession, rules.shore_land_shapefile, land_only=True) if rules.shore_filter_land_points else None
+    return S.add_shore_filtering(df, rules.shore_filter_region or S.DEFAULT_REGION, rules.shore_min_distance_km, "coastline", coast, land, only_fishing=rules.shore_filter_only_fishing)
+
+
 def classify(points: DataFrame, variant: str = "planar", rules: Rules | None = None, ends: Phases | None = Phases()) -> DataFrame:
-    """points -> features, flags, fishing_score and is_fishing (smoothed, but for row_frames, instantaneous and phase_aware); phase_aware also has phases and activity types unless ends is None."""
+    """points -> features, flags, fishing_score and is_fishing (smoothed, but for row_frames, instantaneous and phase_aware); phase_aware also has phases and activity types unless ends is None.  Rules that enable the shore filter add its columns."""
+    out = _classified(points, variant, rules, ends)
+    return shore_step(out, rules) if rules and rules.enable_shore_filtering else out
+
+
+def _classified(points: DataFrame, variant: str, rules: Rules | None, ends: Phases | None) -> DataFrame:
     if variant not in VARIANTS:
         raise ValueError(f"variant {variant!r} is none of {', '.join(VARIANTS)}")
     rules = rules or Rules.of(CONFIGS[variant] if variant in _BY_ROWS else {})
@@ -41,7 +61,7 @@ def classify(points: DataFrame, variant: str = "planar", rules: Rules | None = N
         return activity_types(phases(df, ends)) if ends else df
     suffix = f"_{rules.time_windows[0]:g}min" if variant not in _BY_ROWS and len(rules.time_windows) > 1 else ""
     df = score(indicators(df, rules, suffix, "speed_kmh" if variant == "instantaneous" else None), rules)
-    df = slow_and_turning(df) if variant == "instantaneous" else df
+    df = slow_and_turning(df, rules.stationary_speed, rules.moderate_turn_threshold) if variant == "instantaneous" else df
     df = df.withColumn("is_fishing", flag(F.col("fishing_score") >= rules.fishing_score_threshold))
     return df if variant in _BY_ROWS else smooth(df, least=rules.min_state_duration)
 

@@ -13,7 +13,7 @@ from ..operators import rolling as R
 from ..operators import shore as S
 from ..operators import smoothing as X
 from ..operators import summary as A
-from ..operators.rules import agreement, indicator_rates
+from ..operators.rules import Rules, agreement, indicator_rates
 from ..sources.tables import stamp, tracks
 from . import track_sql as Q
 from .effort import classify
@@ -233,6 +233,12 @@ def rules_planar_dirty(t):
     return r6(classify(t, "planar").select(*ID, *_FLAGS, "is_fishing_pattern", "is_search_pattern", "fishing_score", "is_fishing"))
 
 
+@query(f", {Q.rules(True)}, h AS (SELECT *, least({', '.join(Q.hav('latitude', 'longitude', f'{a}::DOUBLE', f'{b}::DOUBLE') for a, b in S.HARBORS['zanzibar'])}) AS d FROM res) SELECT trip_id, event_id, is_fishing, round(d, 6) AS dist_to_shore_km, (d < 30.0)::INT AS is_near_shore, CASE WHEN d < 30.0 THEN 0 ELSE is_fishing END AS is_fishing_filtered FROM h")
+def rules_planar_shore(t):
+    rules = Rules.of({"enable_shore_filtering": True, "shore_filter_method": "harbor", "shore_filter_region": "zanzibar", "shore_min_distance_km": 30.0})
+    return r6(classify(t, "planar", rules).select(*ID, "is_fishing", "dist_to_shore_km", "is_near_shore", "is_fishing_filtered"))
+
+
 _PHASE = f"""p1 AS (SELECT trip_id, event_id, count(*) OVER (PARTITION BY trip_id) AS n, row_number() OVER {Q.W} - 1 AS i, {Q.hav('latitude', 'longitude', f'first_value(latitude) OVER {Q.WHOLE}', f'first_value(longitude) OVER {Q.WHOLE}')} AS d1, {Q.hav('latitude', 'longitude', f'last_value(latitude) OVER {Q.WHOLE}', f'last_value(longitude) OVER {Q.WHOLE}')} AS d2 FROM tracks),
 p2 AS (SELECT *, CASE WHEN n >= 3 THEN i / (n - 1) ELSE 0.0::DOUBLE END AS trip_progress, CASE WHEN n >= 3 THEN d1 ELSE 0.0::DOUBLE END AS dist_to_start_km, CASE WHEN n >= 3 THEN d2 ELSE 0.0::DOUBLE END AS dist_to_end_km FROM p1),
 pha AS (SELECT *, CASE WHEN n >= 3 AND (dist_to_end_km <= 1.0 OR trip_progress >= 0.95) THEN 'ending' WHEN n >= 3 AND (dist_to_start_km <= 1.0 OR trip_progress <= 0.05) THEN 'starting' ELSE 'in_progress' END AS trip_phase FROM p2)"""
@@ -265,11 +271,6 @@ def state_smoothing(t):
     return X.smooth(labelled(t)).select(*ID, "is_fishing")
 
 
-@query(f", {_LABELLED} SELECT trip_id, event_id, is_fishing FROM lab")
-def label_mapping(t):
-    return labelled(t).select(*ID, "is_fishing")
-
-
 @query(f", {Q.rules(True)} SELECT trip_id, count(is_fishing) AS total_points, sum(is_fishing)::BIGINT AS fishing_points, round(avg(is_fishing), 4) AS fishing_ratio, round(avg(fishing_score), 4) AS avg_fishing_score, round(stddev_samp(fishing_score), 4) AS std_fishing_score, round(avg(speed_kmh), 4) AS avg_speed_kmh, round(max(speed_kmh), 4) AS max_speed_kmh, {Q.stamp('min(t_us)')} AS start_time, {Q.stamp('max(t_us)')} AS end_time, round((max(t_us) - min(t_us)) / 3.6e9, 6) AS duration_hours FROM res GROUP BY trip_id")
 def trip_summary(t):
     return r6(A.trip_summary(classify(t)))
@@ -345,6 +346,11 @@ def coast_filter_joined(t):
     return r6(S.coast_filter(labelled(t), _coast(t), _coast(t), few=0).select(*ID, "dist_to_shore_km", "is_on_land", "is_near_shore", "is_fishing_filtered"))
 
 
+@query(f", {_COAST}, cf AS ({_COAST_OUT}) SELECT trip_id, event_id, dist_to_shore_km, is_fishing_filtered FROM cf WHERE is_near_shore <> 1 AND NOT is_on_land")
+def coast_clean_points(t):
+    return r6(S.clean_points(S.coast_filter(labelled(t), _coast(t), _coast(t))).select(*ID, "dist_to_shore_km", "is_fishing_filtered"))
+
+
 _BOX = (-6.5, -5.5, 39.0, 40.0)
 
 
@@ -430,6 +436,11 @@ def hex_color_max(t):
     return r6(H.color_max(H.metrics(hex_points(t), _RES, {"overall": []}), "fishing_hours"))
 
 
+@query(f", {_HEXP} SELECT cell, count(*) AS n_points FROM hc GROUP BY cell")
+def hex_density(t):
+    return H.density(hex_points(t), _RES)
+
+
 # --- rectangular grid ------------------------------------------------------------------------------------------------
 
 _BOUNDS = "bx AS (SELECT min(latitude) - (max(latitude) - min(latitude)) * 0.05::DOUBLE AS min_lat, max(latitude) + (max(latitude) - min(latitude)) * 0.05::DOUBLE AS max_lat, min(longitude) - (max(longitude) - min(longitude)) * 0.05::DOUBLE AS min_lon, max(longitude) + (max(longitude) - min(longitude)) * 0.05::DOUBLE AS max_lon FROM tracks)"
@@ -479,6 +490,16 @@ def trips_starting_in_box(t):
     return A.starts_in_box(t, (-6.005, -5.995, 39.495, 39.505)).select(*ID)
 
 
+@query("SELECT trip_id, event_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM tracks WHERE trip_id = 5")
+def one_trip(t):
+    return r6(A.one_trip(t, 5).select(*ID, "latitude", "longitude"))
+
+
+@query(f", {_LABELLED} SELECT trip_id, count(*) AS total_points, sum(is_fishing)::BIGINT AS fishing_points, round(avg(is_fishing), 6) AS fishing_ratio FROM lab GROUP BY trip_id")
+def predicted_summary(t):
+    return r6(A.predicted_summary(labelled(t), "is_fishing"))
+
+
 @query(f", {_LABELLED} SELECT count(*) AS n_points, sum(is_fishing)::BIGINT AS fishing_points, round(100 * avg(is_fishing), 6) AS fishing_percent, count(DISTINCT trip_id) AS n_trips, count(DISTINCT latitude) * count(DISTINCT longitude) AS coverage FROM lab")
 def layer_annotations(t):
     return r6(A.coverage(labelled(t)))

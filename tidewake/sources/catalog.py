@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ class SyncResult:
     copied: list[str] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
     failed: list[str] = field(default_factory=list)
+    error: str = ""
 
     @property
     def total(self) -> int:
@@ -55,18 +58,22 @@ class TripCatalog:
         return f"{self.folder}/{PREFIX}{int(trip_id) if isinstance(trip_id, float) else trip_id}.parquet"
 
     def load(self, trip_id) -> DataFrame:
-        name = str(int(trip_id) if isinstance(trip_id, float) else trip_id)
-        known = self.ids()
-        if name not in known:
-            raise FileNotFoundError(f"{self.path(trip_id)} isn't there; first trips: {known[:10]}")
-        return self.spark.read.parquet(self.path(trip_id))
+        try:
+            return self.spark.read.parquet(self.path(trip_id))
+        except AnalysisException as e:  # the folder is listed only then
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise FileNotFoundError(f"{self.path(trip_id)} isn't there; first trips: {self.ids()[:10]}") from e
 
     def load_many(self, trip_ids: Iterable, combine: bool = True) -> DataFrame | list[DataFrame]:
         """All trips of the list that are there, as one DataFrame (schemas merged) or one each; none at all is an error."""
         known = set(self.ids())
-        wanted = [x for x in trip_ids if str(int(x) if isinstance(x, float) else x) in known]
+        asked = list(trip_ids)
+        wanted = [x for x in asked if str(int(x) if isinstance(x, float) else x) in known]
         if not wanted:
             raise ValueError("none of the trips is there")
+        if len(wanted) < len(asked):
+            warnings.warn(f"trips that aren't there are left out: {[x for x in asked if x not in wanted]}", stacklevel=2)
         if not combine:
             return [self.spark.read.parquet(self.path(x)) for x in wanted]
         return self.spark.read.option("mergeSchema", True).parquet(*map(self.path, wanted))
@@ -82,16 +89,8 @@ class TripCatalog:
 
     def summarize(self) -> DataFrame:
         """One row a file from one grouped scan: trip_id, n_points, time and coordinate ranges, duration_hours, file_size_bytes."""
-        df = self.load_all()
-        have = set(df.columns)
-        aggs = [F.count("*").alias("n_points")]
-        if "timestamp" in have:
-            t = F.col("timestamp").cast("timestamp_ntz")
-            aggs += [F.min(t).alias("start_time"), F.max(t).alias("end_time")]
-        aggs += [f(c).alias(f"{n}_{c}") for c in ("latitude", "longitude") if c in have for n, f in (("min", F.min), ("max", F.max))]
-        out = df.withColumn("_path", F.col("_metadata.file_path")).withColumn("_size", F.col("_metadata.file_size")).groupBy("_path", "_size").agg(*aggs)
-        out = out.select(trip_id_of(F.col("_path")).alias("trip_id"), F.col("_size").alias("file_size_bytes"), (F.col("_size") / (1024 * 1024)).alias("file_size_mb"), *[c for c in out.columns if c[0] != "_"])
-        return out.withColumn("duration_hours", F.expr("timestampdiff(MICROSECOND, start_time, end_time) / 3.6e9")) if "timestamp" in have else out
+        out = summarize(self.load_all().withColumn("_path", F.col("_metadata.file_path")).withColumn("_size", F.col("_metadata.file_size")), ["_path", "_size"])
+        return out.select(trip_id_of(F.col("_path")).alias("trip_id"), F.col("_size").alias("file_size_bytes"), (F.col("_size") / (1024 * 1024)).alias("file_size_mb"), *[c for c in out.columns if c[0] != "_"])
 
     def info(self, trip_id) -> dict:
         one = TripCatalog(self.spark, self.folder)
@@ -99,14 +98,31 @@ class TripCatalog:
         return {**one.summarize().first().asDict(), "columns": self.load(trip_id).columns}
 
     def find(self, min_points=None, max_points=None, min_duration_hours=None, max_duration_hours=None) -> list[str]:
-        df = self.summarize()
-        for column, low, high in (("n_points", min_points, max_points), ("duration_hours", min_duration_hours, max_duration_hours)):
-            if column in df.columns:
-                df = df.where(F.col(column) >= low) if low is not None else df
-                df = df.where(F.col(column) <= high) if high is not None else df
+        df = with_points(self.summarize(), min_points, max_points, min_duration_hours, max_duration_hours)
         return [r.trip_id for r in df.select("trip_id").orderBy("trip_id").collect()]
 
 
+def summarize(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_points and, of the columns that df has, the ranges of timestamp, latitude and longitude, and duration_hours."""
+    have = set(df.columns)
+    aggs = [F.count("*").alias("n_points")]
+    if "timestamp" in have:
+        t = F.col("timestamp").cast("timestamp_ntz")
+        aggs += [F.min(t).alias("start_time"), F.max(t).alias("end_time")]
+    aggs += [f(c).alias(f"{n}_{c}") for c in ("latitude", "longitude") if c in have for n, f in (("min", F.min), ("max", F.max))]
+    out = df.groupBy(*by).agg(*aggs)
+    return out.withColumn("duration_hours", F.expr("timestampdiff(MICROSECOND, start_time, end_time) / 3.6e9")) if "timestamp" in have else out
+
+
+def with_points(summary: DataFrame, min_points=None, max_points=None, min_duration_hours=None, max_duration_hours=None) -> DataFrame:
+    """Rows of summarize() within the bounds that are given; a bound on a column that isn't there says nothing."""
+    for column, low, high in (("n_points", min_points, max_points), ("duration_hours", min_duration_hours, max_duration_hours)):
+        if column in summary.columns:
+            summary = summary.where(F.col(column) >= low) if low is not None else summary
+            summary = summary.where(F.col(column) <= high) if high is not None else summary
+    return summary
+
+
 def missing(remote: DataFrame, local: DataFrame, key: str = "trip_id") -> DataFrame:
     """Rows of remote whose key local doesn't have."""
     return remote.join(local.select(key).distinct(), key, "left_anti")
@@ -140,6 +156,12 @@ def sync_countries(spark: SparkSession, remotes: dict[str, str], local: str, cop
     for country, remote in remotes.items():
         try:
             out[country] = sync(spark, remote, f"{local.rstrip('/')}/{country}", copy)
-        except Exception:
-            out[country] = SyncResult(failed=["ALL"])
+        except Exception as e:  # one country's trouble doesn't stop the others; its cause is kept
+            out[country] = SyncResult(failed=["ALL"], error=f"{type(e).__name__}: {e}")
     return out
+
+
+def sync_country(spark: SparkSession, country: str, local: str, copy: Callable[[str, str], None], bucket: str | None = None, prefix: str = "", scheme: str = "gs") -> SyncResult:
+    """sync() from a country's own bucket (pds-<country> unless another is named) to local/<country>."""
+    remote = "/".join(x for x in (f"{scheme}://{bucket or f'pds-{country}'}", prefix.strip("/")) if x)
+    return sync(spark, remote, f"{local.rstrip('/')}/{country}", copy)

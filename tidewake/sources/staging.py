@@ -32,3 +32,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a counted table that may be broadcast.
+FEW_ROWS = 200_000
+
+
+def beside(df: DataFrame, name: str = "groups") -> DataFrame:
+    """A table of groups to join to many rows: written and counted, and broadcast if it has FEW_ROWS at most, so that the many rows aren't dealt out by a few group keys."""
+    from pyspark.sql import functions as F
+
+    kept = staged(df, name)
+    return F.broadcast(kept) if kept.count() <= FEW_ROWS else kept
