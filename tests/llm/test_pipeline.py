@@ -68,12 +68,12 @@ def test_language_stage_refuses_what_is_no_language_and_mends_labels(spark, docs
     scripts = ["бвгджзклмнпрстфхцчшщ", "日本語漢字世界国民人口山川", "αβγδεζηθκλμνξπρστφχψω", "אבגדהוזחטיכלמנסעפצקרשת"]
     junk = ["".join(rng.choice(s + " ") for _ in range(rng.randint(80, 600))) for s in scripts for _ in range(10)]
     junk += ["".join(rng.choice("bcdfghjkpqvwxz0123456789") for _ in range(rng.randint(80, 600))) for _ in range(20)]
-    names = spark.createDataFrame(list(enumerate(langs + [rng.choice(["en", "fr"]) for _ in junk])), "doc_id long, lang string")
+    names = spark.createDataFrame(list(enumerate(langs + [None for _ in junk])), "doc_id long, lang string")
     d = docs(texts + junk).drop("lang").join(names, "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
     out = {r.doc_id: r.lang for r in P.by_language(spark, d, "").collect()}
     clean = sum(i in out for i in range(1500))
     refused = sum(i not in out for i in range(1500, 1500 + len(junk)))
-    assert clean >= 0.99 * 1500, clean
+    assert clean >= 0.995 * 1500, clean
     assert refused >= 0.9 * len(junk), (refused, len(junk))
     assert [out[i] for i in (30, 33, 36)] == ["fr"] * 3
     assert sum(out[i] != langs[i] for i in out if i < 1500 and i not in (30, 33, 36)) <= 3

@@ -22,10 +22,11 @@ from .words import sliced
 DIM = 1 << 16
 #: The bounded samples of labelled rows: expected texts of each label for training and for calibration, and their bytes.
 PER_LANGUAGE, PER_LANGUAGE_CALIBRATION, SAMPLE_BYTES = 500, 150, 16 << 20
-#: A text of TELLING code points is told surely if its score is at least that which all but a REFUSED-th of the calibration's
-#: texts of that length reach, or SURE if they reach more; with under CALIBRATED such texts, or a shorter text, OVER_CHANCE
-#: times an equal chance of all labels is enough.
-TELLING, REFUSED, SURE, CALIBRATED, OVER_CHANCE = 60, 0.005, 0.9, 50, 1.05
+#: A cell is known if this part of the learned texts has it (two of them at least).  A text of TELLING code points is in a
+#: learned language, or in several, if KNOWN of its n-grams are; of a shorter one, and of any after fewer than LEARNED learned
+#: texts (too few to know a language's n-grams), the score must be OVER_CHANCE times an equal chance of all labels.  A
+#: prediction contradicts a label if its score is SURE.
+COMMON, KNOWN, TELLING, LEARNED, OVER_CHANCE, SURE = 0.001, 0.65, 60, 500, 1.05, 0.9
 #: Weights that a prediction gathers at a time.
 GATHERED = 4_000_000
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.001, 2, 30.0
@@ -96,10 +97,9 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, labels: list[str], weights: np.ndarray, temp: float, sure: float | None = None):
-        self.labels, self.weights, self.temp = labels, weights, temp  # weights hold the IDF
+    def __init__(self, labels: list[str], weights: np.ndarray, temp: float, known: np.ndarray, learned: int):
+        self.labels, self.weights, self.temp, self.known, self.learned = labels, weights, temp, known, learned  # weights hold the IDF
         self.by_chance = OVER_CHANCE / len(labels) if len(labels) > 1 else 0.0
-        self.sure = self.by_chance if sure is None else max(sure, self.by_chance)
 
 
 def _document_counts(batches):
@@ -153,9 +153,7 @@ def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
     w = ftrl.weights(slice(None))
     held = [(*tfidf(r.text, idf), index[r.lang]) for r, s in zip(rows, split, strict=True) if not s]
     temp = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([y for *_, y in held])) if held else 1.0
-    scores = [float(softmax(x @ w[at] / temp).max()) for (at, x, _), text in zip(held, [r.text for r, s in zip(rows, split, strict=True) if not s], strict=True) if len(text) >= TELLING]
-    sure = min(SURE, float(np.quantile(scores, REFUSED))) if len(scores) >= CALIBRATED else None
-    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp, sure)
+    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp, seen >= max(2, COMMON * texts), texts)
 
 
 def _predict(shared):
@@ -171,36 +169,36 @@ def _predict(shared):
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 scores[own[first]] += np.add.reduceat(m.weights[cells[at : at + step]], first, axis=0, dtype=np.float64)
             scores /= np.maximum(n, 1)[:, None]
+            known = np.bincount(text, m.known[cells], len(texts)) / np.maximum(n, 1)
             p = softmax(scores / m.temp)
             best = p.argmax(axis=1)
             ok = [has_letter(x) for x in texts]
             lang = [m.labels[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
             score = np.where(ok, p[np.arange(len(texts)), best], 0.0)
-            yield from t.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).to_batches()
+            yield from t.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).append_column("known", pa.array(known)).to_batches()
 
     return run
 
 
 def identify(texts: DataFrame, model: Model | None) -> DataFrame:
-    """texts: any columns and `text` -> all of them, lang_pred and score (the calibrated chance of lang_pred).
+    """texts: any columns and `text` -> all of them, lang_pred, score (the calibrated chance of lang_pred) and known (the part of its n-grams that the learned texts have).
 
-    Columns lang_pred and score of texts are replaced.  A text that is null or has no letter is `und` with score 0; with one
+    Columns lang_pred, score and known of texts are replaced.  A text that is null or has no letter is `und` with score 0; with one
     letter and no other character all labels are equally likely and the first by name is given, as of any labels of equal
     scores.  Without a model every text is `und`.  Rows don't depend on each other; an empty table gives no rows.  Long texts
     are scored whole, GATHERED weights at a time."""
-    texts = texts.drop("lang_pred", "score")
+    texts = texts.drop("lang_pred", "score", "known")
     if model is None:
-        return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0)).withColumn("known", F.lit(0.0))
     shared = texts.sparkSession.sparkContext.broadcast(model)  # DIM floats a label: 0.25 MB
-    return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
 
 
 def surely(text: Column, model: Model | None) -> Column:
-    """Whether a prediction of identify() is sure enough for the text's length: texts of no learned language, as random
-    letters or other scripts, mostly aren't."""
+    """Whether identify() finds the text in a learned language, or in a mixture of such: texts in other scripts and random signs aren't."""
     if model is None:
         return F.lit(False)
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.when(F.length(text) >= TELLING, model.sure).otherwise(model.by_chance))
+    return (F.col("lang_pred") != UNKNOWN) & F.when((F.length(text) >= TELLING) & F.lit(model.learned >= LEARNED), F.col("known") >= KNOWN).otherwise(F.col("score") >= model.by_chance)
 
 
 def held_out(doc_id: Column) -> Column:
