@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_staged
 from .common import stored
 
 
@@ -32,8 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = sign(now)
     while before[0]:
-        now = stored(_star(_star(now, True), False), "components")
+        last, now = now, stored(_star(_star(now, True), False), "components")
         after = sign(now)
+        drop_staged(last)
         if after == before:
             break
         before = after
