@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import decontamination, jaccard_join, language_id, mixing, sharding
 from tidewake.llm.common import boxed, stored, table, unboxed
+from tidewake.sources.staging import drop_staged
 
 #: Part of all tokens that the mix takes, and how often it may take a row.
 MIX_FRACTION, MIX_EPOCHS = 0.9, 1
@@ -73,6 +74,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if i:
+            drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -154,3 +154,72 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert {"is_fishing", "fishing_score"} <= set(spark.read.parquet(str(tmp_path / "o.parquet")).columns)
     with pytest.raises(SystemExit):
         cli.main(["gear", "predict", "--input", f"{folder}/pds-tracks_12.parquet", "--output", "x.csv"])
+
+
+def test_staged_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from tidewake.sources import staging
+
+    a, b = (staging.staged(spark.range(n), "t") for n in (3, 5))
+    folders = [Path(x._staged_path.removeprefix("file:")) for x in (a, b)]
+    assert a.count() == 3 and all(f.is_dir() for f in folders)
+    staging.drop_staged(a)
+    assert [f.exists() for f in folders] == [False, True] and b.count() == 5
+    small = staging.beside(spark.range(4).withColumnRenamed("id", "k"))
+    assert spark.range(10).withColumnRenamed("id", "k").join(small, "k").count() == 4
+
+
+def test_sync_keeps_the_cause_and_names_buckets(spark, tmp_path, monkeypatch):
+    both = catalog.sync_countries(spark, {"b": str(tmp_path / "nowhere")}, str(tmp_path / "new"), lambda a, b: None)
+    assert both["b"].failed == ["ALL"] and "nowhere" in both["b"].error
+    asked = []
+    monkeypatch.setattr(catalog, "sync", lambda spark, remote, local, copy: asked.append((remote, local)))
+    catalog.sync_country(spark, "kenya", "/data", None)
+    catalog.sync_country(spark, "kenya", "/data/", None, bucket="own", prefix="/a/b/", scheme="s3a")
+    assert asked == [("gs://pds-kenya", "/data/kenya"), ("s3a://own/a/b", "/data/kenya")]
+
+
+def test_missing_trips_are_warned_of(spark, folder):
+    with pytest.warns(UserWarning, match="999"):
+        assert catalog.TripCatalog(spark, folder).load_many([7, 999]).count() == 7
+
+
+def test_dashboards_are_replaced_by_country(spark, tmp_path):
+    def documents(*rows):
+        return spark.createDataFrame([(json.dumps({"meta": {"country": c, "total_points": n}, "data": {"7": [{"h": "h7_1_1", "fh": float(n)}]}}),) for c, n in rows], "document string")
+
+    held = H.load_dashboards(documents(("kenya", 1), ("zanzibar", 2)))
+    now = H.replace_dashboards(held, H.load_dashboards(documents(("kenya", 9), ("wio", 3))))
+    assert sorted((r.country, r.total_points) for r in now.collect()) == [("kenya", 9), ("wio", 3), ("zanzibar", 2)]
+    assert sorted(r.country for r in H.remove_dashboard(now, "wio").collect()) == ["kenya", "zanzibar"]
+    rows = H.dashboard_rows(now).where("country = 'kenya'").collect()
+    assert [(r.res, r.h, r.fh) for r in rows] == [("7", "h7_1_1", 9.0)]
+
+
+def test_coast_tables_and_the_classifiers_shore_step(spark, tmp_path):
+    from tidewake.operators import shore as S
+    from tidewake.operators.rules import Rules
+    from tidewake.plans.effort import EffortClassifier, classify
+
+    ring = [[39.0, -6.0], [39.2, -6.0], [39.2, -5.8], [39.0, -5.8], [39.0, -6.0]]
+    (tmp_path / "coast.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}]}))
+    told = S.install_coast(spark, str(tmp_path / "coast.json"), str(tmp_path / "coast.parquet"))
+    assert (told["segments"], told["rings"], told["min_lat"], told["max_lon"]) == (4, 1, -6.0, 39.2)
+    points = spark.createDataFrame([(1, i, i * 60_000_000, -5.9 + 0.001 * i, 39.1 + 0.01 * i) for i in range(30)], POINTS)
+    files = {"enable_shore_filtering": True, "shore_coastline_shapefile": str(tmp_path / "coast.parquet"), "shore_land_shapefile": str(tmp_path / "coast.json"), "shore_filter_only_fishing": False}
+    out = {r.event_id: r for r in classify(points, "planar", Rules.of(files)).collect()}
+    assert out[0].is_on_land and not out[20].is_on_land and out[20].dist_to_shore_km == pytest.approx(0.1 * 111, rel=1e-6)
+    assert all(r.is_fishing_filtered == (0 if r.is_on_land or r.is_near_shore else r.is_fishing) for r in out.values())
+    for bad in ({"shore_filter_region": "atlantis", **files}, {"enable_shore_filtering": True}, {"enable_shore_filtering": True, "shore_filter_method": "other"}, {"enable_shore_filtering": True, "shore_filter_method": "harbor"}):
+        with pytest.raises(ValueError):
+            EffortClassifier(bad).predict(points)
+
+
+def test_one_trip_must_be_there(spark):
+    from tidewake.operators.summary import one_trip
+
+    df = spark.createDataFrame([(1, 1, 0, 0.0, 0.0)], POINTS)
+    assert one_trip(df, 1).count() == 1
+    with pytest.raises(ValueError, match="2"):
+        one_trip(df, 2)

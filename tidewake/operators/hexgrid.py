@@ -183,3 +183,29 @@ def dashboard(points: DataFrame, country: str, resolutions=(7, 8), speed: str |
 
 def write_dashboard(points: DataFrame, country: str, output: str, **options) -> None:
     dashboard(points, country, **options).coalesce(1).write.mode("overwrite").text(f"{output}/dashboard_{country}")
+
+
+_META = "struct<country:string,total_points:bigint,total_fishing_hours:double>"
+_ROWS = "map<string,array<struct<h:string,y:int,m:int,dn:string,s:string,fh:double,nt:bigint,nd:bigint,vd:bigint,sp:double>>>"
+
+
+def load_dashboards(documents: DataFrame, column: str = "document") -> DataFrame:
+    """Dashboard documents (JSON text) as rows: country, total_points, total_fishing_hours, document.  Of several of a country the greatest text counts."""
+    at = documents.select(F.col(column).alias("document"), F.from_json(F.get_json_object(column, "$.meta"), _META).alias("m"))
+    rows = at.select("m.country", "m.total_points", "m.total_fishing_hours", "document").where("country is not null")
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy("country").orderBy(F.desc("document")))).where("_n = 1").drop("_n")
+
+
+def replace_dashboards(held: DataFrame, loaded: DataFrame) -> DataFrame:
+    """The held dashboards, each replaced by the loaded one of its country, and the loaded ones of further countries."""
+    return held.join(loaded.select("country"), "country", "left_anti").unionByName(loaded)
+
+
+def remove_dashboard(held: DataFrame, country: str) -> DataFrame:
+    return held.where(F.col("country") != country)
+
+
+def dashboard_rows(held: DataFrame) -> DataFrame:
+    """country, res and the cube's rows of the dashboards."""
+    at = held.select("country", F.explode(F.from_json(F.get_json_object("document", "$.data"), _ROWS)).alias("res", "rows"))
+    return at.select("country", "res", F.inline("rows"))

@@ -26,12 +26,49 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidewake-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage is cut, columns are pruned, and a lost executor loses nothing."""
+    """df written as Parquet to the shared folder and read back: lineage is cut, columns are pruned, and a lost executor loses nothing.
+
+    Plans made of it need the table until they have run; release() removes an application's tables, and so does its end."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _known:
+        _known.add(spark.sparkContext.applicationId)
+        atexit.register(_release_quietly, spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+_known: set[str] = set()
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that staged() returned, when nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._staged_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application has staged; their queries must be done."""
+    _delete(spark, _folder(spark))
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    import contextlib
+
+    with contextlib.suppress(Exception):  # the application is over; a stopped session can't delete any more
+        if spark.sparkContext._jsc is not None:
+            release(spark)
 
 
 #: Rows of a counted table that may be broadcast.
