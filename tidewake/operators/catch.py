@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import landing_season
 from ..sources.staging import beside, staged
-from .quantiles import first_of, many_quantiles, quantiles, ranks
+from .quantiles import FEW_WHOLE, SMALL_ROWS, first_of, many_quantiles, quantiles, ranks, whole_quantiles
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def valid(df: DataFrame) -> DataFrame:
 
 def trimmed(df: DataFrame, part: float = 0.99) -> DataFrame:
     """Rows at or under the percentile of both cpue and effort, with log_cpue and log_effort (log1p)."""
-    edge = many_quantiles(df, {"cpue": [part], "effort": [part]}).first()  # one row; as literals its bounds reach the scan
-    out = df.where((F.col("cpue") <= edge.cpue[0]) & (F.col("effort") <= edge.effort[0])) if edge else df.where(F.lit(False))
+    edge = whole_quantiles(df, {"cpue": [part], "effort": [part]}, FEW_WHOLE)  # as literals the bounds reach the scan
+    out = df.where((F.col("cpue") <= edge["cpue"][0]) & (F.col("effort") <= edge["effort"][0])) if all(edge.values()) else df.where(F.lit(False))
     return out.withColumn("log_cpue", F.log1p("cpue")).withColumn("log_effort", F.log1p("effort"))
 
 
@@ -61,9 +61,17 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.join(quantiles(long, "x", [0.25, 0.5, 0.75], ["column"]), "column").select("column", "n", "mean", "std", "min", *[first_of("q", i).alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")
 
 
-def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] = ()) -> DataFrame:
-    """rho and n, over all rows or by group."""
+def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] = (), rows: int | None = None) -> DataFrame:
+    """rho and n, over all rows or by group.  rows: a count of df, if it is known; up to SMALL_ROWS one sort a column ranks them, more are ranked by distinct pairs, with the same result."""
     by = list(by)
+    n = rows if rows is not None else df.count()
+    if n <= SMALL_ROWS:
+        at = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+        for c, r in ((x, "_x"), (y, "_y")):
+            upto = F.count("*").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(c).rangeBetween(W.unboundedPreceding, 0))
+            same = F.count("*").over(W.partitionBy(*(by or [F.lit(0)]), c))
+            at = at.withColumn(r, upto - same + (same + 1) / 2)
+        return at.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
     pairs = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n")), "pairs")
     at = pairs
     for c, r in ((x, "_x"), (y, "_y")):
@@ -133,12 +141,13 @@ def annual_trend(df: DataFrame, first: int = 2000, last: int = 2024) -> DataFram
 def group_stats(df: DataFrame, by: str, least: int = 30) -> DataFrame:
     """Per gear or unit with enough rows: medians and means, effort_cv, rho, depl_ratio (mean cpue over the upper to that under the lower effort quartile), log_slope, cpue_trend (over more than two years), n_years."""
     many = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    middle = many_quantiles(df, {"effort": [0.25, 0.5, 0.75], "cpue": [0.5]}, [by]).select(by, F.col("effort").alias("_q"), first_of("cpue").alias("cpue_med"))
+    rows = df.count()
+    middle = many_quantiles(df, {"effort": [0.25, 0.5, 0.75], "cpue": [0.5]}, [by], rows=rows).select(by, F.col("effort").alias("_q"), first_of("cpue").alias("cpue_med"))
     at = df.join(beside(many.join(middle, by)), by)
     low, high = F.avg(F.when(F.col("effort") <= first_of("_q"), F.col("cpue"))), F.avg(F.when(F.col("effort") >= first_of("_q", 2), F.col("cpue")))
     years = F.count_distinct("year")
     out = at.groupBy(by, "n", "cpue_med", first_of("_q", 1).alias("effort_med")).agg((F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"), years.alias("n_years"))
-    return out.join(beside(spearman(df, by=[by]).select(by, "rho")), by)
+    return out.join(beside(spearman(df, by=[by], rows=rows).select(by, "rho")), by)
 
 
 def depletion(ratio: Column) -> Column:

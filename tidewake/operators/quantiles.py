@@ -7,6 +7,10 @@ sketch only proposes: a bracket whose counts show that it misses the quantile is
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +19,8 @@ from ..sources.staging import beside, staged
 
 #: Steps of a sketch over a bracket, and its accuracy.
 GRID, ACCURACY = 500, 5000
-#: Brackets of so many rows are narrow enough; distinct values that are ranked in one task.
-FEW = 200_000
+#: Brackets of so many rows are narrow enough, and those whose values the driver gets; distinct values that are ranked in one task.
+FEW, FEW_WHOLE = 200_000, 20_000
 #: Up to so many rows, counted first, one task can hold all values: the direct way is quicker and gives the same.
 SMALL_ROWS = 2_000_000
 
@@ -26,21 +30,79 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[s
     return many_quantiles(df, {column: probabilities}, by, small_rows, few).withColumnRenamed(column, "q")
 
 
-def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
-    """by, and for each column its quantiles, as quantiles(); groups that lack values in one column lack them in all."""
+def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW, rows: int | None = None) -> DataFrame:
+    """by, and for each column its quantiles, as quantiles(); groups that lack values in one column lack them in all.  rows: a count of df, if it is known."""
     by = list(by)
     x = df.select(*by, *[F.col(c).cast("double").alias(c) for c in wanted])
-    n = x.count() if small_rows > 0 else 0
+    if not by:
+        told = whole_quantiles(x, wanted, min(few, FEW_WHOLE))
+        one = x.sparkSession.range(1).select(*[F.array(*map(F.lit, q or [0.0])).alias(c) for c, q in told.items()])
+        return one if all(told.values()) else one.limit(0)
+    n = rows if rows is not None else x.count() if small_rows > 0 else 0
     if 0 < n <= small_rows:
         out = x.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in wanted.items()])
         return out.where(" and ".join(f"`{c}` is not null" for c in wanted))
     parts = [_narrowed(x.select(*by, F.col(c).alias("_x")).where("_x is not null"), p, by, few).withColumnRenamed("q", c) for c, p in wanted.items()]
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row without groups
+        out = out.join(part, by)
     return out
 
 
+def whole_quantiles(x: DataFrame, wanted: dict[str, list[float]], few: int) -> dict[str, list[float] | None]:
+    """Each column's quantiles over all rows (None without a value), at once: every round is one aggregate over x, whose
+    single row the driver turns into the next brackets; at last it gets the few distinct values inside them."""
+    grid = [j / GRID for j in range(GRID + 1)]
+    first = x.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("s", F.percentile_approx(c, grid, F.lit(ACCURACY))))]).first()
+    marks = []  # a bracket for each quantile, with the bracket that it comes from
+    for i, (c, ps) in enumerate(wanted.items()):
+        if n := first[f"n{i}"]:
+            for j, p in enumerate(ps):
+                m = {"c": c, "j": j, "n": n, "r": p * (n - 1), "k": math.floor(p * (n - 1)), "lo": first[f"a{i}"], "hi": first[f"b{i}"], "wide": 2.0}
+                marks.append(m | dict(zip("ab", _around(first[f"s{i}"], m["k"] / n, m), strict=True)))
+    todo = marks
+    while todo:
+        inside = [(F.col(m["c"]) >= m["a"]) & (F.col(m["c"]) <= m["b"]) for m in todo]
+        sketch = [F.percentile_approx(F.when(e, F.col(m["c"])), grid, F.lit(ACCURACY)) if m["n"] > few else F.lit(None) for e, m in zip(inside, todo, strict=True)]
+        row = x.agg(*[f.alias(f"{n}{i}") for i, (e, m, s) in enumerate(zip(inside, todo, sketch, strict=True)) for n, f in (("u", F.count_if(F.col(m["c"]) < m["a"])), ("w", F.count_if(e)), ("s", s))]).first()
+        left = []
+        for i, m in enumerate(todo):
+            m["below"], size = row[f"u{i}"], row[f"w{i}"]
+            if not (m["below"] <= m["k"] and (m["k"] + 1 < m["below"] + size or m["k"] + 1 >= m["n"])):  # the sketch was wrong
+                m |= {"a": m["lo"], "b": m["hi"], "wide": m["wide"] * 8}
+                left.append(m)
+            elif size > few and m["a"] < m["b"]:
+                a, b = _around(row[f"s{i}"], (m["k"] - m["below"]) / size, m)
+                if a > m["a"] or b < m["b"]:
+                    m |= {"lo": m["a"], "hi": m["b"], "a": a, "b": b}
+                    left.append(m)
+        todo = left
+    out: dict[str, list[float] | None] = {}
+    for c, ps in wanted.items():
+        mine = [m for m in marks if m["c"] == c]
+        if not mine:
+            out[c] = None
+            continue
+        near = reduce(or_, [(F.col(c) >= m["a"]) & (F.col(c) <= m["b"]) for m in mine])
+        counts = sorted((r[0], r[1]) for r in x.where(near).groupBy(c).count().collect())  # a few values for each quantile
+        out[c] = [0.0] * len(ps)
+        for m in mine:
+            at, found = m["below"], []
+            for v, n in counts:
+                if m["a"] <= v <= m["b"] or v == m["a"] == m["b"]:
+                    found += [v] * (sum(at <= k < at + n for k in (m["k"], min(m["k"] + 1, m["n"] - 1))))
+                    at += n
+            low, high, part = found[0], found[-1], m["r"] - m["k"]
+            out[c][m["j"]] = low if part == 0 or low == high else low + (high - low) * part  # infinite values have no difference
+    return out
+
+
+def _around(sketch: list[float], part: float, m: dict) -> tuple[float, float]:
+    """The bracket some steps of the sketch around a part of its values; the ends are exact."""
+    low, high = math.floor(part * GRID - m["wide"]), math.ceil(part * GRID + m["wide"] + 1)
+    return (m["lo"] if low <= 0 else sketch[low]), (m["hi"] if high >= GRID else sketch[high])
+
+
 def _met(x: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
     """Each row of x with its group's marks, which have the group's columns under other names."""
     named = marks.withColumnsRenamed({c: f"_by_{c}" for c in by})
@@ -91,9 +153,9 @@ def ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows:
     by = list(by)
     values = df.groupBy(*by, column).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     mean = lambda upto: (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)
-    if small_rows > 0 and 0 < (n := values.count()) <= small_rows:
+    if small_rows > 0 and 0 < (n := df.count()) <= small_rows:  # of rows, so of values
         return values.select(*by, column, mean(F.sum("_c").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(column))))
-    n = values.count() if small_rows <= 0 else n
+    n = values.count()
     dealt = values.repartitionByRange(max(2, -(-n // few)), *by, column)
     values = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranked")  # written, so that ranges stay as they are
     sums = values.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
