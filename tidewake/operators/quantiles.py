@@ -19,6 +19,8 @@ from ..sources.staging import beside, staged
 
 #: Steps of a sketch over a bracket, and its accuracy.
 GRID, ACCURACY = 500, 5000
+#: Steps over a whole column.
+FINE = 2000
 #: Brackets of so many rows are narrow enough, and those whose values the driver gets; distinct values that are ranked in one task.
 FEW, FEW_WHOLE = 200_000, 20_000
 #: Up to so many rows, counted first, one task can hold all values: the direct way is quicker and gives the same.
@@ -34,14 +36,14 @@ def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str]
     """by, and for each column its quantiles, as quantiles(); groups that lack values in one column lack them in all.  rows: a count of df, if it is known."""
     by = list(by)
     x = df.select(*by, *[F.col(c).cast("double").alias(c) for c in wanted])
-    if not by:
-        told = whole_quantiles(x, wanted, min(few, FEW_WHOLE))
-        one = x.sparkSession.range(1).select(*[F.array(*map(F.lit, q or [0.0])).alias(c) for c, q in told.items()])
-        return one if all(told.values()) else one.limit(0)
     n = rows if rows is not None else x.count() if small_rows > 0 else 0
     if 0 < n <= small_rows:
         out = x.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in wanted.items()])
         return out.where(" and ".join(f"`{c}` is not null" for c in wanted))
+    if not by:
+        told = whole_quantiles(x, wanted, min(few, FEW_WHOLE))
+        one = x.sparkSession.range(1).select(*[F.array(*map(F.lit, q or [0.0])).alias(c) for c, q in told.items()])
+        return one if all(told.values()) else one.limit(0)
     parts = [_narrowed(x.select(*by, F.col(c).alias("_x")).where("_x is not null"), p, by, few).withColumnRenamed("q", c) for c, p in wanted.items()]
     out = parts[0]
     for part in parts[1:]:
@@ -52,24 +54,27 @@ def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str]
 def whole_quantiles(x: DataFrame, wanted: dict[str, list[float]], few: int) -> dict[str, list[float] | None]:
     """Each column's quantiles over all rows (None without a value), at once: every round is one aggregate over x, whose
     single row the driver turns into the next brackets; at last it gets the few distinct values inside them."""
-    grid = [j / GRID for j in range(GRID + 1)]
-    first = x.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("s", F.percentile_approx(c, grid, F.lit(ACCURACY))))]).first()
+    grid = [j / FINE for j in range(FINE + 1)]
+    first = x.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("s", F.percentile_approx(c, grid, F.lit(5 * FINE))))]).first()
     marks = []  # a bracket for each quantile, with the bracket that it comes from
     for i, (c, ps) in enumerate(wanted.items()):
         if n := first[f"n{i}"]:
             for j, p in enumerate(ps):
-                m = {"c": c, "j": j, "n": n, "r": p * (n - 1), "k": math.floor(p * (n - 1)), "lo": first[f"a{i}"], "hi": first[f"b{i}"], "wide": 2.0}
+                m = {"c": c, "j": j, "n": n, "r": p * (n - 1), "k": math.floor(p * (n - 1)), "lo": first[f"a{i}"], "hi": first[f"b{i}"], "wide": 2.0, "large": n * 7 / FINE > few}
                 marks.append(m | dict(zip("ab", _around(first[f"s{i}"], m["k"] / n, m), strict=True)))
     todo = marks
     while todo:
         inside = [(F.col(m["c"]) >= m["a"]) & (F.col(m["c"]) <= m["b"]) for m in todo]
-        sketch = [F.percentile_approx(F.when(e, F.col(m["c"])), grid, F.lit(ACCURACY)) if m["n"] > few else F.lit(None) for e, m in zip(inside, todo, strict=True)]
+        sketch = [F.percentile_approx(F.when(e, F.col(m["c"])), grid, F.lit(5 * FINE)) if m["large"] else F.lit(None) for e, m in zip(inside, todo, strict=True)]
         row = x.agg(*[f.alias(f"{n}{i}") for i, (e, m, s) in enumerate(zip(inside, todo, sketch, strict=True)) for n, f in (("u", F.count_if(F.col(m["c"]) < m["a"])), ("w", F.count_if(e)), ("s", s))]).first()
         left = []
         for i, m in enumerate(todo):
             m["below"], size = row[f"u{i}"], row[f"w{i}"]
             if not (m["below"] <= m["k"] and (m["k"] + 1 < m["below"] + size or m["k"] + 1 >= m["n"])):  # the sketch was wrong
-                m |= {"a": m["lo"], "b": m["hi"], "wide": m["wide"] * 8}
+                m |= {"a": m["lo"], "b": m["hi"], "wide": m["wide"] * 8, "large": True}
+                left.append(m)
+            elif size > few and m["a"] < m["b"] and not m["large"]:
+                m["large"] = True  # sketched in the next round
                 left.append(m)
             elif size > few and m["a"] < m["b"]:
                 a, b = _around(row[f"s{i}"], (m["k"] - m["below"]) / size, m)
@@ -99,8 +104,8 @@ def whole_quantiles(x: DataFrame, wanted: dict[str, list[float]], few: int) -> d
 
 def _around(sketch: list[float], part: float, m: dict) -> tuple[float, float]:
     """The bracket some steps of the sketch around a part of its values; the ends are exact."""
-    low, high = math.floor(part * GRID - m["wide"]), math.ceil(part * GRID + m["wide"] + 1)
-    return (m["lo"] if low <= 0 else sketch[low]), (m["hi"] if high >= GRID else sketch[high])
+    low, high = math.floor(part * FINE - m["wide"]), math.ceil(part * FINE + m["wide"] + 1)
+    return (m["lo"] if low <= 0 else sketch[low]), (m["hi"] if high >= FINE else sketch[high])
 
 
 def _met(x: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
