@@ -45,3 +45,11 @@ def test_directory_splits_overfull_buckets():
     assert [b["pages"] for b in hot if b["size"]] == [10, 1]
     spans = sorted((b["prefix"] << (4 - b["depth"]), (b["prefix"] + 1) << (4 - b["depth"])) for b in hot)
     assert spans[0][0] == 0 and spans[-1][1] == 16 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_long_texts_and_many_copies(docs):
+    long = "w " * 300_000
+    cases = [(1, long), (2, long), (3, long + "x")] + [(10 + i, "same") for i in range(200)]
+    for capacity in (1 << 25, 100):
+        got = rows(exact_dedup(docs(cases), capacity=capacity))
+        assert [(a, b, c, e) for a, b, c, _, e in got] == expected(cases)

@@ -17,7 +17,7 @@ def corpus(docs, n=60):
 
 
 def test_learns_from_its_fold_and_predicts(docs, clashing):
-    d = clashing(corpus(docs)).drop("score", "lang_pred")
+    d = clashing(corpus(docs))
     model = L.learned(d)
     out = L.identify(d.select("doc_id", "text", "lang"), model).collect()
     held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
@@ -48,3 +48,29 @@ def test_grams_and_temperature():
     s = rng.normal(0, 1, (4000, 3)) + 2 * np.eye(3)[y]
     true = L.temperature(s * 2.0, y)
     assert abs(L.temperature(s * 8.0, y) / true - 4) < 0.05
+
+
+def test_clashing_columns_are_replaced_and_repeated_rows_agree(docs, clashing):
+    d = corpus(docs)
+    model = L.learned(d)
+    twice = clashing(d.unionByName(d))
+    out = L.identify(twice, model)
+    assert sorted(out.columns) == sorted([*twice.columns]) and out.where("lang_pred = '7'").count() == 0
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score, r.known))
+    assert all(len(v) == 1 for v in by.values())
+    assert L.identify(twice, None).where("lang_pred = 'und' and score = 0").count() == twice.count()
+
+
+def test_scores_don_t_depend_on_what_is_gathered_at_a_time(docs, monkeypatch):
+    d = corpus(docs)
+    model = L.learned(d)
+    one = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(d, model).collect()]
+    monkeypatch.setattr(L, "GATHERED", 14)  # seven n-grams of two labels
+    assert one == [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(d, model).collect()]
+
+
+def test_equal_scores_give_the_first_label(docs):
+    model = L.learned(corpus(docs))
+    assert {r.lang_pred for r in L.identify(docs(["x", "x", "q"]), model).collect()} == {"de"}

@@ -55,3 +55,12 @@ def test_prefixes_epochs_and_edges(docs, clashing):
     assert production(docs(["x"]).limit(0), 2, 0.9).count() == 0
     nulls = docs([(None, "a b"), (None, "a b")]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert {r["lang"] for r in mix(nulls, F.lit("d"), {}, 1.0, 1).collect()} == {"(none)"}
+
+
+def test_many_runs_and_long_texts_change_nothing(docs):
+    d = docs(["x " * (i % 7) for i in range(300)] + ["y " * 200_000])
+    want = None
+    for run_rows in (1, 10, 10**6):
+        rows = sorted((r["row"]["doc_id"], r["epoch"], r["cum_before"] or 0) for r in mix(d, F.lit("d"), {}, 0.8, 2, run_rows=run_rows).collect())
+        want = want or rows
+        assert rows == want

@@ -35,3 +35,17 @@ def test_weights_confine_movement(docs):
     two = {r["doc_id"]: r["shard"] for r in shard(d, more).collect()}
     moved = Counter((one[i], two[i]) for i in one if one[i] != two[i])
     assert moved and all(to in (0, 1) and frm != 1 for frm, to in moved)  # only into the heavier region, none out of the heavier shard
+
+
+def test_many_runs_long_texts_and_small_counts(docs):
+    long = "word " * 200_000
+    out = shard(docs([long, *map(str, range(200))]), tree_of(8), runs=5000).collect()
+    assert {r["size"] for r in out if r["doc_id"] == 0} == {1_000_001}
+    for s in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    import pytest
+
+    with pytest.raises(ValueError):
+        tree_of(7)
+    assert len(tree_of(4, base=4)) == 1
