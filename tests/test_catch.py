@@ -127,3 +127,27 @@ def test_effects_and_response(landings):
     assert len(G.fixed_effects(a, "bmu")) == 5 and G.effects_correlation(a, b) > 0.9
     assert G.response(-0.5, 1.0, 2.0, [1.0, 4.0]) == [(1.0, 2.0), (4.0, 1.0)]
     assert a["low"] < a["beta"] < a["high"] and a["p"] < 0.05
+
+
+def test_landings_without_a_date_take_no_part(spark, landings):
+    df = C.working_set(landings).withColumn("log_effort", F.log("effort")).withColumn("log_cpue", F.log("cpue"))
+    odd = df.limit(3).withColumn("year", F.lit(None).cast("int")).withColumn("season", F.lit(None).cast("string"))
+    for spec in ("M1", "M4"):
+        a, b = G.fit(df, spec), G.fit(df.unionByName(odd), spec)
+        assert a["n"] == b["n"] and a["beta"] == pytest.approx(b["beta"]) and a["se"] == pytest.approx(b["se"])
+
+
+def test_residuals_gears_and_p_values(spark, landings):
+    df = C.working_set(landings).withColumn("log_effort", F.log("effort")).withColumn("log_cpue", F.log("cpue"))
+    fit = G.fit(df, "M5")
+    r = G.residuals(df, fit).agg(F.avg("residual").alias("m"), F.sum(F.pow("residual", 2)).alias("ss"), F.corr("residual", "log_effort").alias("c"), F.var_pop("log_cpue").alias("v"), F.count("*").alias("n")).first()
+    assert abs(r.m) < 1e-9 and abs(r.c) < 1e-6 and 1 - r.ss / (r.v * r.n) == pytest.approx(fit["r2"], rel=1e-6)
+    pairs = G.quantile_pairs(G.residuals(df, fit), "residual", 20).collect()
+    assert len(pairs) == 20 and pairs[0].theoretical == pytest.approx(-1.959964, rel=1e-5)
+    assert C.gear_subset(df, ["NETS"]).select("gear").distinct().collect()[0][0] == "nets"
+    with pytest.raises(ValueError, match="harpoon"):
+        C.gear_subset(df, ["harpoon"])
+    out = C.with_p(spark.createDataFrame([(0.5, 12), (0.1, 2), (None, 9)], "r double, n long"), "r", "n").collect()
+    assert [x.p is None for x in out] == [False, True, True] and out[0].p == pytest.approx(0.0979, abs=1e-3)
+    some = G.sampled(spark.range(1000), 100, ["id"])
+    assert 50 < some.count() < 160 and some.count() == G.sampled(spark.range(1000), 100, ["id"]).count() and G.sampled(spark.range(5), 9, ["id"]).count() == 5
