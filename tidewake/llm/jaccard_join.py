@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, small, stored, table
 from .components import components
-from .words import LOWER, Words, mixed, sliced
+from .words import LOWER, Words, mixed, released, sliced
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles of a bucket, bytes of texts of a chunk and of a map block, shingles of a block's part and of a task's blocks.
@@ -114,6 +114,8 @@ def _frequent(k: int):
                 yield counted(held, texts)
                 held, texts, size = [], 0, 0
         yield counted(held, texts)
+        held.clear()
+        released()
 
     return run
 
