@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, license_scan, mixing, secret_scan, sharding, substring_dedup, token_count
+from . import decontamination, exact_dedup, filter_audit, jaccard_join, language_id, license_scan
+from . import mixing, secret_scan, sharding, sort_means, substring_dedup, token_count
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +16,8 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op11_sort_means": sort_means.op11_sort_means,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLES = {
     "op1_secret_scan": secret_scan.SQL,
@@ -23,4 +26,6 @@ ORACLES = {
     "op4_jaccard_join": jaccard_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "op11_sort_means": sort_means.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
