@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, jaccard_join, language_id, license_scan
+from . import chat_format, decontamination, exact_dedup, filter_audit, jaccard_join, language_id, license_scan
 from . import mixing, secret_scan, sharding, sort_means, substring_dedup, token_count
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op11_sort_means": sort_means.op11_sort_means,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 ORACLES = {
     "op1_secret_scan": secret_scan.SQL,
@@ -28,4 +29,5 @@ ORACLES = {
     "op9_substring_dedup": substring_dedup.SQL,
     "op11_sort_means": sort_means.SQL,
     "op12_filter_audit": filter_audit.SQL,
+    "op13_chat_format": chat_format.SQL,
 }
