@@ -40,3 +40,19 @@ def test_repeated_rows_and_empty(docs):
     out = scan(docs([(None, "secret: abcdefgh1"), (None, "secret: abcdefgh1"), (1, None)])).collect()
     assert sorted(r.n_assign for r in out) == [0, 1, 1]
     assert scan(docs(["x"]).limit(0)).count() == 0
+
+
+def test_a_long_text_of_many_pairs_is_linear(docs):
+    import time
+
+    def text(n):
+        return "".join(f"login=user{i} secret=abcdefgh{i}\n" + ("\n" if i % 50 == 0 else "") for i in range(n))
+
+    took = []
+    for n in (2_000, 150_000):  # 60 KB and 5 MB
+        t = text(n)
+        began = time.time()
+        r = scan(docs([t])).first()
+        took.append(time.time() - began)
+        assert r.base_spans == base(t) and r.n_assign == n and len(r.found) == 2 * n
+    assert took[1] < 25 + 75 * took[0] and took[1] < 60

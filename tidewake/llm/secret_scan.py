@@ -39,11 +39,16 @@ _BREAK = _CODE["break"]
 
 def _parts(text: Column, kind: str) -> Column:
     """array<struct<code, nth, piece, size, value>> of all matches of a kind; piece: code points since the last match."""
-    pattern = F.lit(PATTERNS[kind])
-    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    # zipped, so that the text is split once and not anew for each match; the last piece follows the last match
+    zipped = F.filter(F.arrays_zip(found.alias("m"), F.split(text, PATTERNS[kind], -1).alias("p")), lambda z: z["m"].isNotNull())
     value = lambda m: F.length(F.regexp_extract(m, f"(?i)^{_NAMES}{_EQ}({_VALUE})$", 1)) if kind == "assign" else F.lit(VALUE)
-    return F.transform(found, lambda m, i: F.struct(F.lit(_CODE[kind]).alias("code"), i.alias("nth"), F.length(F.get(pieces, i)).alias("piece"), F.length(m).alias("size"), value(m).alias("value")))
-
+    return F.transform(
+        zipped,
+        lambda z, i: F.struct(
+            F.lit(_CODE[kind]).alias("code"), i.alias("nth"), F.length(z["p"]).alias("piece"), F.length(z["m"]).alias("size"), value(z["m"]).alias("value")
+        ),
+    )
 
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
@@ -54,6 +59,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, found (array<struct<begin, code, end>> of all spans, by begin and KINDS), base_spans and spans (strings).
 
     A null text counts as empty and has no spans; rows don't depend on each other, so null or repeated ids do no harm.
+    Texts of any length are read whole, in time that follows their length and n log n in their spans.  Other columns,
+    whatever their names, aren't looked at; an empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     text, none = F.col("text"), F.expr("cast(array() as array<struct<code:int,nth:int,piece:int,size:int,value:int>>)")
@@ -68,8 +75,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     at = at.withColumn("code", F.when(F.col("value") < WEAK_VALUE, None).when((F.col("code") == 0) & (F.col("value") < VALUE), _CODE["weak"]).otherwise(F.col("code")))
     along = W.partitionBy("rid").orderBy("begin", "code", "end").rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("scope", F.sum((F.col("code") == _BREAK).cast("int")).over(along))
-    in_scope = W.partitionBy("rid", "scope").orderBy("begin", "code", "end")
-    past, next_ = in_scope.rowsBetween(W.unboundedPreceding, -1), in_scope.rowsBetween(1, W.unboundedFollowing)
+    # what follows is what comes before in the reversed order: a frame up to the partition's end is summed up anew for each row
+    scope, ahead = W.partitionBy("rid", "scope"), [F.col(c).desc() for c in ("begin", "code", "end")]
+    past, next_ = (scope.orderBy(*o).rowsBetween(W.unboundedPreceding, -1) for o in (("begin", "code", "end"), ahead))
 
     def near(*kinds: str) -> Column:
         mine = F.col("code").isin(*[_CODE[k] for k in kinds])
