@@ -16,7 +16,7 @@ def docs(spark):
 
 
 #: Columns with names that operators might use themselves.
-CLASHING = ["row", "h", "bucket", "key", "shard", "slot", "size", "run", "n", "found", "score", "lang_pred", "epoch", "tokens", "domain", "unit", "words", "th", "digest", "kept", "n_tokens", "known", "chunk", "text_crc32", "law", "grown_shard", "rid", "spot", "chance", "block", "label"]
+CLASHING = ["row", "h", "bucket", "key", "shard", "slot", "size", "run", "n", "found", "score", "lang_pred", "epoch", "tokens", "domain", "unit", "words", "th", "digest", "kept", "n_tokens", "known", "least", "chunk", "text_crc32", "law", "grown_shard", "rid", "spot", "chance", "block", "label"]
 
 
 @pytest.fixture

@@ -79,6 +79,18 @@ def test_language_stage_refuses_what_is_no_language_and_mends_labels(spark, docs
     assert sum(out[i] != langs[i] for i in out if i < 1500 and i not in (30, 33, 36)) <= 3
 
 
+def test_language_stage_keeps_rare_labels(spark, docs):
+    rng = random.Random(6)
+    en = "the cat and dog went to that house with this other thing when they were young her mother".split()
+    el = "και το είναι σε που με για την από δεν θα στη τα μας πολύ σπίτι θάλασσα ψάρια".split()
+    texts = [" ".join(rng.choice(en) for _ in range(14)) for _ in range(5995)] + [" ".join(rng.choice(el) for _ in range(60)) for _ in range(5)]
+    junk = ["".join(rng.choice("бвгджзклмнпрстфхцчшщ ") for _ in range(200)) for _ in range(40)]
+    d = docs(texts + junk).withColumn("lang", F.when(F.col("doc_id") < 5995, "en").when(F.col("doc_id") < 6000, "el"))
+    out = {r.doc_id for r in P.by_language(spark, d, "").select("doc_id").collect()}
+    assert set(range(6000)) <= out  # recall on clean rows: all, those of 5 in 6,000 too
+    assert len([i for i in out if i >= 6000]) <= 4  # 0.9 of the junk goes
+
+
 def second(spark, docs, item, stage_one):
     """What the stages after the first keep of the rows, worked out in plain Python."""
     from test_decontamination import slow

@@ -51,10 +51,12 @@ def flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = word_counts(rows.select("rid", "text").repartition("rid"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    others = rows.select("rid", "doc_id", "part", "digest", "C", "D").join(firsts, "digest").join(marks, "doc_id", "left").drop("digest")
-    found = others.join(words, "rid", "left")
+    # a row is no copy if it is its text's first: joined by text and id, so that the copies of one text aren't dealt to one task
+    firsts = firsts.select(F.col("digest").alias("first_digest"), "first_id", F.lit(True).alias("is_first"))
+    others = rows.select("rid", "doc_id", "part", "digest", "C", "D").join(firsts, (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    found = others.drop("digest", "first_digest", "first_id").join(marks, "doc_id", "left").join(words, "rid", "left")
     n, distinct = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
-    copy = F.coalesce(F.col("first_id") < F.col("doc_id"), F.col("doc_id").isNull() & F.col("first_id").isNotNull())
+    copy = F.col("is_first").isNull()
     fails = {"A": n < MIN_WORDS, "B": 100 * distinct < DISTINCT_PERCENT * n, "C": F.col("C"), "D": F.col("D"), "E": copy}
     failed = sum((F.when(fails[f], 1 << i).otherwise(0) for i, f in enumerate(FILTERS)), F.lit(0))
     out = found.select("doc_id", "part", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"), failed.alias("failed"))

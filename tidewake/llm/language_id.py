@@ -22,11 +22,12 @@ from .words import sliced
 DIM = 1 << 16
 #: The bounded samples of labelled rows: expected texts of each label for training and for calibration, and their bytes.
 PER_LANGUAGE, PER_LANGUAGE_CALIBRATION, SAMPLE_BYTES = 500, 150, 16 << 20
-#: A cell is known if this part of the learned texts has it (two of them at least).  A text of TELLING code points is in a
-#: learned language, or in several, if KNOWN of its n-grams are; of a shorter one, and of any after fewer than LEARNED learned
-#: texts (too few to know a language's n-grams), the score must be OVER_CHANCE times an equal chance of all labels.  A
+#: A cell is known to a label if this part of its learned texts has it (two of them at least), and known if it is to any
+#: label, so that texts in several languages are known too.  A text of TELLING code points is in a learned language if the
+#: known part of its n-grams reaches the fence of its predicted label (see fences()), or if the score is SURE where that
+#: label has too few texts for a fence; of a shorter one the score must be OVER_CHANCE times an equal chance of all labels.  A
 #: prediction contradicts a label if its score is SURE.
-COMMON, KNOWN, TELLING, LEARNED, OVER_CHANCE, SURE = 0.001, 0.65, 60, 500, 1.05, 0.9
+COMMON, TELLING, OVER_CHANCE, SURE = 0.001, 60, 1.05, 0.9
 #: Weights that a prediction gathers at a time.
 GATHERED = 4_000_000
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.001, 2, 30.0
@@ -97,35 +98,70 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, labels: list[str], weights: np.ndarray, temp: float, known: np.ndarray, learned: int):
-        self.labels, self.weights, self.temp, self.known, self.learned = labels, weights, temp, known, learned  # weights hold the IDF
+    def __init__(self, labels: list[str], weights: np.ndarray, temp: float, known: np.ndarray, least: np.ndarray):
+        self.labels, self.weights, self.temp, self.known, self.least = labels, weights, temp, known, least  # weights hold the IDF
+        self.by_signs = float(np.mean(known))  # the known part of random n-grams
         self.by_chance = OVER_CHANCE / len(labels) if len(labels) > 1 else 0.0
 
 
 def _document_counts(batches):
-    """One row a task: in how many texts each cell occurs."""
-    seen, n = np.zeros(DIM, np.int64), 0
+    """One row for each label of a task: its texts, and in how many of them each cell occurs."""
+    seen: dict[str, np.ndarray] = {}
+    n: dict[str, int] = {}
     for t in sliced(batches, 2 << 20):
-        for text in t.column("text"):
+        for text, lang in zip(t.column("text"), t.column("lang").to_pylist(), strict=True):
             hit = np.zeros(DIM, bool)
             hit[grams([text.as_py() or ""])[0]] = True
-            seen += hit
-            n += 1
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names=["n", "seen"])
+            if lang not in seen:
+                seen[lang], n[lang] = np.zeros(DIM, np.int64), 0
+            seen[lang] += hit
+            n[lang] += 1
+    for lang in seen:
+        yield pa.RecordBatch.from_pydict({"lang": [lang], "n": pa.array([n[lang]], pa.int64()), "seen": pa.array([seen[lang].tobytes()], pa.binary())})
 
 
 def _add_counts(t: pa.Table) -> pa.Table:
     seen = sum(np.frombuffer(b, np.int64) for b in t.column("seen").to_pylist())
-    return pa.table({"n": pa.array([pc.sum(t.column("n")).as_py()], pa.int64()), "seen": pa.array([seen.tobytes()], pa.binary())})
+    n = pa.array([pc.sum(t.column("n")).as_py()], pa.int64())
+    return pa.table({"lang": t.column("lang").slice(0, 1), "n": n, "seen": pa.array([seen.tobytes()], pa.binary()), "g": t.column("g").slice(0, 1)})
 
 
-def document_counts(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """(texts, texts with each cell), added up in two levels; the driver gets 16 vectors of DIM counts at most."""
-    part = texts.mapInArrow(_document_counts, "n long, seen binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(256)))
+def document_counts(texts: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+    """For each label its texts, and those with each cell, added up in two levels; the driver gets 16 vectors of DIM counts a label at most."""
+    part = texts.select("text", "lang").mapInArrow(_document_counts, "lang string, n long, seen binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(256)))
     for by in (256, 16):
-        part = part.withColumn("g", F.pmod("g", F.lit(by))).groupBy("g").applyInArrow(lambda t: _add_counts(t).append_column("g", t.column("g").slice(0, 1)), "n long, seen binary, g int")
-    rows = part.select("n", "seen").collect()
-    return sum(r.n for r in rows), sum((np.frombuffer(r.seen, np.int64) for r in rows), np.zeros(DIM, np.int64))
+        part = part.withColumn("g", F.pmod("g", F.lit(by))).groupBy("g", "lang").applyInArrow(_add_counts, "lang string, n long, seen binary, g int")
+    out: dict[str, tuple[int, np.ndarray]] = {}
+    for r in part.select("lang", "n", "seen").toLocalIterator():
+        n, seen = out.get(r.lang, (0, np.zeros(DIM, np.int64)))
+        out[r.lang] = (n + r.n, seen + np.frombuffer(r.seen, np.int64))
+    return out
+
+
+def _common(n: int) -> float:
+    """How many of n texts of a label must have a cell that is known to it."""
+    return max(2, COMMON * n)
+
+
+def fences(rows: list[tuple[str, str]], labels: list[str], counts: dict[str, tuple[int, np.ndarray]]) -> np.ndarray:
+    """For each label the least known part of a text in it, from rows (text, label) of the learning fold.
+
+    Each text is judged by what the others know: it doesn't count itself.  The fence lies under the median of these parts by half
+    of the way from all n-grams known down to what random n-grams have (the part of all cells that are known), and by three
+    standard errors of a mean of n parts (each at most 1/2 of the root of n).  So a label of few texts, which know little of
+    a language and of each other, has a low fence, and one of a single text has none (0).  The median is used as some rows
+    may bear a label by mistake."""
+    known_to = np.array([counts[x][1] >= _common(counts[x][0]) for x in labels])
+    votes = known_to.sum(axis=0)
+    parts: dict[str, list[float]] = {x: [] for x in labels}
+    for text, label in rows:
+        if len(text) >= TELLING and len(cells := grams([text])[0]):
+            n, seen = counts[label]
+            own = known_to[labels.index(label)][cells]
+            without = seen[cells] - 1 >= _common(n - 1)
+            parts[label].append(float(np.mean((votes[cells] - own + without) > 0)))
+    half = (1 - np.mean(votes > 0)) / 2
+    return np.array([max(0.0, float(np.median(p)) - half - 1.5 / len(p) ** 0.5) if (p := parts[x]) else 0.0 for x in labels])
 
 
 def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
@@ -135,17 +171,21 @@ def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
     if not counts:
         return None
     labels = sorted(r.lang for r in counts)
-    texts, seen = document_counts(known.select("text"))
+    cells = document_counts(known)
+    texts, seen = sum(n for n, _ in cells.values()), sum(c for _, c in cells.values())
     idf = np.log((texts + 1) / (seen + 1)) + 1
     both = PER_LANGUAGE + PER_LANGUAGE_CALIBRATION
     chance = inline_rows(learn.sparkSession, [{"lang": r.lang, "chance": min(1.0, both / r.n, SAMPLE_BYTES / max(1, r.b))} for r in counts], "lang string, chance double")
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = known.select("text", "lang", spot.alias("spot")).join(F.broadcast(chance), "lang").where("spot < chance")  # a row for each label
     rows = rows.orderBy("spot", "text").limit(2 * both * len(labels)).collect()
-    train_part = PER_LANGUAGE / both
-    split = [r.spot < r.chance * train_part for r in rows]
     index = {x: i for i, x in enumerate(labels)}
-    fit = [(*tfidf(r.text, idf), index[r.lang]) for r, s in zip(rows, split, strict=True) if s or len(rows) < 40]
+    own, split = dict.fromkeys(labels, 0), []
+    held_of = {x: sum(r.lang == x for r in rows) * PER_LANGUAGE_CALIBRATION // both for x in labels}
+    for r in rows:  # the first of each label, by their draw, calibrate
+        own[r.lang] += 1
+        split.append(own[r.lang] > held_of[r.lang])
+    fit = [(*tfidf(r.text, idf), index[r.lang]) for r, s in zip(rows, split, strict=True) if s]
     ftrl, rng = Ftrl(len(labels)), np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
@@ -153,7 +193,9 @@ def train(learn: DataFrame, key: Column | str = "doc_id") -> Model | None:
     w = ftrl.weights(slice(None))
     held = [(*tfidf(r.text, idf), index[r.lang]) for r, s in zip(rows, split, strict=True) if not s]
     temp = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([y for *_, y in held])) if held else 1.0
-    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp, seen >= max(2, COMMON * texts), texts)
+    known_cells = np.any([c >= _common(n) for n, c in cells.values()], axis=0)
+    least = fences([(r.text, r.lang) for r in rows], labels, cells)
+    return Model(labels, (SCALE * w * idf[:, None]).astype(np.float32), temp, known_cells, least)
 
 
 def _predict(shared):
@@ -175,30 +217,39 @@ def _predict(shared):
             ok = [has_letter(x) for x in texts]
             lang = [m.labels[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
             score = np.where(ok, p[np.arange(len(texts)), best], 0.0)
-            yield from t.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).append_column("known", pa.array(known)).to_batches()
+            least = np.where(ok, m.least[best], 0.0)
+            told = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "known": pa.array(known), "least": pa.array(least)}
+            for name, column in told.items():
+                t = t.append_column(name, column)
+            yield from t.to_batches()
 
     return run
 
 
 def identify(texts: DataFrame, model: Model | None) -> DataFrame:
-    """texts: any columns and `text` -> all of them, lang_pred, score (the calibrated chance of lang_pred) and known (the part of its n-grams that the learned texts have).
+    """texts: any columns and `text` -> all of them, lang_pred, score (the calibrated chance of lang_pred), known (the part of its
+    n-grams that the learned texts have) and least (the fence of lang_pred for known).
 
-    Columns lang_pred, score and known of texts are replaced.  A text that is null or has no letter is `und` with score 0; with one
+    Columns of texts with those names are replaced.  A text that is null or has no letter is `und` with score 0; with one
     letter and no other character all labels are equally likely and the first by name is given, as of any labels of equal
     scores.  Without a model every text is `und`.  Rows don't depend on each other; an empty table gives no rows.  Long texts
     are scored whole, GATHERED weights at a time."""
-    texts = texts.drop("lang_pred", "score", "known")
+    texts = texts.drop("lang_pred", *_NUMBERS)
     if model is None:
-        return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0)).withColumn("known", F.lit(0.0))
+        return texts.withColumn("lang_pred", F.lit(UNKNOWN)).withColumns({c: F.lit(0.0) for c in _NUMBERS})
     shared = texts.sparkSession.sparkContext.broadcast(model)  # DIM floats a label: 0.25 MB
-    return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
+    more = [T.StructField("lang_pred", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _NUMBERS]]
+    return texts.mapInArrow(_predict(shared), T.StructType(texts.schema.fields + more))
+
+
+_NUMBERS = ("score", "known", "least")
 
 
 def surely(text: Column, model: Model | None) -> Column:
     """Whether identify() finds the text in a learned language, or in a mixture of such: texts in other scripts and random signs aren't."""
     if model is None:
         return F.lit(False)
-    return (F.col("lang_pred") != UNKNOWN) & F.when((F.length(text) >= TELLING) & F.lit(model.learned >= LEARNED), F.col("known") >= KNOWN).otherwise(F.col("score") >= model.by_chance)
+    return (F.col("lang_pred") != UNKNOWN) & F.when(F.length(text) < TELLING, F.col("score") >= model.by_chance).when(F.col("least") > model.by_signs, F.col("known") >= F.col("least")).otherwise(F.col("score") >= SURE)
 
 
 def held_out(doc_id: Column) -> Column:
