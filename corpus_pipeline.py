@@ -19,8 +19,10 @@ MIX_FRACTION, MIX_EPOCHS = 0.9, 1
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5, trained on the labelled rows of docs: rows go whose text is null, has no letter or isn't surely in a learned language.
 
-    Where a sure prediction on a text long enough contradicts the label, or there is no label, it becomes the row's lang;
-    the mix goes by it.  Texts in several learned languages stay.  Without any label nothing can be told: rows with a letter stay as they are.  Repeated rows share
+    A text is judged by the part of its n-grams that the learned texts know, against a fence worked out for each label from
+    its own texts (language_id.fences), so that labels of few rows keep theirs.  Where a sure prediction on a text long
+    enough contradicts the label, or there is no label, it becomes the row's lang; the mix goes by it.  Texts in several
+    learned languages stay.  Without any label nothing can be told: rows with a letter stay as they are.  Repeated rows share
     their fate, ids (null ones too) only choose the sample for training, other columns of any name come through, and an
     empty table stays empty."""
     model = language_id.learned(docs)
@@ -28,7 +30,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     told = language_id.identify(boxed(docs), model).where(language_id.surely(F.col("text"), model))
     lang = F.col("row.lang")
-    better = lang.isNull() | ((lang != F.col("lang_pred")) & (F.length("text") >= language_id.TELLING) & (F.col("score") >= language_id.SURE))
+    telling = (F.length("text") >= language_id.TELLING) & (F.col("score") >= language_id.SURE)
+    better = lang.isNull() | ((lang != F.col("lang_pred")) & telling)
     out = told.withColumn("row", F.col("row").withField("lang", F.when(better, F.col("lang_pred")).otherwise(lang)))
     return unboxed(out, docs.columns)
 
@@ -66,7 +69,13 @@ def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, sharding.tree_of(8), sharding.tree_of(9))
 
 
-STAGES = [("language ID", by_language), ("n-gram Jaccard join", by_similarity), ("benchmark decontamination", by_benchmark), ("mixing sources to target weights", by_mixture), ("sharding", into_shards)]
+STAGES = [
+    ("language ID", by_language),
+    ("n-gram Jaccard join", by_similarity),
+    ("benchmark decontamination", by_benchmark),
+    ("mixing sources to target weights", by_mixture),
+    ("sharding", into_shards),
+]
 
 #: SQL can express neither the trained model nor the hashes and alignments; tests/llm has a brute-force version.
 ORACLE_SQL = None
