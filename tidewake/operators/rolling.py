@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geo import DEGREE_KM, clip, haversine_km
+from ..functions.geo import clip, haversine_km
 from .kinematics import trip
+from .nearby import Track
 
 SERIES = ("speed_kmh", "acceleration", "turn_angle")
 
@@ -104,41 +108,46 @@ def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True) -> Da
     """Trajectory shape over all points of the trip within a radius, in time order: planar distance (degrees scaled at the trip's mean latitude) or great-circle distance.
 
     No row is lost: equal rows each count among the neighbours and get equal results, rows without a trip are one trip, and
-    a point without a coordinate has no neighbours (n_near 0, straightness 1, radius 0, sinuosity 1).  Points meet through a
-    grid of radius-wide cells, so that only neighbouring cells are compared; the pairs of a point are summed up in time
-    order as they are sorted, never gathered."""
-    known = lambda c: F.when(~F.isnan(c), F.col(c))
-    every = W.partitionBy("trip_id")
+    a point without a coordinate has no neighbours (n_near 0, straightness 1, radius 0, sinuosity 1).  No pairs are made: a
+    task holds one trip at a time in Arrow columns and sums it up as nearby.Track does."""
+    known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     at = df.withColumn("_lat", known("latitude")).withColumn("_lon", known("longitude"))
-    # a number for each different point of a trip, in time order, and how many rows it has
-    at = at.withColumn("_p", F.dense_rank().over(W.partitionBy("trip_id").orderBy("t_us", "event_id", "_lat", "_lon")))
-    at = at.withColumn("_k", F.cos(F.radians(F.avg("_lat").over(every))))
-    # cells are laid at the trip's highest latitude, where a degree is shortest, and a little wider than the radius: no distance there exceeds the true one
-    at = at.withColumn("_narrow", F.cos(F.radians(F.max(F.abs("_lat")).over(every))))
-    points = at.where("_lat is not null and _lon is not null").groupBy("trip_id", "_p").agg(F.count("*").alias("o_n"), *[F.first(c).alias(c) for c in ("_lat", "_lon", "_k", "_narrow")])
-    cell = lambda x: F.floor(x / (radius_km * 1.02)).cast("long")
-    points = points.withColumns({"_x": F.col("_lon") * DEGREE_KM * F.col("_k"), "_y": F.col("_lat") * DEGREE_KM, "_cx": cell(F.col("_lon") * DEGREE_KM * F.col("_narrow")), "_cy": cell(F.col("_lat") * DEGREE_KM)})
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_d")
-    mine = points.select("trip_id", "_p", "_lat", "_lon", "_x", "_y", "_cx", "_cy", steps).withColumn("_cx", F.col("_cx") + F.col("_d.x")).withColumn("_cy", F.col("_cy") + F.col("_d.y")).drop("_d")
-    other = points.select(F.col("trip_id").alias("o_trip"), F.col("_p").alias("o_p"), "o_n", F.col("_lat").alias("o_lat"), F.col("_lon").alias("o_lon"), F.col("_x").alias("o_x"), F.col("_y").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"))
-    far = F.sqrt(F.pow(F.col("_x") - F.col("o_x"), 2) + F.pow(F.col("_y") - F.col("o_y"), 2)) if planar else haversine_km(F.col("_lat"), F.col("_lon"), F.col("o_lat"), F.col("o_lon"))
-    same = F.col("trip_id").eqNullSafe(F.col("o_trip")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy"))
-    pairs = mine.join(other, same & (far <= radius_km)).select("trip_id", "_p", "o_p", "o_n", "o_lat", "o_lon")
-    mine_all, order = W.partitionBy("trip_id", "_p"), W.partitionBy("trip_id", "_p").orderBy("o_p")
-    step = haversine_km(F.lag("o_lat").over(order), F.lag("o_lon").over(order), F.col("o_lat"), F.col("o_lon"))
-    middle = lambda c: F.sum(F.col("o_n") * F.col(c)).over(mine_all) / F.sum("o_n").over(mine_all)
-    pairs = pairs.withColumn("_step", step).withColumn("_off", F.pow(haversine_km(F.col("o_lat"), F.col("o_lon"), middle("o_lat"), middle("o_lon")), 2))
-    place = F.struct("o_lat", "o_lon")
-    found = pairs.groupBy("trip_id", "_p").agg(F.sum("o_n").alias("n_near"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("_path"), F.sqrt(F.sum(F.col("o_n") * F.col("_off")) / F.sum("o_n")).alias("_rog"), F.min_by(place, "o_p").alias("_a"), F.max_by(place, "o_p").alias("_b"))
-    found = found.withColumn("_chord", haversine_km(F.col("_a.o_lat"), F.col("_a.o_lon"), F.col("_b.o_lat"), F.col("_b.o_lon")))
-    one, path, chord = F.col("n_near") < 2, F.col("_path"), F.col("_chord")
-    found = found.select(
-        F.col("trip_id").alias("o_trip"), F.col("_p").alias("o_p"), "n_near", F.when(one | (path == 0), 1.0).otherwise(chord / F.when(path > 0, path)).alias("straightness"), F.when(one, 0.0).otherwise(F.col("_rog")).alias("radius_gyration_km"),
-        F.when(one | (chord <= 0.001), 1.0).otherwise(clip(path / F.when(chord > 0.001, chord), 1, 10)).alias("sinuosity"),
-    )
-    out = at.join(found, F.col("trip_id").eqNullSafe(F.col("o_trip")) & (F.col("_p") == F.col("o_p")), "left")
-    filled = {"n_near": F.coalesce("n_near", F.lit(0).cast("long")), "straightness": F.coalesce("straightness", F.lit(1.0)), "radius_gyration_km": F.coalesce("radius_gyration_km", F.lit(0.0)), "sinuosity": F.coalesce("sinuosity", F.lit(1.0))}
-    return out.withColumns(filled).select(*df.columns, *filled)
+    # a number for each different point of a trip, in time order; the windows leave each trip whole and its rows together
+    order = W.partitionBy("trip_id").orderBy("t_us", "event_id", "_lat", "_lon")
+    at = at.withColumn("_p", F.dense_rank().over(order)).withColumn("_i", F.row_number().over(order))
+    new = {"n_near": T.LongType(), "straightness": T.DoubleType(), "radius_gyration_km": T.DoubleType(), "sinuosity": T.DoubleType()}
+    kept = [f for f in df.schema.fields if f.name not in new]
+    names = [f.name for f in kept]
+
+    def told(rows: pa.Table) -> list[pa.RecordBatch]:
+        """Whole trips, each with its shapes."""
+        lat, lon, point = (rows.column(c).to_numpy() for c in ("_lat", "_lon", "_p"))
+        out = {c: np.full(len(lat), v) for c, v in zip(new, (0, 1.0, 0.0, 1.0), strict=True)}
+        cut = np.append(np.flatnonzero(rows.column("_i").to_numpy() == 1), len(lat))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            there = a + np.flatnonzero(~(np.isnan(lat[a:b]) | np.isnan(lon[a:b])))
+            if len(there):
+                _, first, place, weight = np.unique(point[there], return_index=True, return_inverse=True, return_counts=True)
+                track = Track(lat[there][first], lon[there][first], weight, radius_km, planar, np.nanmean(lat[a:b]))
+                for c, v in zip(new, track.shapes(), strict=True):
+                    out[c][there] = v[place]
+        rows = rows.select(names)
+        for c, v in out.items():
+            rows = rows.append_column(c, pa.array(v))
+        return rows.to_batches()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_i").to_numpy() == 1)
+            if len(begins) and (held or begins[-1]):
+                yield from told(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
+                held, batch = [], batch.slice(begins[-1])
+            held.append(batch)
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    return at.mapInArrow(run, T.StructType(kept + [T.StructField(c, t) for c, t in new.items()]))
 
 
 def whole_trip_shape(df: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
         df = R.whole_trip_shape(R.trailing_stats(K.kinematics(points, K.UNLIMITED)))
         return K.positions(df, from_one=True)
     how = K.Kinematics(min_leg_km=0.0 if variant in _BY_ROWS else rules.min_distance_for_turn)
-    df = K.kinematics(points, how)
     if variant in _BY_ROWS:
-        df = R.shape(R.start_distance(R.adaptive_stats(df)))
-    else:
-        df = R.near_shape(R.start_distance(R.time_stats(df, rules.time_windows)), rules.spatial_window_km, planar=variant == "planar")
+        df = R.shape(R.start_distance(R.adaptive_stats(K.kinematics(points, how))))
+    else:  # the shape first, while points have few columns to hand over
+        df = R.near_shape(points, rules.spatial_window_km, planar=variant == "planar")
+        df = R.start_distance(R.time_stats(K.kinematics(df, how), rules.time_windows))
     return K.positions(df)
 
 
