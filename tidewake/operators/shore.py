@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_KM, haversine_km, segment_distance
+from ..sources.shapefile import read_shapefile
 from .rules import flag
 
 #: (min_lat, max_lat, min_lon, max_lon).  Fixed values.
@@ -84,15 +85,18 @@ def read_segments(spark, path: str, land_only: bool = False) -> DataFrame:
     return step.select("ring_id", "seq", "s.*")
 
 
-def load_segments(spark, path: str, land_only: bool = False) -> DataFrame:
-    """Segments of a GeoJSON file, or of a Parquet table that install_coast() wrote."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_segments(spark, path, land_only)
+def load_segments(spark, path: str, land_only: bool = False, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Segments of a shapefile (.shp), of a GeoJSON file, or of a Parquet table that install_coast() wrote; box crops them."""
+    if path.endswith(".shp"):
+        found = read_shapefile(spark, path, land_only, box)
+    else:
+        found = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_segments(spark, path, land_only)
+    return crop(found, box) if box else found
 
 
 def install_coast(spark, path: str, output: str, box: tuple[float, float, float, float] | None = None, land_only: bool = False) -> dict:
-    """A coastline's GeoJSON file as a Parquet table of segments, cropped to a box if given; returns how many there are and their bounds.  None at all is an error."""
-    segments = read_segments(spark, path, land_only)
-    (crop(segments, box) if box else segments).write.mode("overwrite").parquet(output)
+    """A coastline's shapefile or GeoJSON file as a Parquet table of segments, cropped to a box if given; returns how many there are and their bounds.  None at all is an error."""
+    load_segments(spark, path, land_only, box).write.mode("overwrite").parquet(output)
     return check_coast(load_segments(spark, output))
 
 
