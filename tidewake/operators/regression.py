@@ -66,12 +66,18 @@ def correlation_p(r: float, n: int) -> float:
 SPECS = {"M1": (["gear", "season"], False), "M2": (["gear", "season", "bmu"], False), "M3": (["gear", "season", "year"], False), "M4": (["gear", "season", "bmu", "year"], False), "M5": (["gear", "season", "bmu", "year"], True)}
 
 
-def fit(df: DataFrame, spec: str = "M4", cluster: str = "bmu") -> dict:
+def cell_rows(df: DataFrame) -> list[dict]:
+    """cells() on the driver: units x years x seasons x gears.  Several fits of the same rows can share them."""
+    return [r.asDict() for r in cells(df).collect()]
+
+
+def fit(df: DataFrame, spec: str = "M4", cluster: str = "bmu", rows: list[dict] | None = None) -> dict:
     """Least squares of log cpue on log effort with a specification's effects.
 
     Standard errors: HC3 for M1 (a second pass with each row's leverage), clustered by unit with the small-sample factor
-    else; p values and bounds by normal quantiles.  Returns beta, se, p, low, high, r2, adj_r2, n, and all coefficients."""
-    rows = [r.asDict() for r in cells(df).collect()]  # units x years x seasons x gears
+    else; p values and bounds by normal quantiles.  rows: cell_rows(df), if they are known.  Effects of very many levels are for
+    absorbed.fit_absorbed(), which makes no matrix of them.  Returns beta, se, p, low, high, r2, adj_r2, n, and all coefficients."""
+    rows = cell_rows(df) if rows is None else rows
     names, squared = SPECS[spec]
     levels = {}
     for c in names:
@@ -121,12 +127,12 @@ def _hc3(df: DataFrame, columns: list[str], names: list[str], levels: dict, beta
     """Sum of x x' (residual / (1 - leverage))²: rows of one cell share all but log effort, so their leverage is a quadratic in it and the sum needs three moments for each cell."""
     at = {c: i for i, c in enumerate(columns)}
     df = df.where(" and ".join(f"{c} is not null" for c in CELLS))
-    key = F.concat_ws("|", *names)
+    key = F.concat_ws("\x1f", *names)
     base = {}
     for r in df.select(*names).distinct().collect():
         v = np.zeros(len(columns))
         v[[0, *[at[f"{c}={r[c]}"] for c in names if f"{c}={r[c]}" in at]]] = 1
-        base["|".join(str(r[c]) for c in names)] = (v, float(v @ beta), float(v @ inv @ v), float(v @ inv[:, 1]))
+        base["\x1f".join(str(r[c]) for c in names)] = (v, float(v @ beta), float(v @ inv @ v), float(v @ inv[:, 1]))
     pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, t in base.items() for x in (k, t[i])]), F.col("_k"))
     x = F.col("log_effort")
     leverage = pick(2) + 2 * pick(3) * x + float(inv[1, 1]) * x * x

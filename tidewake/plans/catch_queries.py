@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catch as C
 from ..operators import regression
+from ..operators.absorbed import fit_absorbed
 from ..sources.staging import staged
 from ..sources.tables import landings
 from .track_queries import r6, sql6
@@ -232,19 +233,20 @@ def _logs(l: DataFrame) -> DataFrame:
 
 def _fitted(l: DataFrame) -> DataFrame:
     """All five specifications."""
-    df = _logs(l)
-    rows = [regression.fit(df, s) for s in regression.SPECS]
+    df = staged(_logs(l), "logs")
+    cells = regression.cell_rows(df)
+    rows = [regression.fit(df, s, rows=cells) for s in regression.SPECS]
     cols = ["spec", "beta", "se", "p", "low", "high", "r2", "adj_r2", "n"]
     return l.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows], "spec string, beta double, se double, p double, low double, high double, r2 double, adj_r2 double, n long")
 
 
-def _fe_sql() -> str:
+def _fe_sql(specs: tuple[str, ...] = ("M1", "M2", "M3", "M4")) -> str:
     """Slope and fit of M1 to M4 without their dummies: by cell, both variables lose the means of each category in turn, 60 times over."""
     base = """, fx AS (SELECT bmu, year, season, gear, ln(effort) AS x, ln(cpue) AS y FROM ws WHERE effort > 0 AND cpue > 0),
 fc AS (SELECT bmu, year, season, gear, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM fx GROUP BY ALL),
 wi AS (SELECT sum(xx - n * mx * mx) AS xx, sum(xy - n * mx * my) AS xy, sum(yy - n * my * my) AS yy, sum(n) AS n, sum(yy) - pow(sum(n * my), 2) / sum(n) AS total FROM fc)"""
     parts, out = [], []
-    for spec in ("M1", "M2", "M3", "M4"):
+    for spec in specs:
         names = regression.SPECS[spec][0]
         step = f"SELECT k, bmu, year, season, gear, n, x, y FROM {spec}"
         for c in names:
@@ -256,8 +258,17 @@ wi AS (SELECT sum(xx - n * mx * mx) AS xx, sum(xy - n * mx * my) AS xy, sum(yy -
 
 @query(_fe_sql())
 def fixed_effects_slopes(l):
+    df = staged(_logs(l), "logs")
+    cells = regression.cell_rows(df)
+    rows = [regression.fit(df, s, rows=cells) for s in ("M1", "M2", "M3", "M4")]
+    return r6(l.sparkSession.createDataFrame([(r["spec"], r["beta"], r["r2"], r["n"]) for r in rows], "spec string, beta double, r2 double, n long"))
+
+
+@query(_fe_sql(("M2", "M4")))
+def absorbed_effects(l):
+    """Slope and fit with the units' effects absorbed: no matrix of units."""
     df = _logs(l)
-    rows = [regression.fit(df, s) for s in ("M1", "M2", "M3", "M4")]
+    rows = [fit_absorbed(df, s)[0] for s in ("M2", "M4")]
     return r6(l.sparkSession.createDataFrame([(r["spec"], r["beta"], r["r2"], r["n"]) for r in rows], "spec string, beta double, r2 double, n long"))
 
 
