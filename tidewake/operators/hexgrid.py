@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_KM, clip
 from ..functions.temporal import day_night, monsoon
+from ..sources.staging import staged
 from .kinematics import time_weights
+from .quantiles import first_of, many_quantiles, quantiles
 
 #: Cell areas in km² by resolution, fixed values; others by the ratio 7.
 AREAS = {7: 5.16, 8: 0.74, 9: 0.10}
 #: Slices: each is aggregated by hexagon and these columns.
 SLICES = {"overall": [], "by_year": ["year"], "by_month": ["month"], "by_season": ["season"], "by_day_night": ["day_night"], "by_year_month": ["year", "month"], "by_year_season": ["year", "season"], "by_season_day_night": ["season", "day_night"]}
-_KEYS = ["year", "month", "season", "day_night"]
+_KEYS, _TYPES = ["year", "month", "season", "day_night"], ["int", "int", "string", "string"]
 
 
 def edge_km(resolution: int) -> float:
@@ -61,35 +63,79 @@ def calendar(df: DataFrame, time: Column) -> DataFrame:
     return df.withColumn("_t", time).withColumns({"year": F.year("_t"), "month": F.month("_t"), "month_name": F.date_format("_t", "MMM"), "season": monsoon(F.month("_t")), "hour": F.hour("_t"), "day_night": day_night(F.hour("_t")), "date": F.to_date("_t")}).withColumnRenamed("_t", "time")
 
 
-def metrics(df: DataFrame, resolution: int, slices: dict[str, list[str]] = SLICES, speed: str | None = "speed") -> DataFrame:
-    """One row for each hexagon of each slice, from one pass (grouping sets): hours, points, trips, days, vessel-days, speeds, first and last time, coverage, centre, hours per trip and day.
+def trip_cube(df: DataFrame, resolution: int, speed: str | None = "speed") -> DataFrame:
+    """The finest sums: one row by hexagon, year, month, day or night and trip, with a bit for each day of the month.
 
-    coverage: days with points over the days from the slice's first to its last point.  Points are summed up by cell, calendar,
-    trip and day first; the eight groupings read those sums."""
-    each = ["cell", "q", "r", *_KEYS, "trip_id", "date"]
-    sums = [F.sum("time_hours").alias("time_hours"), F.count("time").alias("_n"), F.min("time").alias("_first"), F.max("time").alias("_last")]
-    if speed:
-        sums += [F.count(speed).alias("_v0"), F.sum(speed).alias("_v1"), F.sum(F.col(speed) * F.col(speed)).alias("_v2")]
-    df = with_cell(df, resolution).groupBy(*each).agg(*sums)
-    sets = [["cell", "q", "r", *keys] for keys in slices.values()]
+    Whatever else is counted distinctly follows from it exactly: trips are rows' trips, days the bits.  No exchange is
+    needed where points lie by trip."""
+    each = ["cell", "q", "r", *_KEYS, "trip_id"]
+    day = F.expr("bit_or(shiftleft(1, dayofmonth(date) - 1))")
+    sums = [F.sum("time_hours").alias("time_hours"), F.count("time").alias("n"), F.min("time").alias("first"), F.max("time").alias("last")]
+    v = F.col(speed) if speed else F.lit(None).cast("double")
+    sums += [F.count(v).alias("v0"), F.sum(v).alias("v1"), F.sum(v * v).alias("v2"), F.coalesce(day, F.lit(0)).alias("days"), F.max(F.col("date").isNull()).alias("undated")]
+    return with_cell(df, resolution).groupBy(*each).agg(*sums)
+
+
+def _entries(slices: dict[str, list[str]]) -> Column:
+    """The entries of a trip in a hexagon (array `e`) for each slice: its keys, sums, days, and what of trips and vessel-days it adds to those before it."""
+
+    def of(name: str, keys: list[str]):
+        def entry(x, i):
+            before = F.slice("e", 1, i)
+            met = F.exists(before, lambda o: _same(o, x, keys))
+            month = ["year", "month", *(["day_night"] if "day_night" in keys else [])]
+            again = F.filter(before, lambda o: _same(o, x, month))
+            fresh = x["days"].bitwiseAND(F.bitwise_not(F.aggregate(again, F.lit(0), lambda a, o: a.bitwiseOR(o["days"]))))
+            undated = x["undated"] & ~F.exists(again, lambda o: o["undated"])
+            return F.struct(
+                F.lit(name).alias("slice"), *[(x[k] if k in keys else F.lit(None).cast(t)).alias(k) for k, t in zip(_KEYS, _TYPES, strict=True)], x["year"].alias("y"), x["month"].alias("m"),
+                (~met).cast("int").alias("trips"), (F.bit_count(fresh) + undated.cast("int")).alias("vessel_days"), *[x[c].alias(c) for c in ("days", "time_hours", "n", "first", "last", "v0", "v1", "v2")],
+            )
+
+        return F.transform("e", entry)
+
+    return F.flatten(F.array(*[of(name, keys) for name, keys in slices.items()]))
+
+
+def _same(a, b, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def metrics(df: DataFrame, resolution: int, slices: dict[str, list[str]] = SLICES, speed: str | None = "speed") -> DataFrame:
+    """One row for each hexagon of each slice: hours, points, trips, days, vessel-days, speeds, first and last time, coverage, centre, hours per trip and day.
+
+    coverage: days with points over the days from the slice's first to its last point.  Each trip's few rows of a hexagon in
+    trip_cube() are looked at once for all slices, so that nothing is counted distinctly any more: trips and vessel-days
+    are summed, days are bits.  The result is staged, as the slices' bounds are worked out from it."""
+    fine = trip_cube(df, resolution, speed)
+    fields = [*_KEYS, "days", "undated", "time_hours", "n", "first", "last", "v0", "v1", "v2"]
+    by_trip = fine.groupBy("cell", "q", "r", "trip_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))  # a trip's months
+    rows = by_trip.select("cell", "q", "r", F.col("trip_id").isNotNull().alias("_known"), F.explode(_entries(slices)).alias("x")).select("cell", "q", "r", "_known", "x.*")
+    s = lambda c: F.sum(c).alias(c)
+    keys = ["slice", "cell", "q", "r", *_KEYS]
+    ends = [F.min("first").alias("first"), F.max("last").alias("last")]
+    sums = [s(c) for c in ("vessel_days", "time_hours", "n", "v0", "v1", "v2")]
+    months = rows.groupBy(*keys, "y", "m").agg(F.sum(F.col("trips") * F.col("_known").cast("int")).alias("trips"), F.bit_or("days").alias("days"), *sums, *ends)
+    at = months.groupBy(*keys).agg(s("trips"), F.sum(F.bit_count("days")).alias("n_days"), *sums, *ends)
     speeds = []
     if speed:
-        n, v1, v2 = F.sum("_v0"), F.sum("_v1"), F.sum("_v2")
+        n, v1, v2 = F.col("v0"), F.col("v1"), F.col("v2")
         some, more = F.when(n > 0, n), F.when(n > 1, n - 1)
         speeds = [(v1 / some).alias("mean_speed_kmh"), F.sqrt(F.greatest((v2 - v1 * v1 / some) / more, F.lit(0.0) * more)).alias("std_speed_kmh")]
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], "cell", "q", "r", *_KEYS).agg(
-        F.grouping_id().alias("gid"), F.sum("time_hours").alias("fishing_hours"), F.sum("_n").alias("n_points"), F.count_distinct("trip_id").alias("n_trips"), F.count_distinct("date").alias("n_days"), F.count_distinct(F.struct("trip_id", "date")).alias("vessel_days"), *speeds, F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"),
-    )
-    code = {sum(1 << (3 - i) for i, k in enumerate(_KEYS) if k not in keys): name for name, keys in slices.items()}
-    name = F.lit(None).cast("string")
-    for gid, text in code.items():
-        name = F.when(F.col("gid") == gid, text).otherwise(name)
-    part = W.partitionBy("slice", *_KEYS)
+    names = {"fishing_hours": "time_hours", "n_points": "n", "n_trips": "trips", "n_days": "n_days", "vessel_days": "vessel_days"}
+    out = staged(at.select(*keys, *[F.col(c).alias(n) for n, c in names.items()], *speeds, F.col("first").alias("first_seen"), F.col("last").alias("last_seen")), "hexagons")
+    bounds = out.groupBy("slice", *_KEYS).agg(F.min("first_seen").alias("a"), F.max("last_seen").alias("b")).withColumnsRenamed({k: f"_{k}" for k in ("slice", *_KEYS)})
+    same = F.lit(True)
+    for k in ("slice", *_KEYS):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = out.join(F.broadcast(bounds), same).drop(*bounds.columns[:-2])  # a row for each slice's part of the calendar
     us = F.expr("timestampdiff(MICROSECOND, a, b)")
-    out = out.withColumn("slice", name).withColumn("a", F.min("first_seen").over(part)).withColumn("b", F.max("last_seen").over(part))
-    out = out.withColumn("temporal_coverage", F.col("n_days") / (F.floor(us / 86400e6) + 1)).drop("a", "b", "gid")
+    out = out.withColumn("temporal_coverage", F.col("n_days") / (F.floor(us / 86400e6) + 1)).drop("a", "b")
     lat, lon = center(F.col("q"), F.col("r"), resolution)
-    return out.withColumns({"lat": lat, "lon": lon, "hours_per_trip": F.col("fishing_hours") / F.col("n_trips"), "hours_per_day": F.col("fishing_hours") / F.col("n_days")}).drop("q", "r")
+    return out.withColumns({"lat": lat, "lon": lon, "hours_per_trip": F.col("fishing_hours") / F.when(F.col("n_trips") > 0, F.col("n_trips")), "hours_per_day": F.col("fishing_hours") / F.when(F.col("n_days") > 0, F.col("n_days"))}).drop("q", "r")
 
 
 def density(df: DataFrame, resolution: int) -> DataFrame:
@@ -100,7 +146,8 @@ def density(df: DataFrame, resolution: int) -> DataFrame:
 def quality(df: DataFrame, min_hours: float = 0.1, min_trips: int = 1, min_days: int = 1) -> DataFrame:
     """Hexagons with enough data, and their confidence: the mean of trips, days and hours over each slice's 75th percentiles (after filtering), each at most 1."""
     kept = df.where((F.col("fishing_hours") >= min_hours) & (F.col("n_trips") >= min_trips) & (F.col("n_days") >= min_days))
-    q = kept.groupBy("slice").agg(F.percentile("n_trips", F.lit(0.75)).alias("_t"), F.greatest(F.percentile("n_days", F.lit(0.75)), F.lit(1.0)).alias("_d"), F.percentile("fishing_hours", F.lit(0.75)).alias("_h"))
+    q = many_quantiles(kept, {"n_trips": [0.75], "n_days": [0.75], "fishing_hours": [0.75]}, ["slice"])
+    q = q.select("slice", first_of("n_trips").alias("_t"), F.greatest(first_of("n_days"), F.lit(1.0)).alias("_d"), first_of("fishing_hours").alias("_h"))
     ratio = lambda a, b: clip(F.col(a) / F.when(F.col(b) > 0, F.col(b)), 0, 1)
     out = kept.join(F.broadcast(q), "slice")  # a row for each slice
     return out.withColumn("confidence", (ratio("n_trips", "_t") + ratio("n_days", "_d") + ratio("fishing_hours", "_h")) / 3).drop("_t", "_d", "_h")
@@ -137,10 +184,20 @@ def roll_up(cube_: DataFrame, **only) -> DataFrame:
     return cube_.groupBy("h").agg(F.sum("fh").alias("fh"), F.sum("nt").alias("nt"), F.sum("nd").alias("nd"), F.sum("vd").alias("vd"), (F.sum(F.col("sp") * weight) / F.sum(F.when(F.col("sp").isNotNull(), weight))).alias("sp"))
 
 
+def roll_up_exact(fine: DataFrame, **only) -> DataFrame:
+    """Rows of trip_cube() of the given dimension values by hexagon: hours, and trips, days and vessel-days each counted once however many grains they touch."""
+    for name, value in only.items():
+        fine = fine.where(F.col(name) == value)
+    # a trip's day is one whether by day or night; then a month's days are one whichever trip saw them
+    trips = fine.groupBy("cell", "trip_id", "year", "month").agg(F.sum("time_hours").alias("h"), F.bit_or("days").alias("days"))
+    months = trips.groupBy("cell", "year", "month").agg(F.sum("h").alias("h"), F.bit_or("days").alias("days"), F.sum(F.bit_count("days")).alias("vd"))
+    days = months.groupBy("cell").agg(F.sum("h").alias("fh"), F.sum(F.bit_count("days")).alias("nd"), F.sum("vd").alias("vd"))
+    count = fine.where("trip_id is not null").groupBy("cell", "trip_id").agg(F.lit(1).alias("one")).groupBy("cell").agg(F.count("*").alias("nt"))
+    return days.join(count, "cell", "left").select(F.col("cell").alias("h"), "fh", F.coalesce("nt", F.lit(0)).alias("nt"), "nd", "vd")
+
+
 def color_max(df: DataFrame, metric: str, part: float = 0.95) -> DataFrame:
     """The value at rank floor(part * n) (from 0) of the positive values: a robust end of a colour scale."""
-    from .quantiles import first_of, quantiles
-
     full = df.where(F.col(metric) > 0)
     n = full.count()
     if not n:
@@ -150,7 +207,10 @@ def color_max(df: DataFrame, metric: str, part: float = 0.95) -> DataFrame:
 
 
 def hex_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("slice").agg(F.count("*").alias("n_hexagons"), F.avg("fishing_hours").alias("mean_hours"), F.median("fishing_hours").alias("median_hours"), F.max("fishing_hours").alias("max_hours"), F.sum("fishing_hours").alias("total_hours"))
+    middle = quantiles(df, "fishing_hours", [0.5], ["slice"]).select("slice", first_of("q").alias("median_hours"))
+    hours = F.col("fishing_hours")
+    out = df.groupBy("slice").agg(F.count("*").alias("n_hexagons"), F.avg(hours).alias("mean_hours"), F.max(hours).alias("max_hours"), F.sum(hours).alias("total_hours"))
+    return out.join(F.broadcast(middle), "slice").select("slice", "n_hexagons", "mean_hours", "median_hours", "max_hours", "total_hours")  # a row for each slice
 
 
 def top_hexagons(df: DataFrame, k: int = 10) -> DataFrame:

@@ -431,6 +431,14 @@ def dashboard_roll_up(t):
     return r6(H.roll_up(H.cube(hex_points(t), _RES, "speed_kmh"), dn="day"))
 
 
+@query(
+    f", {_HEXP} SELECT cell AS h, round(sum(time_hours), 6) AS fh, count(DISTINCT trip_id) AS nt, count(DISTINCT date) AS nd, count(DISTINCT (trip_id, date)) AS vd "
+    "FROM hc WHERE season = 'NE_Monsoon' GROUP BY cell"
+)
+def dashboard_roll_up_exact(t):
+    return r6(H.roll_up_exact(H.trip_cube(hex_points(t), _RES, "speed_kmh"), season="NE_Monsoon"))
+
+
 @query(f", {_HEX}, c AS (SELECT fishing_hours AS v, row_number() OVER (ORDER BY fishing_hours) - 1 AS k, count(*) OVER () AS n FROM hx WHERE slice = 'overall' AND fishing_hours > 0) SELECT round(v, 6) AS color_max FROM c WHERE k = least(floor(n * 0.95), n - 1)")
 def hex_color_max(t):
     return r6(H.color_max(H.metrics(hex_points(t), _RES, {"overall": []}), "fishing_hours"))
