@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geo import stars
 from ..functions.temporal import landing_season
 from ..sources.staging import beside, staged
-from .quantiles import FEW_WHOLE, SMALL_ROWS, first_of, many_quantiles, quantiles, ranks, whole_quantiles
+from .quantiles import SMALL_ROWS, first_of, many_quantiles, quantiles, ranks
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns], F.count("*").alias("_n")).unpivot(["_n"], columns, "column", "n_missing").select("column", "n_missing", (100 * F.col("n_missing") / F.col("_n")).alias("percent"))
 
 
-def impute_effort(df: DataFrame) -> DataFrame:
-    """Missing effort where fishers are known: fishers over the unit's median of fishers/effort (infinite at effort 0).  effort_imputed marks them."""
+def impute_effort(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Missing effort where fishers are known: fishers over the unit's median of fishers/effort (infinite at effort 0).  effort_imputed marks them.  rows: a count of df, if it is known."""
     area = F.when(F.col("effort") == 0, F.when(F.col("total_fishers") > 0, float("inf"))).otherwise(F.col("total_fishers") / F.when(F.col("effort") != 0, F.col("effort")))
-    median = quantiles(df.withColumn("_a", area), "_a", [0.5], ["bmu"]).select("bmu", first_of("q").alias("median_area"))
+    median = many_quantiles(df.withColumn("_a", area), {"_a": [0.5]}, ["bmu"], rows=rows).select("bmu", first_of("_a").alias("median_area"))
     out = df.join(beside(median), "bmu", "left")
     fill = F.col("effort").isNull() & F.col("total_fishers").isNotNull() & F.col("median_area").isNotNull()
     return out.withColumn("effort_imputed", fill).withColumn("effort", F.when(fill, F.col("total_fishers") / F.when(F.col("median_area") != 0, F.col("median_area"))).otherwise(F.col("effort")))
@@ -38,16 +39,18 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where(F.col("effort").isNotNull() & F.col("cpue").isNotNull() & F.col("gear").isNotNull() & F.col("bmu").isNotNull() & (F.col("gear") != "nan"))
 
 
-def trimmed(df: DataFrame, part: float = 0.99) -> DataFrame:
-    """Rows at or under the percentile of both cpue and effort, with log_cpue and log_effort (log1p)."""
-    edge = whole_quantiles(df, {"cpue": [part], "effort": [part]}, FEW_WHOLE)  # as literals the bounds reach the scan
-    out = df.where((F.col("cpue") <= edge["cpue"][0]) & (F.col("effort") <= edge["effort"][0])) if all(edge.values()) else df.where(F.lit(False))
+def trimmed(df: DataFrame, part: float = 0.99, rows: int | None = None) -> DataFrame:
+    """Rows at or under the percentile of both cpue and effort, with log_cpue and log_effort (log1p).  rows: a count of df, or a bound of it, if one is known."""
+    edge = many_quantiles(df, {"cpue": [part], "effort": [part]}, rows=rows).first()  # as literals the bounds reach the scan
+    out = df.where((F.col("cpue") <= edge.cpue[0]) & (F.col("effort") <= edge.effort[0])) if edge else df.where(F.lit(False))
     return out.withColumn("log_cpue", F.log1p("cpue")).withColumn("log_effort", F.log1p("effort"))
 
 
 def working_set(landings: DataFrame) -> DataFrame:
-    """The cleaned, imputed, valid and trimmed rows.  The joined input is staged and its bounds are counted when this is called, as every statistic reads it several times."""
-    return trimmed(valid_set(landings))
+    """The cleaned, imputed, valid and trimmed rows, staged when this is called, as every statistic reads them several times."""
+    cleaned = staged(clean(landings), "landings-clean")
+    n = cleaned.count()
+    return staged(trimmed(valid(impute_effort(cleaned, n)), rows=n), "landings")
 
 
 def valid_set(landings: DataFrame) -> DataFrame:
@@ -62,15 +65,14 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] = (), rows: int | None = None) -> DataFrame:
-    """rho and n, over all rows or by group.  rows: a count of df, if it is known; up to SMALL_ROWS one sort a column ranks them, more are ranked by distinct pairs, with the same result."""
+    """rho and n, over all rows or by group (with_p() adds its p value).  rows: a count of df, if it is known; up to SMALL_ROWS one sort a column ranks them, more are ranked by distinct pairs, with the same result."""
     by = list(by)
     n = rows if rows is not None else df.count()
     if n <= SMALL_ROWS:
         at = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
         for c, r in ((x, "_x"), (y, "_y")):
-            upto = F.count("*").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(c).rangeBetween(W.unboundedPreceding, 0))
-            same = F.count("*").over(W.partitionBy(*(by or [F.lit(0)]), c))
-            at = at.withColumn(r, upto - same + (same + 1) / 2)
+            order = W.partitionBy(*(by or [F.lit(0)])).orderBy(c)
+            at = at.withColumn(r, (F.rank().over(order) + F.count("*").over(order.rangeBetween(W.unboundedPreceding, 0))) / 2)
         return at.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
     pairs = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n")), "pairs")
     at = pairs
@@ -84,15 +86,18 @@ def spearman(df: DataFrame, x: str = "effort", y: str = "cpue", by: list[str] =
     return at.groupBy(*by, "n").agg((s(dx, dy) / F.when(spread > 0, spread)).alias("rho")).select(*by, "rho", "n")
 
 
-def with_p(df: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
-    """df (a row for each test) with the two-sided p value of a correlation r over n pairs by Student's t; NULL where r is or n is under 3."""
+def with_p(df: DataFrame, r: str, n: str, name: str = "p", marks: str | None = None) -> DataFrame:
+    """df with the two-sided p value of a correlation r over n pairs by Student's t, and with its significance marks; NULL where r is or n is under 3.
+
+    For a row a test, not for points: p values are worked out one by one."""
     from .regression import correlation_p
 
     @F.pandas_udf("double")
     def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
         return pd.Series([None if r != r or r is None or n < 3 else correlation_p(float(r), int(n)) for r, n in zip(rs, ns, strict=True)], dtype="float64")
 
-    return df.withColumn(name, p(F.col(r).cast("double"), F.col(n).cast("double")))
+    out = df.withColumn(name, p(F.col(r).cast("double"), F.col(n).cast("double")))
+    return out.withColumn(marks, stars(F.col(name))) if marks else out
 
 
 def gear_subset(df: DataFrame, gears: list[str]) -> DataFrame:
@@ -114,13 +119,21 @@ def ols(df: DataFrame, x: str = "log_effort", y: str = "log_cpue") -> DataFrame:
 
 def quantile_bins(df: DataFrame, bins: int = 20, by: list[str] = ()) -> DataFrame:
     """Right-closed effort bins between interpolated quantiles, equal edges merged: bin, effort_median, cpue_mean, cpue_se, n."""
-    edges = quantiles(df, "effort", [i / bins for i in range(bins + 1)], by).select(*by, F.array_distinct("q").alias("_edges"))
-    at = df.join(beside(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row without groups
+    by, n, parts = list(by), df.count(), [i / bins for i in range(bins + 1)]
+    edges = many_quantiles(df, {"effort": parts}, by, rows=n).select(*by, F.array_distinct("effort").alias("_edges"))
+    if by:
+        at = df.join(beside(edges), by)
+    else:
+        found = edges.first()
+        at = df.withColumn("_edges", F.array(*map(F.lit, found[0]))) if found else df.limit(0).withColumn("_edges", F.array().cast("array<double>"))
     first = F.get("_edges", F.lit(0))
     number = F.when(F.col("effort") == first, 1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("effort"))))
     at = at.withColumn("bin", number.cast("int")).drop("_edges")
-    out = at.groupBy(*by, "bin").agg(F.avg("cpue").alias("cpue_mean"), (F.stddev_samp("cpue") / F.sqrt(F.count("*"))).alias("cpue_se"), F.count("*").alias("n"))
-    return out.join(quantiles(at, "effort", [0.5], [*by, "bin"]).select(*by, "bin", first_of("q").alias("effort_median")), [*by, "bin"])
+    sums = [F.avg("cpue").alias("cpue_mean"), (F.stddev_samp("cpue") / F.sqrt(F.count("*"))).alias("cpue_se"), F.count("*").alias("n")]
+    if n <= SMALL_ROWS:  # as quantiles(), in the same pass
+        return at.groupBy(*by, "bin").agg(*sums, F.median("effort").alias("effort_median"))
+    middle = many_quantiles(at, {"effort": [0.5]}, [*by, "bin"], rows=n).select(*by, "bin", first_of("effort").alias("effort_median"))
+    return at.groupBy(*by, "bin").agg(*sums).join(middle, [*by, "bin"])
 
 
 def means_by(df: DataFrame, *by: str) -> DataFrame:

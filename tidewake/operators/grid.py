@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import first_of, quantiles
+
 
 def bounds(df: DataFrame, padding: float = 0.05) -> DataFrame:
     """One row: the points' box, wider by a part of each side."""
@@ -28,7 +30,7 @@ def grid(df: DataFrame, size: float = 0.01, how: str = "sum", value: str | None
 def hotspots(cells: DataFrame, percentile: float = 90.0, size: float | None = None) -> DataFrame:
     """Cells whose value is at or over a percentile of the non-zero cells, with it as `threshold`.  lat and lon are lower left corners, or centres if size is given."""
     full = cells.where("value > 0")
-    edge = full.agg(F.percentile("value", F.lit(percentile / 100)).alias("threshold"))
+    edge = quantiles(full, "value", [percentile / 100]).select(first_of("q").alias("threshold"))
     out = full.crossJoin(F.broadcast(edge)).where(F.col("value") >= F.col("threshold"))  # one row
     return out.withColumn("lat", F.col("lat") + size / 2).withColumn("lon", F.col("lon") + size / 2) if size else out
 
@@ -36,5 +38,6 @@ def hotspots(cells: DataFrame, percentile: float = 90.0, size: float | None = No
 def grid_stats(cells: DataFrame) -> DataFrame:
     """total, largest cell, 90th percentile of the non-zero cells and how many reach it."""
     full = cells.where("value > 0")
-    edge = full.agg(F.percentile("value", F.lit(0.9)).alias("threshold"), F.sum("value").alias("total"), F.max("value").alias("max_cell"))
-    return full.crossJoin(F.broadcast(edge)).groupBy("total", "max_cell", "threshold").agg(F.count_if(F.col("value") >= F.col("threshold")).alias("n_hotspots"))  # one row
+    edge = quantiles(full, "value", [0.9]).select(first_of("q").alias("threshold"))
+    sums = [F.sum("value").alias("total"), F.max("value").alias("max_cell"), F.count_if(F.col("value") >= F.col("threshold")).alias("n_hotspots")]
+    return full.crossJoin(F.broadcast(edge)).groupBy("threshold").agg(*sums).select("total", "max_cell", "threshold", "n_hotspots")  # one row

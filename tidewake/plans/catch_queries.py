@@ -196,6 +196,34 @@ _TRENDS = f""", y AS (SELECT bmu, year, avg(log_cpue) AS m FROM ws WHERE year <=
 tt AS (SELECT *, abs(r) * sqrt((n_years - 2) / (1 - r * r)) AS t FROM tr), pt AS (SELECT bmu, slope, n_years, {_T_P} AS p FROM tt)"""
 
 
+#: A correlation's p value and significance marks from r and n.
+_P = _T_P.replace("n_years", "n")
+_TEST = f"tt AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM rr), pp AS (SELECT *, {_P} AS p FROM tt)"
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars"
+
+
+def _tested(df, r):
+    return C.with_p(df, r, "n", marks="stars").withColumn("p", F.round("p", 5)).withColumn(r, F.round(r, 6))
+
+
+@query(f", r AS (SELECT {ranks('effort')} AS x, {ranks('cpue')} AS y FROM ws), rr AS (SELECT corr(x, y) AS r, count(*) AS n FROM r), {_TEST} SELECT round(r, 6) AS rho, n, round(p, 5) AS p, {_STARS} FROM pp")
+def spearman_test(l):
+    return _tested(C.spearman(C.working_set(l)), "rho")
+
+
+@query(
+    f", rr AS (SELECT regr_slope(log_cpue, log_effort) AS slope, regr_intercept(log_cpue, log_effort) AS intercept, corr(log_effort, log_cpue) AS r, count(*) AS n FROM ws), {_TEST} "
+    f"SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, round(p, 5) AS p, {_STARS} FROM pp"
+)
+def log_log_test(l):
+    return r6(_tested(C.ols(C.working_set(l)), "r"))
+
+
+@query(f", r AS (SELECT gear, {ranks('effort', 'gear')} AS x, {ranks('cpue', 'gear')} AS y FROM ws), rr AS (SELECT gear, corr(x, y) AS r, count(*) AS n FROM r GROUP BY gear), {_TEST} SELECT gear, round(r, 6) AS rho, n, round(p, 5) AS p, {_STARS} FROM pp")
+def gear_tests(l):
+    return _tested(C.spearman(C.working_set(l), by=["gear"]), "rho")
+
+
 @query(f"{_TRENDS} SELECT bmu, round(slope, 6) AS slope, n_years, round(p, 5) AS p, p < 0.05 AS significant FROM pt")
 def parallel_trends(l):
     return r6(C.parallel_trends(C.working_set(l), 1997).select("bmu", "slope", "n_years", F.round("p", 5).alias("p"), "significant"))
