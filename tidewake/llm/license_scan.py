@@ -161,20 +161,25 @@ def examples() -> list[dict]:
 
 
 def units(text: Column) -> Column:
-    """array<struct<block, wide, text>>: the lines of the text that aren't blank, its blocks of several lines and, of long ones, windows."""
+    """array<struct<block, wide, text>>: the lines of the text that have a key word, its blocks of several lines and, of long ones, windows, each with such a line.
+
+    Blank lines are left out.  A line's words are looked at once: what is made of lines has a key word if one of them has."""
+    line = lambda x: F.struct(x.alias("text"), _is_key(_split(x)).alias("key"))
     full = lambda x: F.trim(x) != ""
-    split = lambda x: F.filter(F.split(x, "\n", -1), full)
-    blocks = F.transform(F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n", -1), full), split)
+    blocks = F.transform(F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n", -1), full), lambda x: F.transform(F.filter(F.split(x, "\n", -1), full), line))
 
     def cut(lines: Column, n: Column) -> Column:  # lines: a lambda's variable, so they are split once only
         made = lambda wide, x: F.struct(n.alias("block"), F.lit(wide).alias("wide"), x.alias("text"))
+        keyed = lambda part: F.exists(part, lambda x: x["key"])
+        joined = lambda part: made(True, F.array_join(part["text"], "\n"))
 
         def windows(n: int) -> Column:
             steps = F.when(F.size(lines) > n, F.sequence(F.lit(1), F.size(lines) - n // 2, F.lit(n // 2))).otherwise(F.array().cast("array<int>"))
-            return F.transform(steps, lambda i: made(True, F.array_join(F.slice(lines, i, n), "\n")))
+            return F.transform(F.filter(steps, lambda i: keyed(F.slice(lines, i, n))), lambda i: joined(F.slice(lines, i, n)))
 
-        whole = F.filter(F.array(made(True, F.array_join(lines, "\n"))), lambda x: F.size(lines) > 1)
-        return F.concat(F.transform(lines, lambda x: made(False, x)), whole, windows(WINDOW // 2), windows(WINDOW))
+        whole = F.transform(F.filter(F.array(F.lit(1)), lambda _: F.size(lines) > 1), lambda _: joined(lines))
+        found = F.concat(F.transform(F.filter(lines, lambda x: x["key"]), lambda x: made(False, x["text"])), whole, windows(WINDOW // 2), windows(WINDOW))
+        return F.when(keyed(lines), found).otherwise(F.expr("cast(array() as array<struct<block:int,wide:boolean,text:string>>)"))
 
     return F.flatten(F.transform(blocks, cut))
 
@@ -208,7 +213,7 @@ def train(docs: DataFrame) -> Model:
     spot = F.pmod(F.xxhash64(F.lit("none"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     other = docs.where("text is not null").where(spot < NEGATIVE_DOCS / n).select(F.explode(units(F.col("text"))["text"]).alias("text"))
     found = F.greatest(*[_contained(words(F.col("text")), F.lit(f)) for f in TEMPLATES])
-    other = other.where(_is_key(words(F.col("text")))).where(found < CONTAINED / 2).select(F.lit(0.0).alias("y"), "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).cast("int").alias("fold"))
+    other = other.where(found < CONTAINED / 2).select(F.lit(0.0).alias("y"), "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).cast("int").alias("fold"))
     other = other.orderBy(F.xxhash64("text"), "text").limit(NEGATIVE_UNITS)  # of a sample of the documents, a documented bound
     cells = CountVectorizerModel.from_vocabulary(VOCABULARY, "grams", "cells").setBinary(True)
     data = cells.transform(made.unionByName(other).coalesce(1).withColumn("grams", _features(words(F.col("text"))))).select("y", "fold", "cells").persist()
@@ -241,7 +246,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     name is told; a notice that names two licences is told as the likelier.  A table without rows gives none.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    some = F.when(_is_key(_split(F.col("text"))), F.filter(units(F.col("text")), lambda u: _is_key(_split(u["text"]))))
+    some = F.when(_is_key(_split(F.col("text"))), units(F.col("text")))
     flat = rows.select("rid", "doc_id", F.posexplode_outer(some).alias("unit", "u")).select("rid", "doc_id", "unit", "u.*").withColumn("words", F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
     told = model.score(flat).withColumn("contained", _contained(F.col("words"), F.col("likely")))
     is_licence = F.col("text").isNotNull() & (F.col("likely") != NONE)
