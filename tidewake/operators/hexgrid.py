@@ -162,6 +162,8 @@ def fishing_points(df: DataFrame, time: Column, fishing: str | None = "is_fishin
 def run_hex(df: DataFrame, time: Column, resolutions=(7, 8), fishing: str | None = "is_fishing", speed: str | None = "speed", min_hours=0.1, min_trips=1, min_days=1, output: str | None = None) -> dict[int, DataFrame]:
     """Resolution -> filtered metrics of all slices, optionally written as Parquet partitioned by slice."""
     points = fishing_points(df, time, fishing)
+    if points.isEmpty():
+        raise ValueError("there are no fishing points")
     out = {r: quality(metrics(points, r, speed=speed), min_hours, min_trips, min_days) for r in resolutions}
     if output:
         for r, one in out.items():

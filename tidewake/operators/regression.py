@@ -222,6 +222,69 @@ def lowess(x: np.ndarray, y: np.ndarray, part: float = 0.3, rounds: int = 3) ->
     return out[np.argsort(order, kind="stable")]
 
 
+def local_line(df: DataFrame, x: str, y: str, places: list[float], part: float = 0.3) -> DataFrame:
+    """place, fitted: tricube-weighted lines through the nearest `part` of all rows around each place, as lowess() without its
+    robust rounds, over the whole table.
+
+    Rows are summed up by different x first; a place's reach is the distance at which so many rows are met.  Sums are taken
+    around the place, so that they lose no digits; of rows as far as the reach all count alike (with weight 0, or 1 if the reach is
+    0).  Rows that lack a value take no part; no rows give no places."""
+    from pyspark.sql import Window as W
+
+    from ..sources.staging import staged
+
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    sums = staged(rows.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "local-line")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    k = max(2, math.ceil(part * total))
+    at = sums.withColumn("place", F.explode(F.array(*[F.lit(float(p)) for p in places]))).withColumn("t", F.col("x") - F.col("place"))
+    met = F.sum("n").over(W.partitionBy("place").orderBy(F.abs("t")))
+    at = at.withColumn("met", met).withColumn("reach", F.min(F.when(F.col("met") >= min(k, total), F.abs("t"))).over(W.partitionBy("place")))
+    u = F.abs("t") / F.when(F.col("reach") > 0, F.col("reach")).otherwise(1.0)
+    w = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(0.0)
+    s = lambda v: F.sum(F.col("w") * v)
+    n, t = F.col("n"), F.col("t")
+    out = at.withColumn("w", w).groupBy("place").agg(s(n).alias("sw"), s(n * t).alias("st"), s(n * t * t).alias("stt"), s(F.col("s")).alias("sy"), s(t * F.col("s")).alias("sty"))
+    spread = F.col("stt") - F.col("st") * F.col("st") / F.col("sw")
+    slope = F.when(spread > 0, (F.col("sty") - F.col("st") * F.col("sy") / F.col("sw")) / F.when(spread > 0, spread)).otherwise(0.0)
+    return out.where("sw > 0").select("place", ((F.col("sy") - slope * F.col("st")) / F.col("sw")).alias("fitted"))
+
+
+def shapiro(values: np.ndarray) -> tuple[float, float]:
+    """(W, p) of Shapiro and Wilk's test of normality by Royston's approximation (1995), for 3 to 5,000 values.  Constants are the published ones."""
+    from statistics import NormalDist
+
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 3 or x[0] == x[-1]:
+        raise ValueError("three values at least, not all equal")
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    mm, u = float(m @ m), n**-0.5
+    if n == 3:
+        a = np.array([-(0.5**0.5), 0.0, 0.5**0.5])
+    else:
+        ends = [m[-1] / mm**0.5 + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)]
+        if n > 5:
+            ends.insert(0, m[-2] / mm**0.5 + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u))
+        k = len(ends)
+        rest = (mm - 2 * float(m[-k:] @ m[-k:])) / (1 - 2 * sum(e * e for e in ends))
+        a = np.concatenate([-np.array(ends[::-1]), m[k:-k] / rest**0.5, ends])
+    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(w**0.5) - math.asin(0.75**0.5)))
+    if w >= 1:
+        return w, 1.0
+    if n <= 11:
+        g = 0.459 * n - 2.273
+        v = math.log(1 - w)
+        if v >= g:
+            return w, 0.0
+        z = (-math.log(g - v) - np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)) / math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        z = (math.log(1 - w) - np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], math.log(n))) / math.exp(np.polyval([0.0030302, -0.082676, -0.4803], math.log(n)))
+    return w, 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def polyfit(bins: list[tuple[float, float, float]], degree: int) -> list[float]:
     """Weighted polynomial through (x, y, n), weights sqrt(n), highest power first."""
     x, y, n = (np.array(v, float) for v in zip(*bins, strict=True))

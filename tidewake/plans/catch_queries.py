@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import catch as C
 from ..operators import regression
 from ..operators.absorbed import fit_absorbed
+from ..operators.quantiles import many_quantiles
 from ..sources.staging import staged
 from ..sources.tables import landings
 from .track_queries import r6, sql6
@@ -306,7 +307,29 @@ def residual_diagnostics(l):
     df = _logs(l)
     out = regression.residuals(df, regression.fit(df, "M4"))
     pairs = regression.quantile_pairs(out, "residual").agg(F.corr("theoretical", "sample").alias("qq_r"))
-    return C.moments(out, "residual").crossJoin(F.broadcast(pairs))  # one row each
+    some = regression.sampled(out, 4_900, ["bmu", "effort", "log_cpue"]).select("residual").limit(5_000).toPandas()["residual"]  # the test's own limit
+    w, p = regression.shapiro(some.to_numpy())
+    told = C.moments(out, "residual").crossJoin(F.broadcast(pairs))  # one row each
+    return told.withColumn("shapiro_w", F.lit(w)).withColumn("shapiro_p", F.lit(p))
+
+
+_CURVE_AT = [k / 20 for k in range(21)]
+
+
+@query(
+    f""", pl AS (SELECT DISTINCT unnest(quantile_cont(effort, {_CURVE_AT})) AS place FROM ws), g AS (SELECT effort AS x, count(*) AS n, sum(cpue) AS s FROM ws GROUP BY effort),
+k AS (SELECT greatest(2, ceil(0.3 * sum(n))) AS k FROM g),
+a AS (SELECT place, x - place AS t, n, s, sum(n) OVER (PARTITION BY place ORDER BY abs(x - place)) AS met FROM g, pl),
+h AS (SELECT place, min(abs(t)) AS h FROM a, k WHERE met >= k GROUP BY place),
+w AS (SELECT place, t, n, s, CASE WHEN abs(t) < CASE WHEN h > 0 THEN h ELSE 1 END THEN pow(1 - pow(abs(t) / CASE WHEN h > 0 THEN h ELSE 1 END, 3), 3) ELSE 0 END AS w FROM a JOIN h USING (place)),
+m AS (SELECT place, sum(w * n) AS sw, sum(w * n * t) AS st, sum(w * n * t * t) AS stt, sum(w * s) AS sy, sum(w * t * s) AS sty FROM w GROUP BY place)
+SELECT round(place, 6) AS place, round((sy - CASE WHEN stt - st * st / sw > 0 THEN (sty - st * sy / sw) / (stt - st * st / sw) ELSE 0 END * st) / sw, 6) AS fitted FROM m"""
+)
+def effort_curve_whole(l):
+    """The curve over all rows, at 21 quantiles of effort."""
+    df = C.working_set(l).select("effort", "cpue")
+    places = many_quantiles(df, {"effort": _CURVE_AT}).first()
+    return r6(regression.local_line(df, "effort", "cpue", sorted(set(places.effort)) if places else [0.0], 0.3))
 
 
 @query(None)

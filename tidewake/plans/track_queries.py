@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as G
 from ..operators import hexgrid as H
 from ..operators import kinematics as K
+from ..operators import layers
 from ..operators import phases as P
 from ..operators import rolling as R
 from ..operators import shore as S
@@ -444,6 +445,19 @@ def hex_color_max(t):
     return r6(H.color_max(H.metrics(hex_points(t), _RES, {"overall": []}), "fishing_hours"))
 
 
+_MERCATOR = "0.5 - ln(tan(pi() / 4 + radians(greatest(-85.05112878, least(85.05112878, latitude))) / 2)) / (2 * pi())"
+
+
+@query(
+    f", {_LABELLED}, z AS (SELECT unnest(range(4, 13))::INT AS zoom), c AS (SELECT zoom, floor((longitude + 180) / 360 * pow(2, zoom + 2)) AS cx, floor(({_MERCATOR}) * pow(2, zoom + 2)) AS cy, latitude, longitude, is_fishing FROM lab, z) "
+    "SELECT zoom, count(*) AS n_points, round(sum(latitude), 6) AS lat_sum, round(sum(longitude), 6) AS lon_sum, count(*) FILTER (is_fishing = 1) AS n_fishing FROM c GROUP BY zoom, cx, cy"
+)
+def map_clusters(t):
+    """Sums of places and states: means of coordinates with six digits would lie on the edge of rounding."""
+    n, out = F.col("n_points"), layers.clusters(labelled(t))
+    return r6(out.select("zoom", n, (F.col("lat") * n).alias("lat_sum"), (F.col("lon") * n).alias("lon_sum"), F.round(F.col("share") * n).cast("long").alias("n_fishing")))
+
+
 @query(f", {_HEXP} SELECT cell, count(*) AS n_points FROM hc GROUP BY cell")
 def hex_density(t):
     return H.density(hex_points(t), _RES)

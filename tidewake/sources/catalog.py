@@ -99,7 +99,8 @@ class TripCatalog:
 
     def find(self, min_points=None, max_points=None, min_duration_hours=None, max_duration_hours=None) -> list[str]:
         df = with_points(self.summarize(), min_points, max_points, min_duration_hours, max_duration_hours)
-        return [r.trip_id for r in df.select("trip_id").orderBy("trip_id").collect()]
+        number = F.expr("try_cast(trip_id as bigint)")  # as ids(): numbers in their order, then others
+        return [r.trip_id for r in df.select("trip_id").orderBy(number.asc_nulls_last(), "trip_id").collect()]
 
 
 def summarize(df: DataFrame, by: list[str]) -> DataFrame:
