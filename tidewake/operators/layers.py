@@ -53,7 +53,8 @@ def clusters(df: DataFrame, zooms: tuple[int, ...] = tuple(range(4, 13)), per_ti
     finest = max(zooms)
     lat = F.radians(clip(F.col("latitude"), -85.05112878, 85.05112878))
     x, y = (F.col("longitude") + 180) / 360, F.lit(0.5) - F.log(F.tan(F.lit(math.pi / 4) + lat / 2)) / (2 * math.pi)
-    cell = lambda v: F.floor(v * float(2**finest * per_tile)).cast("long")
+    side = 2**finest * per_tile  # the map's own edge belongs to the last cell
+    cell = lambda v: F.greatest(F.least(F.floor(v * float(side)).cast("long"), F.lit(side - 1)), F.lit(0))
     at = df.where("latitude is not null and longitude is not null").groupBy(cell(x).alias("cx"), cell(y).alias("cy"))
     sums = [F.count("*").alias("n"), F.sum("latitude").alias("slat"), F.sum("longitude").alias("slon"), F.count_if(F.col(state) == 1).alias("ones")]
     at = staged(at.agg(*sums), "clusters").withColumn("zoom", F.explode(F.array(*map(F.lit, sorted(zooms)))))
