@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewake.llm.decontamination import MIN_WORDS, align, find_copies
 
@@ -106,3 +107,21 @@ def test_short_items_word_for_word(spark, docs):
     assert [[x.item_id for x in r.found] for r in out] == [[1], [], [2], [2], [], [3], [4], [], []]
     again = find_copies(docs([texts[0], texts[0]]), bench.unionByName(bench)).collect()
     assert [[x.item_id for x in r.found] for r in again] == [[1], [1]]
+
+
+def test_counts_of_n_grams_stay_in_spark(spark, docs, monkeypatch):
+    """Only n-grams over the limit reach the driver, whatever the items' number."""
+    import pyarrow as pa
+
+    from tidewake.llm import decontamination as D
+
+    seen = []
+    dropped = D.Items.drop_frequent
+    monkeypatch.setattr(D.Items, "drop_frequent", lambda self, k: (seen.append((len(k), self.number)), dropped(self, k)))
+    monkeypatch.setattr(D, "RARE_AT_LEAST", 5)
+    items = [(i, " ".join(f"w{(i * 7 + j) % 9000}x{i % 13}" for j in range(6)) + " of the sea") for i in range(20_000)]
+    bench = spark.createDataFrame(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}).to_pandas())
+    texts = [f"before {items[i][1]} after" for i in range(0, 40)] + ["ships of the sea"] * 10
+    out = D.find_copies(docs(texts), bench).select("doc_id", F.col("found.item_id").alias("ids")).collect()
+    assert all(r.doc_id in r.ids for r in out if r.doc_id < 40) and not any(r.ids for r in out if r.doc_id >= 40)
+    assert seen and all(k <= 3 < number for k, number in seen)  # "of the" and "the sea"

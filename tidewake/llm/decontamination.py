@@ -112,10 +112,10 @@ class Items:
         text = np.searchsorted(w.first, at, "right") - 1
         return text, at - w.first[text], k, h
 
-    def rare(self, df: np.ndarray, limit: float) -> None:
-        """Short n-grams that more than `limit` documents have are no seeds; long ones all are."""
+    def drop_frequent(self, numbers: np.ndarray) -> None:
+        """Short n-grams with these numbers are no seeds; long ones all are."""
         short = self.seeds[1]
-        stay = df[short.number] <= limit
+        stay = ~np.isin(short.number, numbers)
         self.seeds[1] = Seeds(SHORT, short.grams[stay], short.number[stay])
 
     def shared(self, i: int, words: np.ndarray) -> int:
@@ -157,15 +157,18 @@ class Items:
 
 
 def _frequencies(shared):
+    """In how many of a task's texts each short n-gram occurs."""
+
     def run(batches):
         items: Items = shared.value
-        seen, n = np.zeros(items.number, np.int64), 0
+        first = len(items.seeds[0].grams)  # short ones have the numbers from here on
+        seen = np.zeros(items.number - first, np.int64)
         for t in sliced(batches, 2 << 20):
             text, _, k, _ = items.hits(folded(t.column("text").combine_chunks()))
+            text, k = text[k >= first], k[k >= first] - first
             seen += np.bincount(np.unique(text * max(1, len(seen)) + k) % max(1, len(seen)), minlength=len(seen))[: len(seen)]
-            n += t.num_rows
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], n), pa.int64())], names=["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at + first, pa.int64()), pa.array(seen[at], pa.int64())], names=["k", "n"])
 
     return run
 
@@ -203,13 +206,14 @@ def find_copies(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / ITEM_BYTES))
+    limit = RARE * texts.count() + RARE_AT_LEAST if size else 0
     out = texts.withColumn("found", F.expr(f"cast(array() as {_FOUND})"))
     for block in range(blocks if size else 0):
         items = Items(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())  # about ITEM_BYTES
         every = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(items)), "k long, n long")
-        counts = {r.k: r.n for r in every.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row for each n-gram of the block at most
-        df = np.array([counts.get(k, 0) for k in range(items.number)], np.int64)
-        items.rare(df, RARE * counts.get(-1, 0) + RARE_AT_LEAST)
+        # counts stay in Spark: the driver gets the numbers of those that more documents have than a seed may, as an Arrow column
+        frequent = every.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("k").toArrow()
+        items.drop_frequent(frequent.column("k").to_numpy())
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(items)), out.schema)
     best = F.expr("array_sort(found, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.item_id < b.item_id then -1 when a.item_id > b.item_id then 1 else 0 end)")
     return out.withColumn("found", best)
