@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catch as C
-from ..operators import regression
+from ..operators import regression, som
 from ..operators.absorbed import fit_absorbed
 from ..operators.quantiles import many_quantiles
 from ..sources.staging import staged
@@ -342,6 +342,15 @@ def effort_curve(l):
     return l.sparkSession.createDataFrame([(float(rows["effort"][i]), float(fitted[i])) for i in range(0, len(rows), step)], "effort double, cpue_smooth double")
 
 
+@query(None)
+def landings_map(l):
+    """A map of all landings by effort, catch rate and size of crew: rows and mean distance of each node."""
+    columns = ["log_effort", "log_cpue", "total_fishers"]
+    df = som.standardised(C.working_set(l).select(*columns), columns)
+    told = som.BatchMap(6, 6).fit(df, columns).assign(df)
+    return r6(told.groupBy("node").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance")))
+
+
 @query(None)
 def fixed_effects_models(l):
     return _fitted(l)
