@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
         p.print_help()
         return 0
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .operators.columns import as_points
     from .operators.ml import EffortForest, GearModel, VesselModel
@@ -37,6 +38,8 @@ def main(argv: list[str] | None = None) -> int:
         p.error(f"{args.cmd} predict needs --model")
     else:
         out = (GearModel if args.cmd == "gear" else VesselModel).load(args.model).predict(df)
+    if args.output.lower().endswith(".csv") and "vessel_type_prob" in out.columns:
+        out = out.withColumn("vessel_type_prob", F.to_json("vessel_type_prob"))
     write_table(out, args.output)
     print(f"wrote {args.output}")
     return 0

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import KernelMachine, literal
+
 #: Feature order of the point model, fixed.
 POINT_FEATURES = [
     "latitude", "longitude", "hour", "dayofweek", "trip_pos_norm", "time_since_start_min", "speed_kmh", "acceleration", "jerk",
@@ -103,10 +104,13 @@ class _TripModel:
         held = trips.persist()  # learners read it again and again, in partitions of some size
         trips = held.coalesce(max(1, held.count() // 50_000))
         names = StringIndexer(inputCol=self.label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
+        if trips.where(F.col(self.label).isNotNull()).isEmpty():
+            raise ValueError(f"there are no trips with a {self.label}")
         labels = names.fit(trips).labels
         scale = SQLTransformer(statement=f"SELECT *, {self._scaled(trips)} FROM __THIS__")
-        stages = [scale, VectorAssembler(inputCols=[f"_{c}" for c in TRIP_FEATURES], outputCol="_in"), *self._learner(), IndexToString(inputCol="_guess", outputCol=self.out, labels=labels)]
-        self.model = Pipeline(stages=stages).fit(StringIndexerModel.from_labels(labels, self.label, "_label", "skip").transform(trips))
+        rows = StringIndexerModel.from_labels(labels, self.label, "_label", "skip").transform(trips)
+        stages = [scale, *self._learner(scale.transform(rows), labels), IndexToString(inputCol="_guess", outputCol=self.out, labels=labels)]
+        self.model = Pipeline(stages=stages).fit(rows)
         held.unpersist()
         return self
 
@@ -133,22 +137,24 @@ class GearModel(_TripModel):
 
     label, out = "gear_label", "gear_pred"
 
-    def _learner(self) -> list:
-        return [LogisticRegression(featuresCol="_in", labelCol="_label", predictionCol="_guess", rawPredictionCol="_raw", probabilityCol="_p", family="multinomial", maxIter=1000, standardization=False)]
+    def _learner(self, rows: DataFrame, labels: list[str]) -> list:
+        inputs = VectorAssembler(inputCols=[f"_{c}" for c in TRIP_FEATURES], outputCol="_in")
+        return [inputs, LogisticRegression(featuresCol="_in", labelCol="_label", predictionCol="_guess", rawPredictionCol="_raw", probabilityCol="_p", family="multinomial", maxIter=1000, standardization=False)]
 
 
 class VesselModel(_TripModel):
-    """Vessel type from trip features: a radial kernel by random Fourier features (Rahimi and Recht 2007) under one-versus-rest linear support vectors, an approximation of a kernel machine; vessel_type_pred."""
+    """Vessel type from trip features: support vectors under a radial kernel at landmarks, one machine for each pair of types
+    (operators/kernel.py).  vessel_type_pred is the type that wins most pairs; vessel_type_prob maps each type to its probability, which
+    need not be largest for the predicted type, as in other kernel machines.  A trip without one of its features is an error."""
 
     label, out = "vessel_type_label", "vessel_type_pred"
-    waves, gamma, seed = 64, 1.0 / 3, 42
-
-    def _learner(self) -> list:
-        rng = np.random.default_rng(self.seed)
-        w, b = rng.normal(0, np.sqrt(2 * self.gamma), (self.waves, len(TRIP_FEATURES))), rng.uniform(0, 2 * np.pi, self.waves)
-        waves = [" + ".join([f"({float(v)!r}) * _{c}" for v, c in zip(row, TRIP_FEATURES, strict=True)] + [repr(float(t))]) for row, t in zip(w, b, strict=True)]
-        lift = SQLTransformer(statement="SELECT *, " + ", ".join(f"{(2 / self.waves) ** 0.5!r} * cos({x}) AS _w{i}" for i, x in enumerate(waves)) + " FROM __THIS__")
-        return [lift, VectorAssembler(inputCols=[f"_w{i}" for i in range(self.waves)], outputCol="_lifted"), OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01), featuresCol="_lifted", labelCol="_label", predictionCol="_guess")]
+    landmarks, gamma, cost = 64, 1.0 / 3, 1.0
+
+    def _learner(self, rows: DataFrame, labels: list[str]) -> list:
+        inputs = [f"_{c}" for c in TRIP_FEATURES]
+        machine = KernelMachine(inputs, self.gamma, self.cost, self.landmarks).fit(rows, "_label", len(labels))
+        names = literal(labels, "array<string>")
+        return [*machine.stages(), SQLTransformer(statement=f"SELECT *, map_from_arrays({names}, _prob) AS vessel_type_prob FROM __THIS__")]
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:

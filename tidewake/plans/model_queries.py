@@ -143,7 +143,9 @@ def gear_predictions(spark, sf_dir):
 @query(None)
 def vessel_predictions(spark, sf_dir):
     t = _trips(spark, sf_dir, "vessel_type_label")
-    return M.VesselModel().fit(t).predict(t).select("trip_id", "vessel_type_label", "vessel_type_pred")
+    out = M.VesselModel().fit(t).predict(t)
+    sure = F.element_at("vessel_type_prob", F.col("vessel_type_pred"))
+    return out.select("trip_id", "vessel_type_label", "vessel_type_pred", F.round(sure, 6).alias("pred_prob"))
 
 
 @query(f"WITH {Q.TRACKS} SELECT trip_id, count(*) AS n_points, round((max(t_us) - min(t_us)) / 3.6e9, 6) AS duration_hours, round(min(latitude), 6) AS min_lat, round(max(latitude), 6) AS max_lat FROM tracks GROUP BY trip_id HAVING count(*) BETWEEN 40 AND 80")
