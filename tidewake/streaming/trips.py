@@ -1,4 +1,4 @@
-"""Streams of GPS points: trips as sessions, and the latest state of each vessel.  The batch operators stay the reference."""
+"""Streams of GPS points: trips as sessions.  The batch operators stay the reference; smoothing.py smooths states on a stream."""
 
 from __future__ import annotations
 
