@@ -191,15 +191,17 @@ def residual_moments(l):
     return out.select((F.round("mean", 6) + 0).alias("mean"), F.round("std", 6).alias("std"), F.round("skew", 4).alias("skew"), F.round("excess_kurtosis", 4).alias("excess_kurtosis"))
 
 
-#: Two-sided p of Student's t for r over n pairs, by Simpson's rule on the density from 0 to t.
-_T_P = """greatest(0.0, 1 - 2 * exp(lgamma((n_years - 1) / 2) - lgamma((n_years - 2) / 2)) / sqrt(pi() * (n_years - 2)) * t / 6000 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * k / 2000, 2) / (n_years - 2), -(n_years - 1) / 2))))"""
+#: Two-sided p of Student's t for r over n pairs, by Simpson's rule on a power of the cosine from 0 to asin(|r|), which is the
+#: density with t = sqrt(n - 2) tan.  Beyond 40 / sqrt(n - 2) the power is 0 to all digits, so that steps follow its width for any n.
+_T_P = """greatest(0.0, 1 - 2 * CASE WHEN n_years > 2000 THEN sqrt((n_years - 2) / 2) * (1 - 0.25 / (n_years - 2) + 0.03125 / pow(n_years - 2, 2)) ELSE exp(lgamma((n_years - 1) / 2) - lgamma((n_years - 2) / 2)) END / sqrt(pi()) * far / 6000 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(far * k / 2000), n_years - 3))))"""
+_FAR = "least(asin(least(abs(r), 1)), 40 / sqrt(greatest(n_years - 2, 1)))"
 _TRENDS = f""", y AS (SELECT bmu, year, avg(log_cpue) AS m FROM ws WHERE year <= 1997 GROUP BY bmu, year), tr AS (SELECT bmu, regr_slope(m, year) AS slope, corr(year, m) AS r, count(*) AS n_years FROM y GROUP BY bmu HAVING count(*) >= 3),
-tt AS (SELECT *, abs(r) * sqrt((n_years - 2) / (1 - r * r)) AS t FROM tr), pt AS (SELECT bmu, slope, n_years, {_T_P} AS p FROM tt)"""
+tt AS (SELECT *, {_FAR} AS far FROM tr), pt AS (SELECT bmu, slope, n_years, {_T_P} AS p FROM tt)"""
 
 
 #: A correlation's p value and significance marks from r and n.
 _P = _T_P.replace("n_years", "n")
-_TEST = f"tt AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM rr), pp AS (SELECT *, {_P} AS p FROM tt)"
+_TEST = f"tt AS (SELECT *, {_FAR.replace('n_years', 'n')} AS far FROM rr), pp AS (SELECT *, {_P} AS p FROM tt)"
 _STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars"
 
 
@@ -304,8 +306,8 @@ def absorbed_effects(l):
 @query(None)
 def residual_diagnostics(l):
     """Moments of the residuals of M4, and the normal quantile pairs' correlation."""
-    df = _logs(l)
-    out = regression.residuals(df, regression.fit(df, "M4"))
+    df = staged(_logs(l), "logs")
+    out = staged(regression.residuals(df, regression.fit(df, "M4")).select("bmu", "effort", "log_cpue", "residual"), "residuals")
     pairs = regression.quantile_pairs(out, "residual").agg(F.corr("theoretical", "sample").alias("qq_r"))
     some = regression.sampled(out, 4_900, ["bmu", "effort", "log_cpue"]).select("residual").limit(5_000).toPandas()["residual"]  # the test's own limit
     w, p = regression.shapiro(some.to_numpy())
