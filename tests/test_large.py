@@ -1,8 +1,11 @@
 """Steps that only large tables show, on small ones."""
 
+import numpy as np
 import pytest
 
+from tidewake.operators.nearby import Track
 from tidewake.operators.regression import correlation_p
+from tidewake.operators.rolling import near_shape
 from tidewake.plans import catch_queries as CQ
 
 
@@ -15,3 +18,36 @@ def test_p_values_in_sql_hold_for_any_number_of_pairs():
     for r, n, p, marks in got:
         want = correlation_p(r, n)
         assert p == pytest.approx(want, abs=2e-6) and (marks == "***") == (want < 0.001)
+
+
+@pytest.mark.parametrize("planar", [True, False])
+def test_large_trips_are_dealt_out_by_tiles(spark, planar):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 else 1, k, int(rng.integers(0, 500)) * 1000, float(rng.uniform(-6.02, -5.98)), float(rng.uniform(39, 39.04)), k) for k in range(900)]
+    rows += [(1, k, k * 1000, -6.0, 179.999 + 0.001 * (k % 3) - 360 * (k % 3 > 1), k) for k in range(300)]
+    rows += rows[:60] + [(1, 5000, 7, None, 39.0, 1), (None, 5001, 7, -6.0, float("nan"), 1), (2, 1, 0, -6.0, 39.0, 3), (2, 2, 1, -6.0, 39.001, 3)]
+    df = spark.createDataFrame(rows, "trip_id long, event_id long, t_us long, latitude double, longitude double, sinuosity int")
+    want = near_shape(df, 1.0, planar)
+    got = near_shape(df, 1.0, planar, whole=100, pairs=5_000)
+    assert "_t0" in got._jdf.queryExecution().toString()  # by tiles
+    assert got.schema == want.schema
+    key = lambda r: (str(r.trip_id), r.event_id, r.t_us)
+    a, b = (sorted(d.collect(), key=key) for d in (got, want))
+    assert len(a) == len(b) == len(rows)
+    for x, y in zip(a, b, strict=True):
+        assert key(x) == key(y) and x.n_near == y.n_near
+        assert [x.straightness, x.radius_gyration_km, x.sinuosity] == pytest.approx([y.straightness, y.radius_gyration_km, y.sinuosity], abs=1e-8)
+
+
+def test_points_one_by_one_give_the_matrices_sums():
+    rng = np.random.default_rng(6)
+    lat, lon, w = rng.uniform(0, 0.03, 700), rng.uniform(0, 0.03, 700), rng.integers(1, 3, 700)
+    for planar in (True, False):
+        track = Track(lat, lon, w, 1.0, planar, lat.mean())
+        want = track.shapes()
+        told = {}
+        track._by_points(np.arange(0, 700, 7), lambda i, t: told.update({i: t}))
+        assert [told[i][0] for i in told] == want[0][::7].tolist()
+        assert [np.sqrt(t[2] / t[0]) for t in told.values()] == pytest.approx(want[2][::7].tolist(), abs=1e-8)
+        some = track.shapes(np.arange(3, 700, 5))
+        assert all(a == pytest.approx(b[3::5], abs=1e-12) for a, b in zip(some, want, strict=True))

@@ -4,7 +4,8 @@ A trip's points are summed up in a tree over time: a node is a stretch of points
 the moments of its places.  Around a point, a node wholly within the radius enters by these sums, one wholly outside not
 at all, and only nodes across the border are opened.  A vessel at anchor, or one that passes by, is told by a few nodes; the
 path joins the ends of neighbouring nodes.  Where tracks cross the border so often that most nodes would be opened, a block
-of points meets all of the trip's at once, as matrices.  Both ways give the same sums; memory is bounded by BLOCK and MATRIX.
+of points meets all of the trip's at once, as matrices, or one by one where there are very many.  All ways give the same sums;
+memory is bounded by BLOCK and MATRIX.
 
 Squared great-circle distances to the centre are worked out from moments: with h a quarter of the squared chord, the square
 of the angle is 4 (h + h²/3 + 8h³/45 + ...), of which the first two terms are kept (the third is under 1e-10 of the sum for
@@ -186,18 +187,45 @@ class Track:
         path = np.add.reduceat(run[end] - run[begin] + step, cut)
         return put(rows, (n, path, 4 * EARTH_KM**2 * (square / 4 + fourth / 48), begin[cut], end[last]))
 
-    def shapes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """n_near, straightness, radius_gyration_km and sinuosity of each place."""
+    def _by_points(self, rows: np.ndarray, put) -> None:
+        """The same for one row at a time, with the places within the radius taken by themselves."""
+        arc = (lambda h: np.arcsin(np.minimum(h, 1.0))) if self.exact else (lambda h: h * (1 + h * h * (1 / 6 + h * h * (3 / 40))))
+        at, u = [np.ascontiguousarray(v) for v in self.at.T], [np.ascontiguousarray(v) for v in self.u.T]
+        for i in rows:
+            d = (at[0] - at[0][i]) ** 2
+            for v in at[1:]:
+                d += (v - v[i]) ** 2
+            if self.planar:
+                j = np.flatnonzero(np.sqrt(d, out=d) <= self.radius)
+            else:
+                near = d <= self.chord2 * (1 - 1e-9)
+                close = np.flatnonzero(~near & (d <= self.chord2 * (1 + 1e-9)))
+                near[close] = self.near(i, close)
+                j = np.flatnonzero(near)
+            w, places = self.weight[j], [v[j] for v in u]
+            n = w.sum()
+            center = _on_sphere(np.radians((self.lat[j] @ w) / n), np.radians((self.lon[j] @ w) / n))
+            legs, off = np.zeros(len(j) - 1), np.zeros(len(j))
+            for v, c in zip(places, center, strict=True):
+                legs += (v[1:] - v[:-1]) ** 2
+                off += (v - c) ** 2
+            path, far = 2 * EARTH_KM * arc(np.sqrt(legs) / 2).sum(), 2 * EARTH_KM * arc(np.sqrt(off) / 2)
+            put(i, (n, path, (far * far) @ w, j[0], j[-1]))
+
+    def shapes(self, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """n_near, straightness, radius_gyration_km and sinuosity of each place, or only of some, whose numbers rise."""
         self.build()
         out = [np.empty(self.n) for _ in range(3)] + [np.empty(self.n, np.int64) for _ in range(2)]
+        only = np.arange(self.n) if only is None else only
 
         def put(rows, told) -> None:
             for x, y in zip(out, told, strict=True):
                 x[rows] = y
 
         done, many, block, skip, miss = 0, 256, max(1, MATRIX // self.n), self.n <= SMALL, 0
-        while done < self.n:
-            rows = np.arange(done, min(done + (block if skip else many), self.n))
+        way, again = (self._by_matrix, 32) if block > 16 else (self._by_points, 512 // block)
+        while done < len(only):
+            rows = only[done : done + (block if skip else many)]
             told = None if skip else self._elements(rows)
             if told is not None:
                 put(rows, self._summed(*told))
@@ -207,11 +235,11 @@ class Track:
                 continue
             else:
                 rows = rows[:block]
-                self._by_matrix(rows, put)
+                way(rows, put)
                 miss += 1
-                skip = self.n <= SMALL or miss % 32 > 0  # now and then the tree is tried again
+                skip = self.n <= SMALL or miss % again > 0  # now and then the tree is tried again
             done += len(rows)
-        n, path, spread, first, last = out
+        n, path, spread, first, last = (x[only] for x in out)
         chord = great_circle(self.p[first], self.l[first], self.p[last], self.l[last])
         one = n < 2
         straight = np.where(one | (path == 0), 1.0, chord / np.where(path > 0, path, 1.0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import clip, haversine_km
+from ..functions.geo import DEGREE_KM, EARTH_KM, clip, haversine_km
+from ..sources.staging import beside, staged
 from .kinematics import trip
 from .nearby import Track
 
 SERIES = ("speed_kmh", "acceleration", "turn_angle")
+#: Rows of a trip that one task takes whole, and pairs of points that a task meets in one part of a tile.
+WHOLE, PAIRS = 20_000, 500_000_000
 
 
 def _stats(df: DataFrame, frame: W, suffix: str) -> DataFrame:
@@ -104,18 +110,102 @@ def start_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("dist_to_start_km", haversine_km(F.col("latitude"), F.col("longitude"), first("latitude"), first("longitude")))
 
 
-def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True) -> DataFrame:
+def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True, whole: int = WHOLE, pairs: int = PAIRS) -> DataFrame:
     """Trajectory shape over all points of the trip within a radius, in time order: planar distance (degrees scaled at the trip's mean latitude) or great-circle distance.
 
     No row is lost: equal rows each count among the neighbours and get equal results, rows without a trip are one trip, and
     a point without a coordinate has no neighbours (n_near 0, straightness 1, radius 0, sinuosity 1).  No pairs are made: a
-    task holds one trip at a time in Arrow columns and sums it up as nearby.Track does."""
+    task holds one trip at a time in Arrow columns and sums it up as nearby.Track does.  Trips of more than `whole` rows are
+    counted first and dealt out by tiles of the radius's size."""
     known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     at = df.withColumn("_lat", known("latitude")).withColumn("_lon", known("longitude"))
+    sizes = at.groupBy("trip_id").agg(F.count("*").alias("_rows"), F.avg("_lat").alias("_mean"))
+    large = beside(sizes.where(F.col("_rows") > whole).select(F.col("trip_id").alias("_trip"), "_mean"), "large-trips")
+    if large.isEmpty():
+        return _by_trips(at, df, radius_km, planar)
+    same = F.col("trip_id").eqNullSafe(F.col("_trip"))
+    small = _by_trips(at.join(large, same, "left_anti"), df, radius_km, planar)
+    shaped = _by_tiles(at.join(large, same).select("trip_id", "t_us", "event_id", "_lat", "_lon", "_mean"), radius_km, planar, pairs)
+    keys = ["trip_id", "t_us", "event_id", "_lat", "_lon"]
+    named = shaped.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    at = at.drop(*[c for c, _, _ in SHAPE]).join(large, same, "left_semi")
+    told = at.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]), "left")
+    return small.unionByName(told.select(*[c for c in small.columns if c not in shaped.columns or c in keys], *[F.coalesce(c, F.lit(v).cast(t)).alias(c) for c, t, v in SHAPE]))
+
+
+#: Columns of a shape, and what they read without neighbours.
+SHAPE = (("n_near", T.LongType(), 0), ("straightness", T.DoubleType(), 1.0), ("radius_gyration_km", T.DoubleType(), 0.0), ("sinuosity", T.DoubleType(), 1.0))
+
+
+def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) -> DataFrame:
+    """trip_id, t_us, event_id, _lat, _lon and the shape of each different point: a tile's points meet those of the tiles around it,
+    which hold all within the radius.  Tiles of more than `pairs` pairs are dealt out in parts of their points."""
+    keys = ["trip_id", "t_us", "event_id", "_lat", "_lon"]
+    points = points.where("_lat is not null and _lon is not null").groupBy(*keys, "_mean").agg(F.count("*").alias("_w"))
+    side = radius_km * (1 + 1e-6)
+    lat, lon = F.radians("_lat"), F.radians("_lon")
+    if planar:
+        axes = [F.col("_lon") * DEGREE_KM * F.cos(F.radians("_mean")), F.col("_lat") * DEGREE_KM]
+    else:  # in space: a chord is shorter than its arc, and neither poles nor the date line are borders
+        axes = [F.cos(lat) * F.cos(lon) * EARTH_KM, F.cos(lat) * F.sin(lon) * EARTH_KM, F.sin(lat) * EARTH_KM]
+    tile = [f"_t{k}" for k in range(len(axes))]
+    points = staged(points.withColumns({t: F.floor(a / side) for t, a in zip(tile, axes, strict=True)}), "tile-points")
+
+    def around(df: DataFrame) -> DataFrame:
+        for t in tile:
+            df = df.withColumn(f"_d{t}", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(t, F.col(t) + F.col(f"_d{t}"))
+        own = reduce(and_, [F.col(f"_d{t}") == 0 for t in tile])
+        return df.withColumn("_own", own).drop(*[f"_d{t}" for t in tile])
+
+    sizes = staged(points.groupBy("trip_id", *tile).agg(F.count("*").alias("_c")), "tiles")
+    # a tile's own points times all that they meet
+    met = around(sizes).groupBy("trip_id", *tile).agg(F.max(F.when(F.col("_own"), F.col("_c"))).alias("_mine"), F.sum("_c").alias("_k")).where("_mine is not null")
+    parts = met.select(*[F.col(c).alias(f"_of_{c}") for c in ("trip_id", *tile)], F.least(F.col("_mine"), F.ceil(F.col("_mine") * F.col("_k") / pairs)).cast("int").alias("_parts"))
+    at = around(points).join(beside(parts, "tile-parts"), reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("trip_id", *tile)]))
+    at = at.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_own", F.col("_own") & (F.pmod(F.xxhash64("t_us", "event_id", "_lat", "_lon"), F.col("_parts")) == F.col("_part")))
+    group = ["trip_id", *tile, "_part"]
+    at = at.withColumn("_g", F.xxhash64(*group)).select(*keys, *tile, "_part", "_mean", "_w", "_own", "_g")
+    shuffles = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.repartition(max(64, shuffles), *group).sortWithinPartitions(*group, "t_us", "event_id", "_lat", "_lon")
+    cut = [*tile, "_part"]
+
+    def told(rows: pa.Table) -> list[pa.RecordBatch]:
+        own = np.flatnonzero(rows.column("_own").to_numpy(zero_copy_only=False))
+        if not len(own):
+            return []
+        lat, lon, w = (rows.column(c).to_numpy() for c in ("_lat", "_lon", "_w"))
+        shapes = Track(lat, lon, w, radius_km, planar, rows.column("_mean")[0].as_py()).shapes(own)
+        out = rows.select(keys).take(pa.array(own))
+        for (c, _, _), v in zip(SHAPE, shapes, strict=True):
+            out = out.append_column(c, pa.array(v))
+        return out.to_batches()
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column("_g").to_numpy(), *(batch.column(c).to_numpy() for c in cut)])
+            begins = np.append(0, 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)))
+            for a, b in zip(begins, np.append(begins[1:], batch.num_rows), strict=True):
+                if last is not None and (marks[:, a] != last).any():
+                    yield from told(pa.Table.from_batches(held))
+                    held = []
+                last = marks[:, a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    fields = [points.schema[c] for c in keys] + [T.StructField(c, t) for c, t, _ in SHAPE]
+    return at.mapInArrow(run, T.StructType(fields))
+
+
+def _by_trips(at: DataFrame, df: DataFrame, radius_km: float, planar: bool) -> DataFrame:
+    """near_shape() of df, which `at` is with _lat and _lon, a trip at a time."""
     # a number for each different point of a trip, in time order; the windows leave each trip whole and its rows together
     order = W.partitionBy("trip_id").orderBy("t_us", "event_id", "_lat", "_lon")
     at = at.withColumn("_p", F.dense_rank().over(order)).withColumn("_i", F.row_number().over(order))
-    new = {"n_near": T.LongType(), "straightness": T.DoubleType(), "radius_gyration_km": T.DoubleType(), "sinuosity": T.DoubleType()}
+    new = {c: t for c, t, _ in SHAPE}
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in kept]
 
