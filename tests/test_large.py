@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.operators.nearby import Track
+from tidewake.operators.quantiles import quantiles
 from tidewake.operators.regression import correlation_p
 from tidewake.operators.rolling import near_shape
 from tidewake.plans import catch_queries as CQ
@@ -51,3 +53,19 @@ def test_points_one_by_one_give_the_matrices_sums():
         assert [np.sqrt(t[2] / t[0]) for t in told.values()] == pytest.approx(want[2][::7].tolist(), abs=1e-8)
         some = track.shapes(np.arange(3, 700, 5))
         assert all(a == pytest.approx(b[3::5], abs=1e-12) for a, b in zip(some, want, strict=True))
+
+
+def test_quantiles_read_a_column_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("x")).mapInArrow(counted, "g long, x double")
+    probabilities = [k / 10 for k in range(11)]
+    got = {r.g: r.q for r in quantiles(df, "x", probabilities, ["g"], small_rows=0, few=1_000).collect()}
+    assert read.value == 30_000  # not once a round
+    for g in range(3):
+        assert got[g] == pytest.approx(np.quantile([i * 7919 % 30_011 for i in range(30_000) if i % 3 == g], probabilities).tolist())

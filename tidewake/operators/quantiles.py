@@ -1,15 +1,13 @@
 """Exact order statistics without gathering a column in one task.
 
-Spark's exact percentile keeps all distinct values of a group in one task.  Here brackets around each quantile are narrowed
-in rounds: a pass counts what lies below and inside a bracket, exactly, and sketches what is inside; the next bracket is a
-hundredth of it.  When few values are left, their distinct ones are counted and the quantile is read off running counts.  A
-sketch only proposes: a bracket whose counts show that it misses the quantile is widened."""
+Spark's exact percentile keeps all distinct values of a group in one task.  Here the rows of each different value are counted
+first (copies are summed up where they lie), the values are dealt out by range, and running counts within ranges and over
+them say where each value stands.  Quantiles look only into the ranges that hold them: a column is read once, however many
+quantiles of it are wanted."""
 
 from __future__ import annotations
 
-import math
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,18 +15,14 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import beside, staged
 
-#: Steps of a sketch over a bracket, and its accuracy.
-GRID, ACCURACY = 500, 5000
-#: Steps over a whole column.
-FINE = 2000
-#: Brackets of so many rows are narrow enough, and those whose values the driver gets; distinct values that are ranked in one task.
-FEW, FEW_WHOLE = 200_000, 20_000
+#: Different values in a range: so many are put in order by one task.
+FEW = 200_000
 #: Up to so many rows, counted first, one task can hold all values: the direct way is quicker and gives the same.
 SMALL_ROWS = 2_000_000
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
-    """by, q: the interpolated quantiles of the non-NULL values, in the order of the probabilities.  Groups without a value are left out.  df is counted, then read once, or once a round."""
+    """by, q: the interpolated quantiles of the non-NULL values, in the order of the probabilities.  Groups without a value are left out.  df is counted, then read once."""
     return many_quantiles(df, {column: probabilities}, by, small_rows, few).withColumnRenamed(column, "q")
 
 
@@ -40,117 +34,53 @@ def many_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str]
     if 0 < n <= small_rows:
         out = x.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in wanted.items()])
         return out.where(" and ".join(f"`{c}` is not null" for c in wanted))
-    if not by:
-        told = whole_quantiles(x, wanted, min(few, FEW_WHOLE))
-        one = x.sparkSession.range(1).select(*[F.array(*map(F.lit, q or [0.0])).alias(c) for c, q in told.items()])
-        return one if all(told.values()) else one.limit(0)
-    parts = [_narrowed(x.select(*by, F.col(c).alias("_x")).where("_x is not null"), p, by, few).withColumnRenamed("q", c) for c, p in wanted.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, by)
-    return out
-
-
-def whole_quantiles(x: DataFrame, wanted: dict[str, list[float]], few: int) -> dict[str, list[float] | None]:
-    """Each column's quantiles over all rows (None without a value), at once: every round is one aggregate over x, whose
-    single row the driver turns into the next brackets; at last it gets the few distinct values inside them."""
-    grid = [j / FINE for j in range(FINE + 1)]
-    first = x.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("s", F.percentile_approx(c, grid, F.lit(5 * FINE))))]).first()
-    marks = []  # a bracket for each quantile, with the bracket that it comes from
-    for i, (c, ps) in enumerate(wanted.items()):
-        if n := first[f"n{i}"]:
-            for j, p in enumerate(ps):
-                m = {"c": c, "j": j, "n": n, "r": p * (n - 1), "k": math.floor(p * (n - 1)), "lo": first[f"a{i}"], "hi": first[f"b{i}"], "wide": 2.0, "large": n * 7 / FINE > few}
-                marks.append(m | dict(zip("ab", _around(first[f"s{i}"], m["k"] / n, m), strict=True)))
-    todo = marks
-    while todo:
-        inside = [(F.col(m["c"]) >= m["a"]) & (F.col(m["c"]) <= m["b"]) for m in todo]
-        sketch = [F.percentile_approx(F.when(e, F.col(m["c"])), grid, F.lit(5 * FINE)) if m["large"] else F.lit(None) for e, m in zip(inside, todo, strict=True)]
-        row = x.agg(*[f.alias(f"{n}{i}") for i, (e, m, s) in enumerate(zip(inside, todo, sketch, strict=True)) for n, f in (("u", F.count_if(F.col(m["c"]) < m["a"])), ("w", F.count_if(e)), ("s", s))]).first()
-        left = []
-        for i, m in enumerate(todo):
-            m["below"], size = row[f"u{i}"], row[f"w{i}"]
-            if not (m["below"] <= m["k"] and (m["k"] + 1 < m["below"] + size or m["k"] + 1 >= m["n"])):  # the sketch was wrong
-                m |= {"a": m["lo"], "b": m["hi"], "wide": m["wide"] * 8, "large": True}
-                left.append(m)
-            elif size > few and m["a"] < m["b"] and not m["large"]:
-                m["large"] = True  # sketched in the next round
-                left.append(m)
-            elif size > few and m["a"] < m["b"]:
-                a, b = _around(row[f"s{i}"], (m["k"] - m["below"]) / size, m)
-                if a > m["a"] or b < m["b"]:
-                    m |= {"lo": m["a"], "hi": m["b"], "a": a, "b": b}
-                    left.append(m)
-        todo = left
-    out: dict[str, list[float] | None] = {}
-    for c, ps in wanted.items():
-        mine = [m for m in marks if m["c"] == c]
-        if not mine:
-            out[c] = None
-            continue
-        near = reduce(or_, [(F.col(c) >= m["a"]) & (F.col(c) <= m["b"]) for m in mine])
-        counts = sorted((r[0], r[1]) for r in x.where(near).groupBy(c).count().collect())  # a few values for each quantile
-        out[c] = [0.0] * len(ps)
-        for m in mine:
-            at, found = m["below"], []
-            for v, n in counts:
-                if m["a"] <= v <= m["b"] or v == m["a"] == m["b"]:
-                    found += [v] * (sum(at <= k < at + n for k in (m["k"], min(m["k"] + 1, m["n"] - 1))))
-                    at += n
-            low, high, part = found[0], found[-1], m["r"] - m["k"]
-            out[c][m["j"]] = low if part == 0 or low == high else low + (high - low) * part  # infinite values have no difference
-    return out
-
-
-def _around(sketch: list[float], part: float, m: dict) -> tuple[float, float]:
-    """The bracket some steps of the sketch around a part of its values; the ends are exact."""
-    low, high = math.floor(part * FINE - m["wide"]), math.ceil(part * FINE + m["wide"] + 1)
-    return (m["lo"] if low <= 0 else sketch[low]), (m["hi"] if high >= FINE else sketch[high])
-
-
-def _met(x: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
-    """Each row of x with its group's marks, which have the group's columns under other names."""
-    named = marks.withColumnsRenamed({c: f"_by_{c}" for c in by})
-    if not by:
-        return x.crossJoin(F.broadcast(named))  # a row for each probability
-    same = F.lit(True)
+    parts = [_placed(x.select(*by, F.col(c).alias("_x")).where("_x is not null"), p, by, few).withColumn("_column", F.lit(j)) for j, (c, p) in enumerate(wanted.items())]
+    long = reduce(DataFrame.unionByName, parts)
+    sorted_ = lambda j: F.array_sort(F.collect_list(F.when(F.col("_column") == j, F.struct("_i", "q"))))["q"]
+    out = long.groupBy(*by).agg(*[sorted_(j).alias(c) for j, c in enumerate(wanted)])
+    return out.where(" and ".join(f"size(`{c}`) > 0" for c in wanted))
+
+
+def _ranges(values: DataFrame, column: str, by: list[str], few: int) -> tuple[DataFrame, DataFrame]:
+    """values (by, column, _c rows each) with the _range that they are dealt to; and for each group and range, by names with
+    _by_ before them: _at (the range), _in (rows in it), _before (rows in those before) and _all (rows of the group)."""
+    n = values.count()
+    if n <= few:
+        values = values.withColumn("_range", F.lit(0))
+    else:
+        dealt = values.repartitionByRange(-(-n // few), *by, column)
+        values = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranked")  # written, so that ranges stay as they are
+    sums = values.groupBy(*by, "_range").agg(F.sum("_c").alias("_in"))
+    group = W.partitionBy(*(by or [F.lit(0)]))
+    before = (F.sum("_in").over(group.orderBy("_range")) - F.col("_in")).alias("_before")
+    return values, beside(sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), "_in", before, F.sum("_in").over(group).alias("_all")), "ranges")
+
+
+def _upto(values: DataFrame, ranges: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """values of some ranges with _upto, the rows of the group at or under the value, and _all."""
+    same = F.col("_range") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return x.join(named, same).drop(*[f"_by_{c}" for c in by])
+    within = F.sum("_c").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    return values.join(ranges, same).withColumn("_upto", F.col("_before") + within)
 
 
-def _narrowed(x: DataFrame, probabilities: list[float], by: list[str], few: int) -> DataFrame:
-    marks = x.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_a"), F.max("_x").alias("_b")).where("_n > 0")
+def _placed(x: DataFrame, probabilities: list[float], by: list[str], few: int) -> DataFrame:
+    """by, _i, q: the i-th quantile of _x."""
+    counts = staged(x.groupBy(*by, "_x").agg(F.count("*").alias("_c")), "values")
+    values, ranges = _ranges(counts, "_x", by, few)
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
-    marks = marks.withColumn("_e", F.explode(each)).select(*by, "_n", "_a", "_b", F.col("_e.i").alias("_i"), (F.col("_e.p") * (F.col("_n") - 1)).alias("_r"))
-    # the bracket [a, b] has _k and _k + 1; lo, hi is the bracket before it, and wide how many steps of it to take
-    marks = marks.withColumns({"_k": F.floor("_r"), "_lo": F.col("_a"), "_hi": F.col("_b"), "_wide": F.lit(2.0)})
-    keys = [*by, "_i", "_n", "_r", "_k", "_a", "_b", "_lo", "_hi", "_wide"]
-    inside = F.col("_x") >= F.col("_a")
-    while True:
-        marks = beside(marks, "brackets")
-        at = _met(x, marks, by).where(F.col("_x") <= F.col("_b")).groupBy(*keys)
-        at = at.agg(F.count_if(~inside).alias("_below"), F.count_if(inside).alias("_in"), F.percentile_approx(F.when(inside, F.col("_x")), [j / GRID for j in range(GRID + 1)], F.lit(ACCURACY)).alias("_s"))
-        holds = (F.col("_below") <= F.col("_k")) & ((F.col("_k") + 1 < F.col("_below") + F.col("_in")) | (F.col("_k") + 1 >= F.col("_n")))
-        spot = (F.col("_k") - F.col("_below")) / F.col("_in") * GRID
-        step = lambda j: F.get("_s", F.least(F.greatest(j, F.lit(0)), F.lit(GRID)).cast("int"))
-        narrow = holds & (F.col("_in") > few) & (F.col("_a") < F.col("_b"))
-        back = {"_a": F.col("_lo"), "_b": F.col("_hi"), "_wide": F.col("_wide") * 8}  # sketched again, with a wider margin
-        next_ = {"_a": step(F.floor(spot - F.col("_wide"))), "_b": step(F.ceil(spot + F.col("_wide") + 1)), "_lo": F.col("_a"), "_hi": F.col("_b")}
-        after = {c: F.when(narrow, next_.get(c, F.col(c))).when(~holds, back.get(c, F.col(c))).otherwise(F.col(c)) for c in ("_a", "_b", "_lo", "_hi", "_wide")}
-        now = staged(at.select(*[after[c].alias(c) if c in after else F.col(c) for c in keys], ((narrow & ((next_["_a"] > F.col("_a")) | (next_["_b"] < F.col("_b")))) | ~holds).alias("_again")), "brackets")
-        again = now.where("_again").limit(1).count()
-        marks = now.drop("_again")
-        if not again:
-            break
-    part = _met(x, beside(marks, "brackets"), by).where(F.col("_x") <= F.col("_b"))
-    part = part.groupBy(*by, "_i", "_n", "_r", F.when(inside, F.col("_x")).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by, "_i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    part = part.withColumn("upto", upto)
-    value = lambda k: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > k), F.col("v")))
-    out = part.groupBy(*by, "_i").agg(value(F.floor("_r")).alias("a"), value(F.ceil("_r")).alias("b"), F.max(F.col("_r") - F.floor("_r")).alias("f"))
-    out = out.withColumn("q", F.when((F.col("f") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f")))  # infinite values have no difference
-    return out.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "q"))).alias("q")).where(F.size("q") > 0).select(*by, F.col("q.q").alias("q"))
+    place = lambda e: e["p"] * (F.col("_all") - 1)
+    within = lambda k, low, high: (k >= low) & (k < high)
+    either = lambda low, high: lambda e: within(F.floor(place(e)), low, high) | within(F.ceil(place(e)), low, high)
+    ranges = ranges.where(F.exists(each, either(F.col("_before"), F.col("_before") + F.col("_in"))))
+    at = _upto(values, ranges, "_x", by)
+    low, high = F.col("_upto") - F.col("_c"), F.col("_upto")
+    at = at.withColumn("_e", F.explode(F.filter(each, either(low, high)))).withColumn("_r", place(F.col("_e")))
+    value = lambda k: F.min(F.when(within(k, low, high), F.col("_x")))
+    out = at.groupBy(*by, F.col("_e.i").alias("_i")).agg(value(F.floor("_r")).alias("a"), value(F.ceil("_r")).alias("b"), F.max(F.col("_r") - F.floor("_r")).alias("f"))
+    q = F.when((F.col("f") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))  # infinite values have no difference
+    return out.select(*by, "_i", q.alias("q"))
 
 
 def ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW, weight: str | None = None) -> DataFrame:
@@ -160,17 +90,8 @@ def ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows:
     mean = lambda upto: (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)
     if small_rows > 0 and 0 < (n := df.count()) <= small_rows:  # of rows, so of values
         return values.select(*by, column, mean(F.sum("_c").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(column))))
-    n = values.count()
-    dealt = values.repartitionByRange(max(2, -(-n // few)), *by, column)
-    values = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranked")  # written, so that ranges stay as they are
-    sums = values.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
-    over = W.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
-    before = beside(sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), (F.sum("_s").over(over) - F.col("_s")).alias("_before")), "ranges")
-    within = F.sum("_c").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    same = F.col("_range") == F.col("_at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return values.withColumn("_w", within).join(before, same).select(*by, column, mean(F.col("_before") + F.col("_w")))
+    values, ranges = _ranges(staged(values, "values"), column, by, few)
+    return _upto(values, ranges, column, by).select(*by, column, mean(F.col("_upto")))
 
 
 def average_ranks(df: DataFrame, column: str, name: str, by: list[str] = (), small_rows: int = SMALL_ROWS, few: int = FEW) -> DataFrame:
