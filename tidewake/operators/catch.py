@@ -153,13 +153,13 @@ def annual_trend(df: DataFrame, first: int = 2000, last: int = 2024) -> DataFram
 
 def group_stats(df: DataFrame, by: str, least: int = 30) -> DataFrame:
     """Per gear or unit with enough rows: medians and means, effort_cv, rho, depl_ratio (mean cpue over the upper to that under the lower effort quartile), log_slope, cpue_trend (over more than two years), n_years."""
-    many = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    many = df.groupBy(by, "year").agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("n"), F.count("year").alias("n_years")).where(F.col("n") >= least)
     rows = df.count()
     middle = many_quantiles(df, {"effort": [0.25, 0.5, 0.75], "cpue": [0.5]}, [by], rows=rows).select(by, F.col("effort").alias("_q"), first_of("cpue").alias("cpue_med"))
     at = df.join(beside(many.join(middle, by)), by)
     low, high = F.avg(F.when(F.col("effort") <= first_of("_q"), F.col("cpue"))), F.avg(F.when(F.col("effort") >= first_of("_q", 2), F.col("cpue")))
-    years = F.count_distinct("year")
-    out = at.groupBy(by, "n", "cpue_med", first_of("_q", 1).alias("effort_med")).agg((F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"), years.alias("n_years"))
+    years = F.col("n_years")  # counted first: a distinct count here would send every row twice
+    out = at.groupBy(by, "n", "n_years", "cpue_med", first_of("_q", 1).alias("effort_med")).agg((F.stddev_samp("effort") / F.avg("effort")).alias("effort_cv"), F.avg("cpue").alias("cpue_mean"), F.when(low > 0, high / F.when(low > 0, low)).alias("depl_ratio"), F.regr_slope("log_cpue", "log_effort").alias("log_slope"), F.when(years > 2, F.regr_slope("cpue", "year")).alias("cpue_trend"))
     return out.join(beside(spearman(df, by=[by], rows=rows).select(by, "rho")), by)
 
 
