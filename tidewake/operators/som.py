@@ -30,8 +30,11 @@ def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
 
 def _nearest(x: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    columns = [np.ascontiguousarray(v) for v in x.T]
     for k, w in enumerate(nodes):  # one node at a time: memory is a batch's, whatever the map's size
-        d = ((x - w) ** 2).sum(axis=1)
+        d = np.zeros(len(x))
+        for v, c in zip(columns, w, strict=True):
+            d += (v - c) ** 2
         near = d < least
         best[near], least[near] = k, d[near]
     return best, np.sqrt(least)
@@ -45,7 +48,8 @@ class BatchMap:
 
     def fit(self, df: DataFrame, columns: list[str]) -> BatchMap:
         self.columns = list(columns)
-        x = staged(self._known(df).select(*[F.col(c).cast("double").alias(c) for c in columns]), "map-rows")
+        rows = self._known(df).select(*[F.col(c).cast("double").alias(c) for c in columns])
+        x = staged(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("_rows")), "map-rows")  # equal rows have one nearest node
         self._start(x)
         i, j = (v.ravel() for v in np.indices(self.shape))
         apart = (i[:, None] - i) ** 2 + (j[:, None] - j) ** 2
@@ -64,19 +68,22 @@ class BatchMap:
         d = len(self.columns)
         pairs = [(a, b) for a in range(d) for b in range(a, d)]
         c = self.columns
-        r = x.agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m{a}") for a, v in enumerate(c)], *[F.covar_pop(c[a], c[b]).alias(f"c{a}_{b}") for a, b in pairs]).first()
-        if not r.n:
+        w = F.col("_rows")
+        first = x.agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(v)) / F.sum(w)).alias(f"m{a}") for a, v in enumerate(c)]).first()
+        if not first.n:
             raise ValueError("there are no rows to map")
-        mean, cov = np.array([r[f"m{a}"] for a in range(d)]), np.zeros((d, d))
+        mean, cov = np.array([first[f"m{a}"] for a in range(d)]), np.zeros((d, d))
+        off = [F.col(v) - float(m) for v, m in zip(c, mean, strict=True)]
+        r = x.agg(*[(F.sum(w * off[a] * off[b]) / first.n).alias(f"c{a}_{b}") for a, b in pairs]).first()
         for a, b in pairs:
             cov[a, b] = cov[b, a] = r[f"c{a}_{b}"]
         size, axes = np.linalg.eigh(cov)
         axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(d)] < 0, -1, 1)  # the sign is no one's choice
         reach = np.sqrt(np.maximum(size, 0))
         at = [np.linspace(-1.5, 1.5, k) if k > 1 else np.zeros(1) for k in self.shape]
-        first = at[0][:, None, None] * axes[:, -1] * reach[-1]
-        second = at[1][None, :, None] * (axes[:, -2] * reach[-2] if d > 1 else np.zeros(d))
-        self.nodes = (mean + first + second).reshape(-1, d)
+        down = at[0][:, None, None] * axes[:, -1] * reach[-1]
+        across = at[1][None, :, None] * (axes[:, -2] * reach[-2] if d > 1 else np.zeros(d))
+        self.nodes = (mean + down + across).reshape(-1, d)
 
     def _sums(self, x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         nodes, columns = self.nodes, self.columns
@@ -86,8 +93,10 @@ class BatchMap:
             for batch in batches:
                 v = _matrix(batch, columns)
                 best, _ = _nearest(v, nodes)
-                n += np.bincount(best, minlength=len(nodes))
-                np.add.at(s, best, v)
+                w = batch.column("_rows").to_numpy()
+                n += np.bincount(best, w, len(nodes))
+                for j in range(v.shape[1]):
+                    s[:, j] += np.bincount(best, w * v[:, j], len(nodes))
             yield pa.RecordBatch.from_pydict({"cell": pa.array([np.column_stack([n, s]).ravel().tolist()], pa.list_(pa.float64()))})
 
         parts = x.mapInArrow(run, "cell array<double>").select(F.posexplode("cell").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
