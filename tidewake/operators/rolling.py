@@ -25,19 +25,125 @@ WHOLE, PAIRS = 20_000, 500_000_000
 def _stats(df: DataFrame, frame: W, suffix: str) -> DataFrame:
     for c in SERIES:
         df = df.withColumns({f"{c}_mean{suffix}": F.avg(c).over(frame), f"{c}_std{suffix}": F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)), f"{c}_max{suffix}": F.max(c).over(frame), f"{c}_min{suffix}": F.min(c).over(frame)})
+    return _variation(df, suffix)
+
+
+def _variation(df: DataFrame, suffix: str) -> DataFrame:
     cv = lambda name, mean: F.col(f"{name}_std{suffix}") / (mean + 0.1)
     return df.withColumns({f"speed_cv{suffix}": cv("speed_kmh", F.col(f"speed_kmh_mean{suffix}")), f"accel_cv{suffix}": cv("acceleration", F.abs(f"acceleration_mean{suffix}"))})
 
 
-def time_stats(df: DataFrame, minutes: tuple[float, ...] = (10.0,)) -> DataFrame:
-    """Mean, standard deviation (0 on one point), extremes and variation within a centred, half-open time window: the points after t - N/2 up to t + N/2.  Columns have the suffix _Nmin if there are several windows."""
+def large_trips(df: DataFrame, whole: int = WHOLE) -> DataFrame | None:
+    """_trip: the trips of more than `whole` rows, counted now; None if there are none."""
+    sizes = df.groupBy(F.col("trip_id").alias("_trip")).agg(F.count("*").alias("_rows"))
+    large = beside(sizes.where(F.col("_rows") > whole).select("_trip"), "large-trips")
+    return None if large.isEmpty() else large
+
+
+def split(df: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other trips, and those of the large ones."""
+    same = F.col("trip_id").eqNullSafe(F.col("_trip"))
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
+def time_stats(df: DataFrame, minutes: tuple[float, ...] = (10.0,), whole: int | None = WHOLE) -> DataFrame:
+    """Mean, standard deviation (0 on one point), extremes and variation within a centred, half-open time window: the points after t - N/2 up to t + N/2.  Columns have the suffix _Nmin if there are several windows.
+
+    Spark's moving frames read a whole window again for each row, so trips of more than `whole` rows are counted first and dealt
+    out by time (None: no trip, 0: all)."""
+    if whole:
+        large = large_trips(df, whole)
+        if large is None:
+            return time_stats(df, minutes, None)
+        small, rest = split(df, large)
+        return time_stats(small, minutes, None).unionByName(time_stats(rest, minutes, 0))
     for m in minutes:
-        half = int(m * 30e6)
-        frame = W.partitionBy("trip_id").orderBy("t_us").rangeBetween(-half + 1, half)
-        df = _stats(df, frame, f"_{m:g}min" if len(minutes) > 1 else "")
+        half, suffix = int(m * 30e6), f"_{m:g}min" if len(minutes) > 1 else ""
+        if whole is None:
+            df = _stats(df, W.partitionBy("trip_id").orderBy("t_us").rangeBetween(-half + 1, half), suffix)
+            continue
+        told = _by_times(df, half, suffix).withColumnsRenamed({"trip_id": "_of_trip", "t_us": "_of_time"})
+        same = F.col("trip_id").eqNullSafe(F.col("_of_trip")) & F.col("t_us").eqNullSafe(F.col("_of_time"))
+        df = _variation(df.drop(*told.columns).join(told, same).drop("_of_trip", "_of_time"), suffix)
     return df
 
 
+def frames(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Mean, standard deviation (0 on one value), largest and smallest of each x[low:high]; NaN on none.
+
+    A frame is put together of stretches of 1, 2, 4 ... values, whose means and squares are merged: nothing is subtracted, so that
+    no digits are lost."""
+    at, n = low.copy(), np.zeros(len(low))
+    mean, square, top, least = np.zeros(len(low)), np.zeros(len(low)), np.full(len(low), -np.inf), np.full(len(low), np.nan)
+    m, s, t, b, size = x, np.zeros(len(x)), x, x, 1
+    with np.errstate(invalid="ignore"):
+        while len(m) and size <= (high - low).max(initial=0):
+            k = np.flatnonzero((high - low) & size)
+            i, before, d = at[k], n[k], m[at[k]] - mean[k]
+            n[k] += size
+            mean[k] += d * (size / n[k])
+            square[k] += s[i] + d * d * (before * size / n[k])
+            top[k], least[k] = np.maximum(top[k], t[i]), np.fmin(least[k], b[i])
+            at[k] += size
+            d = m[size:] - m[:-size]
+            m, s = m[:-size] + d / 2, s[:-size] + s[size:] + d * d * (size / 2)
+            t, b, size = np.maximum(t[:-size], t[size:]), np.fmin(b[:-size], b[size:]), 2 * size
+    none = n == 0
+    return np.where(none, np.nan, mean), np.sqrt(square / np.maximum(n - 1, 1)), np.where(none, np.nan, top), least
+
+
+def _by_times(df: DataFrame, half: int, suffix: str) -> DataFrame:
+    """trip_id, t_us and the statistics of each different time of a trip: stretches of half a window meet those before and after."""
+    rows = df.select("trip_id", "t_us", *[F.col(c).cast("double").alias(c) for c in SERIES])
+    stretch = F.coalesce(F.floor(F.col("t_us") / half), F.lit(-(1 << 62)))  # rows without a time see one another
+    rows = rows.withColumn("_d", F.explode(F.when(F.col("t_us").isNull(), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))))
+    rows = rows.withColumn("_stretch", stretch + F.col("_d")).withColumn("_own", F.col("_d") == 0).drop("_d")
+    group = ["trip_id", "_stretch"]
+    rows = rows.withColumn("_g", F.xxhash64(*group))
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(64, shuffles), *group).sortWithinPartitions(*group, "t_us")
+
+    def told(held: pa.Table) -> list[pa.RecordBatch]:
+        t, own = held.column("t_us").fill_null(0).to_numpy(), held.column("_own").to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(own)
+        at, first = np.unique(t[own], return_index=True)
+        if not len(at):
+            return []
+        out = held.select(["trip_id", "t_us"]).take(pa.array(own[first]))
+        for c in SERIES:
+            there = held.column(c).is_valid().to_numpy(zero_copy_only=False)
+            x, times = held.column(c).to_numpy()[there], t[there]
+            low, high = np.searchsorted(times, at - half + 1), np.searchsorted(times, at + half, "right")
+            for name, v in zip(("mean", "std", "max", "min"), frames(x, low, high), strict=True):
+                out = out.append_column(f"{c}_{name}{suffix}", pa.array(v, mask=(high == low) & (name != "std")))
+        return out.to_batches()
+
+    made = [T.StructField(f"{c}_{name}{suffix}", T.DoubleType()) for c in SERIES for name in ("mean", "std", "max", "min")]
+    return rows.mapInArrow(_in_groups(told, ["_stretch"]), T.StructType([df.schema["trip_id"], df.schema["t_us"], *made]))
+
+
+def _in_groups(told, cut: list[str]):
+    """A function of batches that gives told() a table for each group of rows, which differ in _g or `cut`."""
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column("_g").to_numpy(), *(batch.column(c).to_numpy() for c in cut)])
+            begins = np.append(0, 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)))
+            for a, b in zip(begins, np.append(begins[1:], batch.num_rows), strict=True):
+                if last is not None and (marks[:, a] != last).any():
+                    yield from told(pa.Table.from_batches(held))
+                    held = []
+                last = marks[:, a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
 def trailing_stats(df: DataFrame, rows: int = 10) -> DataFrame:
     """Mean and standard deviation (NULL on one point) of the last rows, and speed_cv."""
     frame = trip().rowsBetween(1 - rows, 0)
@@ -110,27 +216,31 @@ def start_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("dist_to_start_km", haversine_km(F.col("latitude"), F.col("longitude"), first("latitude"), first("longitude")))
 
 
-def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True, whole: int = WHOLE, pairs: int = PAIRS) -> DataFrame:
+def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True, whole: int | None = WHOLE, pairs: int = PAIRS) -> DataFrame:
     """Trajectory shape over all points of the trip within a radius, in time order: planar distance (degrees scaled at the trip's mean latitude) or great-circle distance.
 
     No row is lost: equal rows each count among the neighbours and get equal results, rows without a trip are one trip, and
     a point without a coordinate has no neighbours (n_near 0, straightness 1, radius 0, sinuosity 1).  No pairs are made: a
     task holds one trip at a time in Arrow columns and sums it up as nearby.Track does.  Trips of more than `whole` rows are
-    counted first and dealt out by tiles of the radius's size."""
+    counted first and dealt out by tiles of the radius's size (None: no trip, 0: all)."""
     known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     at = df.withColumn("_lat", known("latitude")).withColumn("_lon", known("longitude"))
+    if whole is None:
+        return _by_trips(at, df, radius_km, planar)
     sizes = at.groupBy("trip_id").agg(F.count("*").alias("_rows"), F.avg("_lat").alias("_mean"))
     large = beside(sizes.where(F.col("_rows") > whole).select(F.col("trip_id").alias("_trip"), "_mean"), "large-trips")
     if large.isEmpty():
         return _by_trips(at, df, radius_km, planar)
     same = F.col("trip_id").eqNullSafe(F.col("_trip"))
-    small = _by_trips(at.join(large, same, "left_anti"), df, radius_km, planar)
     shaped = _by_tiles(at.join(large, same).select("trip_id", "t_us", "event_id", "_lat", "_lon", "_mean"), radius_km, planar, pairs)
+    shaped = staged(shaped, "shapes")  # once, whatever is read of it
     keys = ["trip_id", "t_us", "event_id", "_lat", "_lon"]
     named = shaped.withColumnsRenamed({c: f"_of_{c}" for c in keys})
-    at = at.drop(*[c for c, _, _ in SHAPE]).join(large, same, "left_semi")
-    told = at.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]), "left")
-    return small.unionByName(told.select(*[c for c in small.columns if c not in shaped.columns or c in keys], *[F.coalesce(c, F.lit(v).cast(t)).alias(c) for c, t, v in SHAPE]))
+    rest = at.drop(*[c for c, _, _ in SHAPE]).join(large, same, "left_semi")
+    told = rest.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]), "left")
+    kept = [c for c in df.columns if c not in {c for c, _, _ in SHAPE}]
+    told = told.select(*kept, *[F.coalesce(c, F.lit(v).cast(t)).alias(c) for c, t, v in SHAPE])
+    return told if not whole else _by_trips(at.join(large, same, "left_anti"), df, radius_km, planar).unionByName(told)
 
 
 #: Columns of a shape, and what they read without neighbours.
@@ -180,24 +290,8 @@ def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) ->
             out = out.append_column(c, pa.array(v))
         return out.to_batches()
 
-    def run(batches):
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch.column("_g").to_numpy(), *(batch.column(c).to_numpy() for c in cut)])
-            begins = np.append(0, 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)))
-            for a, b in zip(begins, np.append(begins[1:], batch.num_rows), strict=True):
-                if last is not None and (marks[:, a] != last).any():
-                    yield from told(pa.Table.from_batches(held))
-                    held = []
-                last = marks[:, a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from told(pa.Table.from_batches(held))
-
     fields = [points.schema[c] for c in keys] + [T.StructField(c, t) for c, t, _ in SHAPE]
-    return at.mapInArrow(run, T.StructType(fields))
+    return at.mapInArrow(_in_groups(told, cut), T.StructType(fields))
 
 
 def _by_trips(at: DataFrame, df: DataFrame, radius_km: float, planar: bool) -> DataFrame:

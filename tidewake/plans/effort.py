@@ -12,11 +12,18 @@ from ..operators.phases import Phases, activity_types, phases
 from ..operators.rules import CONFIGS, Rules, flag, indicators, phase_aware_rules, score, slow_and_turning
 from ..operators.smoothing import smooth
 from ..operators.summary import trip_summary
+from ..sources.staging import staged
 
 VARIANTS = ("row_frames", "instantaneous", "great_circle", "planar", "phase_aware")
 _BY_ROWS = ("row_frames", "instantaneous")
 
 
+def _in_windows(points: DataFrame, variant: str, rules: Rules, how: K.Kinematics) -> DataFrame:
+    """Features of trips that a task takes whole: the shape first, while points have few columns to hand over."""
+    df = R.near_shape(points, rules.spatial_window_km, variant == "planar", None)
+    return R.start_distance(R.time_stats(K.kinematics(df, how), rules.time_windows, None))
+
+
 def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
     """The features that a variant's rules look at."""
     if variant == "phase_aware":
@@ -25,9 +32,15 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
     how = K.Kinematics(min_leg_km=0.0 if variant in _BY_ROWS else rules.min_distance_for_turn)
     if variant in _BY_ROWS:
         df = R.shape(R.start_distance(R.adaptive_stats(K.kinematics(points, how))))
-    else:  # the shape first, while points have few columns to hand over
-        df = R.near_shape(points, rules.spatial_window_km, planar=variant == "planar")
-        df = R.start_distance(R.time_stats(K.kinematics(df, how), rules.time_windows))
+    else:
+        large = R.large_trips(points)
+        if large is None:
+            df = _in_windows(points, variant, rules, how)
+        else:
+            small, rest = R.split(points, large)
+            rest = staged(K.kinematics(rest, how), "large-trips-kinematics")
+            rest = R.time_stats(R.near_shape(rest, rules.spatial_window_km, variant == "planar", 0), rules.time_windows, 0)
+            df = _in_windows(small, variant, rules, how).unionByName(R.start_distance(rest))
     return K.positions(df)
 
 
