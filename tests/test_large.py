@@ -69,3 +69,15 @@ def test_quantiles_read_a_column_once(spark):
     assert read.value == 30_000  # not once a round
     for g in range(3):
         assert got[g] == pytest.approx(np.quantile([i * 7919 % 30_011 for i in range(30_000) if i % 3 == g], probabilities).tolist())
+
+
+def test_values_meet_the_places_of_their_range_only(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+    probabilities = [(k + 0.5) / 100 for k in range(100)]
+    for by in ([], ["g"]):
+        out = quantiles(df, "x", probabilities, by, small_rows=0, few=1_000)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Generate explode" in line and "_upto" in line]  # no list of all places at each value
+        got = {r.g if by else 0: r.q for r in out.collect()}
+        for g in range(2 if by else 1):
+            assert got[g] == pytest.approx(np.quantile([i * 7919 % 30_011 for i in range(30_000) if not by or i % 2 == g], probabilities).tolist())

@@ -76,7 +76,12 @@ def _placed(x: DataFrame, probabilities: list[float], by: list[str], few: int) -
     ranges = ranges.where(F.exists(each, either(F.col("_before"), F.col("_before") + F.col("_in"))))
     at = _upto(values, ranges, "_x", by)
     low, high = F.col("_upto") - F.col("_c"), F.col("_upto")
-    at = at.withColumn("_e", F.explode(F.filter(each, either(low, high)))).withColumn("_r", place(F.col("_e")))
+    # a range's own few places are met by its values: looking for all places at every value costs their product
+    wanted = ranges.select(*[F.col(f"_by_{c}").alias(f"_for_{c}") for c in by], F.col("_at").alias("_in_range"), F.explode(F.filter(each, either(F.col("_before"), F.col("_before") + F.col("_in")))).alias("_e"))
+    met = (F.col("_range") == F.col("_in_range")) & either(low, high)(F.col("_e"))
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_for_{c}"))
+    at = at.join(wanted, met).withColumn("_r", place(F.col("_e")))
     value = lambda k: F.min(F.when(within(k, low, high), F.col("_x")))
     out = at.groupBy(*by, F.col("_e.i").alias("_i")).agg(value(F.floor("_r")).alias("a"), value(F.ceil("_r")).alias("b"), F.max(F.col("_r") - F.floor("_r")).alias("f"))
     q = F.when((F.col("f") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))  # infinite values have no difference
