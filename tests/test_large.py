@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewake.operators import ml as M
 from tidewake.operators.nearby import Track
 from tidewake.operators.quantiles import quantiles
 from tidewake.operators.regression import correlation_p
@@ -81,3 +82,21 @@ def test_values_meet_the_places_of_their_range_only(spark):
         got = {r.g if by else 0: r.q for r in out.collect()}
         for g in range(2 if by else 1):
             assert got[g] == pytest.approx(np.quantile([i * 7919 % 30_011 for i in range(30_000) if not by or i % 2 == g], probabilities).tolist())
+
+
+def test_a_forest_reads_its_points_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "trip_id long, event_id long, t_us long, latitude double, longitude double, Activity string"
+    rows = [(k % 7, k, k * 60_000_000, -6 + 0.001 * (k * 37 % 11), 39 + 0.001 * (k * 53 % 13), "Fishing" if k * 37 % 11 > 5 else None) for k in range(300)]
+    points = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    forest = M.EffortForest(trees=3, depth=4).fit(points)
+    assert read.value == 300  # neither once for each pass nor twice
+    features = M.EffortForest.features(points)
+    assert sorted(forest.predict(features).select("event_id", "effort_prob").collect()) == sorted(forest.predict(points).select("event_id", "effort_prob").collect())
+    assert {r.event_id: r.effort_pred for r in M.EffortForest(trees=3, depth=4).fit(features).predict(features).collect()}.keys() == set(range(300))

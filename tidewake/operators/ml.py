@@ -53,14 +53,23 @@ class EffortForest:
     def __init__(self, trees: int = 400, depth: int = 30, seed: int = 42, model: PipelineModel | None = None):
         self.trees, self.depth, self.seed, self.model = trees, depth, seed, model
 
-    def _features(self, points: DataFrame) -> DataFrame:
+    @staticmethod
+    def features(points: DataFrame) -> DataFrame:
+        """points with their features, written once: a fit reads its rows four times, and those who also predict the same points read them again."""
+        from ..sources.staging import staged
         from .kinematics import learned_features
 
-        df = points if set(POINT_FEATURES) <= set(points.columns) else learned_features(points)
+        return staged(learned_features(points), "point-features")
+
+    def _features(self, points: DataFrame, again: bool = False) -> DataFrame:
+        from .kinematics import learned_features
+
+        known = set(POINT_FEATURES) <= set(points.columns)
+        df = points if known else self.features(points) if again else learned_features(points)
         return df.withColumns({f"_{c}": F.col(c).cast("float").cast("double") for c in POINT_FEATURES})
 
     def fit(self, points: DataFrame, label: str = "Activity") -> EffortForest:
-        df = self._features(points).withColumn("label", effort_label(label))
+        df = self._features(points, again=True).withColumn("label", effort_label(label))
         forest = RandomForestClassifier(featuresCol="_vector", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_guess", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxMemoryInMB=512)
         self.model = Pipeline(stages=[VectorAssembler(inputCols=[f"_{c}" for c in POINT_FEATURES], outputCol="_vector"), forest]).fit(df)
         return self

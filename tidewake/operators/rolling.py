@@ -156,7 +156,8 @@ def window_stats(df: DataFrame, columns: list[str], rows: int = 5) -> DataFrame:
     """Mean, standard deviation and quartiles (interpolated) in a centred frame of rows, NULLs left out; suffix _w."""
     frame = trip().rowsBetween(-(rows // 2), (rows - 1) // 2)
     for c in columns:
-        df = df.withColumns({f"{c}_mean_w": F.avg(c).over(frame), f"{c}_std_w": F.stddev_samp(c).over(frame), f"{c}_q25_w": F.percentile(c, F.lit(0.25)).over(frame), f"{c}_q75_w": F.percentile(c, F.lit(0.75)).over(frame)})
+        df = df.withColumn("_q", F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(frame))  # both from one look at the frame
+        df = df.withColumns({f"{c}_mean_w": F.avg(c).over(frame), f"{c}_std_w": F.stddev_samp(c).over(frame), f"{c}_q25_w": F.get("_q", F.lit(0)), f"{c}_q75_w": F.get("_q", F.lit(1))}).drop("_q")
     return df
 
 

@@ -119,7 +119,7 @@ def label_mapping(spark, sf_dir):
 @query(None)
 def effort_forest(spark, sf_dir):
     """Fits and applies a small forest; another random generator makes other trees, so only metrics compare."""
-    t = _activity(tracks(spark, sf_dir))
+    t = M.EffortForest.features(_activity(tracks(spark, sf_dir)).select(*ID, "t_us", "latitude", "longitude", "Activity"))
     return M.EffortForest(trees=20, depth=8).fit(t).predict(t).select(*ID, "effort_pred", F.round("effort_prob", 6).alias("effort_prob"), M.readable().alias("label"))
 
 
