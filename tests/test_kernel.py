@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.operators import ml as M
-from tidewake.operators.kernel import KernelMachine, kernel, landmarks, literal, pivots
+from tidewake.operators.kernel import KernelMachine, kernel, landmarks, lifted, literal, pivots
 
 KINDS = ["canoe", "it's \"raft\"", "motor"]
 
@@ -89,3 +89,12 @@ def test_one_type_few_rows_equal_rows_and_none(spark):
         M.VesselModel().fit(table(spark, one).limit(0))
     text = ["a'b", 'c"d', "e\\f"]
     assert spark.range(1).select(F.expr(literal(text, "array<string>"))).first()[0] == text
+
+
+def test_kernel_values_are_lifted_as_matrices(spark):
+    root = np.random.default_rng(2).normal(0, 1, (5, 7))
+    k = np.random.default_rng(3).normal(0, 1, (40, 7))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(k)], "i int, k array<double>").repartition(3)
+    got = {r.i: r.f for r in df.select("i", lifted(root)("k").alias("f")).collect()}
+    assert np.allclose([got[i] for i in range(40)], k @ root.T)
+    assert df.where("i < 0").select(lifted(root)("k")).count() == 0

@@ -11,6 +11,7 @@ from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import SQLTransformer
@@ -54,6 +55,17 @@ def landmarks(rows: DataFrame, features: list[str], n: int, gamma: float) -> np.
     return pivots(np.array([list(map(float, r)) for r in held]).reshape(-1, len(features)), n, gamma)
 
 
+def lifted(root: np.ndarray):
+    """A function of kernel values: their Nystroem features, a matrix product for each batch (in SQL, as many steps a row as the
+    square of the landmarks)."""
+
+    @F.pandas_udf("array<double>")
+    def lift(k: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(k.to_list()) @ root.T) if len(k) else [], dtype=object)
+
+    return lift
+
+
 class KernelMachine:
     """One machine for each pair of the classes 0..k-1 in `label`; stages() are Spark ML transformers that add _k (kernel values),
     _f (decisions by pair), _prob (by class, sums to 1) and _guess (most pairs won, the smaller class on ties).
@@ -79,8 +91,7 @@ class KernelMachine:
         values, vectors = np.linalg.eigh(kernel(self.points, self.points, self.gamma))
         keep = values > 1e-10 * values.max()
         self.root = (vectors[:, keep] / np.sqrt(values[keep])).T
-        lift = f"transform({literal(self.root.tolist(), 'array<array<double>>')}, w -> {_dot('w', '_k')})"
-        at = self._kernel().transform(rows).withColumn("_phi", array_to_vector(F.expr(lift)))
+        at = self._kernel().transform(rows).withColumn("_phi", array_to_vector(lifted(self.root)("_k")))
         at = at.select(F.col(label).alias("_c"), "_k", "_phi", (F.pmod(F.xxhash64(*self.features), F.lit(5)) == 0).alias("_out")).persist()
         counts = {(int(r["_c"]), r["_out"]): r["n"] for r in at.groupBy("_c", "_out").agg(F.count("*").alias("n")).collect()}
         split = [all(counts.get((c, side), 0) for c in p for side in (True, False)) for p in self.pairs]

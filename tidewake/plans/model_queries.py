@@ -11,6 +11,7 @@ from ..operators import ml as M
 from ..operators.layers import lines, zoom
 from ..operators.regression import SelfOrganisingMap, pca
 from ..sources.catalog import missing, summarize, with_points
+from ..sources.staging import staged
 from ..sources.tables import stamp, table, tracks
 from . import catch_queries as CQ
 from . import track_sql as Q
@@ -136,13 +137,13 @@ def trip_features(spark, sf_dir):
 
 @query(None)
 def gear_predictions(spark, sf_dir):
-    t = _trips(spark, sf_dir, "gear_label")
+    t = staged(_trips(spark, sf_dir, "gear_label"), "trips")  # fitted, then predicted
     return M.GearModel().fit(t).predict(t).select("trip_id", "gear_label", "gear_pred")
 
 
 @query(None)
 def vessel_predictions(spark, sf_dir):
-    t = _trips(spark, sf_dir, "vessel_type_label")
+    t = staged(_trips(spark, sf_dir, "vessel_type_label"), "trips")  # fitted, then predicted
     out = M.VesselModel().fit(t).predict(t)
     sure = F.element_at("vessel_type_prob", F.col("vessel_type_pred"))
     return out.select("trip_id", "vessel_type_label", "vessel_type_pred", F.round(sure, 6).alias("pred_prob"))
