@@ -18,8 +18,8 @@ from .kinematics import trip
 from .nearby import Track
 
 SERIES = ("speed_kmh", "acceleration", "turn_angle")
-#: Rows of a trip that one task takes whole, and pairs of points that a task meets in one part of a tile.
-WHOLE, PAIRS = 20_000, 500_000_000
+#: Rows of a trip that one task takes whole, and pairs of points in one part of a tile (few of which are looked at).
+WHOLE, PAIRS = 20_000, 10_000_000_000
 
 
 def _stats(df: DataFrame, frame: W, suffix: str) -> DataFrame:
@@ -228,13 +228,15 @@ def near_shape(df: DataFrame, radius_km: float = 1.0, planar: bool = True, whole
     at = df.withColumn("_lat", known("latitude")).withColumn("_lon", known("longitude"))
     if whole is None:
         return _by_trips(at, df, radius_km, planar)
-    sizes = at.groupBy("trip_id").agg(F.count("*").alias("_rows"), F.avg("_lat").alias("_mean"))
-    large = beside(sizes.where(F.col("_rows") > whole).select(F.col("trip_id").alias("_trip"), "_mean"), "large-trips")
-    if large.isEmpty():
+    large = large_trips(df, whole)
+    if large is None:
         return _by_trips(at, df, radius_km, planar)
+    if whole:  # the tiles, their trips and the other trips read the points
+        at = staged(at, "points")
     same = F.col("trip_id").eqNullSafe(F.col("_trip"))
-    shaped = _by_tiles(at.join(large, same).select("trip_id", "t_us", "event_id", "_lat", "_lon", "_mean"), radius_km, planar, pairs)
-    shaped = staged(shaped, "shapes")  # once, whatever is read of it
+    mean = at.groupBy(F.col("trip_id").alias("_trip")).agg(F.avg("_lat").alias("_mean"))
+    mean = beside(mean.join(large.withColumnRenamed("_trip", "trip_id"), same, "left_semi"), "large-trips-means")
+    shaped = _by_tiles(at.join(mean, same).select("trip_id", "t_us", "event_id", "_lat", "_lon", "_mean"), radius_km, planar, pairs)
     keys = ["trip_id", "t_us", "event_id", "_lat", "_lon"]
     named = shaped.withColumnsRenamed({c: f"_of_{c}" for c in keys})
     rest = at.drop(*[c for c, _, _ in SHAPE]).join(large, same, "left_semi")
@@ -249,8 +251,8 @@ SHAPE = (("n_near", T.LongType(), 0), ("straightness", T.DoubleType(), 1.0), ("r
 
 
 def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) -> DataFrame:
-    """trip_id, t_us, event_id, _lat, _lon and the shape of each different point: a tile's points meet those of the tiles around it,
-    which hold all within the radius.  Tiles of more than `pairs` pairs are dealt out in parts of their points."""
+    """trip_id, t_us, event_id, _lat, _lon and the shape of each different point: a tile's points meet those within the radius of
+    it.  Tiles of more than `pairs` pairs are cut along each axis into parts that are dealt out by themselves."""
     keys = ["trip_id", "t_us", "event_id", "_lat", "_lon"]
     points = points.where("_lat is not null and _lon is not null").groupBy(*keys, "_mean").agg(F.count("*").alias("_w"))
     side = radius_km * (1 + 1e-6)
@@ -259,8 +261,10 @@ def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) ->
         axes = [F.col("_lon") * DEGREE_KM * F.cos(F.radians("_mean")), F.col("_lat") * DEGREE_KM]
     else:  # in space: a chord is shorter than its arc, and neither poles nor the date line are borders
         axes = [F.cos(lat) * F.cos(lon) * EARTH_KM, F.cos(lat) * F.sin(lon) * EARTH_KM, F.sin(lat) * EARTH_KM]
-    tile = [f"_t{k}" for k in range(len(axes))]
-    points = staged(points.withColumns({t: F.floor(a / side) for t, a in zip(tile, axes, strict=True)}), "tile-points")
+    dims = range(len(axes))
+    tile = [f"_t{k}" for k in dims]
+    points = points.withColumns({f"_a{k}": a / side for k, a in zip(dims, axes, strict=True)})
+    points = staged(points.withColumns({f"_t{k}": F.floor(f"_a{k}") for k in dims}), "tile-points")
 
     def around(df: DataFrame) -> DataFrame:
         for t in tile:
@@ -268,22 +272,27 @@ def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) ->
         own = reduce(and_, [F.col(f"_d{t}") == 0 for t in tile])
         return df.withColumn("_own", own).drop(*[f"_d{t}" for t in tile])
 
+    of = {c: f"_of{c}" for c in ("trip_id", *tile)}
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in of.items()])
     sizes = staged(points.groupBy("trip_id", *tile).agg(F.count("*").alias("_c")), "tiles")
-    # a tile's own points times all that they meet
+    # a tile's own points times all of the tiles around it
     met = around(sizes).groupBy("trip_id", *tile).agg(F.max(F.when(F.col("_own"), F.col("_c"))).alias("_mine"), F.sum("_c").alias("_k")).where("_mine is not null")
-    parts = met.select(*[F.col(c).alias(f"_of_{c}") for c in ("trip_id", *tile)], F.least(F.col("_mine"), F.ceil(F.col("_mine") * F.col("_k") / pairs)).cast("int").alias("_parts"))
-    at = around(points).join(beside(parts, "tile-parts"), reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("trip_id", *tile)]))
-    at = at.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_own", F.col("_own") & (F.pmod(F.xxhash64("t_us", "event_id", "_lat", "_lon"), F.col("_parts")) == F.col("_part")))
-    group = ["trip_id", *tile, "_part"]
-    at = at.withColumn("_g", F.xxhash64(*group)).select(*keys, *tile, "_part", "_mean", "_w", "_own", "_g")
+    cuts = beside(met.select(*[F.col(c).alias(o) for c, o in of.items()], F.ceil(F.sqrt(F.col("_mine") * F.col("_k") / pairs)).alias("_cut")), "tile-cuts")
+    part = [F.least(F.floor((F.col(f"_a{k}") - F.col(f"_t{k}")) * F.col("_cut")), F.col("_cut") - 1) for k in dims]
+    # the parts that hold points, numbered
+    parts = points.join(cuts, same).select(*of.values(), "_cut", *[p.alias(f"_s{k}") for k, p in zip(dims, part, strict=True)]).distinct()
+    parts = beside(parts.withColumn("_part", F.monotonically_increasing_id()), "tile-parts")
+    at = around(points).join(parts, same)
+    begins = [F.col(f"_t{k}") + F.col(f"_s{k}") / F.col("_cut") for k in dims]
+    off = [F.greatest(b - F.col(f"_a{k}"), F.col(f"_a{k}") - b - 1 / F.col("_cut"), F.lit(0.0)) for k, b in zip(dims, begins, strict=True)]
+    at = at.where(sum((x * x for x in off), F.lit(0.0)) <= 1)  # in sides, which are a little longer than the radius
+    at = at.withColumn("_own", F.col("_own") & reduce(and_, [p == F.col(f"_s{k}") for k, p in zip(dims, part, strict=True)]))
+    at = at.select(*keys, "_mean", "_w", "_own", "_part", F.col("_part").alias("_g"))
     shuffles = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = at.repartition(max(64, shuffles), *group).sortWithinPartitions(*group, "t_us", "event_id", "_lat", "_lon")
-    cut = [*tile, "_part"]
+    at = at.repartition(max(min(128, parts.count()), shuffles), "_part").sortWithinPartitions("_part", "t_us", "event_id", "_lat", "_lon")
 
     def told(rows: pa.Table) -> list[pa.RecordBatch]:
         own = np.flatnonzero(rows.column("_own").to_numpy(zero_copy_only=False))
-        if not len(own):
-            return []
         lat, lon, w = (rows.column(c).to_numpy() for c in ("_lat", "_lon", "_w"))
         shapes = Track(lat, lon, w, radius_km, planar, rows.column("_mean")[0].as_py()).shapes(own)
         out = rows.select(keys).take(pa.array(own))
@@ -292,7 +301,7 @@ def _by_tiles(points: DataFrame, radius_km: float, planar: bool, pairs: int) ->
         return out.to_batches()
 
     fields = [points.schema[c] for c in keys] + [T.StructField(c, t) for c, t, _ in SHAPE]
-    return at.mapInArrow(_in_groups(told, cut), T.StructType(fields))
+    return at.mapInArrow(_in_groups(told, []), T.StructType(fields))
 
 
 def _by_trips(at: DataFrame, df: DataFrame, radius_km: float, planar: bool) -> DataFrame:
