@@ -37,9 +37,10 @@ def features(points: DataFrame, variant: str, rules: Rules) -> DataFrame:
         if large is None:
             df = _in_windows(points, variant, rules, how)
         else:
-            small, rest = R.split(points, large)
+            small, rest = R.split(staged(points, "points"), large)
             rest = staged(K.kinematics(rest, how), "large-trips-kinematics")
-            rest = R.time_stats(R.near_shape(rest, rules.spatial_window_km, variant == "planar", 0), rules.time_windows, 0)
+            rest = staged(R.near_shape(rest, rules.spatial_window_km, variant == "planar", 0), "large-trips-shapes")  # read twice
+            rest = R.time_stats(rest, rules.time_windows, 0)
             df = _in_windows(small, variant, rules, how).unionByName(R.start_distance(rest))
     return K.positions(df)
 
